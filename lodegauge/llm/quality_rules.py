@@ -150,7 +150,8 @@ def calibrate(features: DataFrame, labels: DataFrame, risk: float = RISK, delta:
         F.struct(F.lit(rule).alias("rule"), F.lit(float(c)).alias("cutoff"), F.col(f"{rule}_{i}_1").alias("wrong"), F.col(f"{rule}_{i}_0").alias("right"))
         for rule, grid in GRID.items() for i, c in enumerate(grid)
     ])
-    flat = totals.select("lang", "good", F.count(F.lit(1)).over(Window.partitionBy()).alias("strata"), F.explode(cells).alias("c")).select("lang", "good", "strata", "c.*")
+    strata = totals.withColumn("strata", F.count(F.lit(1)).over(Window.partitionBy()))
+    flat = strata.select("lang", "good", "strata", F.explode(cells).alias("c")).select("lang", "good", "strata", "c.*")
     hypotheses = F.col("strata") * sum(map(len, GRID.values()))
     certified = flat.where(F.col("right") > 0).where(binomial_tail(F.col("wrong"), F.col("good"), per_rule) <= F.lit(delta) / hypotheses)
     return certified.groupBy("lang", "rule").agg(F.max(F.struct("right", "cutoff"))["cutoff"].alias("cutoff"))
