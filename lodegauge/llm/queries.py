@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodegauge.llm import mixing, quality_rules
+from lodegauge.llm.jaccard_join import jaccard_components
 from lodegauge.llm.sharding import shard_records
 from lodegauge.llm.token_counts import token_counts
 
@@ -29,10 +30,15 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_records(_table(spark, sf_dir, "documents"), [1.0] * 24)
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_table(spark, sf_dir, "documents"), 3, 90)
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_token_counts": op3_token_counts,
     "op4_mixing": op4_mixing,
     "op5_sharding": op5_sharding,
+    "op9_jaccard_join": op9_jaccard_join,
 }
 ORACLE_SQL: dict[str, str] = {"op1_quality_rules": quality_rules.ORACLE, "op4_mixing": mixing.ORACLE}
