@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodegauge.llm import mixing, quality_rules
+from lodegauge.llm import mixing, quality_rules, topk
 from lodegauge.llm.jaccard_join import jaccard_components
 from lodegauge.llm.sharding import shard_records
 from lodegauge.llm.token_counts import token_counts
@@ -34,11 +35,16 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), 3, 90)
 
 
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5, 256)
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_token_counts": op3_token_counts,
     "op4_mixing": op4_mixing,
     "op5_sharding": op5_sharding,
     "op9_jaccard_join": op9_jaccard_join,
+    "op10_topk": op10_topk,
 }
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": quality_rules.ORACLE, "op4_mixing": mixing.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": quality_rules.ORACLE, "op4_mixing": mixing.ORACLE, "op10_topk": topk.ORACLE}
