@@ -9,6 +9,7 @@ from lodegauge.llm import language_id, mixing, piece_sampling, quality_rules, to
 from lodegauge.llm.jaccard_join import jaccard_components
 from lodegauge.llm.sharding import shard_records
 from lodegauge.llm.token_counts import token_counts
+from lodegauge.llm.toxicity import toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +48,10 @@ def op7_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_sampling.encode(_table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_token_counts": op3_token_counts,
@@ -54,6 +59,7 @@ QUERIES = {
     "op5_sharding": op5_sharding,
     "op6_language_id": op6_language_id,
     "op7_piece_sampling": op7_piece_sampling,
+    "op8_toxicity": op8_toxicity,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_topk": op10_topk,
 }

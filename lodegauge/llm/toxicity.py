@@ -1,12 +1,12 @@
 """Toxicity by weak supervision: voters, a generative label model, and a linear classifier on its posteriors.
 
-Voters fire or stay silent on a document: words of a fixed lexicon; words and word beginnings of 4 to 6 bytes that the
-learning rows show to come with toxic labels; and patterns (shouting, exclamation, address). The label model is a
+Voters fire or stay silent on a document: words of a fixed lexicon; words and word beginnings of 4 to 6 bytes, found at
+least once, twice or three times, that the learning rows show to come with toxic labels; and patterns (shouting, exclamation, address). The label model is a
 latent class over the voters: firing rates given toxic and given clean, fitted by expectation maximisation from the
-learning rows' own rates. Voters that fire together beyond what the class explains are correlated; each voter's
-evidence is divided by the sum of its correlations with all voters, so that ten spellings of one sign count as one. The
-posteriors are the targets of a logistic regression over the voters and the number of kinds of signs found, and only
-that linear model scores documents.
+learning rows' own rates. Voters that fire together beyond what the class explains are correlated, and are put in one
+group; a group speaks once, with the evidence of its strongest voter that fires, so that ten spellings of one sign, or
+the insults of one language, count as one. The posteriors are the targets of a logistic regression over the voters and
+the groups that fire, and only that linear model scores documents.
 
 Labels are learnt from rows whose fold (crc32 of the key as text, modulo 4) is not 2, a bounded sample of about
 ``sample`` labelled documents drawn by a hash of the key; up to ``most`` voters are drawn from them. Every document is
@@ -39,10 +39,14 @@ LEXICON = (
 ).split()
 PATTERNS = ("shouting", "exclaiming", "addressing")
 ADDRESS = ("you", "your", "du", "dein", "tu", "vous", "usted")
-SAMPLE, MOST = 8000, 300
+SAMPLE, MOST = 8000, 400
+#: Signs count up to this often.
+TIMES = 3
 #: A candidate becomes a voter with this many toxic documents and this share of toxic among those it occurs in.
 LEAST_TOXIC, LEAST_SHARE = 5, 0.8
 THRESHOLD = 0.3
+#: The labels' accuracy as a voter, and how much likelier a voter of the label model must fire on toxic rows.
+ACCURACY, LIFT = 0.95, 3.0
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 _KIND = {"word": 0, 4: 1, 5: 2, 6: 3}
 
@@ -77,12 +81,21 @@ def word_hashes(words) -> np.ndarray:
     return _of_kind(bw.Hashes(buf).of(end - np.array([len(r) for r in raw]), end), "word")
 
 
+def times(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sign, row, how often), each pair of sign and row once."""
+    order = np.lexsort((h, row))
+    h, row = h[order], row[order]
+    at = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])])) if len(h) else np.zeros(0, np.int64)
+    return h[at], row[at], np.diff(np.concatenate([at, [len(h)]]))
+
+
 class Voters:
-    """Which voters fire on each row of a batch."""
+    """Which voters fire on each row of a batch. A voter is a sign and the number of times it must occur; the patterns
+    come last."""
 
-    def __init__(self, hashes: np.ndarray):
-        self.order = np.argsort(hashes)
-        self.sorted = hashes[self.order]
+    def __init__(self, hashes: np.ndarray, least: np.ndarray):
+        self.order = np.lexsort((least, hashes))
+        self.sorted, self.least = hashes[self.order], least[self.order]
         self.n = len(hashes) + len(PATTERNS)
         self.maybe = np.zeros(1 << 16, bool)
         self.maybe[(hashes >> U(48)).astype(np.int64)] = True
@@ -92,21 +105,24 @@ class Voters:
         low, raw = _lower(column), pa.RecordBatch.from_arrays([column], names=["text"])
         rows, voters = [], []
         for x, y, buf, off in bw.blocks(low, 0):
-            h, r, words, address = signs(buf, off)
+            h, r, _, address = signs(buf, off)
             some = np.flatnonzero(self.maybe[(h >> U(48)).astype(np.int64)])
-            at = np.searchsorted(self.sorted, h[some])
-            hit = self.sorted[np.minimum(at, len(self.sorted) - 1)] == h[some]
-            pairs = np.unique(r[some][hit] * self.n + self.order[at[hit]])
-            rows.append(pairs // self.n + x)
-            voters.append(pairs % self.n)
+            known = some[np.isin(h[some], self.sorted)]
+            sign, r, n = times(h[known], r[known])
+            at = np.searchsorted(self.sorted, sign)
+            for k in range(TIMES):  # a sign has up to TIMES voters, side by side
+                here = np.minimum(at + k, len(self.sorted) - 1)
+                hit = (at + k < len(self.sorted)) & (self.sorted[here] == sign) & (self.least[here] <= n)
+                rows.append(r[hit] + x)
+                voters.append(self.order[here[hit]])
             who = np.flatnonzero(address)
             rows.append(who + x)
             voters.append(np.full(len(who), self.n - 1))
         for x, y, buf, off in bw.blocks(raw, 0):
-            at = np.concatenate([[0], np.cumsum((buf >= 0x41) & (buf <= 0x5A))])[off]
+            capitals = np.concatenate([[0], np.cumsum((buf >= 0x41) & (buf <= 0x5A))])[off]
             letters = np.concatenate([[0], np.cumsum(bw.LETTER[buf])])[off]
             marks = np.concatenate([[0], np.cumsum(buf == 0x21)])[off]
-            for k, fires in ((3, 2 * np.diff(at) > np.diff(letters)), (2, 20 * np.diff(marks) > np.diff(letters))):
+            for k, fires in ((3, 2 * np.diff(capitals) > np.diff(letters)), (2, 20 * np.diff(marks) > np.diff(letters))):
                 who = np.flatnonzero(fires & (np.diff(letters) > 0))
                 rows.append(who + x)
                 voters.append(np.full(len(who), self.n - k))
@@ -114,35 +130,60 @@ class Voters:
         return (np.concatenate(rows), np.concatenate(voters)) if rows else (none, none)
 
 
-def label_model(fired: np.ndarray, toxic: np.ndarray, rounds: int = 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(posterior of toxic by row, firing rates (2, voters), correlations (voters, voters)) of a 0/1 matrix of voters.
-
-    The labels give the first rates and the share of the classes; from there the latent class is refitted on the voters
-    alone.
+def correlated(f: np.ndarray, q: np.ndarray, least: float = 0.15) -> np.ndarray:
+    """The group of each voter: voters join the leader with which they are most correlated given the class, if that is
+    at least ``least``; the others, from the most frequent down, lead groups."""
+    rate = np.stack([(1 - q) @ f / max((1 - q).sum(), 1e-9), q @ f / max(q.sum(), 1e-9)])
+    rest = f - (q[:, None] * rate[1] + (1 - q)[:, None] * rate[0])
+    cov = rest.T @ rest / len(f)
+    sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
+    corr = cov / sd[:, None] / sd[None, :]
+    group, leaders = np.full(f.shape[1], -1), []
+    for v in np.argsort(-f.sum(0), kind="stable"):
+        near = corr[v, leaders] if leaders else np.zeros(0)
+        if len(near) and near.max() >= least:
+            group[v] = int(near.argmax())
+        else:
+            group[v] = len(leaders)
+            leaders.append(v)
+    return group
+
+
+def by_group(f: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """The greatest value of each group's voters."""
+    order = np.argsort(group, kind="stable")
+    starts = np.flatnonzero(np.concatenate([[True], np.diff(group[order]) > 0]))
+    return np.maximum.reduceat(f[:, order], starts, axis=1)
+
+
+def label_model(fired: np.ndarray, toxic: np.ndarray, rounds: int = 15) -> tuple[np.ndarray, np.ndarray]:
+    """(posterior of toxic by row, group of each voter) of a 0/1 matrix of voters.
+
+    The labels give the first rates, the groups and the share of the classes; from there the latent class is refitted on
+    the voters alone.
     """
-    f = fired.astype(np.float64)
     q = np.where(toxic, 0.95, 0.05)
-    prior = float(np.clip(toxic.mean(), 0.001, 0.999))
-    damp = np.ones(f.shape[1])
+    odds = np.log(toxic.mean() / (1 - toxic.mean())) + np.where(toxic, 1, -1) * np.log(ACCURACY / (1 - ACCURACY))
+    group = correlated(fired, q)
+
+    def rates(f: np.ndarray) -> np.ndarray:
+        return (np.stack([(1 - q) @ f, q @ f]) + 0.5) / (np.array([[(1 - q).sum()], [q.sum()]]) + 1.0)
+
+    first = rates(fired)
+    fired = fired * (first[1] > LIFT * first[0])
+    grouped = by_group(fired, group)
     for _ in range(rounds):
-        mass = np.array([(1 - q).sum(), q.sum()])
-        rate = (np.stack([(1 - q) @ f, q @ f]) + np.array([[0.01], [0.1]])) / (mass[:, None] + 1.0)
-        # what the class leaves unexplained, in both classes together
-        rest = f - (q[:, None] * rate[1] + (1 - q)[:, None] * rate[0])
-        cov = rest.T @ rest / len(f)
-        sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-        corr = cov / sd[:, None] / sd[None, :]
-        damp = 1.0 / np.maximum(np.where(corr > 0.1, corr, 0.0).sum(1), 1.0)
-        on = np.log(rate[1]) - np.log(rate[0])
-        off = np.log1p(-rate[1]) - np.log1p(-rate[0])
-        logit = np.log(prior / (1 - prior)) + f @ (damp * (on - off)) + (damp * off).sum()
+        one, all_ = rates(fired), rates(grouped)
+        speaks = by_group(np.where(fired > 0, np.log(one[1] / one[0]), -np.inf), group)
+        silent = np.log((1 - all_[1]) / (1 - all_[0]))
+        logit = odds + np.where(np.isfinite(speaks), speaks, silent).sum(1)
         q = 1.0 / (1.0 + np.exp(-np.clip(logit, -30, 30)))
-    return q, rate, corr
+    return q, group
 
 
-def features(fired: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Voters, the number of kinds of toxic signs (each counted by its independence), and a constant."""
-    return np.concatenate([fired, np.minimum(fired @ weight, 4.0)[:, None], np.ones((len(fired), 1))], axis=1)
+def features(fired: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Voters, groups with a voter that fires, and a constant."""
+    return np.concatenate([fired, by_group(fired, group), np.ones((len(fired), 1))], axis=1)
 
 
 def fit_linear(x: np.ndarray, q: np.ndarray, rounds: int = 30, ridge: float = 0.3) -> np.ndarray:
@@ -162,20 +203,20 @@ def fit_linear(x: np.ndarray, q: np.ndarray, rounds: int = 30, ridge: float = 0.
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(sign, toxic) once a document."""
+    """(sign, least, toxic): for each document and sign, once for every number of times up to which it occurs."""
     for b in batches:
         toxic = np.array(b.column(1).to_pylist(), np.int64)
         for x, _, buf, off in bw.blocks(_lower(b.column(0)), 0):
             h, r, _, _ = signs(buf, off)
-            order = np.lexsort((h, r))
-            h, r = h[order], r[order]
-            new = np.concatenate([[True], (h[1:] != h[:-1]) | (r[1:] != r[:-1])]) if len(h) else np.zeros(0, bool)
-            yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), pa.array(toxic[r[new] + x])], names=["sign", "toxic"])
+            sign, row, n = times(h, r)
+            reach = [np.flatnonzero(n >= k) for k in range(1, TIMES + 1)]
+            at, least = np.concatenate(reach), np.repeat(np.arange(1, TIMES + 1), [len(k) for k in reach])
+            yield pa.RecordBatch.from_arrays([pa.array(sign[at].view(np.int64)), pa.array(least), pa.array(toxic[row[at] + x])], names=["sign", "least", "toxic"])
 
 
 class Model:
-    def __init__(self, hashes: np.ndarray, weight: np.ndarray, linear: np.ndarray):
-        self.hashes, self.weight, self.linear = hashes, weight, linear
+    def __init__(self, hashes: np.ndarray, least: np.ndarray, group: np.ndarray, linear: np.ndarray):
+        self.hashes, self.least, self.group, self.linear = hashes, least, group, linear
 
 
 def learning_rows(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
@@ -190,15 +231,17 @@ def learning_rows(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = MOST) -> Model | None:
     rows = scratch.written(learning_rows(docs, labels, sample), "learning")
-    counted = rows.mapInArrow(_candidates, "sign long, toxic long").groupBy("sign").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n"))
-    picked = counted.where((F.col("bad") >= LEAST_TOXIC) & (F.col("bad") >= LEAST_SHARE * F.col("n"))).orderBy(F.desc("bad"), "sign").limit(most).collect()
+    counted = rows.mapInArrow(_candidates, "sign long, least long, toxic long").groupBy("sign", "least").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n"))
+    good = counted.where((F.col("bad") >= LEAST_TOXIC) & (F.col("bad") >= LEAST_SHARE * F.col("n")))
+    picked = good.orderBy(F.desc(11 * F.col("bad") - 10 * F.col("n")), "sign", "least").limit(most).collect()
     lexicon = word_hashes(LEXICON)
-    found = np.array([r["sign"] for r in picked], np.int64).view(U)
-    hashes = np.concatenate([lexicon, found[~np.isin(found, lexicon)]])
+    found, often = np.array([r["sign"] for r in picked], np.int64).view(U), np.array([r["least"] for r in picked], np.int64)
+    new = ~(np.isin(found, lexicon) & (often == 1))
+    hashes, least = np.concatenate([lexicon, found[new]]), np.concatenate([np.ones(len(lexicon), np.int64), often[new]])
     n = len(hashes) + len(PATTERNS)
 
     def fire(batches):
-        voters = Voters(hashes)
+        voters = Voters(hashes, least)
         for b in batches:
             fired = np.zeros((b.num_rows, n), bool)
             fired[voters.fire(b.column(0))] = True
@@ -209,25 +252,22 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int =
     if not toxic.any() or toxic.all():
         return None
     fired = np.stack([np.unpackbits(np.frombuffer(r["fired"], np.uint8), count=n) for r in got]).astype(np.float64)
-    q, rate, corr = label_model(fired, toxic)
-    toxic_sign = (rate[1] > 4 * rate[0]) & (fired.sum(0) > 0)
-    toxic_sign[: len(LEXICON)] |= fired[:, : len(LEXICON)].sum(0) == 0  # never seen here: trusted as given
-    weight = toxic_sign / np.maximum(np.where(corr > 0.1, corr, 0.0).sum(1), 1.0)
-    return Model(hashes, weight, fit_linear(features(fired, weight), q))
+    q, group = label_model(fired, toxic)
+    return Model(hashes, least, group, fit_linear(features(fired, group), q))
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """Per row: doc_id, held_out, score, predicted."""
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voters = Voters(model.hashes) if model else None
+        voters = Voters(model.hashes, model.least) if model else None
         for b in batches:
             p = np.zeros(b.num_rows)
             for x in range(0, b.num_rows if model else 0, 1024):
                 text = b.column(1).slice(x, 1024)
                 fired = np.zeros((len(text), voters.n))
                 fired[voters.fire(text)] = 1.0
-                p[x : x + 1024] = 1.0 / (1.0 + np.exp(-np.clip(features(fired, model.weight) @ model.linear, -30, 30)))
+                p[x : x + 1024] = 1.0 / (1.0 + np.exp(-np.clip(features(fired, model.group) @ model.linear, -30, 30)))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(2), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"]
             )
