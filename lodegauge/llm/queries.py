@@ -5,17 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegauge.llm import language_id, mixing, piece_sampling, quality_rules, topk
+from lodegauge.llm import language_id, mixing, piece_sampling, quality_rules, topk, warc
 from lodegauge.llm.jaccard_join import jaccard_components
 from lodegauge.llm.sharding import shard_records
 from lodegauge.llm.token_counts import token_counts
 from lodegauge.llm.toxicity import toxicity
+from lodegauge.sources import scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch.new_path(spark, "warc")
+    warc.write_archive(_table(spark, sf_dir, "pages"), folder, shard_bytes=16 << 20, file_bytes=64 << 20, min_revisit=0)
+    read = warc.read_archive(spark, folder)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), "byte_bpe_50k.json", 512)
 
@@ -54,6 +62,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_warc": op2_warc,
     "op3_token_counts": op3_token_counts,
     "op4_mixing": op4_mixing,
     "op5_sharding": op5_sharding,
