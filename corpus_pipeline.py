@@ -1,10 +1,57 @@
-"""Stages of the corpus pipeline; filled in as the operators come."""
+"""A corpus pipeline of five stages over the operators of lodegauge.llm.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; what it returns is written as Parquet and read again as
+the next one's docs. All but the last keep the columns of documents.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
+from lodegauge.llm import jaccard_join, language_id, mixing, piece_sampling, quality_rules
+from lodegauge.sources import scratch
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules and the certified cutoffs reject go."""
+    return quality_rules.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or of no language with a posterior of a half, go."""
+    return language_id.keep_identified(docs, 0.5)
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by a Jaccard similarity of 0.8 or more on five-word shingles, one document stays."""
+    return jaccard_join.one_of_each(docs, 5, 80)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated or left out as the sources' targets ask."""
+    return mixing.mix_documents(docs)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sampled segmentation of every document: doc_id, n_pieces, ids, lossless."""
+    return piece_sampling.encode(docs)
+
+
+STAGES = [
+    ("quality_rules", good_quality),
+    ("language_id", known_language),
+    ("jaccard_join", without_copies),
+    ("mixing", mixed),
+    ("piece_sampling", encoded),
+]
+
+#: SQL expresses neither the language model nor the sampling; tests hold the stages against brute force.
 ORACLE_SQL = None
-STAGES: list = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = scratch.written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

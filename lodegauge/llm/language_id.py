@@ -91,37 +91,67 @@ def score_words(vocab: Vocabulary, weight: np.ndarray, buf: np.ndarray, start: n
     return out, which
 
 
+class Scorer:
+    """The most probable language of each text of a batch, and its posterior."""
+
+    def __init__(self, probabilities: np.ndarray, languages: list[str]):
+        import public_tokenizers
+
+        self.vocab = Vocabulary(public_tokenizers.path(VOCABULARY))
+        self.weight = probabilities * (BYTE_FACTOR ** self.vocab.lengths)[:, None]
+        self.languages = languages
+
+    def best(self, text: pa.Array, letter: np.ndarray) -> tuple[list[str], np.ndarray]:
+        n, m = len(text), len(self.languages)
+        if not m:
+            return ["und"] * n, np.zeros(n)
+        low = pa.RecordBatch.from_arrays([pc.utf8_lower(text.cast(pa.large_string()))], names=["text"])
+        logs = np.zeros((n, m))
+        for x, y, buf, off in bw.blocks(low, 0):
+            buf, off = marked(np.where(bw.LETTER[buf], buf, 0x20).astype(np.uint8), off)
+            s, e, row = bw.spans(buf, off, bw.LETTER)
+            if not len(s):
+                continue
+            log, which = score_words(self.vocab, self.weight, buf, s - 1, e)
+            for i in range(m):
+                logs[x:y, i] = np.bincount(row, weights=log[which, i], minlength=y - x)
+        best = logs.argmax(1)
+        sure = 1.0 / np.exp(logs - logs.max(1, keepdims=True)).sum(1)
+        return [self.languages[i] if k else "und" for i, k in zip(best, letter)], np.where(letter, sure, 0.0)
+
+
+def _has_letter(text: Column) -> Column:
+    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+
+
 def predict(docs: DataFrame, model, languages: list[str]) -> DataFrame:
     """Per row: doc_id, held_out, lang_pred, score. model: a broadcast of probabilities (pieces, languages)."""
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import public_tokenizers
-
-        vocab = Vocabulary(public_tokenizers.path(VOCABULARY))
-        weight = model.value * (BYTE_FACTOR ** vocab.lengths)[:, None]
+        scorer = Scorer(model.value, languages)
         for b in batches:
-            low = pa.RecordBatch.from_arrays([pc.utf8_lower(b.column(1).cast(pa.large_string()))], names=["text"])
-            logs = np.zeros((b.num_rows, len(languages)))
-            for x, y, buf, off in bw.blocks(low, 0):
-                buf, off = marked(np.where(bw.LETTER[buf], buf, 0x20).astype(np.uint8), off)
-                s, e, row = bw.spans(buf, off, bw.LETTER)
-                if not len(s):
-                    continue
-                log, which = score_words(vocab, weight, buf, s - 1, e)
-                for i in range(len(languages)):
-                    logs[x:y, i] = np.bincount(row, weights=log[which, i], minlength=y - x)
-            best = logs.argmax(1) if len(languages) else np.zeros(b.num_rows, int)
-            odds = np.exp(logs - logs.max(1, keepdims=True)) if len(languages) else np.ones((b.num_rows, 1))
-            sure = 1.0 / odds.sum(1)
-            known = np.array(b.column(3).to_pylist(), bool) & bool(languages)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), pa.array([languages[i] if k else "und" for i, k in zip(best, known)], pa.string()), pa.array(np.where(known, sure, 0.0))],
-                names=["doc_id", "held_out", "lang_pred", "score"],
-            )
+            named, sure = scorer.best(b.column(1), np.array(b.column(3).to_pylist(), bool))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(named, pa.string()), pa.array(sure, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     held = F.coalesce(fold_of(F.col("doc_id").cast("long")) == 2, F.lit(False))
-    letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return docs.select(F.col("doc_id").cast("long"), F.col("text"), held.alias("held_out"), letter.alias("letter")).mapInArrow(scored, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text"), held.alias("held_out"), _has_letter(F.col("text")).alias("letter")).mapInArrow(scored, SCHEMA)
+
+
+def keep_identified(docs: DataFrame, least: float = 0.5, sample: int = SAMPLE_DOCS, most: int = SAMPLE_WORDS) -> DataFrame:
+    """The rows whose language is predicted with a posterior of at least ``least``, in the columns they came with; rows
+    without a letter go. Without labelled rows to learn from, rows with a letter stay."""
+    model, languages = train(docs, sample, most)
+    names = docs.columns
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model.value, languages)
+        for b in batches:
+            letter = np.array(b.column(len(names)).to_pylist(), bool)
+            _, sure = scorer.best(b.column(names.index("text")), letter)
+            stays = letter & (sure >= least) if languages else letter
+            yield b.select(range(len(names))).filter(pa.array(stays, pa.bool_()))
+
+    return docs.select(*[F.col(f"`{c}`") for c in names], _has_letter(F.col("text")).alias("__letter")).mapInArrow(kept, docs.schema)
 
 
 def train(docs: DataFrame, sample: int = SAMPLE_DOCS, most: int = SAMPLE_WORDS):
