@@ -1,0 +1,131 @@
+"""Answer spans: locating snippets, overlap of intervals, merging of annotators."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from lodegauge.functions.text import CURLY, PLAIN, SPACE, normalize_offsets, strip, text_slice
+
+
+def snippet_core(snippet: Column) -> Column:
+    """A snippet without the marks that generators add: plain quotes and dashes, no trailing dots, single spaces, no
+    commas, full stops, quotes or spaces at the ends."""
+    c = F.translate(strip(snippet), CURLY, PLAIN)
+    c = F.regexp_replace(c, rf"[{SPACE}]*(?:\.\.\.|…|\.\.)$", "")
+    c = F.trim(F.regexp_replace(c, f"[{SPACE}]+", " "))
+    return F.regexp_replace(c, """^[,."' ]+|[,."' ]+$""", "")
+
+
+def snippet_variants(core: Column) -> Column:
+    """The forms to look for, in order: as it is, with underscores as spaces, without them; then the same for the inside
+    of _x_ or *x*."""
+    inner = F.when(
+        (F.length(core) > 2)
+        & ((core.startswith("_") & core.endswith("_") & ~core.startswith("__")) | (core.startswith("*") & core.endswith("*") & ~core.startswith("**"))),
+        F.substring(core, 2, F.length(core) - 2),
+    )
+    forms = []
+    for c in (core, inner):
+        forms += [c, F.when(c.contains("_"), F.replace(c, F.lit("_"), F.lit(" "))), F.when(c.contains("_"), F.replace(c, F.lit("_"), F.lit("")))]
+    return F.filter(F.array(*forms), lambda v: v.isNotNull() & (v != ""))
+
+
+def locate_span(rows: DataFrame, document: str = "doc_text", snippet: str = "snippet", snap: bool = True) -> DataFrame:
+    """rows with start, end, span_text of the snippet in the normalized document: the first variant that occurs, at its
+    first occurrence, without regard to case, moved outwards to white space. Null where nothing is found."""
+    low = F.lower(F.col(document))
+    found = F.filter(
+        F.transform(snippet_variants(F.col("__core")), lambda v: F.struct(F.instr(low, F.lower(v)).alias("at"), F.length(v).alias("n"))),
+        lambda x: x["at"] > 0,
+    )
+    out = rows.withColumn("__core", snippet_core(F.col(snippet))).withColumn("__hit", F.get(found, 0))
+    start, end = F.col("__hit.at") - 1, F.col("__hit.at") - 1 + F.col("__hit.n")
+    if snap:
+        before = F.length(F.regexp_extract(F.substring(F.col(document), F.lit(1), start), f"[^{SPACE}]*$", 0))
+        after = F.length(F.regexp_extract(F.substring(F.col(document), end + 1, F.length(document)), f"^[^{SPACE}]*", 0))
+        start, end = start - before, end + after
+    out = out.withColumn("start", start.cast("long")).withColumn("end", end.cast("long"))
+    text = F.trim(text_slice(F.col(document), F.col("start"), F.col("end")))
+    return out.withColumn("span_text", F.when(text != "", text)).drop("__core", "__hit")
+
+
+def overlap(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
+    return F.greatest(F.least(e1, e2) - F.greatest(s1, s2), F.lit(0))
+
+
+def iou(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
+    """Overlap over hull; 0 without overlap."""
+    shared = overlap(s1, e1, s2, e2)
+    return F.when(shared > 0, shared / (F.greatest(e1, e2) - F.least(s1, s2))).otherwise(F.lit(0.0))
+
+
+def _fold(spans: DataFrame) -> DataFrame:
+    """Per (qid, docid): the merged spans and the conflicts, by one ordered fold. A group is one question's spans in one
+    document, so it is small; groups do not interact."""
+    kind = "struct<start:bigint,end:bigint,logic:string,grp:string,by:string>"
+    valid = spans.where("start < `end`")
+    item = F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("src_ord").alias("o"), F.col("logic"), F.coalesce("group", F.lit("g1")).alias("grp"), F.coalesce("sme_id", F.lit("")).alias("by"))
+    groups = valid.groupBy("qid", "docid").agg(F.array_sort(F.collect_list(item)).alias("s"))
+    plain = F.transform("s", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["logic"].alias("logic"), x["grp"].alias("grp"), x["by"].alias("by")))
+    pair = F.struct(F.lit(None).cast(kind).alias("a"), F.lit(None).cast(kind).alias("b"))
+    start = F.struct(F.slice("p", 1, 1).alias("spans"), F.slice(F.array(pair), 1, 0).alias("conflicts"))
+
+    def step(acc, x):
+        active = F.element_at(acc["spans"], -1)
+        shared = overlap(active["start"], active["end"], x["start"], x["end"])
+        close = (shared > 0) & (2 * shared >= F.greatest(active["end"], x["end"]) - F.least(active["start"], x["start"]))
+        same = active["logic"].eqNullSafe(x["logic"]) & (active["grp"] == x["grp"])
+        grown = F.struct(F.least(active["start"], x["start"]).alias("start"), F.greatest(active["end"], x["end"]).alias("end"), active["logic"].alias("logic"), active["grp"].alias("grp"), F.concat(active["by"], F.lit("+"), x["by"]).alias("by"))
+        before = F.slice(acc["spans"], 1, F.greatest(F.size(acc["spans"]) - 1, F.lit(0)))
+        return F.struct(
+            F.when(close & same, F.concat(before, F.array(grown))).otherwise(F.concat(acc["spans"], F.array(x))).alias("spans"),
+            F.when(close & ~same, F.concat(acc["conflicts"], F.array(F.struct(active.alias("a"), x.alias("b"))))).otherwise(acc["conflicts"]).alias("conflicts"),
+        )
+
+    return groups.withColumn("p", plain).select("qid", "docid", F.aggregate(F.slice("p", 2, F.greatest(F.size("p") - 1, F.lit(1))), start, step).alias("f"))
+
+
+def merge_spans(spans: DataFrame, docs: DataFrame) -> DataFrame:
+    """Merge annotators' spans: qid, docid, start, end, text, logic, group, sme_id, contributors.
+
+    spans: qid, docid, start, end, text, logic, group, sme_id, src_ord (place in the union of annotators, which makes
+    the order total). Neighbours in order of (start, end, src_ord) merge when their overlap is at least half their hull
+    and logic and group agree; the comparison is with the grown span. Texts are cut anew from the normalized document;
+    empty ones go. Spans of documents that are missing or empty pass through unchanged, with their sme_id.
+    """
+    texts = docs.select(F.col("docid").cast("string").alias("docid"), normalize_offsets(F.col("text")).alias("doc_text")).where("doc_text <> ''")
+    merged = _fold(spans).select("qid", "docid", F.explode("f.spans").alias("x")).join(texts, "docid").select(
+        "qid", "docid", "x.start", "x.end", F.trim(text_slice(F.col("doc_text"), F.col("x.start"), F.col("x.end"))).alias("text"),
+        "x.logic", F.col("x.grp").alias("group"), F.lit(None).cast("string").alias("sme_id"), F.col("x.by").alias("contributors"),
+    ).where("text <> ''")
+    lost = spans.join(texts.select("docid"), "docid", "left_anti").select(
+        "qid", "docid", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "text", "logic", "group", "sme_id", F.col("sme_id").alias("contributors")
+    )
+    return merged.unionByName(lost)
+
+
+def merge_conflicts(spans: DataFrame) -> DataFrame:
+    """Neighbours that overlap enough to merge but differ in logic or group: both spans and their overlap ratio."""
+    rows = _fold(spans).select("qid", "docid", F.explode("f.conflicts").alias("c"))
+    ratio = iou(F.col("c.a.start"), F.col("c.a.end"), F.col("c.b.start"), F.col("c.b.end"))
+    return rows.select(
+        "qid", "docid", F.col("c.a.start").alias("start_1"), F.col("c.a.end").alias("end_1"), F.col("c.a.logic").alias("logic_1"), F.col("c.a.grp").alias("group_1"),
+        F.col("c.b.start").alias("start_2"), F.col("c.b.end").alias("end_2"), F.col("c.b.logic").alias("logic_2"), F.col("c.b.grp").alias("group_2"), F.round(ratio, 4).alias("iou"),
+    )
+
+
+def with_order(annotations: list[DataFrame], default_ids: list[str]) -> DataFrame:
+    """The union of annotators' files with sme_id filled in and src_ord: annotator, then place in its file."""
+    out = None
+    for k, (a, name) in enumerate(zip(annotations, default_ids)):
+        one = a.withColumn("sme_id", F.coalesce("sme_id", F.lit(name))).withColumn("src_ord", F.struct(F.lit(k).alias("k"), F.monotonically_increasing_id().alias("i")))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def iou_pairs(spans: DataFrame) -> DataFrame:
+    """IoU of each span with the next one of its (qid, docid)."""
+    w = Window.partitionBy("qid", "docid").orderBy("start", "end", "src_ord")
+    nxt = spans.select("qid", "docid", "start", "end", "src_ord", F.lead("start").over(w).alias("start_2"), F.lead("end").over(w).alias("end_2")).where("start_2 is not null")
+    return nxt.select("qid", "docid", "start", "end", "start_2", "end_2", F.round(iou(F.col("start"), F.col("end"), F.col("start_2"), F.col("end_2")), 6).alias("iou"))
