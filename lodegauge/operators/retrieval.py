@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 #: Rows of a block on either side.
 BLOCK = 4096
@@ -39,7 +40,7 @@ def embed(rows: DataFrame, make_encoder: Callable[[], Callable[[list[str]], np.n
             got = [v for i in range(0, len(texts), batch) for v in encode(texts[i : i + batch])]
             yield b.append_column("embedding", pa.array(got, pa.list_(pa.float32())))
 
-    return rows.mapInArrow(run, rows.schema.add("embedding", "array<float>"))
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("embedding", ArrayType(FloatType()))]))
 
 
 def mean_pool(rows: DataFrame, tokens: str = "token_vectors", mask: str = "mask") -> DataFrame:

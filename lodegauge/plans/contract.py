@@ -6,6 +6,8 @@ annotators by parity; queries, chunks and relevance from the embeddings and thei
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -151,7 +153,7 @@ def _located(spark: SparkSession, sf: str, snap: bool) -> DataFrame:
     """A snippet cut from each document, dressed up, and found again."""
     d = normal(spark, sf).where("n >= 80")
     cut = F.substring("text", (F.col("doc_id") * 13 % (F.col("n") - 60)).cast("int") + 1, F.lit(40))
-    dressed = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit('"'), cut, F.lit('"...'))).when(F.col("doc_id") % 4 == 1, F.concat(F.lit("  "), F.upper(cut))).when(F.col("doc_id") % 4 == 2, F.concat(F.lit("_"), F.trim(cut), F.lit("_"))).otherwise(cut)
+    dressed = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit('"'), cut, F.lit('"...'))).when(F.col("doc_id") % 4 == 1, F.concat(F.lit("  "), F.translate(cut, ascii_lowercase, ascii_uppercase))).when(F.col("doc_id") % 4 == 2, F.concat(F.lit("_"), F.trim(cut), F.lit("_"))).otherwise(cut)
     rows = d.select("docid", F.col("text").alias("doc_text"), dressed.alias("snippet"))
     return spans.locate_span(rows, snap=snap).select("docid", "start", "end", "span_text")
 
@@ -162,7 +164,7 @@ def _located_sql(snap: bool) -> str:
     return f"""WITH {NORMAL_SQL}, cut AS (
   SELECT *, substring(text, (doc_id * 13 % (n - 60)) + 1, 40) AS c FROM normal WHERE n >= 80
 ), dressed AS (
-  SELECT *, CASE doc_id % 4 WHEN 0 THEN '"' || c || '"...' WHEN 1 THEN '  ' || upper(c) WHEN 2 THEN '_' || trim(c, ' ') || '_' ELSE c END AS snippet FROM cut
+  SELECT *, CASE doc_id % 4 WHEN 0 THEN '"' || c || '"...' WHEN 1 THEN '  ' || translate(c, '{ascii_lowercase}', '{ascii_uppercase}') WHEN 2 THEN '_' || trim(c, ' ') || '_' ELSE c END AS snippet FROM cut
 ), core0 AS (
   SELECT *, trim(regexp_replace(regexp_replace(trim(snippet, ' '), '[{S}]*(?:\\.\\.\\.|…|\\.\\.)$', ''), '[{S}]+', ' ', 'g'), ' ') AS k FROM dressed
 ), core AS (
