@@ -39,7 +39,7 @@ def char_windows(docs: DataFrame, size: int = 500, overlap: int = 50) -> DataFra
     if step <= 0:
         return _named(_normal(docs).where("false").select("docid", "text", F.lit(0).alias("i"), F.lit(0).alias("start"), F.lit(0).alias("end")), "CHARWIN")
     n = F.length("text")
-    last = F.ceil(F.greatest(n - size, F.lit(0)) / step).cast("int") * step
+    last = F.least(F.ceil(F.greatest(n - size, F.lit(0)) / step), F.floor((n - 1) / step)).cast("int") * step
     starts = F.filter(F.sequence(F.lit(0), last, F.lit(step)), lambda s: F.trim(F.substring("text", s + 1, F.lit(size))) != "")
     rows = _normal(docs).where("text <> ''").select("docid", "text", F.posexplode(starts).alias("i", "start"))
     return _named(rows.withColumn("end", F.least(F.col("start") + size, F.length("text"))), f"CHARWIN{size}OV{overlap}")
@@ -76,7 +76,7 @@ def token_windows(docs: DataFrame, size: int = 512, stride: int = 128) -> DataFr
     def spans(t: Column) -> Column:
         n = F.size(t)
         blocks = F.transform(F.sequence(F.lit(0), F.ceil(n / block).cast("int") - 1), lambda b: F.length(F.array_join(F.slice(t, b * block + 1, F.lit(block)), "")))
-        last = F.ceil(F.greatest(n - size, F.lit(0)) / stride).cast("int") * stride
+        last = F.least(F.ceil(F.greatest(n - size, F.lit(0)) / stride), F.floor((n - 1) / stride)).cast("int") * stride
         begin = lambda at, i: F.get(at, (i / block).cast("int"))
         end = lambda at, i: F.get(at, F.least(F.ceil((i + size) / block).cast("int"), F.size(at) - 1))
         lead = lambda i: F.when(F.startswith(F.get(t, i), F.lit(" ")), 1).otherwise(0)

@@ -15,7 +15,7 @@ from lodegauge.sources import schemas
 
 def whole_text(spark: SparkSession, path: str) -> DataFrame:
     """One row a file (text), line ends as \\n."""
-    return spark.read.option("wholetext", True).text(path).select(F.regexp_replace("value", r"\r\n?", "\n").alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.regexp_replace("value", r"\r\n?", "\n").alias("text"))
 
 
 def parquet_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -33,7 +33,7 @@ def json_lines(spark: SparkSession, path: str, schema: str = schemas.CHUNK) -> D
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line_no, value) of text files; line numbers grow within a file, as each file is read as a whole."""
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file"), F.split("value", r"\r?\n", -1).alias("lines"))
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.split("value", r"\r?\n", -1).alias("lines"))
     return files.select("file", F.posexplode("lines").alias("i", "value")).where("value <> ''").select("file", (F.col("i") + 1).cast("long").alias("line_no"), "value")
 
 
