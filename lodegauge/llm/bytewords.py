@@ -58,7 +58,7 @@ class Hashes:
         return mix(raw + (end - start).astype(U) * U(0xD6E8FEB86659FD93))
 
 
-def blocks(batch: pa.RecordBatch, column: int, limit: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def blocks(batch: pa.RecordBatch, column: int, limit: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets) of runs of rows with up to ``limit`` bytes of text, or one row.
     Null texts are empty."""
     col = batch.column(column)

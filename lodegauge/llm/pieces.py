@@ -14,6 +14,7 @@ from lodegauge.llm import bytewords as bw
 U = np.uint64
 MARK = "▁"
 _SLOTS = 1 << 20
+NOTHING, BEGINNING = -1, -2
 
 
 class Vocabulary:
@@ -43,13 +44,15 @@ class Vocabulary:
         self.lengths = np.array([len(b) for b in self.bytes])
         self.longest = int(self.lengths.max())
         pieces = [self.bytes[i] for i in plain]
-        buf = np.frombuffer(b"".join(pieces), np.uint8)
-        ends = np.cumsum([len(p) for p in pieces])
-        hashes = bw.Hashes(buf).of(ends - self.lengths[plain], ends)
-        self._keys, self._ids = np.zeros(_SLOTS, U), np.full(_SLOTS, -1, np.int64)
-        for h, i in zip(hashes.tolist(), plain):
+        # every beginning of a piece, with the piece that it is itself, or BEGINNING
+        known = {p[:n]: BEGINNING for p in pieces for n in range(1, len(p))} | dict(zip(pieces, plain))
+        buf = np.frombuffer(b"".join(known), np.uint8)
+        sizes = np.array([len(p) for p in known])
+        hashes = bw.Hashes(buf).of(np.cumsum(sizes) - sizes, np.cumsum(sizes))
+        self._keys, self._ids = np.zeros(_SLOTS, U), np.full(_SLOTS, NOTHING, np.int64)
+        for h, i in zip(hashes.tolist(), known.values()):
             at = h >> 44
-            while self._ids[at] >= 0:
+            while self._ids[at] != NOTHING:
                 at = (at + 1) % _SLOTS
             self._keys[at], self._ids[at] = h, i
         #: cut[a, b]: no piece has byte b right after byte a
@@ -59,16 +62,14 @@ class Vocabulary:
             self.cut[x[:-1], x[1:]] = False
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
-        """The piece of each hash, or -1."""
+        """The piece of each hash, BEGINNING, or NOTHING."""
         at = (hashes >> U(44)).astype(np.int64)
-        out = np.full(len(hashes), -1, np.int64)
-        todo = np.flatnonzero(self._ids[at] >= 0)
+        out = self._ids[at]
+        todo = np.flatnonzero((self._keys[at] != hashes) & (out != NOTHING))
         while len(todo):
-            hit = self._keys[at[todo]] == hashes[todo]
-            out[todo[hit]] = self._ids[at[todo[hit]]]
-            todo = todo[~hit]
             at[todo] = (at[todo] + 1) % _SLOTS
-            todo = todo[self._ids[at[todo]] >= 0]
+            out[todo] = self._ids[at[todo]]
+            todo = todo[(self._keys[at[todo]] != hashes[todo]) & (out[todo] != NOTHING)]
         return out
 
 
@@ -92,19 +93,21 @@ class Lattice:
         closes = np.ones(len(unit) + 1, bool)
         closes[:-1] = begins
         at = np.flatnonzero(begins)
-        src, dst, piece = [], [], []
+        src, dst, piece, level = [], [], [], []
         whole = np.zeros(len(unit), bool)  # characters that are pieces
         for n in range(1, vocab.longest + 1):
             at = at[left[at] >= n]
+            found = vocab.find(hashes.of(place[at], place[at] + n))
+            alive = found != NOTHING
+            at, found = at[alive], found[alive]
             if not len(at):
                 break
-            ok = at[(left[at] == n) | closes[at + n]]
-            found = vocab.find(hashes.of(place[ok], place[ok] + n))
-            hit = found >= 0
-            ok, found = ok[hit], found[hit]
+            hit = (found >= 0) & ((left[at] == n) | closes[at + n])
+            ok = at[hit]
             src.append(node[ok])
             dst.append(node[ok] + n)
-            piece.append(found)
+            piece.append(found[hit])
+            level.append(offset[ok] + n)
             if n <= 4:
                 inner = np.ones(len(ok), bool)
                 for j in range(1, n):
@@ -116,10 +119,9 @@ class Lattice:
         src.append(node[spelt])
         dst.append(node[spelt] + 1)
         piece.append(vocab.byte_ids[buf[place[spelt]]])
-        src, dst, piece = map(np.concatenate, (src, dst, piece))
-        owner = np.searchsorted(self.first, src, side="right") - 1
-        level = dst - self.first[owner]
-        order = np.lexsort((dst, level))
+        level.append(offset[spelt] + 1)
+        src, dst, piece, level = map(np.concatenate, (src, dst, piece, level))
+        order = np.argsort(level * (self.nodes + 1) + dst, kind="stable")
         self.src, self.dst, self.piece, level = src[order], dst[order], piece[order], level[order]
         self.levels = np.concatenate([np.flatnonzero(np.concatenate([[True], level[1:] != level[:-1]])), [len(level)]]) if len(level) else np.zeros(1, np.int64)
 
