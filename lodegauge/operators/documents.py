@@ -61,3 +61,12 @@ def unicode_scan(docs: DataFrame, examples: int = 3, names: bool = True, normali
         return chars.map(lambda c: unicodedata.name(c, "UNKNOWN"))
 
     return out.withColumn("name", name("ch")).orderBy("codepoint")
+
+
+def unicode_report(rows: DataFrame) -> str:
+    """The inventory as text: a line a character, its first contexts, and how many more there are."""
+    out = []
+    for r in rows.orderBy("codepoint").collect():  # one row a distinct character
+        out.append(f"U+{r['codepoint']:04X} {r['ch']!r} {r['name']} ({r['n']})")
+        out += [f"    ...{c}..." for c in r["examples"]] + ([f"    +{r['more']} more"] if r["more"] else [])
+    return "\n".join(out)

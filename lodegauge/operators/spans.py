@@ -105,14 +105,20 @@ def merge_spans(spans: DataFrame, docs: DataFrame) -> DataFrame:
     return merged.unionByName(lost)
 
 
-def merge_conflicts(spans: DataFrame) -> DataFrame:
-    """Neighbours that overlap enough to merge but differ in logic or group: both spans and their overlap ratio."""
+def merge_conflicts(spans: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+    """Neighbours that overlap enough to merge but differ in logic or group: both spans and their overlap ratio, and
+    with docs the first 50 characters of each."""
     rows = _fold(spans).select("qid", "docid", F.explode("f.conflicts").alias("c"))
     ratio = iou(F.col("c.a.start"), F.col("c.a.end"), F.col("c.b.start"), F.col("c.b.end"))
-    return rows.select(
+    out = rows.select(
         "qid", "docid", F.col("c.a.start").alias("start_1"), F.col("c.a.end").alias("end_1"), F.col("c.a.logic").alias("logic_1"), F.col("c.a.grp").alias("group_1"),
         F.col("c.b.start").alias("start_2"), F.col("c.b.end").alias("end_2"), F.col("c.b.logic").alias("logic_2"), F.col("c.b.grp").alias("group_2"), F.round(ratio, 4).alias("iou"),
     )
+    if docs is None:
+        return out
+    texts = docs.select(F.col("docid").cast("string").alias("docid"), normalize_offsets(F.col("text")).alias("doc_text"))
+    part = lambda k: F.substring(F.trim(text_slice(F.col("doc_text"), F.col(f"start_{k}"), F.col(f"end_{k}"))), 1, 50).alias(f"text_{k}")
+    return out.join(texts, "docid", "left").select(*out.columns, part(1), part(2))
 
 
 def with_order(annotations: list[DataFrame], default_ids: list[str]) -> DataFrame:

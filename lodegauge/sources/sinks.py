@@ -75,7 +75,7 @@ def export_strategy_files(rows: DataFrame, folder: str, prefix: str) -> list[str
 
 def conflicts(rows: DataFrame, path: str) -> None:
     """A line a conflict."""
-    span = lambda k: F.concat(F.lit("["), F.col(f"start_{k}").cast("string"), F.lit("-"), F.col(f"end_{k}").cast("string"), F.lit("] "), f"logic_{k}", F.lit("/"), f"group_{k}")
+    span = lambda k: F.concat(F.lit("["), F.col(f"start_{k}").cast("string"), F.lit("-"), F.col(f"end_{k}").cast("string"), F.lit("] "), f"logic_{k}", F.lit("/"), f"group_{k}", *([F.lit(" '"), F.coalesce(f"text_{k}", F.lit("")), F.lit("'")] if f"text_{k}" in rows.columns else []))
     line = F.concat(F.lit("qid="), "qid", F.lit(" docid="), "docid", F.lit(" iou="), F.format_string("%.4f", "iou"), F.lit(" "), span(1), F.lit(" | "), span(2))
     rows.select(line.alias("value")).write.mode("overwrite").text(path)
 
