@@ -6,12 +6,17 @@ planner: a small one is broadcast because its size is known, a large one never i
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: Rows of a few numbers each that may be broadcast: some 30 MB.
+LOOKUP_ROWS = 1_000_000
 _own: dict[str, str] = {}
+_scopes: list[list[DataFrame]] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -40,4 +45,38 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    for held in _scopes:
+        held.append(out)
+    return out
+
+
+def lookup(df: DataFrame) -> DataFrame:
+    """A narrow written table to be joined to wide rows: marked for broadcast if it is counted to have at most
+    LOOKUP_ROWS rows, and left to the planner (an exchange of both sides) beyond that."""
+    return F.broadcast(df) if df.count() <= LOOKUP_ROWS else df
+
+
+@contextlib.contextmanager
+def scope():
+    """Delete the tables written inside, at the end, but for those passed to what this yields: keep(*frames)."""
+    held: list[DataFrame] = []
+    kept: list[DataFrame] = []
+    _scopes.append(held)
+    try:
+        yield lambda *frames: kept.extend(frames)
+    finally:
+        _scopes.pop()
+        paths = {df.__dict__.get("_scratch_path") for df in kept}
+        drop(*(df for df in held if df.__dict__.get("_scratch_path") not in paths))
+
+
+def drop(*frames: DataFrame) -> None:
+    """Delete written tables that nothing reads any more. Frames that written() did not return are left alone."""
+    for df in frames:
+        path = df.__dict__.pop("_scratch_path", None)
+        if path:
+            context = df.sparkSession.sparkContext
+            hadoop = context._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(context._jsc.hadoopConfiguration()).delete(hadoop, True)
