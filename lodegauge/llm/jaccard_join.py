@@ -7,16 +7,22 @@ whose bound cannot reach the threshold. What survives is verified on the exact s
 
 One tree over a whole corpus would visit nearly all leaves, so points are first dealt to many small trees without losing
 a pair. Two sets of at most S tokens with Jaccard p/100 differ in at most T = 2 S (100 - p) / (100 + p) tokens. With
-T + 1 groups, at least one group has no difference; the two documents hold the same tokens there, and meet in the tree
-of that group and content. S is bounded per size class; a document enters every class in which a partner of its could
-be the larger one. A few spare groups let empty groups go unmentioned: a document names its empty groups only if it has
-more of them than there are spares.
-
-Trees of many near copies would hold many pairs, so work goes in two steps. First every member of a tree is tried
-against the tree's least member only, and components of the links are found; most trees then lie inside one component
-and are finished, as further links would change nothing. Of the rest, trees with two or more components are joined by
-R-tree, cut into cells of bounded size, and only pairs across components are bounded and verified. Exact copies are
-one document throughout. Every link between different components is found; nothing is capped.
+T + 1 + s groups, at least s + 1 groups have no difference; the two documents hold the same tokens there, and could meet
+in the tree of any such group and content. S is bounded per size class; a document enters every class in which a partner
+of its could be the larger one. A document leaves out its s least telling groups, in an order that depends on a group's
+content alone: by tokens that are not common, then by tokens. Of the s + 1 groups that agree the last in that order is
+left out by neither document, since it would have to be among s groups with s others of the s + 1 before it. So no pair
+is lost, and passages that many documents share seldom bring strangers together. Which tokens are common is estimated on
+a bounded sample; a poor estimate costs time and changes no result.
+
+Documents that meet in a tree, directly or by way of others, form a cluster, found as connected components of (member,
+least member of the tree). A cluster of up to CELL documents and CELL_TOKENS tokens is joined as one R-tree in one task,
+which verifies pairs of parts that are not yet connected and emits a link for each that connects two. Larger clusters
+are worked off in two steps. First every member of a tree is tried against the tree's least member only, and components
+of the links are found; most trees then lie inside one component and are finished, as further links would change
+nothing. The rest are joined tree by tree, cut into cells of bounded size, and only pairs across components are bounded
+and verified. Exact copies are one document throughout. Every link between different components is found; nothing is
+capped.
 
 Nulls: a null or wordless text has an empty set and is linked with nothing. A row with a null doc_id can't name a
 component and takes the one of its set. Rows that share a doc_id count as one document. Extra columns are ignored.
@@ -40,9 +46,15 @@ U = np.uint64
 #: Groups of the points in the trees.
 GROUPS = 64
 #: Ratio of neighbouring size classes.
-RATIO = 1.25
-#: Members of a tree that one task joins with as many others.
-CELL = 1024
+RATIO = 1.4
+#: Share of spare groups.
+SPARE = 0.3
+#: Members of a tree, or of a cluster, that one task joins; tokens of such a cluster.
+CELL, CELL_TOKENS = 1024, 1 << 21
+#: Groups of the points of a cluster that is joined in memory.
+FINE_GROUPS = 256
+#: Documents of the sample for common tokens, the documents of it that make a token common, and how many are kept.
+SAMPLE_DOCS, COMMON_DOCS, COMMON_MOST = 6000, 6, 200_000
 LEAF = 16
 #: Sets that a task remembers having named; beyond it some are named again, which costs rows and changes nothing.
 SEEN = 200_000
@@ -53,14 +65,30 @@ def size_classes(pct: int, largest: int = 1 << 40) -> list[tuple[int, int, int,
     out, low = [], 1
     while low <= largest:
         high = max(low, math.floor(low * RATIO) - 1)
-        groups = 2 * high * (100 - pct) // (100 + pct) + 1
-        empty = groups * math.exp(-max(1, pct * low / 100) / groups) if groups > 1 else 0
-        spares = math.ceil(empty + 3 * math.sqrt(empty)) if groups > 1 else 0
-        out.append((low, high, groups + spares, spares))
+        needed = 2 * high * (100 - pct) // (100 + pct) + 1
+        spares = math.ceil(SPARE * needed) if needed > 1 else 0
+        out.append((low, high, needed + spares, spares))
         low = high + 1
     return out
 
 
+class Common:
+    """Whether tokens are among the common ones."""
+
+    def __init__(self, tokens: np.ndarray):
+        self.tokens = np.sort(tokens)
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[(self.tokens >> U(44)).astype(np.int64)] = True
+
+    def rare(self, s: np.ndarray) -> np.ndarray:
+        out = np.ones(len(s), np.int64)
+        at = np.flatnonzero(self.maybe[(s >> U(44)).astype(np.int64)])
+        if len(at):
+            place = np.minimum(np.searchsorted(self.tokens, s[at]), len(self.tokens) - 1)
+            out[at[self.tokens[place] == s[at]]] = 0
+        return out
+
+
 def shingle_hashes(buf: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the k-word shingles of every row, and where each row's begin. Shorter rows have one, of all words."""
     low = bw.LOWER[buf]
@@ -95,10 +123,11 @@ def row_sets(batch: pa.RecordBatch, column: int, k: int) -> Iterator[np.ndarray]
             yield np.unique(h[at[i] : at[i + 1]])
 
 
-def signatures(s: np.ndarray, pct: int, classes: list[tuple[int, int, int, int]]) -> np.ndarray:
+def signatures(s: np.ndarray, pct: int, classes: list[tuple[int, int, int, int]], common: Common) -> np.ndarray:
     """One number for each class and group that the set enters: equal for sets that agree in the group."""
     n, out = len(s), []
     spread = bw.mix(s * U(0x9E6C63D0876A9A35) + U(1))
+    telling = common.rare(s) * (1 << 24) + 1
     c = next(i for i, x in enumerate(classes) if x[1] >= n)
     while 100 * n >= pct * classes[c][0]:
         _, _, groups, spares = classes[c]
@@ -106,11 +135,11 @@ def signatures(s: np.ndarray, pct: int, classes: list[tuple[int, int, int, int]]
         order = np.argsort(g, kind="stable")
         sorted_g = g[order]
         at = np.flatnonzero(np.concatenate([[True], sorted_g[1:] != sorted_g[:-1]]))
-        named, content = sorted_g[at], np.add.reduceat(spread[order], at)
-        if groups - len(named) > spares:
-            empty = np.setdiff1d(np.arange(groups), named)
-            named, content = np.concatenate([named, empty]), np.concatenate([content, np.zeros(len(empty), U)])
-        out.append(bw.mix(content + bw.mix(named.astype(U) * U(1 << 20) + U(c + 1))))
+        content, weight = np.zeros(groups, U), np.zeros(groups, np.int64)
+        content[sorted_g[at]] = np.add.reduceat(spread[order], at)
+        weight[sorted_g[at]] = np.add.reduceat(telling[order], at)
+        kept = np.argsort(weight, kind="stable")[spares:]
+        out.append(bw.mix(content[kept] + bw.mix(kept.astype(U) * U(1 << 20) + U(c + 1))))
         c += 1
     return np.concatenate(out).view(np.int64)
 
@@ -179,40 +208,72 @@ def _summaries(k: int) -> Callable:
     return f
 
 
-def _signed(k: int, pct: int) -> Callable:
+def _tokens(k: int) -> Callable:
+    def f(batches):
+        for b in batches:
+            sets = list(row_sets(b, 0, k))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64) if sets else [], pa.int64())], names=["token"])
+
+    return f
+
+
+def common_tokens(texts: DataFrame, k: int) -> np.ndarray:
+    """The commonest tokens of a sample of documents drawn by a hash of the key; COMMON_MOST at most."""
+    share = SAMPLE_DOCS / max(1, texts.count())
+    u = F.shiftrightunsigned(F.xxhash64(F.lit("shingles"), "doc_id"), 11).cast("double") / float(1 << 53)
+    counted = texts.where(u < share).select("text").mapInArrow(_tokens(k), "token long").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON_DOCS)
+    return np.array([r["token"] for r in counted.orderBy(F.desc("n"), "token").limit(COMMON_MOST).collect()], np.int64).view(U)
+
+
+def _signed(k: int, pct: int, common) -> Callable:
     """(sig, rep) of every set. A task names a set once, by the first row that has it, as far as its memory goes."""
 
     def f(batches):
-        classes, seen = size_classes(pct), set()
+        classes, seen, known = size_classes(pct), set(), Common(common.value)
+        def rows(out, ids):
+            rep = np.repeat(np.array(ids, np.int64), [len(x) for x in out])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(rep)], names=["sig", "rep"])
+
         for b in batches:
-            out, ids = [], []
+            out, ids, n = [], [], 0
             for doc, s in zip(b.column(0).to_pylist(), row_sets(b, 1, k)):
                 if not len(s) or (one := _sums(s)) in seen:
                     continue
                 if len(seen) >= SEEN:
                     seen.clear()
                 seen.add(one)
-                out.append(signatures(s, pct, classes))
+                out.append(signatures(s, pct, classes, known))
                 ids.append(doc)
+                n += len(out[-1])
+                if n > 1 << 18:
+                    yield rows(out, ids)
+                    out, ids, n = [], [], 0
             if out:
-                rep = np.repeat(np.array(ids, np.int64), [len(x) for x in out])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(rep)], names=["sig", "rep"])
+                yield rows(out, ids)
 
     return f
 
 
 def _points(k: int) -> Callable:
     def f(batches):
+        def rows(b, done, n, vec, sets):
+            own = b.slice(done, len(n))
+            return pa.RecordBatch.from_arrays(
+                [own.column(0), own.column(2), own.column(3), pa.array(n, pa.int64()), pa.array(vec, pa.binary()), pa.array(sets, pa.binary())],
+                names=["node", "cluster", "small", "n", "vec", "tokens"],
+            )
+
         for b in batches:
-            n, vec, sets = [], [], []
+            n, vec, sets, done = [], [], [], 0
             for s in row_sets(b, 1, k):
                 n.append(len(s))
                 vec.append(np.bincount((bw.mix(s) % U(GROUPS)).astype(np.int64), minlength=GROUPS).astype(np.int32).tobytes())
                 sets.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(vec, pa.binary()), pa.array(sets, pa.binary())],
-                names=["node", "n", "vec", "tokens"],
-            )
+                if len(n) == 1024:
+                    yield rows(b, done, n, vec, sets)
+                    n, vec, sets, done = [], [], [], done + 1024
+            if n:
+                yield rows(b, done, n, vec, sets)
 
     return f
 
@@ -260,6 +321,52 @@ def _verified(pairs: DataFrame, points: DataFrame, pct: int) -> DataFrame:
     return full.mapInArrow(_exact(pct), "u long, v long")
 
 
+def cluster_links(nodes: np.ndarray, sets: list[np.ndarray], pct: int) -> list[tuple[int, int]]:
+    """Links that connect what is connected among a cluster's documents."""
+    n = np.array([len(s) for s in sets])
+    vec = np.stack([np.bincount((bw.mix(s) % U(FINE_GROUPS)).astype(np.int64), minlength=FINE_GROUPS) for s in sets]).astype(np.int32)
+    every = np.arange(len(sets))
+    a, b = tree_pairs(n, vec, pct, every, every)
+    up, out = list(range(len(sets))), []
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for x, y in zip(a.tolist(), b.tolist()):
+        if x < y and (p := root(x)) != (q := root(y)):
+            s, t = sets[x], sets[y]
+            at = np.minimum(np.searchsorted(t, s), len(t) - 1)
+            if may_link(int((t[at] == s).sum()), len(s) + len(t), pct):
+                up[max(p, q)] = min(p, q)
+                out.append((int(nodes[x]), int(nodes[y])))
+    return out
+
+
+def _clusters(pct: int) -> Callable:
+    """Links of clusters whose rows (cluster, node, tokens) come together."""
+
+    def f(batches):
+        cluster, nodes, sets = None, [], []
+
+        def out():
+            got = cluster_links(np.array(nodes), sets, pct) if len(nodes) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], pa.int64()) for i in (0, 1)], names=["u", "v"])
+
+        for b in batches:
+            for c, node, tokens in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                if c != cluster:
+                    yield out()
+                    cluster, nodes, sets = c, [], []
+                nodes.append(node)
+                sets.append(np.frombuffer(tokens.as_py(), U))
+        yield out()
+
+    return f
+
+
 def _cells(pct: int) -> Callable:
     """Join the trees' cells, which come sorted: rows (sig, i, j, side, node, comp, n, vec). Cell (i, j) holds chunk i
     and, when j differs, chunk j. Emits pairs (x, y) across components."""
@@ -322,8 +429,19 @@ def jaccard_components(docs: DataFrame, k: int = 5, pct: int = 80) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = scratch.written(texts.mapInArrow(_summaries(k), "doc_id long, n long, s1 long, s2 long"), "sets")
     reps = scratch.written(sets.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "reps")
+    with scratch.scope() as keep:
+        keep(found := components(_links(texts, sets, reps, k, pct)))
+    named = reps.join(found, F.col("rep") == F.col("node"), "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("its"))
+    return sets.join(named, ["s1", "s2", "n"], "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("its", "doc_id").alias("component_id")
+    )
+
+
+def _links(texts: DataFrame, sets: DataFrame, reps: DataFrame, k: int, pct: int) -> DataFrame:
+    """Links (u, v) that connect what is connected."""
     copies = scratch.written(sets.join(reps.where("copies > 1"), ["s1", "s2", "n"]).where("doc_id <> rep").select("doc_id", "rep").distinct(), "copies")
-    signed = texts.where("doc_id is not null").mapInArrow(_signed(k, pct), "sig long, rep long")
+    common = texts.sparkSession.sparkContext.broadcast(common_tokens(texts, k))
+    signed = texts.where("doc_id is not null").mapInArrow(_signed(k, pct, common), "sig long, rep long")
     met = signed.select("sig", "rep", F.min("rep").over(_by_tree()).alias("least")).where("rep > least")
     # only now, on the few rows that met another, copies give way to the one document that stands for them
     stands = lambda c: copies.select(F.col("doc_id").alias(c), F.col("rep").alias(f"{c}_stands"))
@@ -332,15 +450,29 @@ def jaccard_components(docs: DataFrame, k: int = 5, pct: int = 80) -> DataFrame:
         met.select("sig", F.coalesce("rep_stands", "rep").alias("rep"), F.coalesce("least_stands", "least").alias("least")).where("rep <> least").distinct(), "edges"
     )
     pairs = scratch.written(edges.select(F.greatest("rep", "least").alias("x"), F.least("rep", "least").alias("y")).distinct(), "pairs")
-    nodes = scratch.written(pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")).distinct(), "nodes")
-    points = scratch.written(texts.join(nodes, "doc_id", "left_semi").mapInArrow(_points(k), "node long, n long, vec binary, tokens binary"), "points")
-    links = scratch.written(_verified(pairs, points, pct), "links")
-    more = _verified(scratch.written(_hard_pairs(edges, links, points, pct), "hard"), points, pct)
-    found = components(links.union(more))
-    named = reps.join(found, F.col("rep") == F.col("node"), "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("its"))
-    return sets.join(named, ["s1", "s2", "n"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("its", "doc_id").alias("component_id")
-    )
+    members = _members(pairs, reps)
+    points = texts.join(scratch.lookup(members), "doc_id").select("doc_id", "text", "cluster", "small")
+    points = scratch.written(points.mapInArrow(_points(k), "node long, cluster long, small boolean, n long, vec binary, tokens binary"), "points")
+    near = points.where("small").select("cluster", "node", "tokens").repartition("cluster").sortWithinPartitions("cluster")
+    links = scratch.written(near.mapInArrow(_clusters(pct), "u long, v long"), "links")
+    large = members.where("not small").select("doc_id")
+    if large.limit(1).count():
+        far = scratch.written(_verified(pairs.join(large, F.col("x") == F.col("doc_id"), "left_semi"), points, pct), "links")
+        open_edges = edges.join(large, F.col("rep") == F.col("doc_id"), "left_semi")
+        more = _verified(scratch.written(_hard_pairs(open_edges, far, points, pct), "hard"), points, pct)
+        links = links.union(far).union(more)
+    return links
+
+
+def _members(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """doc_id, cluster and whether it is small, for every document that met another."""
+    coarse = scratch.written(components(pairs.select(F.col("x").alias("u"), F.col("y").alias("v"))), "coarse")
+    nodes = pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")).distinct()
+    tokens = reps.groupBy(F.col("rep").alias("doc_id")).agg(F.sum("n").alias("n"))
+    named = nodes.join(coarse, F.col("doc_id") == F.col("node"), "left").join(tokens, "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("cluster"), "n")
+    named = scratch.written(named, "clusters")
+    sizes = named.groupBy("cluster").agg(((F.count("*") <= CELL) & (F.sum("n") <= CELL_TOKENS)).alias("small"))
+    return scratch.written(named.join(sizes, "cluster").select("doc_id", "cluster", "small"), "members")
 
 
 def _by_tree():
@@ -355,4 +487,4 @@ def one_of_each(docs: DataFrame, k: int = 5, pct: int = 80) -> DataFrame:
     doc_id stay. Of rows that share a doc_id all stay."""
     found = jaccard_components(docs, k, pct).where("doc_id <> component_id").select(F.col("doc_id").alias("__dropped")).distinct()
     dropped = scratch.written(found, "dropped")
-    return docs.join(dropped, F.col("doc_id").cast("long") == F.col("__dropped"), "left_anti")
+    return docs.join(scratch.lookup(dropped), F.col("doc_id").cast("long") == F.col("__dropped"), "left_anti")

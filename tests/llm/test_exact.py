@@ -14,7 +14,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodegauge.llm import bytewords as bw
+from lodegauge.llm import components as cc
 from lodegauge.llm import jaccard_join, language_id, mixing, piece_sampling, quality_rules, sharding, token_counts, topk, toxicity, warc
+
 from lodegauge.llm.components import components
 from lodegauge.llm.pieces import Vocabulary, marked
 
@@ -69,7 +71,9 @@ def test_hashes_tell_words_apart():
     assert all(len(x) == 1 for x in by.values()) and len({min(x) for x in by.values()}) == len(by)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("part", [400_000, 25])
+def test_components(spark, monkeypatch, part):
+    monkeypatch.setattr(cc, "PART_EDGES", part)
     rng = random.Random(2)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 340)] + [(5, 5), (None, 1)]
     par = {}
@@ -503,3 +507,19 @@ def test_toxicity(spark, none):
     same([tuple(r) for r in toxicity.toxicity(df, flipped).collect()], [tuple(r) for r in got.values()])
     assert toxicity.toxicity(none, labels).count() == 0
     assert {r["score"] for r in toxicity.toxicity(df, labels.where("false")).collect()} == {0.0}
+
+
+@pytest.mark.parametrize("cell", [2, 30])
+def test_jaccard_with_large_clusters(spark, monkeypatch, cell):
+    """Clusters beyond one task's size are worked off tree by tree, with the same result."""
+    rng = random.Random(cell)
+    base = [str(rng.randrange(1000)) for _ in range(50)]
+    docs = []
+    for i in range(220):
+        w = list(base)
+        for _ in range(rng.randrange(5)):
+            w[rng.randrange(len(w))] = str(rng.randrange(1000))
+        docs.append((i, " ".join(w if rng.random() < 0.8 else w[: rng.randrange(1, 20)])))
+    monkeypatch.setattr(jaccard_join, "CELL", cell)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), 3, 80).collect()}
+    assert got == jaccard_model(docs, 3, 80)
