@@ -247,11 +247,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int =
             fired[voters.fire(b.column(0))] = True
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in np.packbits(fired, axis=1)], pa.binary()), b.column(1)], names=["fired", "toxic"])
 
-    got = rows.mapInArrow(fire, "fired binary, toxic long").orderBy("fired", "toxic").collect()  # about ``sample`` rows
-    toxic = np.array([r["toxic"] for r in got], bool)
+    # equal rows are counted where they are, as most fire nothing; at most about ``sample`` rows come back
+    kinds = rows.mapInArrow(fire, "fired binary, toxic long").groupBy("fired", "toxic").agg(F.count("*").alias("n")).collect()
+    kinds = sorted((bytes(r["fired"]), r["toxic"], r["n"]) for r in kinds)
+    often = [k[2] for k in kinds]
+    toxic = np.repeat(np.array([k[1] for k in kinds], bool), often)
     if not toxic.any() or toxic.all():
         return None
-    fired = np.stack([np.unpackbits(np.frombuffer(r["fired"], np.uint8), count=n) for r in got]).astype(np.float64)
+    fired = np.repeat(np.stack([np.unpackbits(np.frombuffer(k[0], np.uint8), count=n) for k in kinds]).astype(np.float64), often, axis=0)
     q, group = label_model(fired, toxic)
     return Model(hashes, least, group, fit_linear(features(fired, group), q))
 
