@@ -6,6 +6,7 @@ mixed with its length. Equal words have equal hashes; different words collide wi
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -62,7 +63,8 @@ def blocks(batch: pa.RecordBatch, column: int, limit: int = 1 << 19) -> Iterator
     """(first row, row after the last, bytes, offsets) of runs of rows with up to ``limit`` bytes of text, or one row.
     Null texts are empty."""
     col = batch.column(column)
-    col = col.cast(pa.large_binary()).fill_null(b"")
+    col = col.cast(pa.large_binary())
+    col = col.fill_null(b"") if col.null_count else col
     n = len(col)
     _, offs, data = col.buffers()
     off = np.frombuffer(offs, np.int64, n + 1, col.offset * 8) if n else np.zeros(1, np.int64)
@@ -72,6 +74,16 @@ def blocks(batch: pa.RecordBatch, column: int, limit: int = 1 << 19) -> Iterator
         b = max(a + 1, int(np.searchsorted(off, off[a] + limit, side="right")) - 1)
         yield a, b, buf[off[a] : off[b]], off[a : b + 1] - off[a]
         a = b
+    release()
+
+
+def release() -> None:
+    """Give memory that is free inside this process back to the machine, as a worker may idle long after its task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
 
 
 def spans(buf: np.ndarray, off: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
