@@ -444,10 +444,11 @@ def _links(texts: DataFrame, sets: DataFrame, reps: DataFrame, k: int, pct: int)
     signed = texts.where("doc_id is not null").mapInArrow(_signed(k, pct, common), "sig long, rep long")
     met = signed.select("sig", "rep", F.min("rep").over(_by_tree()).alias("least")).where("rep > least")
     # only now, on the few rows that met another, copies give way to the one document that stands for them
+    copies = scratch.lookup(copies)
     stands = lambda c: copies.select(F.col("doc_id").alias(c), F.col("rep").alias(f"{c}_stands"))
     met = scratch.written(met, "met").join(stands("rep"), "rep", "left").join(stands("least"), "least", "left")
     edges = scratch.written(
-        met.select("sig", F.coalesce("rep_stands", "rep").alias("rep"), F.coalesce("least_stands", "least").alias("least")).where("rep <> least").distinct(), "edges"
+        met.select("sig", F.coalesce("rep_stands", "rep").alias("rep"), F.coalesce("least_stands", "least").alias("least")).where("rep <> least"), "edges"
     )
     pairs = scratch.written(edges.select(F.greatest("rep", "least").alias("x"), F.least("rep", "least").alias("y")).distinct(), "pairs")
     members = _members(pairs, reps)
