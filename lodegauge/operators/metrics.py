@@ -48,9 +48,14 @@ def judged(run: DataFrame, qrels: DataFrame) -> DataFrame:
 
 def per_query(run: DataFrame, qrels: DataFrame) -> DataFrame:
     """All measures of every evaluated query."""
+    return measured(judged(run, qrels))
+
+
+def measured(rows: DataFrame) -> DataFrame:
+    """All measures of every query of judged rows."""
     seen = Window.partitionBy(*KEY).orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     hit = (F.col("rel") > 0).cast("int")
-    rows = judged(run, qrels).withColumn("hit", hit).withColumn("found", F.sum("hit").over(seen))
+    rows = rows.withColumn("hit", hit).withColumn("found", F.sum("hit").over(seen))
     at = lambda k: F.sum(F.when(F.col("rank") <= k, F.col("hit")).otherwise(0))
     r = F.max("num_rel")
     part = lambda c: F.coalesce(F.try_divide(c, r), F.lit(0.0))
@@ -66,7 +71,11 @@ def per_query(run: DataFrame, qrels: DataFrame) -> DataFrame:
 
 def summary(run: DataFrame, qrels: DataFrame, decimals: int = 4) -> DataFrame:
     """A row a strategy: counts are summed over queries, everything else is averaged."""
-    q = per_query(run, qrels)
+    return summed(per_query(run, qrels), decimals)
+
+
+def summed(q: DataFrame, decimals: int = 4) -> DataFrame:
+    """summary() of what per_query() or measured() gives."""
     total = lambda m: F.sum(m).cast("long").alias(m) if m.startswith("num_") else F.round(F.avg(m), decimals).alias(m)
     return q.groupBy("strategy").agg(*map(total, MEASURES)).select("strategy", *MEASURES)
 

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from string import ascii_lowercase, ascii_uppercase
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodegauge.functions import text as tx
 from lodegauge.operators import alignment, annotate, checks, chunking, documents, metrics, retrieval, spans
+from lodegauge.sources import scratch
 
 S = tx.SPACE_SQL
 #: Spans a document.
@@ -115,22 +116,35 @@ def _vectors(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").select("vec_id", "label", "embedding")
 
 
+def _asked(vectors: DataFrame) -> DataFrame:
+    """The queries: every vector whose id is divisible by 20."""
+    return vectors.where("vec_id % 20 = 0").withColumn("qid", F.concat(F.lit("q"), "vec_id"))
+
+
 def topk(spark: SparkSession, sf: str) -> DataFrame:
+    """Each query's 20 best of all vectors but its own: one more is retrieved, as a query finds itself."""
     v = _vectors(spark, sf)
-    q = v.where("vec_id < 20").select(F.concat(F.lit("q"), "vec_id").alias("qid"), "embedding")
-    c = v.where("vec_id >= 20").select(F.col("vec_id").cast("string").alias("chunk_id"), "embedding")
-    return retrieval.retrieve(q, c, 20)
+    c = v.where("vec_id is not null").select(F.col("vec_id").cast("string").alias("chunk_id"), "embedding")
+    others = retrieval.retrieve(_asked(v).select("qid", "embedding"), c, 21).where(F.col("qid") != F.concat(F.lit("q"), "chunk_id"))
+    return others.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("rank"))).where("rank <= 20")
 
 
-def _run_and_qrels(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def _judged(spark: SparkSession, sf: str) -> DataFrame:
+    """What metrics.judged() gives for the run and judgments that hold all other vectors of a query's label relevant.
+    Those pairs grow with the square of the table, so relevant vectors are counted by label, and rows of the run are
+    judged by the two labels."""
     v = _vectors(spark, sf)
-    q = v.where("vec_id < 20").select(F.concat(F.lit("q"), "vec_id").alias("qid"), "label")
-    qrels = v.where("vec_id >= 20").select(F.col("vec_id").cast("string").alias("chunk_id"), "label").join(F.broadcast(q), "label").select(F.lit("dense").alias("strategy"), "qid", "chunk_id", F.lit(1).alias("rel"))
-    return topk(spark, sf).withColumn("strategy", F.lit("dense")), qrels
+    counted = v.where("label is not null").groupBy("label").agg((F.count("*") - 1).alias("num_rel")).where("num_rel > 0")
+    gains = F.aggregate(F.sequence(F.lit(1).cast("long"), F.least("num_rel", F.lit(10))), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1.0))
+    asked = _asked(v).select("qid", "label").join(scratch.lookup(scratch.written(counted, "relevant")), "label").select("qid", F.col("label").alias("asked"), "num_rel", gains.alias("ideal"))
+    rows = topk(spark, sf).join(asked, "qid").join(v.select(F.col("vec_id").cast("string").alias("chunk_id"), "label"), "chunk_id")
+    order = Window.partitionBy("qid").orderBy(F.desc(F.col("score").cast("float")), F.desc("chunk_id"))
+    same = F.coalesce(F.col("label") == F.col("asked"), F.lit(False)).cast("int")
+    return rows.select(F.lit("dense").alias("strategy"), "qid", "chunk_id", F.row_number().over(order).alias("rank"), same.alias("rel"), "num_rel", "ideal")
 
 
 def per_query(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.per_query(*_run_and_qrels(spark, sf))
+    return metrics.measured(_judged(spark, sf))
 
 
 def _chunks(spark: SparkSession, sf: str) -> DataFrame:
@@ -265,7 +279,7 @@ register("threshold_best", lambda s, d: alignment.threshold_best(alignment.thres
 register("topk_cosine", lambda s, d: topk(s, d).select("qid", "chunk_id", "rank", F.round("score", 6).alias("score")), f"WITH {TOP_SQL} SELECT qid, chunk_id, rank::INT AS rank, round(score, 6) AS score FROM run")
 for _name, _cols in {"eval_map": ("map",), "eval_ndcg10": ("ndcg_cut_10",), "eval_precision": ("P_5", "P_10"), "eval_recall": ("recall_20", "recall_100"), "eval_mrr": ("recip_rank",), "eval_counts": ("num_ret", "num_rel", "num_rel_ret")}.items():
     register(_name, *_measures(*_cols))
-register("eval_summary", lambda s, d: metrics.summary(*_run_and_qrels(s, d)),
+register("eval_summary", lambda s, d: metrics.summed(per_query(s, d)),
          f"WITH {TOP_SQL} SELECT 'dense' AS strategy, {', '.join(f'sum({m})::BIGINT AS {m}' if m.startswith('num') else f'round(avg({m}), 4) AS {m}' for m in metrics.MEASURES)} FROM per_query")
 
 

@@ -1,0 +1,44 @@
+"""Registered queries against brute force over the whole job, on the smallest tables."""
+
+import math
+import os
+
+import numpy as np
+import pandas as pd
+import pytest
+
+from lodegauge.plans import contract
+
+SF = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+
+
+def test_search_and_metrics_ask_every_twentieth_vector(spark):
+    e = pd.read_parquet(f"{SF}/embeddings.parquet")
+    m, label = np.stack(e.embedding).astype(np.float64), dict(zip(e.vec_id, e.label))
+    run, measures = {}, {}
+    for q in (i for i in e.vec_id if i % 20 == 0):
+        score = np.round(m @ m[list(e.vec_id).index(q)], 8)
+        # scores as in a run, then as 32-bit floats where measures order them
+        best = sorted(((s, str(i)) for s, i in zip(score, e.vec_id) if i != q), reverse=True)[:20]
+        run |= {(f"q{q}", c): (rank, round(s, 6)) for rank, (s, c) in enumerate(best, 1)}
+        hits = [label[int(c)] == label[q] for _, c in sorted(((np.float32(s), c) for s, c in best), reverse=True)]
+        relevant = sum(x == label[q] for x in e.label) - 1
+        gain = sum(h / math.log2(r + 1) for r, h in enumerate(hits[:10], 1))
+        measures[f"q{q}"] = {
+            "map": sum(sum(hits[:r]) / r for r, h in enumerate(hits, 1) if h) / relevant, "ndcg_cut_10": gain / sum(1 / math.log2(r + 1) for r in range(1, min(relevant, 10) + 1)),
+            "P_5": sum(hits[:5]) / 5, "P_10": sum(hits[:10]) / 10, "recall_20": sum(hits) / relevant, "recall_100": sum(hits) / relevant,
+            "num_ret": 20, "num_rel": relevant, "num_rel_ret": sum(hits), "recip_rank": 1 / (hits.index(True) + 1) if any(hits) else 0,
+        }
+    assert len(measures) == len(e) / 20
+    got = {(r["qid"], r["chunk_id"]): (r["rank"], r["score"]) for r in contract.QUERIES["topk_cosine"](spark, SF).collect()}
+    assert got.keys() == run.keys() and all(got[k] == pytest.approx(run[k], abs=2e-6) for k in run)
+    for name in ("eval_map", "eval_ndcg10", "eval_precision", "eval_recall", "eval_mrr", "eval_counts"):
+        rows = {r["qid"]: {k: v for k, v in r.asDict().items() if k != "qid"} for r in contract.QUERIES[name](spark, SF).collect()}
+        assert rows.keys() == measures.keys()
+        for q, row in rows.items():
+            assert row == pytest.approx({k: measures[q][k] for k in row}, abs=2e-6), (name, q)
+    total = contract.QUERIES["eval_summary"](spark, SF).first()
+    for k in ("map", "recip_rank", "P_10"):
+        assert total[k] == pytest.approx(np.mean([x[k] for x in measures.values()]), abs=1e-4)
+    assert total["num_rel"] == sum(x["num_rel"] for x in measures.values())
