@@ -148,8 +148,7 @@ def per_query(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _chunks(spark: SparkSession, sf: str) -> DataFrame:
-    some = {k: v for k, v in chunking.STRATEGIES.items() if not k.startswith("TOKWIN")}
-    return chunking.chunk_all(docs(spark, sf), some)
+    return chunking.chunk_all(docs(spark, sf))
 
 
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:
