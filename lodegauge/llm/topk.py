@@ -15,7 +15,8 @@ Weights are floor(scale * x). Scores are integers: float64 products are used whe
 
 Nulls: null vectors, and vectors with a null or non-finite component or a null key, take no part. Vectors of different
 lengths are compared as if the shorter had zeros at its end; empty vectors score 0. Rows that repeat a key are
-candidates each by itself, but never for a query with that key. Ties go to the smaller key. Extra columns are ignored.
+candidates each by itself, but never for a query with that key; those that are queries are each asked by itself and have
+k results each, with ranks from 1. Ties go to the smaller key. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from lodegauge.sources import scratch
 
 #: Documents of a cell, queries of a chunk, documents of a block.
 CELL, CHUNK, BLOCK = 8192, 4096, 64
-SCHEMA = "query_id long, vec_id long, score long"
+SCHEMA = "query_id long, vec_id long, score long, ask long"
 
 
 def _quantized(vectors: DataFrame, scale: int) -> DataFrame:
@@ -58,8 +59,8 @@ def _product(q: np.ndarray, d: np.ndarray) -> np.ndarray:
     return (q.astype(object) @ d.astype(object).T).astype(np.int64)
 
 
-def search_cell(qid: np.ndarray, q: np.ndarray, did: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """query_id, vec_id, score: for each query its k best documents of the cell."""
+def search_cell(qid: np.ndarray, q: np.ndarray, did: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """query_id, vec_id, score, place of the query in qid: for each query its k best documents of the cell."""
     lead = np.argmax(np.abs(d), axis=1) if d.shape[1] else np.zeros(len(d), np.int64)
     sign = d[np.arange(len(d)), lead] < 0 if d.shape[1] else np.zeros(len(d), bool)
     order = np.lexsort((did, sign, lead))
@@ -90,21 +91,21 @@ def search_cell(qid: np.ndarray, q: np.ndarray, did: np.ndarray, d: np.ndarray,
             top = np.lexsort((i, -(s + 1)), axis=1)[:, :k]
             best_s[rows], best_d[rows] = np.take_along_axis(s, top, 1), np.take_along_axis(i, top, 1)
     found = best_d < np.iinfo(np.int64).max
-    return np.repeat(qid, k).reshape(-1, k)[found], best_d[found], best_s[found]
+    return np.repeat(qid, k).reshape(-1, k)[found], best_d[found], best_s[found], np.repeat(np.arange(len(qid)), k).reshape(-1, k)[found]
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256) -> DataFrame:
     """Per query its k best others: query_id, rank (from 1), vec_id, score."""
     spark = vectors.sparkSession
-    rows = scratch.written(_quantized(vectors, scale).withColumn("q", F.coalesce(is_query, F.lit(False))), "vectors")
+    rows = scratch.written(_quantized(vectors, scale).withColumn("q", F.coalesce(is_query, F.lit(False))).withColumn("ask", F.monotonically_increasing_id()), "vectors")
     sizes = rows.agg(F.count("*").alias("n"), F.count_if("q").alias("q")).first()
     cells = max(1, -(-sizes["n"] // CELL), min(sizes["n"] // 256, spark.sparkContext.defaultParallelism))
     chunks = max(1, -(-sizes["q"] // CHUNK))
     # each cell meets each chunk in a task of its own: documents travel once for each chunk, queries once for each cell
     dealt = F.xxhash64("vec_id", F.monotonically_increasing_id())
     chunk = F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).cast("int")
-    docs = rows.select("vec_id", "x", F.lit(False).alias("q"), F.pmod(dealt, F.lit(cells)).cast("int").alias("cell"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
-    asked = rows.where("q").select("vec_id", "x", F.lit(True).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"), chunk.alias("chunk"))
+    docs = rows.select("vec_id", "x", F.lit(False).alias("q"), F.pmod(dealt, F.lit(cells)).cast("int").alias("cell"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), "ask")
+    asked = rows.where("q").select("vec_id", "x", F.lit(True).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"), chunk.alias("chunk"), "ask")
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by cell and chunk."""
@@ -117,8 +118,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256) ->
             m = _matrix([r[1] for r in held], width)
             if not asks.any() or asks.all():
                 return None
-            got = search_cell(ids[asks], m[asks], ids[~asks], m[~asks], k)
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in got], names=["query_id", "vec_id", "score"])
+            *got, place = search_cell(ids[asks], m[asks], ids[~asks], m[~asks], k)
+            got.append(np.array([r[3] for r in held], np.int64)[asks][place])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in got], names=["query_id", "vec_id", "score", "ask"])
 
         for b in batches:
             ids, x = b.column(0).to_pylist(), b.column(1)
@@ -126,6 +128,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256) ->
             lengths = np.array(x.value_lengths().to_pylist(), np.int64)
             ends = np.cumsum(lengths)
             q, cell, chunk_ = b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist()
+            ask = b.column(5).to_pylist()
             for i in range(b.num_rows):
                 now = (cell[i], chunk_[i])
                 if now != key and held:
@@ -133,13 +136,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256) ->
                         yield r
                     held = []
                 key = now
-                held.append((ids[i], flat[ends[i] - lengths[i] : ends[i]], q[i]))
+                held.append((ids[i], flat[ends[i] - lengths[i] : ends[i]], q[i], ask[i]))
         if held and (r := result()) is not None:
             yield r
 
     both = docs.union(asked).repartition(min(cells * chunks, 1 << 16), "cell", "chunk").sortWithinPartitions("cell", "chunk")
     partial = both.mapInArrow(searched, SCHEMA)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_id", "ask").orderBy(F.desc("score"), "vec_id")
     return partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -4,7 +4,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from lodegauge.llm import quality_rules
+from lodegauge.llm import quality_rules, topk
 
 WORDS = [f"{a}{b}" for a in ("ta", "ro", "mi", "ke") for b in ("lon", "ver", "sit", "dan", "pel")]
 
@@ -47,3 +47,11 @@ def test_rules_share_the_risk_of_a_stratum(spark):
     features = df.select("*", *zero, F.lit(False).alias("base_failed"))
     labels = spark.createDataFrame([(i, q) for i, q, _, _ in good + bad], "doc_id long, quality int")
     assert [tuple(r) for r in quality_rules.calibrate(features, labels).collect()] == [(None, "symbols", 2.0)]
+
+
+def test_repeated_query_rows_have_k_results_each(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [0.0, 1.0])] + [(i, [i / 16, 1 - i / 16]) for i in range(1, 9)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 50 == 0, 3).collect()))
+    first, last = [(0, r, 9 - r, 4096 * (9 - r)) for r in (1, 2, 3)], [(0, r, r, 4096 * (16 - r)) for r in (1, 2, 3)]
+    assert got == sorted(first + first + last)
