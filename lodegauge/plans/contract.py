@@ -33,10 +33,10 @@ def normal(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def derived_spans(spark: SparkSession, sf: str) -> DataFrame:
-    """PER_DOC spans a document of at least 80 characters: qid, docid, start, end, text, logic, group, sme_id, src_ord."""
-    d = normal(spark, sf).where("n >= 80").select("*", F.explode(F.sequence(F.lit(0), F.lit(PER_DOC - 1))).alias("k"))
-    base = (F.col("doc_id") * 37 + F.floor(F.col("k") / 2) * 53) % (F.col("n") - 60)
-    start = (base + F.when(F.col("k") % 2 == 1, (F.col("doc_id") + F.col("k")) % 9).otherwise(0)).cast("long")
+    """PER_DOC spans a document that has any text: qid, docid, start, end, text, logic, group, sme_id, src_ord."""
+    d = normal(spark, sf).where("n > 0").select("*", F.explode(F.sequence(F.lit(0), F.lit(PER_DOC - 1))).alias("k"))
+    base = (F.col("doc_id") * 37 + F.floor(F.col("k") / 2) * 53) % F.greatest(F.col("n") - 60, F.lit(1))
+    start = F.least(base + F.when(F.col("k") % 2 == 1, (F.col("doc_id") + F.col("k")) % 9).otherwise(0), F.col("n") - 1).cast("long")
     size = (20 + (F.col("doc_id") * 7 + F.col("k") * 11) % 41).cast("long")
     logic = F.when(F.col("doc_id") % 5 == 0, F.element_at(F.array(F.lit("COMPLETE_SPAN"), F.lit("AND"), F.lit("OR")), (F.col("k") % 3 + 1).cast("int"))).otherwise(F.lit("AND"))
     return d.select(
@@ -50,9 +50,9 @@ NORMAL_SQL = f"""normal AS (
   SELECT doc_id, doc_id::VARCHAR AS docid, text, length(text) AS n FROM (
     SELECT doc_id, trim(regexp_replace(translate(text, '’‘”“—–', '''''""--'), '[{S}]+', ' ', 'g'), ' ') AS text FROM documents))"""
 SPANS_SQL = f"""raw_spans AS (
-  SELECT *, (((doc_id * 37 + (k // 2) * 53) % (n - 60)) + CASE WHEN k % 2 = 1 THEN (doc_id + k) % 9 ELSE 0 END)::BIGINT AS start,
+  SELECT *, least(((doc_id * 37 + (k // 2) * 53) % greatest(n - 60, 1)) + CASE WHEN k % 2 = 1 THEN (doc_id + k) % 9 ELSE 0 END, n - 1)::BIGINT AS start,
          (20 + (doc_id * 7 + k * 11) % 41)::BIGINT AS size
-  FROM normal, unnest(range({PER_DOC})) AS u(k) WHERE n >= 80
+  FROM normal, unnest(range({PER_DOC})) AS u(k) WHERE n > 0
 ), spans AS (
   SELECT 'q_' || docid AS qid, docid, start, least(start + size, n)::BIGINT AS "end",
          trim(substring(text, start + 1, least(start + size, n) - start), ' ') AS text,
@@ -90,12 +90,13 @@ PAIRS_SQL = """pairs AS (
 CHUNKS_SQL = f"""chunks AS (
   SELECT *, 'CHARWIN500_OV50' AS strategy FROM ({windows_sql(500, 50)})
   UNION ALL SELECT *, 'CHARBLOCK1000_NOV0' FROM ({windows_sql(1000, 0)})
-  UNION ALL SELECT *, 'SENT' FROM ({SENT_SQL}))"""
+  UNION ALL SELECT *, 'SENT' FROM ({SENT_SQL})
+  UNION ALL SELECT *, 'TOKWIN512_S128' FROM ({TOKENS_SQL}))"""
 
 TOP_SQL = """unit AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
 scored AS (
   SELECT 'q' || q.vec_id AS qid, c.vec_id::VARCHAR AS chunk_id, round(list_inner_product(q.e, c.e), 8) AS score, q.label = c.label AS same
-  FROM unit q JOIN unit c ON q.vec_id < 20 AND c.vec_id >= 20
+  FROM unit q JOIN unit c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
 ), run AS (
   SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id DESC) AS rank FROM scored QUALIFY rank <= 20
 ), judged AS (
@@ -164,8 +165,8 @@ def _measures(*names: str):
 
 def _located(spark: SparkSession, sf: str, snap: bool) -> DataFrame:
     """A snippet cut from each document, dressed up, and found again."""
-    d = normal(spark, sf).where("n >= 80")
-    cut = F.substring("text", (F.col("doc_id") * 13 % (F.col("n") - 60)).cast("int") + 1, F.lit(40))
+    d = normal(spark, sf).where("n > 0")
+    cut = F.substring("text", (F.col("doc_id") * 13 % F.greatest(F.col("n") - 60, F.lit(1))).cast("int") + 1, F.lit(40))
     dressed = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit('"'), cut, F.lit('"...'))).when(F.col("doc_id") % 4 == 1, F.concat(F.lit("  "), F.translate(cut, ascii_lowercase, ascii_uppercase))).when(F.col("doc_id") % 4 == 2, F.concat(F.lit("_"), F.trim(cut), F.lit("_"))).otherwise(cut)
     rows = d.select("docid", F.col("text").alias("doc_text"), dressed.alias("snippet"))
     return spans.locate_span(rows, snap=snap).select("docid", "start", "end", "span_text")
@@ -175,7 +176,7 @@ def _located_sql(snap: bool) -> str:
     before = f"length(regexp_extract(substring(text, 1, place - 1), '[^{S}]*$'))" if snap else "0"
     after = f"length(regexp_extract(substring(text, place + m), '^[^{S}]*'))" if snap else "0"
     return f"""WITH {NORMAL_SQL}, cut AS (
-  SELECT *, substring(text, (doc_id * 13 % (n - 60)) + 1, 40) AS c FROM normal WHERE n >= 80
+  SELECT *, substring(text, (doc_id * 13 % greatest(n - 60, 1)) + 1, 40) AS c FROM normal WHERE n > 0
 ), dressed AS (
   SELECT *, CASE doc_id % 4 WHEN 0 THEN '"' || c || '"...' WHEN 1 THEN '  ' || translate(c, '{ascii_lowercase}', '{ascii_uppercase}') WHEN 2 THEN '_' || trim(c, ' ') || '_' ELSE c END AS snippet FROM cut
 ), core0 AS (
@@ -233,13 +234,13 @@ register("normalize_corpus", lambda s, d: marked(s, d).select("docid", tx.normal
 
 def _sectioned(spark, sf):
     d = docs(spark, sf)
-    book = F.concat(F.lit("front matter\nCHAPTER I. One\n"), "text", F.lit("\nCHAPTER II.\n  Two\n"), F.substring("text", 1, 50), F.lit("\nTHE END\nback matter"))
+    book = F.concat(F.lit("front matter\nCHAPTER I. One\n"), "text", F.lit("\nCHAPTER II.\n  Two\n"), "text", F.lit("\nTHE END\nback matter"))
     return documents.split_sections(documents.extract_main_text(d.select("doc_id", book.alias("text"))), keep=("doc_id",))
 
 
 register("split_sections", _sectioned, f"""
 SELECT doc_id, 'doc:ch01' AS docid, 'CHAPTER I. One' AS title, regexp_replace(regexp_replace(text, '^[{S}]+', ''), '[{S}]+$', '') AS text FROM documents
-UNION ALL SELECT doc_id, 'doc:ch02', 'CHAPTER II.' || chr(10) || '  Two', regexp_replace(regexp_replace(substring(text, 1, 50), '^[{S}]+', ''), '[{S}]+$', '') FROM documents""")
+UNION ALL SELECT doc_id, 'doc:ch02', 'CHAPTER II.' || chr(10) || '  Two', regexp_replace(regexp_replace(text, '^[{S}]+', ''), '[{S}]+$', '') FROM documents""")
 register("unicode_scan", lambda s, d: documents.unicode_scan(docs(s, d), names=False).select("codepoint", "ch", "n", "more"), r"""
 SELECT unicode(ch)::BIGINT AS codepoint, ch, count(*)::BIGINT AS n, greatest(count(*) - 3, 0)::BIGINT AS more
 FROM (SELECT unnest(string_split(nfc_normalize(text), '')) AS ch FROM documents) WHERE regexp_matches(ch, '[^\n\t\x20-\x7e]') GROUP BY ch""")
@@ -393,7 +394,7 @@ register("last_wins", lambda s, d: metrics.parse_qrels(_run_lines(s, d).withColu
 
 def _replies(spark, sf):
     c = table(spark, sf, "conversations")
-    said = F.substring("text", 1, 40)
+    said = F.col("text")
     answers = F.when(F.col("turn") % 3 == 0, F.array(said)).when(F.col("turn") % 3 == 1, F.array(said, F.lit("  "), F.lit("two"))).otherwise(F.array(F.lit(" ")))
     logic = F.when(F.col("conv_id") % 4 == 0, "AND").when(F.col("conv_id") % 4 == 1, "BAD")
     body = F.to_json(F.struct(answers.alias("answers"), logic.alias("logic")))
@@ -402,7 +403,7 @@ def _replies(spark, sf):
 
 
 register("parse_llm_json", lambda s, d: annotate.parse_answers(_replies(s, d)).select("conv_id", "turn", F.array_join("answers", "|").alias("answers"), "logic"), f"""
-WITH a AS (SELECT conv_id, turn, list_filter(list_transform(CASE turn % 3 WHEN 0 THEN [substring(text, 1, 40)] WHEN 1 THEN [substring(text, 1, 40), '  ', 'two'] ELSE [' '] END,
+WITH a AS (SELECT conv_id, turn, list_filter(list_transform(CASE turn % 3 WHEN 0 THEN [text] WHEN 1 THEN [text, '  ', 'two'] ELSE [' '] END,
     lambda x: regexp_replace(regexp_replace(x, '^[{S}]+', ''), '[{S}]+$', '')), lambda x: x IS NOT NULL AND x <> '') AS answers, CASE conv_id % 4 WHEN 0 THEN 'AND' WHEN 1 THEN 'BAD' END AS logic FROM conversations)
 SELECT conv_id, turn, array_to_string(answers, '|') AS answers, CASE WHEN logic = 'AND' THEN 'AND' WHEN len(answers) = 1 THEN 'COMPLETE_SPAN' ELSE 'OR' END AS logic FROM a WHERE len(answers) > 0""")
 register("head_tail_sample", lambda s, d: checks.sample_rows(chunking.char_windows(docs(s, d)), "docid", "start", 2, 2, 0).select("docid", "chunk_id"), f"""
