@@ -200,14 +200,12 @@ def keep_good(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: flo
 
 
 def _oracle() -> str:
-    """DuckDB SQL for quality_rules() as it was, with cutoffs by Bonferroni over strata, rules and cutoffs: the same counts
-    by positions and joins, the tail by log-gamma terms. Its verdicts differ where that certifies less."""
+    """DuckDB SQL for quality_rules(): the same counts by positions and joins, sequences by row numbers, and tails by
+    log-gamma terms."""
     value = {"symbols": "n_symbols / nullif(n_words, 0)", "capitals": "n_capitals / nullif(word_chars, 0)", "exclaims": "n_exclaims / nullif(n_words, 0)",
              "dup_lines": "n_dup_lines / nullif(n_lines, 0)", "repeats": "n_repeat_words / nullif(n_words, 0)"}
-    grid = ", ".join(f"('{r}', {c}::DOUBLE)" for r, g in GRID.items() for c in g)
-    n = sum(map(len, GRID.values()))
-    p = RISK / len(GRID)
-    rules = " UNION ALL ".join(f"SELECT doc_id, lang, base_failed, '{r}' AS rule, {v} AS v FROM c" for r, v in value.items())
+    grid = ", ".join(f"('{rule}', {r}, {i}, {c}::DOUBLE)" for r, (rule, g) in enumerate(GRID.items()) for i, c in enumerate(g))
+    rules = " UNION ALL ".join(f"SELECT k, doc_id, lang, base_failed, '{r}' AS rule, {v} AS v FROM c" for r, v in value.items())
     return rf"""
 WITH w AS (
   SELECT row_number() OVER () AS k, doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
@@ -221,7 +219,7 @@ WITH w AS (
   SELECT k, count(*) AS n, count(DISTINCT line) AS kinds FROM (SELECT k, unnest(string_split(text, chr(10))) AS line FROM w)
   WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY k
 ), c0 AS (
-  SELECT doc_id, lang, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+  SELECT w.k, doc_id, lang, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
          len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(lines.n - lines.kinds, 0)::BIGINT AS n_dup_lines,
          coalesce(covered.n, 0)::BIGINT AS n_repeat_words, coalesce(lines.n, 0) AS n_lines,
          len(regexp_extract_all(text, '\p{{Lu}}')) AS n_capitals, len(regexp_extract_all(text, '!')) AS n_exclaims
@@ -229,24 +227,38 @@ WITH w AS (
 ), c AS (
   SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c0
 ), v AS ({rules}),
-cells AS (
-  SELECT v.lang, g.rule, g.cutoff, count(*) FILTER (quality = 1) AS good, count(*) FILTER (quality = 1 AND v.v > g.cutoff) AS wrong,
-         count(*) FILTER (quality = 0 AND v.v > g.cutoff) AS bad
-  FROM v JOIN labels USING (doc_id) JOIN (VALUES {grid}) AS g(rule, cutoff) ON g.rule = v.rule
-  WHERE NOT base_failed AND quality IN (0, 1) GROUP BY ALL
-), tails AS (
-  SELECT *, CASE WHEN wrong >= good * {p} THEN 1 ELSE list_sum(list_transform(range(0, wrong + 1),
-           lambda i: exp(lgamma(good + 1) - lgamma(i + 1) - lgamma(good - i + 1) + i * ln({p}) + (good - i) * ln(1 - {p})))) END AS tail,
-         (SELECT count(DISTINCT coalesce(lang, chr(1))) FROM cells) AS strata
-  FROM cells
+grid AS (SELECT * FROM (VALUES {grid}) AS g(rule, r, i, cutoff)),
+marked AS (
+  SELECT v.*, x.quality, x.l FROM v JOIN (SELECT *, row_number() OVER () AS l FROM labels) x USING (doc_id) WHERE NOT base_failed AND quality IN (0, 1)
+), strata AS (
+  SELECT lang, count(*) FILTER (quality = 1 AND rule = 'symbols') AS good, count(*) OVER () AS strata FROM marked GROUP BY lang
+), cells AS (
+  SELECT lang, g.rule, r, i, cutoff, count(*) FILTER (quality = 0 AND v > cutoff) AS bad FROM marked JOIN grid g USING (rule) GROUP BY ALL
+), gains AS (
+  SELECT *, max(bad) OVER (PARTITION BY lang, r) AS most FROM cells
+  QUALIFY bad > lag(bad, 1, 0) OVER (PARTITION BY lang, r ORDER BY i)
+), steps AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY most DESC, r, i) AS place FROM gains
+), losses AS (
+  SELECT lang, place, count(*) AS lost FROM (
+    SELECT m.lang, m.k, m.l, min(s.place) AS place FROM marked m JOIN steps s ON s.rule = m.rule AND s.lang IS NOT DISTINCT FROM m.lang AND m.v > s.cutoff
+    WHERE m.quality = 1 GROUP BY m.lang, m.k, m.l) GROUP BY ALL
+), tests AS (
+  SELECT s.lang, s.rule, s.cutoff, s.place, t.good, t.strata,
+         (SELECT coalesce(sum(lost), 0) FROM losses l WHERE l.lang IS NOT DISTINCT FROM s.lang AND l.place <= s.place)::BIGINT AS wrong
+  FROM steps s JOIN strata t ON s.lang IS NOT DISTINCT FROM t.lang
+), passed AS (
+  SELECT *, CASE WHEN wrong >= good * {RISK} THEN 1 ELSE list_sum(list_transform(range(0, wrong + 1),
+           lambda i: exp(lgamma(good + 1) - lgamma(i + 1) - lgamma(good - i + 1) + i * ln({RISK}) + (good - i) * ln(1 - {RISK})))) END <= {DELTA} / strata AS ok
+  FROM tests
 ), cuts AS (
-  SELECT lang, rule, max(struct_pack(bad := bad, cutoff := cutoff)).cutoff AS cutoff FROM tails
-  WHERE bad > 0 AND tail <= {DELTA} / (strata * {n}) GROUP BY ALL
+  SELECT lang, rule, min(cutoff) AS cutoff FROM passed p
+  WHERE NOT EXISTS (SELECT 1 FROM passed q WHERE q.lang IS NOT DISTINCT FROM p.lang AND q.place <= p.place AND NOT q.ok) GROUP BY ALL
 ), rejected AS (
-  SELECT DISTINCT v.doc_id, v.lang FROM v JOIN cuts ON v.rule = cuts.rule AND v.lang IS NOT DISTINCT FROM cuts.lang WHERE v.v > cuts.cutoff
+  SELECT DISTINCT v.k FROM v JOIN cuts ON v.rule = cuts.rule AND v.lang IS NOT DISTINCT FROM cuts.lang WHERE v.v > cuts.cutoff
 )
 SELECT c.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT (base_failed OR EXISTS (SELECT 1 FROM rejected r WHERE r.doc_id = c.doc_id)) AS kept
+       NOT (base_failed OR EXISTS (SELECT 1 FROM rejected r WHERE r.k = c.k)) AS kept
 FROM c
 """
 

@@ -1,10 +1,13 @@
 """Jobs that operators once did in part, done whole."""
 
 import math
+import os
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
-from lodegauge.llm import quality_rules, topk
+from lodegauge.llm import quality_rules, queries, topk
 
 WORDS = [f"{a}{b}" for a in ("ta", "ro", "mi", "ke") for b in ("lon", "ver", "sit", "dan", "pel")]
 
@@ -55,3 +58,14 @@ def test_repeated_query_rows_have_k_results_each(spark):
     got = sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 50 == 0, 3).collect()))
     first, last = [(0, r, 9 - r, 4096 * (9 - r)) for r in (1, 2, 3)], [(0, r, r, 4096 * (16 - r)) for r in (1, 2, 3)]
     assert got == sorted(first + first + last)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_certified_cutoffs_reject_documents_in_query_and_sql(spark):
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    want = {r[0] for r in con.sql(f"SELECT doc_id FROM ({quality_rules.ORACLE}) WHERE NOT kept AND NOT base_failed").fetchall()}
+    got = {r["doc_id"] for r in queries.op1_quality_rules(spark, sf).where("not kept and not base_failed").collect()}
+    assert got == want and len(got) > 5
