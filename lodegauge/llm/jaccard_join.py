@@ -2,8 +2,9 @@
 
 A document is its set of distinct word shingles. Tokens (shingles) are hashed into groups, and a document becomes a
 point: its number of tokens in each group. The overlap of two sets is at most the sum over groups of the smaller count,
-and for boxes the sum of the smaller upper corners, so an R-tree over the points discards pairs, and pairs of boxes,
-whose bound cannot reach the threshold. What survives is verified on the exact sets.
+and for boxes the sum of the smaller upper corners. An R-tree over the points, bulk-loaded by halving along the widest
+axis, is joined with itself from the root down: pairs of nodes whose bound cannot reach the threshold go with all that
+is below them. What survives is verified on the shingles themselves, not on their hashes.
 
 One tree over a whole corpus would visit nearly all leaves, so points are first dealt to many small trees without losing
 a pair. Two sets of at most S tokens with Jaccard p/100 differ in at most T = 2 S (100 - p) / (100 + p) tokens. With
@@ -12,20 +13,21 @@ in the tree of any such group and content. S is bounded per size class; a docume
 of its could be the larger one. A document leaves out its s least telling groups, in an order that depends on a group's
 content alone: by tokens that are not common, then by tokens. Of the s + 1 groups that agree the last in that order is
 left out by neither document, since it would have to be among s groups with s others of the s + 1 before it. So no pair
-is lost, and passages that many documents share seldom bring strangers together. Which tokens are common is estimated on
-a bounded sample; a poor estimate costs time and changes no result.
-
-Documents that meet in a tree, directly or by way of others, form a cluster, found as connected components of (member,
-least member of the tree). A cluster of up to CELL documents and CELL_TOKENS tokens is joined as one R-tree in one task,
-which verifies pairs of parts that are not yet connected and emits a link for each that connects two. Larger clusters
-are worked off in two steps. First every member of a tree is tried against the tree's least member only, and components
-of the links are found; most trees then lie inside one component and are finished, as further links would change
-nothing. The rest are joined tree by tree, cut into cells of bounded size, and only pairs across components are bounded
-and verified. Exact copies are one document throughout. Every link between different components is found; nothing is
-capped.
+is lost, and passages that many documents share seldom bring strangers together. Which tokens are common, and which
+groups' contents are (hot ones), is estimated on a bounded sample; a poor estimate costs time and changes no result.
+
+Equal sets are one node, named by their digest, so copies meet nowhere. Nodes that share a group's content are tied to
+the least of them (those of a hot content to a node of the sample that holds it, known beforehand, so that hot contents
+are never gathered); ties that close no ring in their partition are kept, no more than there are nodes. Their connected
+components are the clusters. A cluster of up to CELL nodes and CELL_TOKENS tokens is joined as one R-tree in one task,
+which verifies pairs of parts that are not yet connected and emits a link for each that connects two. In larger clusters
+every node is first tried against the one that it shares most contents with, then against the least of its contents'
+holders across components; what is still apart is joined tree by tree, cut into cells of bounded size, and only pairs
+across components are bounded and verified. Every link between different components is found; nothing is capped.
 
 Nulls: a null or wordless text has an empty set and is linked with nothing. A row with a null doc_id can't name a
-component and takes the one of its set. Rows that share a doc_id count as one document. Extra columns are ignored.
+component and takes the one of its set, or none if no row with a doc_id has that set. Rows that share a doc_id are judged
+each by its own text. Extra columns are ignored. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodegauge.llm import bytewords as bw
@@ -43,21 +45,26 @@ from lodegauge.llm.components import components
 from lodegauge.sources import scratch
 
 U = np.uint64
-#: Groups of the points in the trees.
-GROUPS = 64
+#: Groups of the points of large clusters' trees, and of clusters that are joined in memory.
+GROUPS, FINE_GROUPS = 64, 256
 #: Ratio of neighbouring size classes.
 RATIO = 1.4
 #: Share of spare groups.
 SPARE = 0.3
 #: Members of a tree, or of a cluster, that one task joins; tokens of such a cluster.
 CELL, CELL_TOKENS = 1024, 1 << 21
-#: Groups of the points of a cluster that is joined in memory.
-FINE_GROUPS = 256
 #: Documents of the sample for common tokens, the documents of it that make a token common, and how many are kept.
 SAMPLE_DOCS, COMMON_DOCS, COMMON_MOST = 6000, 6, 200_000
-LEAF = 16
+#: Documents of the sample that share a group's content and make it a hot one.
+HOT_DOCS = 60
+#: Points of a leaf; children of an inner node.
+LEAF, FAN = 16, 8
+#: Pairs of boxes that are bounded together.
+STRIP = 4096
 #: Sets that a task remembers having named; beyond it some are named again, which costs rows and changes nothing.
 SEEN = 200_000
+#: Nodes that a task remembers when it drops ties that close a ring; beyond it, it begins anew.
+RING_NODES = 1_000_000
 
 
 def size_classes(pct: int, largest: int = 1 << 40) -> list[tuple[int, int, int, int]]:
@@ -149,184 +156,266 @@ def may_link(overlap, total, pct: int):
     return overlap * (100 + pct) >= pct * total
 
 
+class Tree:
+    """An R-tree over points: levels from the leaves to the root, each box with its upper corner and range of sizes."""
+
+    def __init__(self, n: np.ndarray, vec: np.ndarray, points: np.ndarray):
+        order, todo = [], [points]
+        while todo:  # halve along the widest axis, sizes being one, at whole leaves
+            part = todo.pop()
+            if len(part) <= LEAF:
+                order.append(part)
+                continue
+            spread = vec[part].max(0) - vec[part].min(0)
+            axis = n[part] if np.ptp(n[part]) >= spread.max() else vec[part, int(spread.argmax())]
+            half = (len(part) // 2 + LEAF - 1) // LEAF * LEAF
+            cut = np.argpartition(axis, half) if half < len(part) else np.arange(len(part))
+            todo += [part[cut[half:]], part[cut[:half]]] if half < len(part) else [part[:LEAF], part[LEAF:]]
+        self.points = np.concatenate(order)
+        #: leaf i holds points[ends[i] : ends[i + 1]]
+        self.ends = np.concatenate([[0], np.cumsum([len(x) for x in order])])
+        at = self.ends[:-1]
+        level = (np.maximum.reduceat(vec[self.points], at, axis=0), np.minimum.reduceat(n[self.points], at), np.maximum.reduceat(n[self.points], at))
+        self.levels = [level]
+        while len(level[1]) > 1:
+            at = np.arange(0, len(level[1]), FAN)
+            level = (np.maximum.reduceat(level[0], at, axis=0), np.minimum.reduceat(level[1], at), np.maximum.reduceat(level[2], at))
+            self.levels.append(level)
+
+
+def _children(a: np.ndarray, b: np.ndarray, na: int, nb: int) -> tuple[np.ndarray, np.ndarray]:
+    """Every child of a with every child of b, of pairs of inner nodes whose lower levels have na and nb boxes."""
+    i, j = np.divmod(np.arange(FAN * FAN), FAN)
+    x, y = (a[:, None] * FAN + i).ravel(), (b[:, None] * FAN + j).ravel()
+    real = (x < na) & (y < nb)
+    return x[real], y[real]
+
+
+def tree_join(n: np.ndarray, vec: np.ndarray, pct: int, left: np.ndarray, right: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """R-tree join of two sets of points (positions left and right), or of one with itself: arrays of pairs whose bound
+    reaches the threshold. A self-join gives each pair once, in either order."""
+    if not len(left) or (right is not None and not len(right)):
+        return
+    p = Tree(n, vec, left)
+    q = p if right is None else Tree(n, vec, right)
+    levels = max(len(p.levels), len(q.levels))
+    # a tree of fewer levels waits at its root
+    of = lambda t, k: t.levels[min(k, len(t.levels) - 1)]
+    todo = [(levels - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+    while todo:
+        k, a, b = todo.pop()
+        if len(a) > STRIP:
+            todo += [(k, a[STRIP:], b[STRIP:])]
+            a, b = a[:STRIP], b[:STRIP]
+        x, y = of(p, k), of(q, k)
+        fits = (100 * y[2][b] >= pct * x[1][a]) & (100 * x[2][a] >= pct * y[1][b])
+        if right is None:
+            fits &= a <= b
+        a, b = a[fits], b[fits]
+        fits = may_link(np.minimum(x[0][a], y[0][b]).sum(1, dtype=np.int64), x[1][a] + y[1][b], pct)
+        a, b = a[fits], b[fits]
+        if k and len(a):
+            wait_p, wait_q = k > len(p.levels) - 1, k > len(q.levels) - 1
+            if wait_p or wait_q:  # only the taller tree goes down
+                i = np.arange(FAN)
+                na, nb = len(of(p, k - 1)[1]), len(of(q, k - 1)[1])
+                c = np.repeat(a, FAN) if wait_p else (a[:, None] * FAN + i).ravel()
+                d = np.repeat(b, FAN) if wait_q else (b[:, None] * FAN + i).ravel()
+                real = (c < na) & (d < nb)
+                todo.append((k - 1, c[real], d[real]))
+            else:
+                todo.append((k - 1, *_children(a, b, len(of(p, k - 1)[1]), len(of(q, k - 1)[1]))))
+        elif not k:
+            for i, j in zip(a.tolist(), b.tolist()):
+                mine, theirs = p.points[p.ends[i] : p.ends[i + 1]], q.points[q.ends[j] : q.ends[j + 1]]
+                overlap = np.minimum(vec[mine][:, None, :], vec[theirs][None, :, :]).sum(2, dtype=np.int64)
+                near = may_link(overlap, n[mine][:, None] + n[theirs][None, :], pct)
+                if right is None and i == j:
+                    near &= np.arange(len(mine))[:, None] < np.arange(len(theirs))
+                u, v = np.nonzero(near)
+                if len(u):
+                    yield mine[u], theirs[v]
+
+
 def tree_pairs(n: np.ndarray, vec: np.ndarray, pct: int, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """R-tree join of two sets of points (positions left and right): pairs whose bound reaches the threshold.
-
-    Both trees are bulk-loaded in order of size; boxes keep their upper corner and range of sizes.
-    """
-
-    def load(points: np.ndarray):
-        points = points[np.lexsort((vec[points, 0], n[points]))]
-        starts = np.arange(0, len(points), LEAF)
-        top = np.maximum.reduceat(vec[points], starts, axis=0) if len(points) else vec[:0]
-        low = n[points][starts]
-        high = n[points][np.minimum(starts + LEAF, len(points)) - 1]
-        return points, starts, top, low, high
-
-    p, ps, ptop, plow, phigh = load(left)
-    q, qs, qtop, qlow, qhigh = load(right)
-    got_a, got_b = [], []
-    for i in range(len(ps)):
-        fits = (100 * qhigh >= pct * plow[i]) & (100 * phigh[i] >= pct * qlow)
-        fits = np.flatnonzero(fits)
-        if not len(fits):
-            continue
-        bound = np.minimum(ptop[i], qtop[fits]).sum(1)
-        fits = fits[may_link(bound, plow[i] + qlow[fits], pct)]
-        mine = p[ps[i] : ps[i] + LEAF]
-        for j in fits:
-            theirs = q[qs[j] : qs[j] + LEAF]
-            overlap = np.minimum(vec[mine][:, None, :], vec[theirs][None, :, :]).sum(2)
-            a, b = np.nonzero(may_link(overlap, n[mine][:, None] + n[theirs][None, :], pct))
-            got_a.append(mine[a])
-            got_b.append(theirs[b])
+    """All pairs of two sets of points whose bound reaches the threshold."""
+    got = list(tree_join(n, vec, pct, left, right))
     none = np.zeros(0, np.int64)
-    return (np.concatenate(got_a), np.concatenate(got_b)) if got_a else (none, none)
+    return (np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])) if got else (none, none)
 
 
-def _fold(batch: pa.RecordBatch, name: str, dtype) -> list[np.ndarray]:
-    return [np.frombuffer(x, dtype) for x in batch.column(name).to_pylist()]
+def counts(s: np.ndarray, groups: int) -> np.ndarray:
+    """A set's point: its number of tokens in each group."""
+    return np.bincount((bw.mix(s) % U(groups)).astype(np.int64), minlength=groups).astype(np.int32)
 
 
-def _sums(s: np.ndarray) -> tuple[np.uint64, np.uint64]:
-    """128 bits that stand for a set."""
-    if not len(s):
-        return U(0), U(0)
-    return np.add.reduce(bw.mix(s + U(0x1F83D9ABFB41BD6B))), np.add.reduce(bw.mix(s ^ U(0x5BE0CD19137E2179)))
+def shingles(text: bytes, k: int) -> set[tuple[bytes, ...]]:
+    """The shingles themselves."""
+    words = text.lower().split()  # both know ASCII only
+    if len(words) < k:
+        return {tuple(words)} if words else set()
+    return set(zip(*(words[j:] for j in range(k))))
 
 
-def _summaries(k: int) -> Callable:
-    def f(batches):
-        for b in batches:
-            got = [(len(s), *_sums(s)) for s in row_sets(b, 1, k)]
-            n, s1, s2 = zip(*got) if got else ((), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), *(pa.array(np.array(x, U).view(np.int64), pa.int64()) for x in (s1, s2))],
-                names=["doc_id", "n", "s1", "s2"],
-            )
+def linked(s: np.ndarray, t: np.ndarray, a: bytes, b: bytes, k: int, pct: int) -> bool:
+    """Whether two texts link: their hashed sets first, then, where these do, their shingles."""
+    at = np.minimum(np.searchsorted(t, s), len(t) - 1)
+    if not may_link(int((t[at] == s).sum()), len(s) + len(t), pct):
+        return False
+    x, y = shingles(a, k), shingles(b, k)
+    return bool(may_link(len(x & y), len(x) + len(y), pct))
 
-    return f
+
+def _digest(s: np.ndarray) -> tuple[int, int]:
+    """128 bits that stand for a set, as signed numbers."""
+    if not len(s):
+        return 0, 0
+    sums = np.array([np.add.reduce(bw.mix(s + U(0x1F83D9ABFB41BD6B))), np.add.reduce(bw.mix(s ^ U(0x5BE0CD19137E2179)))], U)
+    return tuple(sums.view(np.int64).tolist())
+
+
+def _node(digest: tuple[int, int], clashes: frozenset[int]) -> int:
+    """The node of a set: half its digest, without the last bit, or the other half where two sets agree in the first."""
+    return (digest[1] if (digest[0] & ~1) in clashes else digest[0]) & ~1
 
 
-def _tokens(k: int) -> Callable:
+def _summaries(k: int) -> Callable:
     def f(batches):
         for b in batches:
-            sets = list(row_sets(b, 0, k))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64) if sets else [], pa.int64())], names=["token"])
+            got = [(len(s), *_digest(s)) for s in row_sets(b, 1, k)]
+            columns = zip(*got) if got else ((), (), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in columns)], names=["doc_id", "n", "s1", "s2"])
 
     return f
 
 
-def common_tokens(texts: DataFrame, k: int) -> np.ndarray:
-    """The commonest tokens of a sample of documents drawn by a hash of the key; COMMON_MOST at most."""
+def _sample(texts: DataFrame) -> DataFrame:
+    """About SAMPLE_DOCS texts, drawn by a hash of the key; one for each key."""
     share = SAMPLE_DOCS / max(1, texts.count())
     u = F.shiftrightunsigned(F.xxhash64(F.lit("shingles"), "doc_id"), 11).cast("double") / float(1 << 53)
-    counted = texts.where(u < share).select("text").mapInArrow(_tokens(k), "token long").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON_DOCS)
-    return np.array([r["token"] for r in counted.orderBy(F.desc("n"), "token").limit(COMMON_MOST).collect()], np.int64).view(U)
+    return texts.where(u < share).groupBy("doc_id").agg(F.min("text").alias("text"))
 
 
-def _signed(k: int, pct: int, common) -> Callable:
-    """(sig, rep) of every set. A task names a set once, by the first row that has it, as far as its memory goes."""
-
-    def f(batches):
-        classes, seen, known = size_classes(pct), set(), Common(common.value)
-        def rows(out, ids):
-            rep = np.repeat(np.array(ids, np.int64), [len(x) for x in out])
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(rep)], names=["sig", "rep"])
+def common_tokens(sample: DataFrame, k: int) -> np.ndarray:
+    """The commonest tokens of a sample of documents; COMMON_MOST at most."""
 
+    def tokens(batches):
         for b in batches:
-            out, ids, n = [], [], 0
-            for doc, s in zip(b.column(0).to_pylist(), row_sets(b, 1, k)):
-                if not len(s) or (one := _sums(s)) in seen:
-                    continue
-                if len(seen) >= SEEN:
-                    seen.clear()
-                seen.add(one)
-                out.append(signatures(s, pct, classes, known))
-                ids.append(doc)
-                n += len(out[-1])
-                if n > 1 << 18:
-                    yield rows(out, ids)
-                    out, ids, n = [], [], 0
-            if out:
-                yield rows(out, ids)
+            sets = list(row_sets(b, 1, k))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64) if sets else [], pa.int64())], names=["token"])
 
-    return f
+    counted = sample.mapInArrow(tokens, "token long").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON_DOCS)
+    return np.array([r["token"] for r in counted.orderBy(F.desc("n"), "token").limit(COMMON_MOST).collect()], np.int64).view(U)
 
 
-def _points(k: int) -> Callable:
+class Named:
+    """The (sig, node) of sets, each set named once, by the first row that has it, as far as this task's memory goes. A
+    signature's last bit is 0. leaders: the hot signatures, as sorted numbers, and a node of each; these are given as the
+    leader with last bit 1, once a leader."""
+
+    def __init__(self, pct: int, common: np.ndarray, clashes: frozenset[int], leaders: tuple[np.ndarray, np.ndarray] | None = None):
+        self.pct, self.classes, self.common, self.clashes, self.leaders = pct, size_classes(pct), Common(common), clashes, leaders
+        self.seen: set[int] = set()
+
+    def of(self, s: np.ndarray) -> tuple[np.ndarray, int] | None:
+        if not len(s) or (node := _node(_digest(s), self.clashes)) in self.seen:
+            return None
+        if len(self.seen) >= SEEN:
+            self.seen.clear()
+        self.seen.add(node)
+        sigs = signatures(s, self.pct, self.classes, self.common) & ~1
+        if self.leaders is not None and len(self.leaders[0]):
+            known, lead = self.leaders
+            at = np.minimum(np.searchsorted(known, sigs), len(known) - 1)
+            hot = known[at] == sigs
+            if hot.any():
+                sigs = np.concatenate([sigs[~hot], np.unique(lead[at[hot]]) | 1])
+        return sigs, node
+
+
+def _signed(k: int, make: Callable[[], Named], column: int = 1) -> Callable:
     def f(batches):
-        def rows(b, done, n, vec, sets):
-            own = b.slice(done, len(n))
-            return pa.RecordBatch.from_arrays(
-                [own.column(0), own.column(2), own.column(3), pa.array(n, pa.int64()), pa.array(vec, pa.binary()), pa.array(sets, pa.binary())],
-                names=["node", "cluster", "small", "n", "vec", "tokens"],
-            )
+        named = make()
+
+        def rows(out, nodes):
+            node = np.repeat(np.array(nodes, np.int64), [len(x) for x in out])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(node)], names=["sig", "node"])
 
         for b in batches:
-            n, vec, sets, done = [], [], [], 0
-            for s in row_sets(b, 1, k):
-                n.append(len(s))
-                vec.append(np.bincount((bw.mix(s) % U(GROUPS)).astype(np.int64), minlength=GROUPS).astype(np.int32).tobytes())
-                sets.append(s.tobytes())
-                if len(n) == 1024:
-                    yield rows(b, done, n, vec, sets)
-                    n, vec, sets, done = [], [], [], done + 1024
-            if n:
-                yield rows(b, done, n, vec, sets)
+            out, nodes, n = [], [], 0
+            for s in row_sets(b, column, k):
+                if (got := named.of(s)) is None:
+                    continue
+                out.append(got[0])
+                nodes.append(got[1])
+                n += len(got[0])
+                if n > 1 << 18:
+                    yield rows(out, nodes)
+                    out, nodes, n = [], [], 0
+            if out:
+                yield rows(out, nodes)
 
     return f
 
 
-def _bounded(pct: int) -> Callable:
-    """Of rows (x, y, nx, ny, vx, vy) those whose points may link."""
+def _acyclic(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a partition's ties those that connect what was not connected yet."""
+    up: dict[int, int] = {}
 
-    def f(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            vx, vy = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.int32).reshape(-1, GROUPS) for c in ("vx", "vy"))
-            total = b.column("nx").to_numpy() + b.column("ny").to_numpy()
-            keep = pa.array(may_link(np.minimum(vx, vy).sum(1, dtype=np.int64), total, pct))
-            yield pa.RecordBatch.from_arrays([b.column("x").filter(keep), b.column("y").filter(keep)], names=["x", "y"])
+    def root(x: int) -> int:
+        top = x
+        while up.setdefault(top, top) != top:
+            top = up[top]
+        while up[x] != top:
+            up[x], x = top, up[x]
+        return top
+
+    for b in batches:
+        us, vs = [], []
+        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            p, q = root(u), root(v)
+            if p != q:
+                up[max(p, q)] = min(p, q)
+                us.append(u)
+                vs.append(v)
+        if len(up) > RING_NODES:
+            up.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
-    return f
 
+def _ties(signed: DataFrame) -> DataFrame:
+    """(u, v): a forest, in each partition, of nodes tied to the least node of a signature or to its leader."""
+    led = F.col("sig").bitwiseAND(1) == 1
+    # a running minimum: rows stream through, and the nodes of a signature are not held together. Rows that know their
+    # leader are spread by their node.
+    order = Window.partitionBy("key").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    least = F.when(led, F.col("sig") - 1).otherwise(F.min("node").over(order))
+    met = signed.withColumn("key", F.when(led, F.col("node")).otherwise(F.col("sig"))).select("node", least.alias("least")).where("node <> least")
+    return met.mapInArrow(_acyclic, "u long, v long")
 
-def _exact(pct: int) -> Callable:
-    """Of rows (x, y, tx, ty) those whose sets link."""
+
+def _found(k: int, clashes: frozenset[int], columns: tuple[str, ...]) -> Callable:
+    """Of rows (text, node, ...) those whose text has that node, once each as far as this task's memory goes."""
 
     def f(batches):
+        seen: set[int] = set()
         for b in batches:
             keep = []
-            for p, q in zip(_fold(b, "tx", U), _fold(b, "ty", U)):
-                at = np.searchsorted(q, p)
-                both = int((q[np.minimum(at, len(q) - 1)] == p).sum())
-                keep.append(may_link(both, len(p) + len(q), pct))
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column("x").filter(keep), b.column("y").filter(keep)], names=["u", "v"])
+            for s, node in zip(row_sets(b, 0, k), b.column(1).to_pylist()):
+                keep.append(node not in seen and node == _node(_digest(s), clashes))
+                if keep[-1]:
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(node)
+            yield b.select(list(columns)).filter(pa.array(keep, pa.bool_()))
 
     return f
 
 
-def _verified(pairs: DataFrame, points: DataFrame, pct: int) -> DataFrame:
-    """The links (u, v) among pairs (x, y): bound on the points first, exact sets for what is left."""
-
-    def side(s: str, value: str, new: str) -> DataFrame:
-        return points.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col(value).alias(new))
-
-    near = pairs.join(side("x", "vec", "vx"), "x").join(side("y", "vec", "vy"), "y").select("x", "y", "nx", "ny", "vx", "vy")
-    near = scratch.written(near.mapInArrow(_bounded(pct), "x long, y long"), "bounded")
-    full = near.join(side("x", "tokens", "tx"), "x").join(side("y", "tokens", "ty"), "y").select("x", "y", "tx", "ty")
-    return full.mapInArrow(_exact(pct), "u long, v long")
-
-
-def cluster_links(nodes: np.ndarray, sets: list[np.ndarray], pct: int) -> list[tuple[int, int]]:
+def cluster_links(nodes: list[int], sets: list[np.ndarray], texts: list[bytes], k: int, pct: int) -> list[tuple[int, int]]:
     """Links that connect what is connected among a cluster's documents."""
     n = np.array([len(s) for s in sets])
-    vec = np.stack([np.bincount((bw.mix(s) % U(FINE_GROUPS)).astype(np.int64), minlength=FINE_GROUPS) for s in sets]).astype(np.int32)
-    every = np.arange(len(sets))
-    a, b = tree_pairs(n, vec, pct, every, every)
+    vec = np.stack([counts(s, FINE_GROUPS) for s in sets])
     up, out = list(range(len(sets))), []
 
     def root(x: int) -> int:
@@ -335,55 +424,94 @@ def cluster_links(nodes: np.ndarray, sets: list[np.ndarray], pct: int) -> list[t
             x = up[x]
         return x
 
-    for x, y in zip(a.tolist(), b.tolist()):
-        if x < y and (p := root(x)) != (q := root(y)):
-            s, t = sets[x], sets[y]
-            at = np.minimum(np.searchsorted(t, s), len(t) - 1)
-            if may_link(int((t[at] == s).sum()), len(s) + len(t), pct):
+    for a, b in tree_join(n, vec, pct, np.arange(len(sets))):
+        for x, y in zip(a.tolist(), b.tolist()):
+            if (p := root(x)) != (q := root(y)) and linked(sets[x], sets[y], texts[x], texts[y], k, pct):
                 up[max(p, q)] = min(p, q)
-                out.append((int(nodes[x]), int(nodes[y])))
+                out.append((nodes[x], nodes[y]))
     return out
 
 
-def _clusters(pct: int) -> Callable:
-    """Links of clusters whose rows (cluster, node, tokens) come together."""
+def _clusters(k: int, pct: int) -> Callable:
+    """Links of clusters whose rows (cluster, node, text) come together."""
 
     def f(batches):
-        cluster, nodes, sets = None, [], []
+        cluster, nodes, sets, texts = None, [], [], []
 
         def out():
-            got = cluster_links(np.array(nodes), sets, pct) if len(nodes) > 1 else []
+            got = cluster_links(nodes, sets, texts, k, pct) if len(nodes) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], pa.int64()) for i in (0, 1)], names=["u", "v"])
 
         for b in batches:
-            for c, node, tokens in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+            for c, node, s, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), row_sets(b, 2, k), b.column(2)):
                 if c != cluster:
                     yield out()
-                    cluster, nodes, sets = c, [], []
-                nodes.append(node)
-                sets.append(np.frombuffer(tokens.as_py(), U))
+                    cluster, nodes, sets, texts = c, [], [], []
+                if node not in nodes[-1:]:  # rows of a cluster are in order of their node
+                    nodes.append(node)
+                    sets.append(s)
+                    texts.append(text.as_py().encode())
         yield out()
 
     return f
 
 
+def _hubs(k: int, pct: int) -> Callable:
+    """Links of rows (hub, chunk, node, text) that come sorted with the hub itself first."""
+
+    def f(batches):
+        hub, held, raw = None, None, b""
+        for b in batches:
+            u, v = [], []
+            for h, c, node, s, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), row_sets(b, 4, k), b.column(4)):
+                text = text.as_py().encode()
+                if node == h:
+                    hub, held, raw = (h, c), s, text
+                elif hub == (h, c) and linked(s, held, text, raw, k, pct):
+                    u.append(node)
+                    v.append(h)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return f
+
+
+def _verified(pairs: DataFrame, bodies: DataFrame, k: int, pct: int) -> DataFrame:
+    """The links (u, v) among distinct pairs (x, hub): the texts of up to CELL partners go with a copy of the hub's."""
+    sizes = scratch.written(pairs.groupBy("hub").agg(F.ceil(F.count("*") / CELL).cast("int").alias("chunks")), "hubs")
+    dealt = pairs.join(scratch.lookup(sizes), "hub").select("hub", F.pmod(F.xxhash64("x"), F.col("chunks")).cast("int").alias("chunk"), F.col("x").alias("node"))
+    own = sizes.select("hub", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("hub").alias("node"))
+    rows = dealt.union(own).join(bodies, "node").select("hub", "chunk", (F.col("node") != F.col("hub")).alias("other"), "node", "text")
+    rows = rows.repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "other")
+    return scratch.written(rows.mapInArrow(_hubs(k, pct), "u long, v long"), "links")
+
+
+def _points(k: int) -> Callable:
+    def f(batches):
+        for b in batches:
+            sets = list(row_sets(b, 1, k))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([counts(s, GROUPS).tobytes() for s in sets], pa.binary())], names=["node", "n", "vec"]
+            )
+
+    return f
+
+
 def _cells(pct: int) -> Callable:
     """Join the trees' cells, which come sorted: rows (sig, i, j, side, node, comp, n, vec). Cell (i, j) holds chunk i
-    and, when j differs, chunk j. Emits pairs (x, y) across components."""
+    and, when j differs, chunk j. Emits pairs (x, hub) across components."""
 
-    def joined(rows: dict[str, np.ndarray]):
+    def joined(rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         n, vec, comp, node = rows["n"], rows["vec"], rows["comp"], rows["node"]
         left, right = np.flatnonzero(rows["side"] == 0), np.flatnonzero(rows["side"] == 1)
-        a, b = tree_pairs(n, vec, pct, left, right if len(right) else left)
-        keep = (comp[a] != comp[b]) & (node[a] < node[b] if not len(right) else node[a] != node[b])
-        return np.maximum(node[a][keep], node[b][keep]), np.minimum(node[a][keep], node[b][keep])
+        if rows["i"][0] != rows["j"][0] and not len(right):
+            return
+        for a, b in tree_join(n, vec, pct, left, right if len(right) else None):
+            keep = (comp[a] != comp[b]) & (node[a] != node[b])
+            x, y = node[a][keep], node[b][keep]
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], names=["x", "hub"])
 
     def f(batches):
         held: dict[str, np.ndarray] | None = None
-
-        def out(x, y):
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["x", "y"])
-
         for b in batches:
             if not b.num_rows:
                 continue
@@ -394,98 +522,162 @@ def _cells(pct: int) -> Callable:
             new = np.concatenate([[True], (now["sig"][1:] != now["sig"][:-1]) | (now["i"][1:] != now["i"][:-1]) | (now["j"][1:] != now["j"][:-1])])
             at = np.flatnonzero(new)
             for s, e in zip(at[:-1], at[1:]):
-                yield out(*joined({c: v[s:e] for c, v in now.items()}))
+                yield from joined({c: v[s:e] for c, v in now.items()})
             held = {c: v[at[-1] :] for c, v in now.items()}
         if held is not None:
-            yield out(*joined(held))
+            yield from joined(held)
 
     return f
 
 
-def _hard_pairs(edges: DataFrame, links: DataFrame, points: DataFrame, pct: int) -> DataFrame:
-    """Pairs across components in the trees that still hold several."""
+def _open(trees: DataFrame, links: DataFrame) -> DataFrame:
+    """(sig, node, comp, members, least, its) of the trees whose nodes lie in several components, of trees with the same
+    nodes one. least: the tree's least node; its: that one's component."""
     comp = scratch.written(components(links), "near")
-    named = lambda c: comp.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
-    where = edges.join(named("rep"), "rep", "left").join(named("least"), "least", "left").select(
-        "sig", "rep", F.coalesce("c_rep", "rep").alias("comp"), F.coalesce("c_least", "least").alias("c_least")
-    )
-    # the least member has been tried with all others; a tree is open if the others lie in several components, not all of them its own
-    open_trees = where.groupBy("sig").agg(
-        F.count("*").alias("members"), F.min("comp").alias("lo"), F.max("comp").alias("hi")
-    ).where("lo <> hi").select("sig", F.ceil(F.col("members") / CELL).cast("int").alias("chunks"))
-    rows = where.join(open_trees, "sig").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
-    others = F.sequence(F.lit(0), F.col("chunks") - 1)
-    cells = rows.withColumn("other", F.explode(others)).select(
+    named = trees.join(comp, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("comp"))
+    kinds = named.groupBy("sig").agg(
+        F.count("*").alias("members"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("node", "comp")).alias("first"),
+        F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("a"), F.sum(F.xxhash64(F.lit(1), "node").cast("decimal(38,0)")).alias("b"),
+    ).where("lo <> hi")
+    one = kinds.groupBy("members", "a", "b").agg(F.min("sig").alias("sig"), F.first("first").alias("first"))
+    some = scratch.written(one.select("sig", "members", F.col("first.node").alias("least"), F.col("first.comp").alias("its")), "open")
+    return scratch.written(named.join(scratch.lookup(some), "sig"), "apart")
+
+
+def _cell_pairs(apart: DataFrame, points: DataFrame, pct: int) -> DataFrame:
+    """Pairs (x, hub) across components that the trees' joins leave."""
+    chunks = F.ceil(F.col("members") / CELL).cast("int")
+    rows = apart.withColumn("chunk", F.pmod(F.xxhash64("node"), chunks).cast("int"))
+    # rows are dealt before they are repeated, as those of a large tree come together
+    cells = rows.repartition("sig", "node").withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1))).select(
         "sig", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"),
-        F.when(F.col("chunk") > F.col("other"), 1).otherwise(0).alias("side"), F.col("rep").alias("node"), "comp",
+        F.when(F.col("chunk") > F.col("other"), 1).otherwise(0).alias("side"), "node", "comp",
     )
-    full = cells.join(points.select("node", "n", "vec"), "node")
-    dealt = full.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
-    return dealt.select("sig", "i", "j", "side", "node", "comp", "n", "vec").mapInArrow(_cells(pct), "x long, y long").distinct()
+    full = cells.join(points, "node").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+    return full.select("sig", "i", "j", "side", "node", "comp", "n", "vec").mapInArrow(_cells(pct), "x long, hub long").distinct()
+
+
+def _large_links(large: DataFrame, texts: DataFrame, ties: DataFrame, k: int, pct: int, common, clashes: frozenset[int]) -> DataFrame:
+    """Links that connect what is connected among the nodes of large clusters. large: node, doc_id."""
+    held = texts.join(scratch.lookup(large), "doc_id").select("text", "node").mapInArrow(_found(k, clashes, ("node", "text")), "node long, text string")
+    bodies = scratch.written(held.dropDuplicates(["node"]), "bodies")
+    own = ties.join(large.select(F.col("node").alias("u")), "u", "left_semi").groupBy("u", "v").agg(F.count("*").alias("n"))
+    nearest = own.groupBy(F.col("u").alias("x")).agg(F.max_by("v", F.struct("n", "v")).alias("hub"))
+    links = _verified(scratch.written(nearest, "pairs"), bodies, k, pct)
+    trees = scratch.written(bodies.mapInArrow(_signed(k, lambda: Named(pct, common.value, clashes)), "sig long, node long"), "trees")
+    apart = _open(trees, links)
+    star = apart.where("comp <> its").select(F.col("node").alias("x"), F.col("least").alias("hub")).distinct()
+    links = scratch.written(links.union(_verified(scratch.written(star, "pairs"), bodies, k, pct)), "links")
+    apart = _open(trees, links)
+    points = scratch.written(bodies.mapInArrow(_points(k), "node long, n long, vec binary"), "points")
+    return links.union(_verified(scratch.written(_cell_pairs(apart, points, pct), "pairs"), bodies, k, pct))
+
+
+def _members(ties: DataFrame, reps: DataFrame) -> DataFrame:
+    """node, cluster, doc_id (of a row that has it) and whether the cluster is small, for every node that met another."""
+    coarse = scratch.written(components(ties), "coarse")
+    ends = coarse.select("node", "component").union(coarse.select("component", "component").distinct())
+    named = scratch.written(ends.join(reps, "node").select("node", F.col("component").alias("cluster"), F.col("rep").alias("doc_id"), "n"), "clusters")
+    large = named.groupBy("cluster").agg(F.count("*").alias("m"), F.sum("n").alias("t")).where(f"m > {CELL} or t > {CELL_TOKENS}").select("cluster", F.lit(True).alias("large"))
+    large = scratch.lookup(scratch.written(large, "large"))
+    return scratch.written(named.join(large, "cluster", "left").select("node", "cluster", "doc_id", F.col("large").isNull().alias("small")), "members")
+
+
+def _links(texts: DataFrame, reps: DataFrame, k: int, pct: int, clashes: frozenset[int]) -> DataFrame:
+    """Links (u, v) of nodes that connect what is connected."""
+    context = texts.sparkSession.sparkContext
+    known = texts.where("doc_id is not null")
+    sample = scratch.written(_sample(known), "sample")
+    common = context.broadcast(common_tokens(sample, k))
+    plain = lambda: Named(pct, common.value, clashes)
+    shared = sample.mapInArrow(_signed(k, plain), "sig long, node long").groupBy("sig").agg(F.count("*").alias("n"), F.min("node").alias("lead")).where(F.col("n") >= HOT_DOCS)
+    hot = sorted((r["sig"], r["lead"]) for r in shared.collect())  # at most the sample's signatures / HOT_DOCS
+    leaders = context.broadcast((np.array([h[0] for h in hot], np.int64), np.array([h[1] for h in hot], np.int64)))
+    signed = known.mapInArrow(_signed(k, lambda: Named(pct, common.value, clashes, leaders.value)), "sig long, node long")
+    ties = scratch.written(_ties(signed), "ties")
+    members = _members(ties, reps)
+    small = known.join(scratch.lookup(members.where("small").select("doc_id", "node", "cluster")), "doc_id").select("text", "node", "cluster")
+    near = small.mapInArrow(_found(k, clashes, ("cluster", "node", "text")), "cluster long, node long, text string")
+    links = scratch.written(near.repartition("cluster").sortWithinPartitions("cluster", "node").mapInArrow(_clusters(k, pct), "u long, v long"), "links")
+    large = members.where("not small").select("node", "doc_id")
+    if large.limit(1).count():
+        links = links.union(_large_links(scratch.written(large, "far"), known, ties, k, pct, common, clashes))
+    return links
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, pct: int = 80) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _grouped(texts: DataFrame, k: int, pct: int) -> tuple[DataFrame, DataFrame, frozenset[int]]:
+    """(doc_id, n, s1, s2) of every row; (n, s1, s2, node, root, rep, component) of every set that is not empty and has
+    copies or links: root is the same for sets that links connect, component the least doc_id among these."""
     sets = scratch.written(texts.mapInArrow(_summaries(k), "doc_id long, n long, s1 long, s2 long"), "sets")
-    reps = scratch.written(sets.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "reps")
+    half = F.col("s1").bitwiseAND(~1)
+    reps = sets.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    reps = scratch.written(reps.withColumn("half", half), "sets")
+    # sets that agree in half their digest: none but for chance, one in 2**64 pairs
+    clashes = frozenset(r["half"] for r in reps.groupBy("half").count().where("count > 1").select("half").collect())
+    if clashes:
+        reps = reps.withColumn("half", F.when(F.col("half").isin(list(clashes)), F.col("s2").bitwiseAND(~1)).otherwise(F.col("half")))
+    reps = reps.withColumnRenamed("half", "node")
     with scratch.scope() as keep:
-        keep(found := components(_links(texts, sets, reps, k, pct)))
-    named = reps.join(found, F.col("rep") == F.col("node"), "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("its"))
-    return sets.join(named, ["s1", "s2", "n"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("its", "doc_id").alias("component_id")
+        keep(found := components(_links(texts, reps, k, pct, clashes)))
+    ends = scratch.written(found.union(found.select("component", "component").distinct()).join(reps.select("node", "rep"), "node"), "ends")
+    least = scratch.written(ends.groupBy("component").agg(F.min("rep").alias("its")), "least")
+    its = scratch.written(ends.join(least, "component").select("node", F.col("component").alias("root"), "its"), "its")
+    groups = reps.join(its, "node", "left").where("copies > 1 or its is not null").select(
+        "n", "s1", "s2", "node", F.coalesce("root", "node").alias("root"), "rep", F.coalesce("its", "rep").alias("component")
     )
+    return sets, scratch.written(groups, "groups"), clashes
 
 
-def _links(texts: DataFrame, sets: DataFrame, reps: DataFrame, k: int, pct: int) -> DataFrame:
-    """Links (u, v) that connect what is connected."""
-    copies = scratch.written(sets.join(reps.where("copies > 1"), ["s1", "s2", "n"]).where("doc_id <> rep").select("doc_id", "rep").distinct(), "copies")
-    common = texts.sparkSession.sparkContext.broadcast(common_tokens(texts, k))
-    signed = texts.where("doc_id is not null").mapInArrow(_signed(k, pct, common), "sig long, rep long")
-    met = signed.select("sig", "rep", F.min("rep").over(_by_tree()).alias("least")).where("rep > least")
-    # only now, on the few rows that met another, copies give way to the one document that stands for them
-    copies = scratch.lookup(copies)
-    stands = lambda c: copies.select(F.col("doc_id").alias(c), F.col("rep").alias(f"{c}_stands"))
-    met = scratch.written(met, "met").join(stands("rep"), "rep", "left").join(stands("least"), "least", "left")
-    edges = scratch.written(
-        met.select("sig", F.coalesce("rep_stands", "rep").alias("rep"), F.coalesce("least_stands", "least").alias("least")).where("rep <> least"), "edges"
-    )
-    pairs = scratch.written(edges.select(F.greatest("rep", "least").alias("x"), F.least("rep", "least").alias("y")).distinct(), "pairs")
-    members = _members(pairs, reps)
-    points = texts.join(scratch.lookup(members), "doc_id").select("doc_id", "text", "cluster", "small")
-    points = scratch.written(points.mapInArrow(_points(k), "node long, cluster long, small boolean, n long, vec binary, tokens binary"), "points")
-    near = points.where("small").select("cluster", "node", "tokens").repartition("cluster").sortWithinPartitions("cluster")
-    links = scratch.written(near.mapInArrow(_clusters(pct), "u long, v long"), "links")
-    large = members.where("not small").select("doc_id")
-    if large.limit(1).count():
-        far = scratch.written(_verified(pairs.join(large, F.col("x") == F.col("doc_id"), "left_semi"), points, pct), "links")
-        open_edges = edges.join(large, F.col("rep") == F.col("doc_id"), "left_semi")
-        more = _verified(scratch.written(_hard_pairs(open_edges, far, points, pct), "hard"), points, pct)
-        links = links.union(far).union(more)
-    return links
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def _members(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """doc_id, cluster and whether it is small, for every document that met another."""
-    coarse = scratch.written(components(pairs.select(F.col("x").alias("u"), F.col("y").alias("v"))), "coarse")
-    nodes = pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")).distinct()
-    tokens = reps.groupBy(F.col("rep").alias("doc_id")).agg(F.sum("n").alias("n"))
-    named = nodes.join(coarse, F.col("doc_id") == F.col("node"), "left").join(tokens, "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("cluster"), "n")
-    named = scratch.written(named, "clusters")
-    sizes = named.groupBy("cluster").agg(((F.count("*") <= CELL) & (F.sum("n") <= CELL_TOKENS)).alias("small"))
-    return scratch.written(named.join(sizes, "cluster").select("doc_id", "cluster", "small"), "members")
+def jaccard_components(docs: DataFrame, k: int = 5, pct: int = 80) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id."""
+    sets, groups, _ = _grouped(_texts(docs), k, pct)
+    named = scratch.lookup(groups.select("n", "s1", "s2", "component"))
+    return sets.join(named, ["n", "s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _by_tree():
-    from pyspark.sql import Window
+def _marked(k: int, names: list[str]) -> Callable:
+    """Rows with n, s1, s2 of their text, which is the last column and goes."""
 
-    # a running minimum: rows stream through, and a tree's members are not held together
-    return Window.partitionBy("sig").orderBy("rep").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    def f(batches):
+        for b in batches:
+            got = [(len(s), *_digest(s)) for s in row_sets(b, len(names) + 1, k)]
+            columns = zip(*got) if got else ((), (), ())
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names) + 1], *(pa.array(x, pa.int64()) for x in columns)], names=[*names, "__id", "__n", "__s1", "__s2"])
+
+    return f
 
 
 def one_of_each(docs: DataFrame, k: int = 5, pct: int = 80) -> DataFrame:
-    """The documents that name their component (its least doc_id), in the columns they came with; rows with a null
-    doc_id stay. Of rows that share a doc_id all stay."""
-    found = jaccard_components(docs, k, pct).where("doc_id <> component_id").select(F.col("doc_id").alias("__dropped")).distinct()
-    dropped = scratch.written(found, "dropped")
-    return docs.join(scratch.lookup(dropped), F.col("doc_id").cast("long") == F.col("__dropped"), "left_anti")
+    """One row of each group of equal or linked texts, in the columns docs came with: of the rows with the group's least
+    doc_id one (of several texts under it, the one of the least node). Texts without a word all stay, as do texts linked
+    with nothing. Rows are told apart by doc_id, and only where that does not suffice (it is null or repeated) by their
+    text once more; rows with a null doc_id stand for a group only where it has no other."""
+    sets, groups, _ = _grouped(_texts(docs), k, pct)
+    best = scratch.written(groups.where("rep = component").groupBy("root").agg(F.min("node").alias("best")), "best")
+    ruled = groups.join(scratch.lookup(best), "root", "left").select("n", "s1", "s2", "rep", (F.col("component").isNull() | (F.col("node") == F.col("best"))).alias("stays"))
+    ruled = scratch.lookup(scratch.written(ruled, "ruled"))
+    rows = sets.join(ruled, ["n", "s1", "s2"]).select("doc_id", "n", "s1", "s2", (F.col("stays") & F.col("doc_id").eqNullSafe(F.col("rep"))).alias("stays"))
+    rows = scratch.written(rows, "rows")
+    dropped = scratch.written(rows.where("not stays and doc_id is not null").select("doc_id").distinct(), "dropped")
+    many = F.count("*").alias("rows")
+    shared = sets.join(scratch.lookup(dropped), "doc_id", "left_semi").groupBy("doc_id").agg(many).where("rows > 1").select("doc_id")
+    again = rows.where("stays").groupBy("doc_id", "n", "s1", "s2").agg(many).where("rows > 1").select("doc_id")
+    unsure = scratch.written(shared.union(again).union(rows.where("doc_id is null").select("doc_id")).distinct(), "unsure")
+    key = F.col("doc_id").cast("long")
+    gone = scratch.written(dropped.union(unsure).distinct().select(F.col("doc_id").alias("__gone")), "gone")
+    if not unsure.limit(1).count():
+        return docs.join(scratch.lookup(gone), key == F.col("__gone"), "left_anti")
+    known, names = docs.columns, [f"__c{i}" for i in range(len(docs.columns))]
+    plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(known, names)], key.alias("__id"), F.col("text").cast("string").alias("__text"))
+    clear = plain.join(scratch.lookup(gone), F.col("__id").eqNullSafe(F.col("__gone")), "left_anti").select(*names)
+    doubtful = plain.join(scratch.lookup(unsure.select(F.col("doc_id").alias("__gone"))), F.col("__id").eqNullSafe(F.col("__gone")), "left_semi")
+    schema = doubtful.drop("__text").schema.add("__n", "long").add("__s1", "long").add("__s2", "long")
+    named = ruled.select(F.col("n").alias("__n"), F.col("s1").alias("__s1"), F.col("s2").alias("__s2"), "rep", "stays")
+    told = scratch.written(doubtful.mapInArrow(_marked(k, names), schema).join(named, ["__n", "__s1", "__s2"], "left"), "told")
+    firsts = told.where("stays and __id <=> rep").dropDuplicates(["__id", "__n", "__s1", "__s2"])
+    out = clear.union(told.where("stays is null").select(*names)).union(firsts.select(*names))
+    return out.select(*[F.col(n).alias(c) for c, n in zip(known, names)])

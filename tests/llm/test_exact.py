@@ -354,6 +354,67 @@ def test_tree_join_keeps_what_the_bound_keeps():
     assert set(zip(a.tolist(), b.tolist())) == set(zip(*map(list, np.nonzero(want))))
 
 
+def test_tree_join_descends():
+    """A self-join gives each pair once, trees of different heights meet, and most boxes are never compared."""
+    rng = np.random.default_rng(1)
+    centres = rng.poisson(3, (40, 32))
+    vec = (np.repeat(centres, 50, axis=0) + (rng.random((2000, 32)) < 0.01)).astype(np.int32)
+    n, every = vec.sum(1).astype(np.int64), np.arange(2000)
+    want = jaccard_join.may_link(np.minimum(vec[:, None], vec[None]).sum(2), n[:, None] + n[None], 90)
+    tree = jaccard_join.Tree(n, vec, every)
+    assert len(tree.levels) > 2 and sorted(tree.points.tolist()) == every.tolist()
+    pairs = [tuple(sorted(p)) for a, b in jaccard_join.tree_join(n, vec, 90, every) for p in zip(a.tolist(), b.tolist())]
+    assert len(set(pairs)) == len(pairs) and set(pairs) == {(i, j) for i, j in zip(*map(list, np.nonzero(want))) if i < j}
+    few = rng.permutation(2000)[:20]
+    a, b = jaccard_join.tree_pairs(n, vec, 90, few, every)
+    assert set(zip(a.tolist(), b.tolist())) == {(i, j) for i in few.tolist() for j in np.flatnonzero(want[i]).tolist()}
+
+
+def thue_morse(n, a, b):
+    return "".join((a, b)[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_structured_words_do_not_link(spark):
+    """Words on which sums and polynomials modulo 2**64 agree."""
+    a, b = thue_morse(2048, "a", "b"), thue_morse(2048, "b", "a")
+    docs = [(1, "one two " + a), (2, "one two " + b), (3, a), (4, b), (5, thue_morse(64, "a", "b")), (6, thue_morse(64, "b", "a")), (7, "one two " + a)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string"), 3, 90).collect()}
+    assert got == {1: (1, 1), 2: (1, 2), 3: (1, 3), 4: (1, 4), 5: (1, 5), 6: (1, 6), 7: (1, 1)}
+
+
+def test_one_row_of_each_group(spark):
+    """Repeated rows, null keys and keys of several texts."""
+    rng = random.Random(8)
+    text = lambda: " ".join(str(rng.randrange(10**6)) for _ in range(40))
+    a, b, c, d, e = (text() for _ in range(5))
+    near = a + " end"
+    rows = [(5, a, 1), (5, a, 1), (3, near, 2), (3, b, 3), (4, b, 4), (None, a, 5), (None, c, 6), (None, c, 7), (9, d, 8), (9, e, 9), (2, d, 10), (7, None, 11), (7, None, 12), (None, "", 13)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __n int").repartition(3)
+    kept = jaccard_join.one_of_each(df, 5, 80)
+    assert kept.columns == df.columns
+    got = sorted(kept.collect(), key=lambda r: r["__n"])
+    # a and near: row 3; b: row 3 (least key 3); c: either; d: row 10; e: alone; no words: all stay
+    assert [(r["doc_id"], r["text"]) for r in got if r["__n"] not in (6, 7)] == [(3, near), (3, b), (9, e), (2, d), (7, None), (7, None), (None, "")]
+    assert len([r for r in got if r["__n"] in (6, 7)]) == 1
+
+
+@pytest.mark.parametrize("cell", [3, 1024])
+def test_hot_contents_lose_no_link(spark, monkeypatch, cell):
+    """Contents that many sampled documents share go to a leader known beforehand, with the same result."""
+    rng = random.Random(5)
+    base = [str(rng.randrange(1000)) for _ in range(60)]
+    docs = []
+    for i in range(150):
+        w = list(base) if i < 100 else [str(rng.randrange(1000)) for _ in range(30)] + base[:20]
+        for _ in range(rng.randrange(6)):
+            w[rng.randrange(len(w))] = str(rng.randrange(1000))
+        docs.append((i, " ".join(w)))
+    monkeypatch.setattr(jaccard_join, "HOT_DOCS", 4)
+    monkeypatch.setattr(jaccard_join, "CELL", cell)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), 3, 80).collect()}
+    assert got == jaccard_model(docs, 3, 80)
+
+
 # 10 top-k
 
 
