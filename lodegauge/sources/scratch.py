@@ -7,23 +7,29 @@ planner: a small one is broadcast because its size is known, a large one never i
 from __future__ import annotations
 
 import contextlib
+import re
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a few numbers each that may be broadcast: some 30 MB.
-LOOKUP_ROWS = 1_000_000
+#: Bytes of a lookup that may be broadcast, at 24 a row and 8 a column more (24 for strings).
+LOOKUP_BYTES = 16 << 20
 _own: dict[str, str] = {}
-_scopes: list[list[DataFrame]] = []
+#: Of each thread, what its open scopes hold.
+_local = threading.local()
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests), a temporary folder of this machine."""
+    """The folder named by spark.checkpoint.dir; where that is unset and the master is local (tests), a temporary folder
+    of this machine. A cluster that names none fails, as its machines would not see each other's folders."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="lodegauge-")
@@ -47,27 +53,30 @@ def written(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
-    for held in _scopes:
+    for held in getattr(_local, "scopes", []):
         held.append(out)
     return out
 
 
 def lookup(df: DataFrame) -> DataFrame:
     """A narrow written table to be joined to wide rows: marked for broadcast if it is counted to have at most
-    LOOKUP_ROWS rows, and left to the planner (an exchange of both sides) beyond that."""
-    return F.broadcast(df) if df.count() <= LOOKUP_ROWS else df
+    LOOKUP_BYTES, and left to the planner (an exchange of both sides) beyond that. Strings should be short names."""
+    row = 24 + sum(24 if kind == "string" else 8 for _, kind in df.dtypes)
+    return F.broadcast(df) if df.count() * row <= LOOKUP_BYTES else df
 
 
 @contextlib.contextmanager
 def scope():
-    """Delete the tables written inside, at the end, but for those passed to what this yields: keep(*frames)."""
+    """Delete the tables that this thread writes inside, at the end, but for those passed to what this yields:
+    keep(*frames)."""
     held: list[DataFrame] = []
     kept: list[DataFrame] = []
-    _scopes.append(held)
+    scopes = _local.scopes = getattr(_local, "scopes", [])
+    scopes.append(held)
     try:
         yield lambda *frames: kept.extend(frames)
     finally:
-        _scopes.pop()
+        scopes.pop()
         paths = {df.__dict__.get("_scratch_path") for df in kept}
         drop(*(df for df in held if df.__dict__.get("_scratch_path") not in paths))
 
