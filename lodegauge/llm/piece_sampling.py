@@ -8,8 +8,7 @@ the unit's place in the row and the step, compared in whole numbers (32 bits), s
 not on how rows are batched or dealt.
 
 Weights: the vocabulary's ranks as a Zipf law, ``(id + 2) ** -exponent``, raised to ``alpha``; a large alpha approaches
-the best segmentation, 0 makes all equally likely. Units of more than LONGEST bytes are cut, at characters, into parts
-of that size, which are segmented one by one.
+the best segmentation, 0 makes all equally likely. Units may have any length; nothing is cut.
 
 Nulls: a null text has no pieces and null ids; an empty text has none and empty ids. Null keys draw alike, and rows that
 share key and text get the same pieces. Extra columns are ignored.
@@ -25,11 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodegauge.llm import bytewords as bw
-from lodegauge.llm.pieces import Lattice, Vocabulary, cut_long, distinct, marked
+from lodegauge.llm.pieces import PLAIN, Lattice, Vocabulary, distinct, marked, vocabulary
 
 U = np.uint64
 VOCABULARY = "piece_bpe_32k.model"
-LONGEST = 64
 EXPONENT = 1.0
 SCHEMA = "doc_id long, n_pieces long, ids array<int>, lossless boolean"
 
@@ -50,25 +48,22 @@ def units(vocab: Vocabulary, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarr
     new[off[:-1]] = True
     start = np.flatnonzero(new)
     end = np.concatenate([start[1:], [len(buf)]])
-    start, end, _ = cut_long(start, end, begins, LONGEST)
     return start, end, np.searchsorted(off, start, side="right") - 1
 
 
-def sample_block(vocab: Vocabulary, weight: np.ndarray, buf: np.ndarray, off: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pieces of all rows of a block of marked texts, and their number by row. seeds: a number for each row."""
-    n = len(off) - 1
-    start, end, row = units(vocab, buf, off)
-    hashes = bw.Hashes(buf)
-    s, e, which = distinct(hashes.of(start, end), start, end)
-    lattice = Lattice(vocab, buf, hashes, s, e)
-    a = lattice.forward(weight)
-    # edges by target; the share of the edges before it, in 2**32 parts, marks where an edge's part begins
+def _edges(lattice: Lattice, weight: np.ndarray, plain: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges in order of their target: source, piece, and a key, the target and the share of the edges before it among
+    those of the target, in 2**32 parts, which marks where an edge's part begins."""
     order = np.argsort(lattice.dst, kind="stable")
     src, dst, piece = lattice.src[order], lattice.dst[order], lattice.piece[order]
-    mass = a[src] * weight[piece]
     head = np.flatnonzero(np.concatenate([[True], dst[1:] != dst[:-1]])) if len(dst) else np.zeros(0, np.int64)
-    # sums within a target on their own, so that they depend on nothing else in the block
     run = np.repeat(np.arange(len(head)), np.diff(np.concatenate([head, [len(dst)]])))
+    if plain:
+        mass = lattice.forward(weight)[src] * weight[piece]
+    else:
+        a, power = lattice.scaled(weight)
+        mass = np.ldexp(a[src] * weight[piece], np.maximum(power[src] - np.maximum.reduceat(power[src], head)[run], -2000).astype(np.int32))
+    # sums within a target on their own, so that they depend on nothing else in the block
     place = np.arange(len(dst)) - head[run] if len(dst) else np.zeros(0, np.int64)
     below = np.zeros(len(dst))
     for k in range(1, int(place.max(initial=0)) + 1):
@@ -77,31 +72,41 @@ def sample_block(vocab: Vocabulary, weight: np.ndarray, buf: np.ndarray, off: np
     tail = np.concatenate([head[1:], [len(dst)]]).astype(np.int64) - 1
     full = below[tail] + mass[tail]
     part = np.minimum(np.floor(below / full[run] * (1 << 32)), (1 << 32) - 1).astype(np.int64)
-    key = (dst << 32) | part
-    # all occurrences go back a step at a time, in order of their unit, which keeps the search near
-    by_unit = np.argsort(which, kind="stable")
-    node, goal = lattice.last[which[by_unit]], lattice.first[which[by_unit]]
+    return src, piece, (dst << 32) | part
+
+
+def sample_block(vocab: Vocabulary, weight: np.ndarray, buf: np.ndarray, off: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces of all rows of a block of marked texts, and their number by row. seeds: a number for each row."""
+    n = len(off) - 1
+    start, end, row = units(vocab, buf, off)
+    hashes = bw.Hashes(buf)
     nth = np.arange(len(start)) - np.searchsorted(row, row)
-    state = bw.mix(seeds[row] + nth.astype(U) * U(0x9E3779B97F4A7C15))[by_unit]
-    alive = np.arange(len(by_unit))
-    steps, who, count = [], [], np.zeros(len(by_unit), np.int64)
-    turn = 0
-    while len(alive):
-        r = (bw.mix(state[alive] + U(turn * 0xD1B54A32D192ED03 & 0xFFFFFFFFFFFFFFFF)) >> U(32)).astype(np.int64)
-        edge = np.searchsorted(key, (node[alive] << 32) | r, side="right") - 1
-        steps.append(piece[edge])
-        who.append(alive)
-        count[alive] += 1
-        node[alive] = src[edge]
-        alive = alive[node[alive] > goal[alive]]
-        turn += 1
-    by_place = np.empty(len(by_unit), np.int64)
-    by_place[by_unit] = count
+    state = bw.mix(seeds[row] + nth.astype(U) * U(0x9E3779B97F4A7C15))
+    drawn, by_place = [], np.zeros(len(start), np.int64)
+    for plain in (True, False):
+        own = np.flatnonzero((end - start <= PLAIN) == plain)
+        if not len(own):
+            continue
+        s, e, which = distinct(hashes.of(start[own], end[own]), start[own], end[own])
+        lattice = Lattice(vocab, buf, hashes, s, e)
+        src, piece, key = _edges(lattice, weight, plain)
+        # all occurrences go back a step at a time, in order of their unit, which keeps the search near
+        by_unit = np.argsort(which, kind="stable")
+        node, goal = lattice.last[which[by_unit]], lattice.first[which[by_unit]]
+        own = own[by_unit]
+        mine, alive, turn = state[own], np.arange(len(own)), 0
+        while len(alive):
+            r = (bw.mix(mine[alive] + U(turn * 0xD1B54A32D192ED03 & 0xFFFFFFFFFFFFFFFF)) >> U(32)).astype(np.int64)
+            edge = np.searchsorted(key, (node[alive] << 32) | r, side="right") - 1
+            drawn.append((own[alive], piece[edge], turn))
+            by_place[own[alive]] += 1
+            node[alive] = src[edge]
+            alive = alive[node[alive] > goal[alive]]
+            turn += 1
     ends = np.cumsum(by_place)
-    last = ends[by_unit] - 1
     out = np.empty(int(ends[-1]) if len(ends) else 0, np.int32)
-    for k, (p, w) in enumerate(zip(steps, who)):
-        out[last[w] - k] = p
+    for who, pieces, turn in drawn:
+        out[ends[who] - 1 - turn] = pieces
     return out, np.bincount(row, weights=by_place, minlength=n).astype(np.int64)
 
 
@@ -115,9 +120,7 @@ def encode(docs: DataFrame, alpha: float = 0.5, seed: int = 1, key: str = "doc_i
     exchange."""
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import public_tokenizers
-
-        vocab = Vocabulary(public_tokenizers.path(VOCABULARY))
+        vocab = vocabulary(VOCABULARY)
         weight = weights(vocab, alpha)
         spelling = pa.array(vocab.bytes, pa.large_binary())
         for b in batches:

@@ -3,10 +3,16 @@
 A unit is a slice of bytes that no piece crosses the ends of. Its nodes are byte positions, its edges the pieces found
 there; a character that is no piece by itself is spelt by the vocabulary's byte pieces. The word mark of the vocabulary
 stands for the space, one to one, so a mark that occurs in a text itself is spelt by bytes and decoding stays lossless.
+
+Sums over segmentations are plain numbers for units of up to PLAIN bytes, whose weights carry a factor a byte that keeps
+them in range, and numbers with an exponent of their own at every node beyond, so that no unit is too long for them. A
+unit's lattice is held whole, some 200 bytes of memory a byte. Empty units have one node and no edge.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 
 from lodegauge.llm import bytewords as bw
@@ -14,6 +20,8 @@ from lodegauge.llm import bytewords as bw
 U = np.uint64
 MARK = "▁"
 _SLOTS = 1 << 20
+#: Bytes of the longest units whose sums need no exponents.
+PLAIN = 64
 NOTHING, BEGINNING = -1, -2
 
 
@@ -73,6 +81,14 @@ class Vocabulary:
         return out
 
 
+@functools.cache
+def vocabulary(name: str) -> Vocabulary:
+    """The vocabulary of a public tokenizer, made once a process."""
+    import public_tokenizers
+
+    return Vocabulary(public_tokenizers.path(name))
+
+
 class Lattice:
     """Edges (source node, target node, piece) of units [start, end) of a buffer; node = first[unit] + byte offset.
     Edges are in order of their target's offset, so a forward pass goes through them level by level."""
@@ -127,7 +143,7 @@ class Lattice:
 
     def forward(self, weight: np.ndarray) -> np.ndarray:
         """The sum over all segmentations up to each node of their products of weights; weight is (pieces,) or
-        (pieces, models). Weights carry a factor a byte, so sums of units of bounded size stay in range."""
+        (pieces, models). For units of up to PLAIN bytes."""
         a = np.zeros((self.nodes, *weight.shape[1:]))
         a[self.first[:-1]] = 1.0
         for s, e in zip(self.levels[:-1], self.levels[1:]):
@@ -138,13 +154,35 @@ class Lattice:
         return a
 
     def backward(self, weight: np.ndarray) -> np.ndarray:
-        """The sum over all segmentations from each node to its unit's end."""
+        """The sum over all segmentations from each node to its unit's end. For units of up to PLAIN bytes."""
         b = np.zeros((self.nodes, *weight.shape[1:]))
         b[self.last] = 1.0
         for s, e in zip(self.levels[-2::-1], self.levels[:0:-1]):
             np.add.at(b, self.src[s:e], b[self.dst[s:e]] * weight[self.piece[s:e]])
         return b
 
+    def scaled(self, weight: np.ndarray, back: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """The sums of units of any length, up to each node or (back) from each node to its unit's end, as numbers and
+        powers of two: number * 2 ** power. Nodes that no segmentation reaches are 0."""
+        a, power = np.zeros((self.nodes, *weight.shape[1:])), np.zeros((self.nodes, *weight.shape[1:]), np.int64)
+        a[self.last if back else self.first[:-1]] = 1.0
+        source, target, piece, cuts = self.src, self.dst, self.piece, self.levels
+        if back:  # edges by their source, from the last one to the first
+            unit = np.searchsorted(self.first, self.src, side="right") - 1
+            left = self.last[unit] - self.src
+            order = np.argsort(left * (self.nodes + 1) + self.src, kind="stable")
+            source, target, piece, left = self.dst[order], self.src[order], self.piece[order], left[order]
+            cuts = np.concatenate([np.flatnonzero(np.concatenate([[True], left[1:] != left[:-1]])), [len(left)]]) if len(left) else np.zeros(1, np.int64)
+        for s, e in zip(cuts[:-1], cuts[1:]):
+            x, d = source[s:e], target[s:e]
+            new = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
+            run = np.repeat(np.arange(len(new)), np.diff(np.concatenate([new, [len(d)]])))
+            high = np.maximum.reduceat(np.where(a[x] > 0, power[x], -(1 << 60)), new, axis=0)
+            got = np.ldexp(a[x] * weight[piece[s:e]], np.maximum(power[x] - high[run], -2000).astype(np.int32))
+            a[d[new]], shift = np.frexp(np.add.reduceat(got, new, axis=0))
+            power[d[new]] = high + shift
+        return a, power
+
 
 def marked(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The texts with a space put before each."""
@@ -161,29 +199,3 @@ def distinct(hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np
     """start and end of one slice of each hash, and which of these each slice equals."""
     _, one, which = np.unique(hashes, return_index=True, return_inverse=True)
     return start[one], end[one], which
-
-
-def cut_long(start: np.ndarray, end: np.ndarray, begins: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Slices longer than ``limit`` bytes in pieces of up to that, at characters; with the slice each came from."""
-    size = end - start
-    if not len(size) or size.max() <= limit:
-        return start, end, np.arange(len(start))
-    s, e, owner = [], [], []
-    ordinary = np.flatnonzero(size <= limit)
-    s.append(start[ordinary])
-    e.append(end[ordinary])
-    owner.append(ordinary)
-    for i in np.flatnonzero(size > limit):
-        at = [start[i]]
-        while end[i] - at[-1] > limit:
-            stop = at[-1] + limit
-            back = stop
-            while back > at[-1] and not begins[back]:
-                back -= 1
-            at.append(back if back > at[-1] else stop)
-        s.append(np.array(at))
-        e.append(np.array([*at[1:], end[i]]))
-        owner.append(np.full(len(at), i))
-    s, e, owner = map(np.concatenate, (s, e, owner))
-    order = np.argsort(s, kind="stable")
-    return s[order], e[order], owner[order]

@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import zlib
+from fractions import Fraction
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -18,7 +19,7 @@ from lodegauge.llm import components as cc
 from lodegauge.llm import jaccard_join, language_id, mixing, piece_sampling, quality_rules, sharding, token_counts, topk, toxicity, warc
 
 from lodegauge.llm.components import components
-from lodegauge.llm.pieces import Vocabulary, marked
+from lodegauge.llm.pieces import Lattice, Vocabulary, marked
 
 WORDS = "the of and to in that is was he for it with as his on be at by had are but from or have an they which one you were".split()
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, words int, size string, `row` int, kept string"
@@ -516,6 +517,80 @@ def test_forward_sums_all_segmentations(vocab):
         assert abs(log[which[i], 0] - math.log(total(r))) < 1e-9
 
 
+def unit_sums(vocab, w, unit):
+    """Exact sums of products of weights up to and from each byte of a unit, by recursion over its pieces."""
+    by = {vocab.bytes[i]: i for i in vocab.plain}
+    begins = [i for i in range(len(unit)) if unit[i] & 0xC0 != 0x80] + [len(unit)]
+    edges = [(a, b, by[unit[a:b]]) for x, a in enumerate(begins) for b in begins[x + 1 :] if unit[a:b] in by]
+    spelt = {i for a, b in zip(begins, begins[1:]) if unit[a:b] not in by for i in range(a, b)}
+    edges += [(i, i + 1, int(vocab.byte_ids[unit[i]])) for i in spelt]
+    up, down = [Fraction(0)] * (len(unit) + 1), [Fraction(0)] * (len(unit) + 1)
+    up[0] = down[-1] = Fraction(1)
+    for a, b, p in sorted(edges, key=lambda e: e[1]):
+        up[b] += up[a] * Fraction(float(w[p]))
+    for a, b, p in sorted(edges, key=lambda e: -e[0]):
+        down[a] += down[b] * Fraction(float(w[p]))
+    return up, down, edges
+
+
+def exact_log(x):
+    return math.log(x.numerator) - math.log(x.denominator)
+
+
+LONG_UNITS = ["x" * 41, "abcdefghij" * 13, "日本語の文章です" * 12, "ü日a" * 30, "donaudampfschifffahrt" * 6, "🙂" * 20]
+
+
+@pytest.mark.parametrize("text", LONG_UNITS)
+def test_long_units_are_summed_whole(vocab, text):
+    """Words and units of any length against exact sums: forward, backward, language scores and sampled shares."""
+    unit = b" " + text.encode()
+    buf, ends = np.frombuffer(unit, np.uint8), np.array([len(unit)])
+    w = np.random.default_rng(3).dirichlet(np.ones(vocab.size)) * language_id.BYTE_FACTOR**vocab.lengths
+    up, down, edges = unit_sums(vocab, w, unit)
+    lattice = Lattice(vocab, buf, bw.Hashes(buf), np.zeros(1, np.int64), ends)
+    assert sorted(zip(lattice.src.tolist(), lattice.dst.tolist(), lattice.piece.tolist())) == sorted(edges)
+    for (a, power), want in ((lattice.scaled(w), up), (lattice.scaled(w, back=True), down)):
+        for i, x in enumerate(want):
+            assert (a[i] == 0) == (x == 0) and (not x or abs(math.log(a[i]) + power[i] * math.log(2) - exact_log(x)) < 1e-9)
+    log, which = language_id.score_words(vocab, w[:, None], buf, np.zeros(1, np.int64), ends)
+    assert abs(log[which[0], 0] - (exact_log(up[-1]) - len(unit) * math.log(language_id.BYTE_FACTOR))) < 1e-8
+    s = piece_sampling.weights(vocab, 0.5)
+    up, _, edges = unit_sums(vocab, s, unit)
+    src, piece, key = piece_sampling._edges(lattice, s, False)
+    below = dict.fromkeys(range(len(unit) + 1), Fraction(0))
+    for a, p, q in zip(src.tolist(), piece.tolist(), key.tolist()):
+        d = q >> 32
+        assert abs((q & 0xFFFFFFFF) - float(below[d] / up[d] * 2**32)) < 2
+        below[d] += up[a] * Fraction(float(s[p]))
+
+
+def test_samples_of_long_units_follow_the_lattice(vocab):
+    """Each place of a long unit is a border as often as the sums up to it and from it say."""
+    text = ("wissenschaft" * 12).encode()
+    n, w = 400, piece_sampling.weights(vocab, 0.5)
+    buf, off = marked(np.frombuffer(text * n, np.uint8), np.arange(n + 1) * len(text))
+    ids, count = piece_sampling.sample_block(vocab, w, buf, off, bw.mix(np.arange(n, dtype=np.uint64)))
+    ends = np.concatenate([[0], np.cumsum(count)])
+    borders = np.zeros(len(text) + 2, np.int64)
+    for i in range(n):
+        own = ids[ends[i] : ends[i + 1]]
+        assert b"".join(vocab.bytes[j] for j in own) == b" " + text
+        borders[np.cumsum(vocab.lengths[own])] += 1
+    up, down, _ = unit_sums(vocab, w, b" " + text)
+    share = np.array([float(a * b / up[-1]) for a, b in zip(up, down)])
+    share[0] = 0
+    assert (np.abs(borders - n * share) < 5 * np.sqrt(n * share * (1 - share)) + 1).all()
+
+
+def test_language_learns_from_long_words(spark):
+    """Languages without a space are learnt and told apart."""
+    rng = random.Random(2)
+    some = {"ja": "日本語文章言葉水家人大", "xx": "зданиеводачеловек"}
+    rows = [(i, "".join(rng.choice(some[lang]) for _ in range(rng.randrange(60, 2000))), lang) for i in range(80) for lang in [rng.choice(["ja", "xx"])]]
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2)).collect()}
+    assert got == {i: lang for i, _, lang in rows}
+
+
 def languages(n):
     rng = random.Random(8)
     stems = {"aa": "the of and with water house".split(), "bb": "der und nicht wasser haus für".split(), "cc": "le une pas maison être où".split()}
