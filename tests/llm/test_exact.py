@@ -5,6 +5,7 @@ import base64
 import hashlib
 import math
 import random
+import time
 import zlib
 from fractions import Fraction
 from collections import Counter, defaultdict
@@ -201,10 +202,29 @@ def test_prefix_tables():
         for budget in (0, 1, 4, 100):
             cut = p.truncate(budget)
             assert n(s[:cut]) <= budget and (cut == len(s) or n(s[: cut + 1]) > budget)
+    for text in ("a" * 70, "abab" * 20, " " * 90 + "x", "日本語の文章" * 8, "-" * 80 + "!<|endoftext|>", "\n \n  x\r\n\r\n  <|endoftext|>  <|endoftext|>y", "it're we've !'ll 'l 've"):
+        assert c.prefix_counts(text).tolist() == [n(text[:i]) for i in range(len(text) + 1)], text
     word = "internationalisation"
     assert c.table(word.encode()) == [n(word[:i]) for i in range(len(word) + 1)]
 
 
+def test_long_runs_take_time_in_proportion():
+    c = token_counts.counter("byte_bpe_50k.json")
+    for run in ("a", "ab", " ", "-", "語", "the"):
+        text = run * (100_000 // len(run))
+        began = time.process_time()
+        assert c.prefix_counts(text)[-1] == c.count(text)
+        assert time.process_time() - began < 12, run
+
+
+def test_stored_tables(spark, docs, rows, none):
+    c = token_counts.counter("byte_bpe_50k.json")
+    tables = token_counts.prefix_counts(docs, "byte_bpe_50k.json").select("doc_id", "counts", token_counts.longest_prefix(F.col("counts"), 5).alias("chars")).collect()
+    want = [(r[0], (p := c.prefix_table(r[1] or "")).counts.tolist(), p.truncate(5)) for r in rows]
+    same([(r["doc_id"], list(r["counts"]), r["chars"]) for r in tables], want)
+    assert token_counts.prefix_counts(none, "byte_bpe_50k.json").count() == 0
+
+
 # 4 mixing
 
 
