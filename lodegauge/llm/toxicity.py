@@ -1,24 +1,28 @@
 """Toxicity by weak supervision: voters, a generative label model, and a linear classifier on its posteriors.
 
 Voters fire or stay silent on a document: words of a fixed lexicon; words and word beginnings of 4 to 6 bytes, found at
-least once, twice or three times, that the learning rows show to come with toxic labels; and patterns (shouting, exclamation, address). The label model is a
-latent class over the voters: firing rates given toxic and given clean, fitted by expectation maximisation from the
-learning rows' own rates. Voters that fire together beyond what the class explains are correlated, and are put in one
-group; a group speaks once, with the evidence of its strongest voter that fires, so that ten spellings of one sign, or
-the insults of one language, count as one. The posteriors are the targets of a logistic regression over the voters and
-the groups that fire, and only that linear model scores documents.
+least once, twice or three times, that come with toxic labels far beyond chance; and patterns (shouting, exclamation,
+address). The label model is generative: hidden kinds of documents (as the insults of two languages hardly meet, toxic
+ones are of several), and for each kind a forest over the voters, so that a voter's firing depends on the kind and on
+the one voter that it is tied to. The forest is the heaviest one by the mutual information of voters within the kinds,
+and ties need evidence beyond chance; that is how correlations enter, and how ten spellings of one sign come to count
+about once. Rates, ties and kinds are fitted by expectation maximisation from the voters' agreements alone, beginning
+with signs that fire together; labels decide only which signs are voters and which of the kinds are called toxic. The posteriors are the targets of a logistic regression over the
+voters and the groups (ties taken together) that fire, and only that linear model scores documents.
 
 Labels are learnt from rows whose fold (crc32 of the key as text, modulo 4) is not 2, a bounded sample of about
-``sample`` labelled documents drawn by a hash of the key; up to ``most`` voters are drawn from them. Every document is
-scored on its whole text in one scan without an exchange.
+``sample`` labelled documents drawn by a hash of the key, one row for each key (the least text; toxic if any label says
+so). Every sign with enough evidence is a voter. Every document is scored on its whole text in one scan without an
+exchange.
 
 Nulls: null and empty texts fire no voter and get the score of silence. Rows with a null key, label or text are not
-learnt from; a label that occurs twice counts twice. Without labels of both kinds every score is 0. Equal texts get
-equal scores. Extra columns are ignored.
+learnt from. Without labels of both kinds every score is 0. Equal texts get equal scores. Extra columns are ignored.
+Empty tables give empty results.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,14 +43,17 @@ LEXICON = (
 ).split()
 PATTERNS = ("shouting", "exclaiming", "addressing")
 ADDRESS = ("you", "your", "du", "dein", "tu", "vous", "usted")
-SAMPLE, MOST = 8000, 400
+SAMPLE = 8000
 #: Signs count up to this often.
 TIMES = 3
-#: A candidate becomes a voter with this many toxic documents and this share of toxic among those it occurs in.
-LEAST_TOXIC, LEAST_SHARE = 5, 0.8
+#: A candidate becomes a voter with this many toxic documents, this share of toxic among those it occurs in, and so
+#: little chance, over all candidates, that any of them gets there by labels dealt at random.
+LEAST_TOXIC, LEAST_SHARE, CHANCE = 5, 0.8, 0.05
 THRESHOLD = 0.3
-#: The labels' accuracy as a voter, and how much likelier a voter of the label model must fire on toxic rows.
-ACCURACY, LIFT = 0.95, 3.0
+#: A tie between voters needs this much evidence (twice the log-likelihood that it adds).
+TIE = 20.0
+#: Documents on which signs that go together must fire to be a kind of their own.
+KIND = 10
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 _KIND = {"word": 0, 4: 1, 5: 2, 6: 3}
 
@@ -130,23 +137,114 @@ class Voters:
         return (np.concatenate(rows), np.concatenate(voters)) if rows else (none, none)
 
 
-def correlated(f: np.ndarray, q: np.ndarray, least: float = 0.15) -> np.ndarray:
-    """The group of each voter: voters join the leader with which they are most correlated given the class, if that is
-    at least ``least``; the others, from the most frequent down, lead groups."""
-    rate = np.stack([(1 - q) @ f / max((1 - q).sum(), 1e-9), q @ f / max(q.sum(), 1e-9)])
-    rest = f - (q[:, None] * rate[1] + (1 - q)[:, None] * rate[0])
-    cov = rest.T @ rest / len(f)
-    sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-    corr = cov / sd[:, None] / sd[None, :]
-    group, leaders = np.full(f.shape[1], -1), []
-    for v in np.argsort(-f.sum(0), kind="stable"):
-        near = corr[v, leaders] if leaders else np.zeros(0)
-        if len(near) and near.max() >= least:
-            group[v] = int(near.argmax())
-        else:
-            group[v] = len(leaders)
-            leaders.append(v)
-    return group
+class LabelModel:
+    """Hidden kinds of documents (share[s] of each) and, given the kind, a forest of voters: parent[j] is the voter that j
+    is tied to, or -1. rate[j, v, s] is the probability that j fires when its parent's vote is v (0 for roots). toxic:
+    which kinds are the class toxic."""
+
+    def __init__(self, share: np.ndarray, parent: np.ndarray, rate: np.ndarray, toxic: np.ndarray | None = None):
+        self.share, self.parent, self.rate = share, parent, rate
+        self.toxic = np.arange(len(share)) > 0 if toxic is None else toxic
+
+    def joint(self, f: np.ndarray) -> np.ndarray:
+        """log P(votes, kind) of each row, for all kinds."""
+        out = np.tile(np.log(self.share), (len(f), 1))
+        tied = np.where(self.parent[None, :] >= 0, f[:, self.parent], 0).astype(np.int64)
+        for s in range(len(self.share)):
+            fires = self.rate[np.arange(f.shape[1])[None, :], tied, s]
+            out[:, s] += np.log(np.where(f > 0, fires, 1 - fires)).sum(1)
+        return out
+
+    def likelihood(self, f: np.ndarray) -> float:
+        return float(np.logaddexp.reduce(self.joint(f), axis=1).sum())
+
+    def kinds(self, f: np.ndarray) -> np.ndarray:
+        """Posterior of each kind by row."""
+        j = self.joint(f)
+        return np.exp(j - np.logaddexp.reduce(j, axis=1)[:, None])
+
+    def posterior(self, f: np.ndarray) -> np.ndarray:
+        """Posterior of toxic by row."""
+        return self.kinds(f)[:, self.toxic].sum(1)
+
+    def groups(self) -> np.ndarray:
+        """The tree of each voter, by number."""
+        root = np.arange(len(self.parent))
+        while (up := np.where(self.parent[root] >= 0, self.parent[root], root)).tolist() != root.tolist():
+            root = up
+        return np.unique(root, return_inverse=True)[1]
+
+
+def forest(f: np.ndarray, r: np.ndarray, tie: float = TIE) -> np.ndarray:
+    """The parents of the heaviest forest by the mutual information of voters within the kinds (r: posteriors of kinds by
+    row); ties that add less than ``tie`` to twice the log-likelihood are left out."""
+    m = f.shape[1]
+    gain = np.zeros((m, m))
+    for s in range(r.shape[1]):
+        both, n = (f * r[:, s : s + 1]).T @ f, max(float(r[:, s].sum()), 1e-9)
+        one = np.diag(both)
+        cells = ((both, one[:, None] * one[None, :]), (one[:, None] - both, one[:, None] * (n - one)[None, :]), (one[None, :] - both, (n - one)[:, None] * one[None, :]), (n - one[:, None] - one[None, :] + both, (n - one)[:, None] * (n - one)[None, :]))
+        for x, apart in cells:
+            x = np.maximum(x, 0)
+            gain += 2 * x * np.log(np.where((x > 1e-9) & (apart > 1e-12), x * n / np.maximum(apart, 1e-12), 1.0))
+    parent, near, weight, todo = np.full(m, -1), np.full(m, -1), np.full(m, tie), np.ones(m, bool)
+    for _ in range(m):  # Prim's, from the first voter that is left where no tie is
+        j = int(np.where(todo, weight, -np.inf).argmax())
+        todo[j] = False
+        parent[j] = near[j]
+        closer = todo & (gain[j] > weight)
+        weight[closer], near[closer] = gain[j][closer], j
+    return parent
+
+
+def refit(f: np.ndarray, r: np.ndarray, parent: np.ndarray) -> LabelModel:
+    """The most likely model, a little smoothed, given the posteriors of the kinds and the ties."""
+    m, kinds = f.shape[1], r.shape[1]
+    rate, up = np.zeros((m, 2, kinds)), np.where(parent >= 0, parent, 0)
+    for s in range(kinds):
+        n, one = r[:, s].sum(), r[:, s] @ f
+        fired = np.where(parent >= 0, one[up], 0.0)
+        together = np.where(parent >= 0, (f * f[:, up] * r[:, s : s + 1]).sum(0), 0.0)
+        alone = (one + 0.5) / (n + 1.0)
+        # smoothed towards the voter's own rate, so that a parent that hardly ever fires says nothing
+        rate[:, 1, s] = (together + alone) / (fired + 1.0)
+        rate[:, 0, s] = (one - together + alone) / (n - fired + 1.0)
+    return LabelModel((r.sum(0) + 1) / (len(r) + kinds), parent, np.clip(rate, 1e-6, 1 - 1e-6))
+
+
+def label_model(f: np.ndarray, start: np.ndarray, rounds: int = 30, settle: int = 8) -> LabelModel:
+    """Fit by expectation maximisation on a 0/1 matrix of votes, beginning with the kinds ``start`` (a number a row). The
+    ties are found anew for ``settle`` rounds and kept from there."""
+    kinds = int(start.max(initial=0)) + 1
+    r, parent = 0.99 * np.eye(kinds)[start] + 0.01 / kinds, None
+    for turn in range(rounds):
+        if parent is None or turn < settle:
+            parent = forest(f, r)
+        model = refit(f, r, parent)
+        r, before = model.kinds(f), r
+        if turn >= settle and np.abs(r - before).max() < 1e-5:
+            break
+    return model
+
+
+def first_kinds(f: np.ndarray, signs: int) -> np.ndarray:
+    """Kinds to begin with, from agreements alone: 0 where no sign (one of the first voters) fires; signs that fire
+    together more often than by chance are of one kind, and a row is of the kind that most of its signs are."""
+    g = f[:, :signs]
+    n, one = len(g), g.sum(0)
+    both = g.T @ g
+    near = (both >= 3) & (both * n > 3 * one[:, None] * one[None, :])
+    kind = np.arange(signs)
+    while (least := np.where(near, kind[None, :], signs).min(1, initial=signs)).tolist() != kind.tolist():
+        least = np.minimum(least, kind)
+        if (least == kind).all():
+            break
+        kind = least
+    seen = [k for k in np.unique(kind) if g[:, kind == k].any(1).sum() >= KIND]
+    number = {k: i + 1 for i, k in enumerate(seen)}
+    number = np.array([number.get(k, len(seen) + 1) for k in kind])
+    votes = np.stack([g[:, number == i].sum(1) for i in range(1, len(seen) + 2)], 1)
+    return np.unique(np.where(votes.any(1), votes.argmax(1) + 1, 0), return_inverse=True)[1] if len(g) else np.zeros(0, np.int64)
 
 
 def by_group(f: np.ndarray, group: np.ndarray) -> np.ndarray:
@@ -156,31 +254,6 @@ def by_group(f: np.ndarray, group: np.ndarray) -> np.ndarray:
     return np.maximum.reduceat(f[:, order], starts, axis=1)
 
 
-def label_model(fired: np.ndarray, toxic: np.ndarray, rounds: int = 15) -> tuple[np.ndarray, np.ndarray]:
-    """(posterior of toxic by row, group of each voter) of a 0/1 matrix of voters.
-
-    The labels give the first rates, the groups and the share of the classes; from there the latent class is refitted on
-    the voters alone.
-    """
-    q = np.where(toxic, 0.95, 0.05)
-    odds = np.log(toxic.mean() / (1 - toxic.mean())) + np.where(toxic, 1, -1) * np.log(ACCURACY / (1 - ACCURACY))
-    group = correlated(fired, q)
-
-    def rates(f: np.ndarray) -> np.ndarray:
-        return (np.stack([(1 - q) @ f, q @ f]) + 0.5) / (np.array([[(1 - q).sum()], [q.sum()]]) + 1.0)
-
-    first = rates(fired)
-    fired = fired * (first[1] > LIFT * first[0])
-    grouped = by_group(fired, group)
-    for _ in range(rounds):
-        one, all_ = rates(fired), rates(grouped)
-        speaks = by_group(np.where(fired > 0, np.log(one[1] / one[0]), -np.inf), group)
-        silent = np.log((1 - all_[1]) / (1 - all_[0]))
-        logit = odds + np.where(np.isfinite(speaks), speaks, silent).sum(1)
-        q = 1.0 / (1.0 + np.exp(-np.clip(logit, -30, 30)))
-    return q, group
-
-
 def features(fired: np.ndarray, group: np.ndarray) -> np.ndarray:
     """Voters, groups with a voter that fires, and a constant."""
     return np.concatenate([fired, by_group(fired, group), np.ones((len(fired), 1))], axis=1)
@@ -215,8 +288,10 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    def __init__(self, hashes: np.ndarray, least: np.ndarray, group: np.ndarray, linear: np.ndarray):
-        self.hashes, self.least, self.group, self.linear = hashes, least, group, linear
+    """The voters, the linear classifier over them and their groups, and the label model that it was taught by."""
+
+    def __init__(self, hashes: np.ndarray, least: np.ndarray, group: np.ndarray, linear: np.ndarray, labels: LabelModel):
+        self.hashes, self.least, self.group, self.linear, self.labels = hashes, least, group, linear, labels
 
 
 def learning_rows(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
@@ -225,15 +300,40 @@ def learning_rows(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     marks = labels.select(key.alias("doc_id"), "toxic").where("doc_id is not null and toxic in (0, 1)").where(fold_of(F.col("doc_id")) != 2)
     share = sample / max(1, marks.count())
     u = F.shiftrightunsigned(F.xxhash64(F.lit("toxicity"), "doc_id"), 11).cast("double") / float(1 << 53)
-    drawn = scratch.written(marks.where(u < share), "labelled")  # about ``sample`` rows, whose known size decides the join
-    return docs.select(key.alias("doc_id"), "text").where("text is not null").join(drawn, "doc_id").select("text", F.col("toxic").cast("long").alias("toxic"))
+    # about ``sample`` rows, whose known size decides the join
+    drawn = scratch.written(marks.where(u < share).groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic")), "labelled")
+    rows = docs.select(key.alias("doc_id"), "text").where("text is not null").join(drawn, "doc_id")
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
+
+
+def beyond_chance(bad: np.ndarray, n: np.ndarray, base: float, candidates: int) -> np.ndarray:
+    """Whether so many toxic documents among n are too unlikely at the base rate, over all candidates: the exact binomial
+    tail P(X >= bad) against CHANCE / candidates."""
+    out = np.zeros(len(bad), bool)
+    known: dict[tuple[int, int], bool] = {}
+    for i, (k, m) in enumerate(zip(bad.tolist(), n.tolist())):
+        if (k, m) not in known:
+            tail = sum(math.exp(math.lgamma(m + 1) - math.lgamma(x + 1) - math.lgamma(m - x + 1) + x * math.log(base) + (m - x) * math.log(1 - base)) for x in range(k, m + 1))
+            known[k, m] = tail * candidates <= CHANCE
+        out[i] = known[k, m]
+    return out
+
 
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
+    with scratch.scope():
+        return _trained(scratch.written(learning_rows(docs, labels, sample), "learning"))
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = MOST) -> Model | None:
-    rows = scratch.written(learning_rows(docs, labels, sample), "learning")
+
+def _trained(rows: DataFrame) -> Model | None:
+    size = rows.agg(F.count("*").alias("n"), F.sum("toxic").alias("bad")).first()
+    if not size["bad"] or size["bad"] == size["n"]:
+        return None
     counted = rows.mapInArrow(_candidates, "sign long, least long, toxic long").groupBy("sign", "least").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n"))
+    counted = scratch.written(counted, "candidates")
     good = counted.where((F.col("bad") >= LEAST_TOXIC) & (F.col("bad") >= LEAST_SHARE * F.col("n")))
-    picked = good.orderBy(F.desc(11 * F.col("bad") - 10 * F.col("n")), "sign", "least").limit(most).collect()
+    picked = good.orderBy("sign", "least").collect()  # each has LEAST_TOXIC documents of the sample's toxic ones
+    enough = beyond_chance(np.array([r["bad"] for r in picked], np.int64), np.array([r["n"] for r in picked], np.int64), size["bad"] / size["n"], counted.count())
+    picked = [r for r, ok in zip(picked, enough) if ok]
     lexicon = word_hashes(LEXICON)
     found, often = np.array([r["sign"] for r in picked], np.int64).view(U), np.array([r["least"] for r in picked], np.int64)
     new = ~(np.isin(found, lexicon) & (often == 1))
@@ -252,11 +352,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int =
     kinds = sorted((bytes(r["fired"]), r["toxic"], r["n"]) for r in kinds)
     often = [k[2] for k in kinds]
     toxic = np.repeat(np.array([k[1] for k in kinds], bool), often)
-    if not toxic.any() or toxic.all():
-        return None
     fired = np.repeat(np.stack([np.unpackbits(np.frombuffer(k[0], np.uint8), count=n) for k in kinds]).astype(np.float64), often, axis=0)
-    q, group = label_model(fired, toxic)
-    return Model(hashes, least, group, fit_linear(features(fired, group), q))
+    model = label_model(fired, first_kinds(fired, len(hashes)))
+    # the labels name the kinds
+    r = model.kinds(fired)
+    model.toxic = 2 * r[toxic].sum(0) > r.sum(0)
+    q = model.posterior(fired)
+    group = model.groups()
+    return Model(hashes, least, group, fit_linear(features(fired, group), q), model)
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -279,6 +382,6 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text", held.alias("held_out")).mapInArrow(scored, SCHEMA)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = MOST) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """Learn from the labelled rows and score every row."""
-    return score(docs, train(docs, labels, sample, most))
+    return score(docs, train(docs, labels, sample))

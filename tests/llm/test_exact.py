@@ -665,6 +665,54 @@ def test_toxicity(spark, none):
     assert {r["score"] for r in toxicity.toxicity(df, labels.where("false")).collect()} == {0.0}
 
 
+def all_votes(m):
+    return np.array([[v >> j & 1 for j in range(m)] for v in range(2**m)], float)
+
+
+def test_label_model_is_a_distribution():
+    """Probabilities of all votes and kinds against products by hand; they sum to 1, and posteriors are their shares."""
+    rng = np.random.default_rng(4)
+    parent = np.array([-1, 0, 0, -1, 3])
+    model = toxicity.LabelModel(np.array([0.6, 0.3, 0.1]), parent, rng.uniform(0.05, 0.95, (5, 2, 3)))
+    votes = all_votes(5)
+    want = np.array([[model.share[s] * math.prod(x if f[j] else 1 - x for j in range(5) for x in [model.rate[j, int(f[parent[j]]) if parent[j] >= 0 else 0, s]]) for s in range(3)] for f in votes])
+    assert abs(want.sum() - 1) < 1e-9 and np.allclose(np.exp(model.joint(votes)), want)
+    assert np.allclose(model.posterior(votes), want[:, 1:].sum(1) / want.sum(1)) and abs(model.likelihood(votes) - np.log(want.sum(1)).sum()) < 1e-9
+    assert model.groups().tolist() == [0, 0, 0, 1, 1]
+
+
+def test_label_model_learns_from_agreements():
+    """Without a label: rates, a tie and kinds of votes drawn from a known model; rounds raise the likelihood."""
+    rng = np.random.default_rng(9)
+    n = 6000
+    kind = rng.choice(2, n, p=[0.8, 0.2])
+    own = np.where(kind[:, None] == 1, [0.7, 0.6, 0.8, 0.5], [0.02, 0.03, 0.02, 0.04])
+    f = (rng.random((n, 4)) < own).astype(float)
+    twin = np.where(rng.random(n) < 0.9, f[:, 0], rng.random(n) < 0.3)  # mostly says what voter 0 says
+    f = np.column_stack([f, twin])
+    model = toxicity.label_model(f, (f.sum(1) >= 2).astype(int))
+    assert abs(model.share[1] - 0.2) < 0.03
+    assert np.abs(np.stack([model.rate[[1, 2, 3], 0, 0], model.rate[[1, 2, 3], 0, 1]], 1) - [[0.03, 0.6], [0.02, 0.8], [0.04, 0.5]]).max() < 0.05
+    assert model.parent[4] == 0 or model.parent[0] == 4
+    assert ((model.posterior(f) > 0.5) == (kind == 1)).mean() > 0.96
+    r, last = np.eye(2)[(f.sum(1) >= 2).astype(int)], -np.inf
+    for _ in range(8):
+        fit = toxicity.refit(f, r, model.parent)
+        assert fit.likelihood(f) > last - 1.0  # smoothing aside
+        last, r = fit.likelihood(f), fit.kinds(f)
+    # the forest is the heaviest of all
+    both = toxicity.forest(f, r, tie=-1.0)
+    assert (both >= 0).sum() == 4
+
+
+def test_repeated_labels_stay_within_the_sample(spark):
+    """A key with a third of all labels and rows is one row of the sample."""
+    docs = spark.createDataFrame([(i % 200 if i % 3 else 1, f"text {i % 7}") for i in range(600)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i % 200 if i % 3 else 1, i % 2) for i in range(600)], "doc_id long, toxic int")
+    keys = {j % 200 if j % 3 else 1 for j in range(600)}
+    assert toxicity.learning_rows(docs, labels, 10**6).count() == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in keys)
+
+
 @pytest.mark.parametrize("cell", [2, 30])
 def test_jaccard_with_large_clusters(spark, monkeypatch, cell):
     """Clusters beyond one task's size are worked off tree by tree, with the same result."""
