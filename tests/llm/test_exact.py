@@ -449,6 +449,16 @@ def topk_model(rows, k):
     return out
 
 
+def topk_model_of(rows, k, every):
+    out = []
+    for q, x in rows:
+        if q % every == 0:
+            score = lambda y: sum(math.floor(256 * a) * math.floor(256 * b) for a, b in zip(x, y))
+            best = sorted((-score(y), i) for i, y in rows if i != q)[:k]
+            out += [(q, r, i, -s) for r, (s, i) in enumerate(best, 1)]
+    return out
+
+
 def test_topk(spark, monkeypatch):
     rng = np.random.default_rng(3)
     rows = [(i, rng.normal(size=6).round(2).tolist()) for i in range(200)]
@@ -469,6 +479,32 @@ def test_large_weights_stay_exact():
     assert topk._product(q, d).tolist() == [[2**62 - 2**31, 2**31 - 2**62]]
 
 
+def test_huge_components_stop_at_the_ends_of_a_long(spark):
+    big = [(0, [1e19, 0.0]), (1, [1e19, 1.0]), (2, [-1e19, 1.0]), (3, [2.0**40, 0.0]), (4, [1e307, 1.0]), (5, [0.5, 0.25]), (6, [1e19, 7.0])]
+    df = spark.createDataFrame(big, "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.top_k(df, F.col("vec_id") % 5 == 0).collect()}
+    top, least = 2**63 - 1, -(2**63) + 1
+    # 4 has no finite 256-fold; equal ends of the range go to the smaller key
+    assert got == {
+        (0, 1): (1, top), (0, 2): (3, top), (0, 3): (5, top), (0, 4): (6, top), (0, 5): (2, least),
+        (5, 1): (0, top), (5, 2): (1, top), (5, 3): (6, top), (5, 4): (3, 128 << 48), (5, 5): (2, least),
+    }
+
+
+def test_queries_go_only_where_bounds_reach(spark, monkeypatch):
+    """Documents in far apart bundles: a query leaves its own cell only for those that its bound lets in."""
+    monkeypatch.setattr(topk, "CELL", 20)
+    rng = np.random.default_rng(5)
+    rows = [(i, (10 * np.eye(8)[i % 8] + rng.random(8)).tolist()) for i in range(800)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    seen = []
+    monkeypatch.setattr(topk.scratch, "written", lambda frame, label, f=topk.scratch.written: seen.append((label, f(frame, label))) or seen[-1][1])
+    same(topk.top_k(df, F.col("vec_id") % 10 == 0).collect(), topk_model_of(rows, 5, 10))
+    tables = dict(seen)
+    sent = sum(len(r["ids"]) // 8 for r in tables["sent"].collect())
+    assert tables["cells"].count() >= 40 and 0 < sent < 80 * tables["cells"].count() / 3
+
+
 # 7 pieces
 
 
