@@ -266,6 +266,26 @@ def test_mixing(spark, docs, rows, none):
     assert mixing.mix_documents(docs).columns == docs.columns and mixing.mixing_report(none).count() == 0 == mixing.mix_documents(none).count()
 
 
+def test_rows_of_one_key_come_near_their_target(spark):
+    """A source made of one repeated row, and one of a repeated key with many texts, are thinned to their targets."""
+    rows = [(1, "one two three", "a")] * 3000 + [(None, f"w{i} x", "b") for i in range(2000)] + [(10 + i, "long text " * 5, "c") for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    report = mixing.mixing_report(df, budget=0.5).join(df.select("doc_id", "source").distinct(), "doc_id", "left")
+    for r in report.where("doc_id = 1 or doc_id is null").groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect():
+        assert abs(r["taken"] - r["target"]) < 0.12 * r["target"] + 60, r
+    mixed = mixing.mix_documents(df, budget=0.5).groupBy("source").count().collect()
+    assert sorted((r["source"], r["count"]) for r in mixed if r["source"] != "c") == sorted(
+        (s, int(r["n"])) for s, k in (("a", "doc_id = 1"), ("b", "doc_id is null")) for r in report.where(k).agg(F.sum(F.expr("taken / size")).alias("n")).collect()
+    )
+
+
+def test_many_sources_are_summed_in_ranges(spark):
+    rows = [(i, "w " * (i % 17), f"host{i % 500}" if i % 501 else None) for i in range(3000)]
+    by, target = mix_model([(r[2], len(r[1].split())) for r in rows])
+    got = mixing.source_targets(spark.createDataFrame([(r[2], len(r[1].split())) for r in rows], "source string, size long").repartition(6), 1.5, 2.0, (5, 2, 1)).collect()
+    assert len(got) == len(by) and all(abs(r["target"] - target[r["source"]]) < 1e-6 * max(1, by[r["source"]]) for r in got)
+
+
 def test_mixing_comes_near_its_targets(spark):
     df = spark.createDataFrame([(i, "w " * (1 + i % 7), f"s{i % 4}") for i in range(20000)], "doc_id long, text string, source string")
     got = mixing.mixing_report(df).join(df.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum("taken").alias("t"), F.max("target").alias("g"), F.max("source_size").alias("s")).collect()
