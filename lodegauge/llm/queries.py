@@ -20,7 +20,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch.new_path(spark, "warc")
     warc.write_archive(_table(spark, sf_dir, "pages"), folder, shard_bytes=16 << 20, file_bytes=64 << 20, min_revisit=0)
-    read = warc.read_archive(spark, folder)
+    read = warc.read_archive(spark, folder, payload=False)
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
 
 

@@ -1,7 +1,10 @@
 """WARC archives: a deterministic sharded writer and a reader.
 
-Writing: records are range-sorted by key. Shard borders come from the total payload size and a sample of keys chosen by
-hash, so that they depend on the rows alone and not on the cluster. Each shard is written in order; a file is rolled
+Writing: records are range-sorted by key, then by the payload's hash. A shard's border is the record before which the
+payloads of that order sum up to a multiple of the shard size, so that shards are even in bytes (but for records of one
+key and payload, which stay together) and depend on the rows alone and not on the cluster. Only keys, hashes and sizes
+are ordered for that; the driver gets one border a shard (3 MB for 100 TB in shards of 256 MB). Each shard is a task of
+its own and written in order; a file is rolled
 when its compressed size reaches a limit, every record is a gzip member of its own, and headers and digests (SHA-1 of
 block and payload, base32) are made anew from the payload. Records with equal payloads of at least ``min_revisit``
 bytes become one response and revisits of it: only keys and digests are exchanged to find them, and the finding travels
@@ -12,7 +15,8 @@ files of lost or repeated attempts are in no manifest. The manifest is written a
 what it lists into place; a rename that was done before is left alone, so that job may be repeated, too. What stays
 under ``_temporary`` is removed at the end, and ``_SUCCESS`` is written last.
 
-Reading: one task a few files of the manifest; a record's digest is checked against its bytes.
+Reading: one task a few files of the manifest; a record's digest is checked against its bytes, and payloads are handed
+on only where they are asked for.
 
 Files are opened through pyarrow.fs by URI, so the folder may be in any store that it knows (file, hdfs, s3, gs).
 
@@ -24,6 +28,7 @@ empty table writes a manifest without files. Extra columns are ignored.
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 import uuid
 import zlib
@@ -31,15 +36,16 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from lodegauge.sources import scratch
 
 MANIFEST = "shard int, seq int, name string, temporary string, bytes long, records long, first_key long, last_key long, digest string"
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, intact boolean"
-#: Sampled keys a shard for its borders.
-KEYS_A_SHARD = 40
+#: Borders up to which a row is placed by comparing it with each of them, beyond it by bisection.
+FEW = 64
 DATE = "2000-01-01T00:00:00Z"
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
@@ -113,16 +119,22 @@ class _Roll:
         return {"shard": self.shard, "seq": self.seq - 1, "name": self.name, "temporary": self.temporary, "bytes": self.size, "records": self.n, "first_key": self.first, "last_key": self.last, "digest": self.sum.hexdigest()}
 
 
-def _borders(keys: DataFrame, shard_bytes: int) -> list[int]:
-    """Least keys of the shards after the first: quantiles of a sample of keys taken by their hash."""
-    total = keys.agg(F.sum("size").alias("b"), F.count("*").alias("n")).first()
-    shards = max(1, -(-(total["b"] or 0) // shard_bytes))
-    if shards == 1:
-        return []
-    every = max(1, total["n"] // (shards * KEYS_A_SHARD))
-    sample = keys.where("key is not null").where(F.pmod(F.xxhash64("key"), F.lit(every)) == 0).select("key").distinct()
-    got = sorted(r[0] for r in sample.collect())  # about KEYS_A_SHARD keys a shard
-    return sorted({got[len(got) * i // shards] for i in range(1, shards)}) if got else []
+def _order(key: Column, digest: Column) -> Column:
+    """A text that sorts as (key, digest) does, null keys first."""
+    return F.concat(F.coalesce(F.lpad(F.hex(key.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"), F.lit("")), digest)
+
+
+def _borders(keys: DataFrame, shard_bytes: int) -> list[str]:
+    """The order of the first record of each shard after the first."""
+    sums = keys.withColumn("order", _order(F.col("key"), F.col("hash"))).groupBy("order").agg(F.sum("size").alias("size"))
+    part = scratch.written(sums.repartitionByRange("order").withColumn("part", F.spark_partition_id()), "warc-order")
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    offsets = part.groupBy("part").agg(F.sum("size").alias("b")).select("part", F.coalesce(F.sum("b").over(earlier), F.lit(0)).alias("before"))
+    within = Window.partitionBy("part").orderBy("order").rowsBetween(Window.unboundedPreceding, -1)
+    placed = part.withColumn("own", F.coalesce(F.sum("size").over(within), F.lit(0))).join(scratch.lookup(scratch.written(offsets, "warc-offsets")), "part")
+    shard = F.floor((F.col("own") + F.col("before")) / F.lit(shard_bytes))
+    found = placed.groupBy(shard.alias("shard")).agg(F.min("order").alias("first")).where("shard > 0").select("first").collect()
+    return sorted(r["first"] for r in found)
 
 
 def write_archive(pages: DataFrame, folder: str, shard_bytes: int = 256 << 20, file_bytes: int = 1 << 30, min_revisit: int = 0) -> DataFrame:
@@ -136,13 +148,14 @@ def write_archive(pages: DataFrame, folder: str, shard_bytes: int = 256 << 20, f
     full = rows.withColumn("response", F.lit(None).cast("long")).withColumn("kind", F.lit(1))
     both = full.unionByName(found, allowMissingColumns=True)
     borders = _borders(keys, shard_bytes)
-    edges = F.array(*map(F.lit, borders)) if 0 < len(borders) <= 64 else None
-    if edges is not None:
-        shard = F.size(F.filter(edges, lambda b: b <= F.col("key")))
-        both = both.withColumn("shard", F.coalesce(shard, F.lit(0)).cast("int"))
+    both = both.withColumn("order", _order(F.col("key"), F.col("hash")))
+    if len(borders) <= FEW:
+        shard = F.size(F.filter(F.array(*map(F.lit, borders)).cast("array<string>"), lambda b: b <= F.col("order")))
+        both = both.withColumn("shard", shard.cast("int"))
     else:
         both = _with_shards(both, borders)
-    dealt = both.repartition(len(borders) + 1, "shard").sortWithinPartitions("shard", F.col("key").asc_nulls_first(), "hash", "kind", "url")
+    both = both.drop("order")
+    dealt = both.repartitionById(len(borders) + 1, F.col("shard")).sortWithinPartitions("shard", F.col("key").asc_nulls_first(), "hash", "kind", "url")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = store(folder)
@@ -180,23 +193,15 @@ def write_archive(pages: DataFrame, folder: str, shard_bytes: int = 256 << 20, f
     return manifest
 
 
-def _with_shards(rows: DataFrame, borders: list[int]) -> DataFrame:
+def _with_shards(rows: DataFrame, borders: list[str]) -> DataFrame:
     """Many borders are searched by bisection over Arrow batches."""
-    import numpy as np
-
-    schema = rows.schema
-    if not borders:
-        return rows.withColumn("shard", F.lit(0))
-
-    def number(keys: pa.Array) -> pa.Array:
-        k = keys.fill_null(np.iinfo(np.int64).min).to_numpy()
-        return pa.array(np.searchsorted(np.array(borders), k, side="right").astype(np.int32))
+    known = rows.sparkSession.sparkContext.broadcast(borders)
 
     def f(batches):
         for b in batches:
-            yield b.append_column("shard", number(b.column("key")))
+            yield b.append_column("shard", pa.array([bisect.bisect_right(known.value, x) for x in b.column("order").to_pylist()], pa.int32()))
 
-    return rows.mapInArrow(f, schema.add("shard", "int"))
+    return rows.mapInArrow(f, StructType([*rows.schema.fields, StructField("shard", IntegerType())]))
 
 
 def _commit(manifest: DataFrame, folder: str) -> None:
@@ -226,7 +231,7 @@ def _commit(manifest: DataFrame, folder: str) -> None:
 
 def parse_records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers, block) of every record of a stream of gzip members, a member at a time."""
-    inflate, raw, rest = zlib.decompressobj(31), b"", b""
+    inflate, raw, rest = zlib.decompressobj(31), bytearray(), b""
     while True:
         data = rest or stream.read(1 << 20)
         rest = b""
@@ -235,16 +240,17 @@ def parse_records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
         raw += inflate.decompress(data)
         if inflate.eof:
             rest, inflate = inflate.unused_data, zlib.decompressobj(31)
-            head, _, block = raw.partition(b"\r\n\r\n")
+            head, _, block = bytes(raw).partition(b"\r\n\r\n")
             lines = head.decode("utf-8", "surrogateescape").split("\r\n")
             fields = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in lines[1:])
             yield fields, block[: int(fields["Content-Length"])]
-            raw = b""
+            raw = bytearray()
 
 
-def read_archive(spark: SparkSession, folder: str) -> DataFrame:
+def read_archive(spark: SparkSession, folder: str, payload: bool = True) -> DataFrame:
     """The records of an archive, by its manifest: RECORDS. intact: the block's digest, and a response's payload digest
-    and length, are those of the headers."""
+    and length, are those of the headers. payload: whether payloads are wanted, or null."""
+    wanted = payload
     manifest = spark.read.schema(MANIFEST).parquet(f"{folder.rstrip('/')}/_manifest").select("name")
     count = max(1, manifest.count())
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()), ("intact", pa.bool_())])
@@ -263,8 +269,8 @@ def read_archive(spark: SparkSession, folder: str) -> DataFrame:
                         intact = h["WARC-Block-Digest"] == f"sha1:{sha1_base32(block)}"
                         if payload is not None:
                             intact = intact and digest == sha1_base32(payload) and len(payload) == int(h["X-Payload-Length"])
-                        out.append({"page_id": number(h["X-Key"]), "url": h["WARC-Target-URI"], "payload_bytes": int(h["X-Payload-Length"]), "payload_digest": digest, "record_type": kind, "refers_to": number(h.get("X-Refers-To-Key")), "payload": payload, "intact": intact})
-                        held += len(block)
+                        out.append({"page_id": number(h["X-Key"]), "url": h["WARC-Target-URI"], "payload_bytes": int(h["X-Payload-Length"]), "payload_digest": digest, "record_type": kind, "refers_to": number(h.get("X-Refers-To-Key")), "payload": payload if wanted else None, "intact": intact})
+                        held += len(block) if wanted else 512
                         if held > 1 << 22:
                             yield pa.RecordBatch.from_pylist(out, schema)
                             out, held = [], 0
