@@ -189,14 +189,12 @@ def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """The documents that the rules keep, in the columns they came with. Cutoffs come from a first pass over the text;
-    a second pass counts again beside each row and judges it there, so that no text is exchanged and rows that share a
-    key are judged one by one."""
-    cutoffs = calibrate(scratch.written(counts(docs), "quality"), labels, risk, delta)
-    # a filter pushed into the counts would spell them out again for each time it names one; a running number, which no
-    # filter moves past, keeps it above
-    counted = counts(docs, "row").withColumn("at", F.monotonically_increasing_id())
-    return judge_with(counted, cutoffs).where("kept and at >= 0").select("row.*")
+    """The documents that the rules keep, in the columns they came with. The texts are read and counted once: the counts
+    are written beside the rows, cutoffs come from the counts' columns alone, and each row is judged by its own counts, so
+    that no text is exchanged and rows that share a key are judged one by one."""
+    counted = scratch.written(counts(docs, "row"), "counted")
+    cutoffs = calibrate(counted.drop("row"), labels, risk, delta)
+    return judge_with(counted, cutoffs).where("kept").select("row.*")
 
 
 def _oracle() -> str:
