@@ -20,7 +20,8 @@ Equal sets are one node, named by their digest, so copies meet nowhere. Nodes th
 the least of them (those of a hot content to a node of the sample that holds it, known beforehand, so that hot contents
 are never gathered); ties that close no ring in their partition are kept, no more than there are nodes. Their connected
 components are the clusters. A cluster of up to CELL nodes and CELL_TOKENS tokens is joined as one R-tree in one task,
-which verifies pairs of parts that are not yet connected and emits a link for each that connects two. In larger clusters
+which verifies pairs of parts that are not yet connected, emits a link for each that connects two, and passes over boxes
+that lie in one part. In larger clusters
 every node is first tried against the one that it shares most contents with, then against the least of its contents'
 holders across components; what is still apart is joined tree by tree, cut into cells of bounded size, and only pairs
 across components are bounded and verified. Every link between different components is found; nothing is capped.
@@ -33,6 +34,7 @@ each by its own text. Extra columns are ignored. Empty tables give empty results
 from __future__ import annotations
 
 import math
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -45,14 +47,17 @@ from lodegauge.llm.components import components
 from lodegauge.sources import scratch
 
 U = np.uint64
-#: Groups of the points of large clusters' trees, and of clusters that are joined in memory.
-GROUPS, FINE_GROUPS = 64, 256
+#: Groups of the points of large clusters' trees; of clusters that are joined in memory the least and most (more for
+#: longer texts, whose counts would not tell them apart), and the numbers that all of a cluster's points may hold.
+GROUPS, FINE_GROUPS, POINTS = 64, (256, 4096), 1 << 23
+#: Hashed tokens that are kept at a time while a cluster's pairs are verified.
+KEPT_TOKENS = 1 << 20
 #: Ratio of neighbouring size classes.
 RATIO = 1.4
 #: Share of spare groups.
 SPARE = 0.3
 #: Members of a tree, or of a cluster, that one task joins; tokens of such a cluster.
-CELL, CELL_TOKENS = 1024, 1 << 21
+CELL, CELL_TOKENS = 1 << 14, 1 << 23
 #: Documents of the sample for common tokens, the documents of it that make a token common, and how many are kept.
 SAMPLE_DOCS, COMMON_DOCS, COMMON_MOST = 6000, 6, 200_000
 #: Documents of the sample that share a group's content and make it a hot one.
@@ -173,7 +178,7 @@ class Tree:
             todo += [part[cut[half:]], part[cut[:half]]] if half < len(part) else [part[:LEAF], part[LEAF:]]
         self.points = np.concatenate(order)
         #: leaf i holds points[ends[i] : ends[i + 1]]
-        self.ends = np.concatenate([[0], np.cumsum([len(x) for x in order])])
+        self.ends = np.concatenate([[0], np.cumsum([len(x) for x in order])]).astype(np.int64)
         at = self.ends[:-1]
         level = (np.maximum.reduceat(vec[self.points], at, axis=0), np.minimum.reduceat(n[self.points], at), np.maximum.reduceat(n[self.points], at))
         self.levels = [level]
@@ -183,6 +188,15 @@ class Tree:
             self.levels.append(level)
 
 
+    def labels(self, level: int, comp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The least and greatest component of the points below each box of a level."""
+        own, at = comp[self.points], self.ends[:-1][:: FAN**level]
+        return np.minimum.reduceat(own, at), np.maximum.reduceat(own, at)
+
+    def leaf(self, i: int) -> np.ndarray:
+        return self.points[self.ends[i] : self.ends[i + 1]]
+
+
 def _children(a: np.ndarray, b: np.ndarray, na: int, nb: int) -> tuple[np.ndarray, np.ndarray]:
     """Every child of a with every child of b, of pairs of inner nodes whose lower levels have na and nb boxes."""
     i, j = np.divmod(np.arange(FAN * FAN), FAN)
@@ -191,13 +205,11 @@ def _children(a: np.ndarray, b: np.ndarray, na: int, nb: int) -> tuple[np.ndarra
     return x[real], y[real]
 
 
-def tree_join(n: np.ndarray, vec: np.ndarray, pct: int, left: np.ndarray, right: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """R-tree join of two sets of points (positions left and right), or of one with itself: arrays of pairs whose bound
-    reaches the threshold. A self-join gives each pair once, in either order."""
-    if not len(left) or (right is not None and not len(right)):
-        return
-    p = Tree(n, vec, left)
-    q = p if right is None else Tree(n, vec, right)
+def tree_join(n: np.ndarray, vec: np.ndarray, pct: int, p: Tree, q: Tree | None = None, comp: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """R-tree join of two trees, or of one with itself: arrays of pairs of points whose bound reaches the threshold. A
+    self-join gives each pair once, in either order. comp: components of the points, which may grow meanwhile; what lies
+    in one component is passed over, boxes and all."""
+    alone, q = q is None, p if q is None else q
     levels = max(len(p.levels), len(q.levels))
     # a tree of fewer levels waits at its root
     of = lambda t, k: t.levels[min(k, len(t.levels) - 1)]
@@ -209,28 +221,40 @@ def tree_join(n: np.ndarray, vec: np.ndarray, pct: int, left: np.ndarray, right:
             a, b = a[:STRIP], b[:STRIP]
         x, y = of(p, k), of(q, k)
         fits = (100 * y[2][b] >= pct * x[1][a]) & (100 * x[2][a] >= pct * y[1][b])
-        if right is None:
+        if alone:
             fits &= a <= b
+        if comp is not None:
+            low, high = p.labels(min(k, len(p.levels) - 1), comp)
+            others = (low, high) if alone else q.labels(min(k, len(q.levels) - 1), comp)
+            fits &= (low[a] != high[a]) | (others[0][b] != others[1][b]) | (low[a] != others[0][b])
         a, b = a[fits], b[fits]
         fits = may_link(np.minimum(x[0][a], y[0][b]).sum(1, dtype=np.int64), x[1][a] + y[1][b], pct)
         a, b = a[fits], b[fits]
         if k and len(a):
             wait_p, wait_q = k > len(p.levels) - 1, k > len(q.levels) - 1
+            na, nb = len(of(p, k - 1)[1]), len(of(q, k - 1)[1])
             if wait_p or wait_q:  # only the taller tree goes down
                 i = np.arange(FAN)
-                na, nb = len(of(p, k - 1)[1]), len(of(q, k - 1)[1])
                 c = np.repeat(a, FAN) if wait_p else (a[:, None] * FAN + i).ravel()
                 d = np.repeat(b, FAN) if wait_q else (b[:, None] * FAN + i).ravel()
                 real = (c < na) & (d < nb)
                 todo.append((k - 1, c[real], d[real]))
             else:
-                todo.append((k - 1, *_children(a, b, len(of(p, k - 1)[1]), len(of(q, k - 1)[1]))))
+                todo.append((k - 1, *_children(a, b, na, nb)))
         elif not k:
             for i, j in zip(a.tolist(), b.tolist()):
-                mine, theirs = p.points[p.ends[i] : p.ends[i + 1]], q.points[q.ends[j] : q.ends[j + 1]]
+                mine, theirs = p.leaf(i), q.leaf(j)
+                same = alone and i == j
+                if comp is not None:
+                    own, its = comp[mine], comp[theirs]
+                    apart = own[:, None] != its
+                    if not apart.any():
+                        continue
                 overlap = np.minimum(vec[mine][:, None, :], vec[theirs][None, :, :]).sum(2, dtype=np.int64)
                 near = may_link(overlap, n[mine][:, None] + n[theirs][None, :], pct)
-                if right is None and i == j:
+                if comp is not None:
+                    near &= apart
+                if same:
                     near &= np.arange(len(mine))[:, None] < np.arange(len(theirs))
                 u, v = np.nonzero(near)
                 if len(u):
@@ -239,7 +263,7 @@ def tree_join(n: np.ndarray, vec: np.ndarray, pct: int, left: np.ndarray, right:
 
 def tree_pairs(n: np.ndarray, vec: np.ndarray, pct: int, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All pairs of two sets of points whose bound reaches the threshold."""
-    got = list(tree_join(n, vec, pct, left, right))
+    got = list(tree_join(n, vec, pct, Tree(n, vec, left), Tree(n, vec, right))) if len(left) and len(right) else []
     none = np.zeros(0, np.int64)
     return (np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])) if got else (none, none)
 
@@ -412,46 +436,74 @@ def _found(k: int, clashes: frozenset[int], columns: tuple[str, ...]) -> Callabl
     return f
 
 
-def cluster_links(nodes: list[int], sets: list[np.ndarray], texts: list[bytes], k: int, pct: int) -> list[tuple[int, int]]:
-    """Links that connect what is connected among a cluster's documents."""
-    n = np.array([len(s) for s in sets])
-    vec = np.stack([counts(s, FINE_GROUPS) for s in sets])
-    up, out = list(range(len(sets))), []
-
-    def root(x: int) -> int:
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    for a, b in tree_join(n, vec, pct, np.arange(len(sets))):
+class Tokens:
+    """The hashed sets of some texts, made when they are asked for; the last KEPT_TOKENS tokens are kept."""
+
+    def __init__(self, texts: list[bytes], k: int):
+        self.texts, self.k, self.held, self.size = texts, k, OrderedDict(), 0
+
+    def every(self) -> Iterator[np.ndarray]:
+        return row_sets(pa.RecordBatch.from_arrays([pa.array(self.texts, pa.large_binary())], names=["text"]), 0, self.k)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        if i in self.held:
+            self.held.move_to_end(i)
+            return self.held[i]
+        h, _ = shingle_hashes(np.frombuffer(self.texts[i], np.uint8), np.array([0, len(self.texts[i])]), self.k)
+        self.held[i] = np.unique(h)
+        self.size += len(self.held[i])
+        while self.size > KEPT_TOKENS and len(self.held) > 1:
+            self.size -= len(self.held.popitem(last=False)[1])
+        return self.held[i]
+
+
+def cluster_links(nodes: list[int], texts: list[bytes], k: int, pct: int) -> list[tuple[int, int]]:
+    """Links that connect what is connected among a cluster's documents. Pairs of a leaf come first, as they are the
+    nearest; the join from the root then passes over boxes of one component, so that copies by the thousand are not tried
+    in pairs. Texts and points are held, and few hashed sets at a time."""
+    sets = Tokens(texts, k)
+    longest = max(len(t) for t in texts)  # some 60 bytes of text a group
+    groups = min(max(FINE_GROUPS[0], min(1 << (longest // 60).bit_length(), FINE_GROUPS[1])), max(FINE_GROUPS[0], POINTS // len(texts)))
+    n, vec = np.zeros(len(texts), np.int64), np.zeros((len(texts), groups), np.int32)
+    for i, s in enumerate(sets.every()):
+        n[i], vec[i] = len(s), counts(s, groups)
+    tree, comp, out = Tree(n, vec, np.arange(len(texts))), np.arange(len(texts)), []
+
+    def tried(a: np.ndarray, b: np.ndarray) -> None:
         for x, y in zip(a.tolist(), b.tolist()):
-            if (p := root(x)) != (q := root(y)) and linked(sets[x], sets[y], texts[x], texts[y], k, pct):
-                up[max(p, q)] = min(p, q)
+            if comp[x] != comp[y] and linked(sets[x], sets[y], texts[x], texts[y], k, pct):
+                comp[comp == max(comp[x], comp[y])] = min(comp[x], comp[y])
                 out.append((nodes[x], nodes[y]))
+
+    if len(tree.levels) > 1:
+        for i in range(len(tree.ends) - 1):
+            for a, b in tree_join(n, vec, pct, Tree(n, vec, tree.leaf(i))):
+                tried(a, b)
+    for a, b in tree_join(n, vec, pct, tree, comp=comp):
+        tried(a, b)
     return out
 
 
 def _clusters(k: int, pct: int) -> Callable:
-    """Links of clusters whose rows (cluster, node, text) come together."""
+    """Links of clusters whose rows (cluster, node, text) come together, in order of their node."""
 
     def f(batches):
-        cluster, nodes, sets, texts = None, [], [], []
+        cluster, nodes, texts = None, [], []
 
         def out():
-            got = cluster_links(nodes, sets, texts, k, pct) if len(nodes) > 1 else []
+            got = cluster_links(nodes, texts, k, pct) if len(nodes) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], pa.int64()) for i in (0, 1)], names=["u", "v"])
 
         for b in batches:
-            for c, node, s, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), row_sets(b, 2, k), b.column(2)):
+            for c, node, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 if c != cluster:
                     yield out()
-                    cluster, nodes, sets, texts = c, [], [], []
-                if node not in nodes[-1:]:  # rows of a cluster are in order of their node
+                    cluster, nodes, texts = c, [], []
+                if node not in nodes[-1:]:
                     nodes.append(node)
-                    sets.append(s)
                     texts.append(text.as_py().encode())
         yield out()
+        bw.release()
 
     return f
 
@@ -505,9 +557,8 @@ def _cells(pct: int) -> Callable:
         left, right = np.flatnonzero(rows["side"] == 0), np.flatnonzero(rows["side"] == 1)
         if rows["i"][0] != rows["j"][0] and not len(right):
             return
-        for a, b in tree_join(n, vec, pct, left, right if len(right) else None):
-            keep = (comp[a] != comp[b]) & (node[a] != node[b])
-            x, y = node[a][keep], node[b][keep]
+        for a, b in tree_join(n, vec, pct, Tree(n, vec, left), Tree(n, vec, right) if len(right) else None, comp):
+            x, y = node[a], node[b]
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], names=["x", "hub"])
 
     def f(batches):

@@ -177,6 +177,25 @@ def test_warc(spark, tmp_path, pages):
         assert len(data) == size and hashlib.sha1(data).hexdigest() == digest
 
 
+def test_warc_shards_are_even_in_bytes(spark, tmp_path, monkeypatch):
+    """Sizes that grow with the key, a key that a third of all rows have, and more shards than are compared one by one."""
+    rng = random.Random(7)
+    rows = [(i if i % 3 else 5, f"u{i}", "".join(rng.choice("abcdefgh") for _ in range(i))) for i in range(400)] + [(None, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = {}
+    for few in (64, 2):
+        monkeypatch.setattr(warc, "FEW", few)
+        folder = f"file://{tmp_path}/{few}"
+        manifest = warc.write_archive(df, folder, 4000, 1 << 20).collect()
+        got[few] = sorted((r["name"], r["digest"]) for r in manifest)
+        read = warc.read_archive(spark, folder).collect()
+        assert len({r["shard"] for r in manifest}) == 20 and len(read) == len(rows) and all(r["intact"] for r in read)
+        assert sorted((r["payload"] or b"").decode() for r in read if r["record_type"] == "response") == sorted({r[2] or "" for r in rows})
+        assert all(r["payload"] is None for r in warc.read_archive(spark, folder, payload=False).collect())
+        assert max(r["bytes"] for r in manifest) < 4000 + 400 + 500 * max(r["records"] for r in manifest)
+    assert got[64] == got[2]
+
+
 # 3 token counts
 
 
@@ -404,13 +423,41 @@ def test_tree_join_descends():
     want = jaccard_join.may_link(np.minimum(vec[:, None], vec[None]).sum(2), n[:, None] + n[None], 90)
     tree = jaccard_join.Tree(n, vec, every)
     assert len(tree.levels) > 2 and sorted(tree.points.tolist()) == every.tolist()
-    pairs = [tuple(sorted(p)) for a, b in jaccard_join.tree_join(n, vec, 90, every) for p in zip(a.tolist(), b.tolist())]
+    pairs = [tuple(sorted(p)) for a, b in jaccard_join.tree_join(n, vec, 90, jaccard_join.Tree(n, vec, every)) for p in zip(a.tolist(), b.tolist())]
     assert len(set(pairs)) == len(pairs) and set(pairs) == {(i, j) for i, j in zip(*map(list, np.nonzero(want))) if i < j}
     few = rng.permutation(2000)[:20]
     a, b = jaccard_join.tree_pairs(n, vec, 90, few, every)
     assert set(zip(a.tolist(), b.tolist())) == {(i, j) for i in few.tolist() for j in np.flatnonzero(want[i]).tolist()}
 
 
+def test_cluster_links_connect_what_all_pairs_connect():
+    """Thousands of near copies and strangers in one cluster: the same components as all pairs, with few pairs tried."""
+    rng = random.Random(3)
+    texts = []
+    for family in range(6):
+        base = [f"f{family}w{i}" for i in range(40)]
+        for _ in range(60):
+            w = list(base)
+            for _ in range(rng.randrange(5)):
+                w[rng.randrange(len(w))] = str(rng.randrange(50))
+            texts.append(" ".join(w).encode())
+    texts = sorted(set(texts))
+    links = jaccard_join.cluster_links(list(range(len(texts))), texts, 3, 80)
+    up = list(range(len(texts)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in links:
+        p, q = root(a), root(b)
+        assert p != q  # each link connects
+        up[max(p, q)] = min(p, q)
+    want = jaccard_model([(i, t.decode()) for i, t in enumerate(texts)], 3, 80)
+    assert {i: root(i) for i in range(len(texts))} == {i: v[1] for i, v in want.items()}
+
+
 def thue_morse(n, a, b):
     return "".join((a, b)[bin(i).count("1") % 2] for i in range(n))
 
