@@ -16,10 +16,11 @@ left out by neither document, since it would have to be among s groups with s ot
 is lost, and passages that many documents share seldom bring strangers together. Which tokens are common, and which
 groups' contents are (hot ones), is estimated on a bounded sample; a poor estimate costs time and changes no result.
 
-Equal sets are one node, named by their digest, so copies meet nowhere. Nodes that share a group's content are tied to
-the least of them (those of a hot content to a node of the sample that holds it, known beforehand, so that hot contents
-are never gathered); ties that close no ring in their partition are kept, no more than there are nodes. Their connected
-components are the clusters. A cluster of up to CELL nodes and CELL_TOKENS tokens is joined as one R-tree in one task,
+Equal sets are one node, named by their digest, so copies meet nowhere. Up to PAIRED nodes that share a group's content
+are bounded pair by pair, by points of as many groups as their size asks for, so that strangers who share a passage part
+again. More of them are tied to the least one (those of a hot content to a node of the sample that holds it, known
+beforehand, so that hot contents are never gathered); ties that close no ring in their partition are kept, no more than
+there are nodes, and pairs that they connect need no bound. The connected components of ties and pairs are the clusters. A cluster of up to CELL nodes and CELL_TOKENS tokens is joined as one R-tree in one task,
 which verifies pairs of parts that are not yet connected, emits a link for each that connects two, and passes over boxes
 that lie in one part. In larger clusters
 every node is first tried against the one that it shares most contents with, then against the least of its contents'
@@ -62,14 +63,16 @@ CELL, CELL_TOKENS = 1 << 14, 1 << 23
 SAMPLE_DOCS, COMMON_DOCS, COMMON_MOST = 6000, 6, 200_000
 #: Documents of the sample that share a group's content and make it a hot one.
 HOT_DOCS = 60
+#: Nodes that share a content and are bounded pair by pair; tokens of a group of their points, and the least groups.
+PAIRED, GROUP_TOKENS, LEAST_GROUPS = 8, 8, 64
+#: Rows that a task holds while it pairs them.
+HELD = 1 << 20
 #: Points of a leaf; children of an inner node.
 LEAF, FAN = 16, 8
 #: Pairs of boxes that are bounded together.
 STRIP = 4096
 #: Sets that a task remembers having named; beyond it some are named again, which costs rows and changes nothing.
 SEEN = 200_000
-#: Nodes that a task remembers when it drops ties that close a ring; beyond it, it begins anew.
-RING_NODES = 1_000_000
 
 
 def size_classes(pct: int, largest: int = 1 << 40) -> list[tuple[int, int, int, int]]:
@@ -303,12 +306,33 @@ def _node(digest: tuple[int, int], clashes: frozenset[int]) -> int:
     return (digest[1] if (digest[0] & ~1) in clashes else digest[0]) & ~1
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """A set's point, with a power of two of groups that grows with the set: a mark of the type, and the counts."""
+    if not len(s):
+        return b""
+    groups = max(LEAST_GROUPS, 1 << max(0, (len(s) - 1) // GROUP_TOKENS).bit_length())
+    c = counts(s, groups)
+    return b"1" + c.astype(np.uint8).tobytes() if c.max() < 256 else b"4" + c.tobytes()
+
+
+def unsketched(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint8 if raw[:1] == b"1" else np.int32, offset=1).astype(np.int64)
+
+
+def sketch_bound(a: bytes, b: bytes) -> int:
+    """The most tokens that two sets can share. Groups are numbers modulo a power of two, so the finer point folds."""
+    x, y = unsketched(a), unsketched(b)
+    n = min(len(x), len(y))
+    return int(np.minimum(x.reshape(-1, n).sum(0), y.reshape(-1, n).sum(0)).sum())
+
+
 def _summaries(k: int) -> Callable:
     def f(batches):
         for b in batches:
-            got = [(len(s), *_digest(s)) for s in row_sets(b, 1, k)]
-            columns = zip(*got) if got else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in columns)], names=["doc_id", "n", "s1", "s2"])
+            got = [(len(s), *_digest(s), sketch(s)) for s in row_sets(b, 1, k)]
+            columns = zip(*got) if got else ((), (), (), ())
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, t) for x, t in zip(columns, types))], names=["doc_id", "n", "s1", "s2", "vec"])
 
     return f
 
@@ -382,8 +406,16 @@ def _signed(k: int, make: Callable[[], Named], column: int = 1) -> Callable:
     return f
 
 
-def _acyclic(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a partition's ties those that connect what was not connected yet."""
+def meetings(key: np.ndarray, sig: np.ndarray, node: np.ndarray) -> tuple[list, list, np.ndarray, np.ndarray]:
+    """Of rows in order of their key and node: the ends of ties that close no ring, and the ends of pairs to be bounded
+    that these ties don't connect. A row whose sig has last bit 1 knows its leader."""
+    led = (sig & 1) == 1
+    hot_u, hot_v = node[led], sig[led] - 1
+    key, node = key[~led], node[~led]
+    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    size = np.diff(np.concatenate([at, [len(key)]])).astype(np.int64)
+    first = np.repeat(node[at], size) if len(at) else node
+    big = np.repeat(size > PAIRED, size) & (node != first)
     up: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -394,28 +426,80 @@ def _acyclic(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             up[x], x = top, up[x]
         return top
 
+    us, vs = [], []
+    for u, v in zip(np.concatenate([hot_u, node[big]]).tolist(), np.concatenate([hot_v, first[big]]).tolist()):
+        p, q = root(u), root(v)
+        if p != q:
+            up[max(p, q)] = min(p, q)
+            us.append(u)
+            vs.append(v)
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for n in range(2, PAIRED + 1):
+        of = at[size == n]
+        for i in range(n):
+            for j in range(i):
+                left.append(node[of + i])
+                right.append(node[of + j])
+    x, y = np.concatenate(left), np.concatenate(right)
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
+    new = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])[: len(x)] & (x != y)
+    x, y = x[new], y[new]
+    if up and len(x):
+        known, which = np.unique(np.concatenate([x, y]), return_inverse=True)
+        tied = np.array([root(i) if i in up else i for i in known.tolist()], np.int64)[which]
+        apart = tied[: len(x)] != tied[len(x) :]
+        x, y = x[apart], y[apart]
+    return us, vs, x, y
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, v, sure) of rows (key, sig, node) in order: sure ties, and pairs that wait for their bound."""
+    held = [np.zeros(0, np.int64)] * 3
+
+    def out(rows):
+        us, vs, x, y = meetings(*rows)
+        u, v = np.concatenate([np.array(us, np.int64), x]), np.concatenate([np.array(vs, np.int64), y])
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(np.arange(len(u)) < len(us))], names=["u", "v", "sure"])
+
     for b in batches:
-        us, vs = [], []
-        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            p, q = root(u), root(v)
-            if p != q:
-                up[max(p, q)] = min(p, q)
-                us.append(u)
-                vs.append(v)
-        if len(up) > RING_NODES:
-            up.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
-
-
-def _ties(signed: DataFrame) -> DataFrame:
-    """(u, v): a forest, in each partition, of nodes tied to the least node of a signature or to its leader."""
+        held = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, b.columns)]
+        if len(held[0]) > HELD:
+            # the last key may go on: of a large group its first rows stand for it
+            last = len(held[0]) - int((held[0][::-1] != held[0][-1]).argmax()) if held[0][0] != held[0][-1] else 0
+            yield out(held)
+            held = [h[last : last + PAIRED + 1] for h in held]
+    yield out(held)
+
+
+def _within(pct: int) -> Callable:
+    """Of rows (u, v, n_u, n_v, vec_u, vec_v) those whose points may link."""
+
+    def f(batches):
+        for b in batches:
+            rows = zip(*(b.column(c).to_pylist() for c in ("n_u", "n_v", "vec_u", "vec_v")))
+            keep = [100 * min(m, n) >= pct * max(m, n) and bool(may_link(sketch_bound(x, y), m + n, pct)) for m, n, x, y in rows]
+            yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(keep, pa.bool_())) for c in ("u", "v")], names=["u", "v"])
+
+    return f
+
+
+def _ties(signed: DataFrame, points: DataFrame, pct: int) -> DataFrame:
+    """(u, v) that connect, at least, all nodes that link. points: node, n, vec, once or more."""
     led = F.col("sig").bitwiseAND(1) == 1
-    # a running minimum: rows stream through, and the nodes of a signature are not held together. Rows that know their
-    # leader are spread by their node.
-    order = Window.partitionBy("key").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    least = F.when(led, F.col("sig") - 1).otherwise(F.min("node").over(order))
-    met = signed.withColumn("key", F.when(led, F.col("node")).otherwise(F.col("sig"))).select("node", least.alias("least")).where("node <> least")
-    return met.mapInArrow(_acyclic, "u long, v long")
+    # rows that know their leader are spread by their node
+    order = Window.partitionBy("key").orderBy("node")
+    rows = signed.withColumn("key", F.when(led, F.col("node")).otherwise(F.col("sig")))
+    rows = rows.select("key", "sig", "node", F.lag("node").over(order).alias("before"), F.lead("node").over(order).alias("after"))
+    some = rows.where(led | F.col("before").isNotNull() | F.col("after").isNotNull()).select("key", "sig", "node")
+    met = scratch.written(some.mapInArrow(_met, "u long, v long, sure boolean"), "met")
+    pairs = scratch.written(met.where("not sure").select("u", "v").distinct(), "pairs")
+    ends = scratch.written(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), "ends")
+    known = points.join(scratch.lookup(ends), "node").groupBy("node").agg(F.first("n").alias("n"), F.first("vec").alias("vec"))
+    known = scratch.written(known, "points")
+    side = lambda c: known.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("vec").alias(f"vec_{c}"))
+    near = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "n_u", "n_v", "vec_u", "vec_v").mapInArrow(_within(pct), "u long, v long")
+    return scratch.written(met.where("sure").select("u", "v").union(near), "ties")
 
 
 def _found(k: int, clashes: frozenset[int], columns: tuple[str, ...]) -> Callable:
@@ -634,7 +718,7 @@ def _members(ties: DataFrame, reps: DataFrame) -> DataFrame:
     return scratch.written(named.join(large, "cluster", "left").select("node", "cluster", "doc_id", F.col("large").isNull().alias("small")), "members")
 
 
-def _links(texts: DataFrame, reps: DataFrame, k: int, pct: int, clashes: frozenset[int]) -> DataFrame:
+def _links(texts: DataFrame, points: DataFrame, reps: DataFrame, k: int, pct: int, clashes: frozenset[int]) -> DataFrame:
     """Links (u, v) of nodes that connect what is connected."""
     context = texts.sparkSession.sparkContext
     known = texts.where("doc_id is not null")
@@ -645,7 +729,7 @@ def _links(texts: DataFrame, reps: DataFrame, k: int, pct: int, clashes: frozens
     hot = sorted((r["sig"], r["lead"]) for r in shared.collect())  # at most the sample's signatures / HOT_DOCS
     leaders = context.broadcast((np.array([h[0] for h in hot], np.int64), np.array([h[1] for h in hot], np.int64)))
     signed = known.mapInArrow(_signed(k, lambda: Named(pct, common.value, clashes, leaders.value)), "sig long, node long")
-    ties = scratch.written(_ties(signed), "ties")
+    ties = _ties(signed, points, pct)
     members = _members(ties, reps)
     small = known.join(scratch.lookup(members.where("small").select("doc_id", "node", "cluster")), "doc_id").select("text", "node", "cluster")
     near = small.mapInArrow(_found(k, clashes, ("cluster", "node", "text")), "cluster long, node long, text string")
@@ -657,19 +741,20 @@ def _links(texts: DataFrame, reps: DataFrame, k: int, pct: int, clashes: frozens
 
 
 def _grouped(texts: DataFrame, k: int, pct: int) -> tuple[DataFrame, DataFrame, frozenset[int]]:
-    """(doc_id, n, s1, s2) of every row; (n, s1, s2, node, root, rep, component) of every set that is not empty and has
+    """(doc_id, n, s1, s2, vec) of every row; (n, s1, s2, node, root, rep, component) of every set that is not empty and has
     copies or links: root is the same for sets that links connect, component the least doc_id among these."""
-    sets = scratch.written(texts.mapInArrow(_summaries(k), "doc_id long, n long, s1 long, s2 long"), "sets")
+    sets = scratch.written(texts.mapInArrow(_summaries(k), "doc_id long, n long, s1 long, s2 long, vec binary"), "sets")
     half = F.col("s1").bitwiseAND(~1)
     reps = sets.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     reps = scratch.written(reps.withColumn("half", half), "sets")
     # sets that agree in half their digest: none but for chance, one in 2**64 pairs
     clashes = frozenset(r["half"] for r in reps.groupBy("half").count().where("count > 1").select("half").collect())
     if clashes:
-        reps = reps.withColumn("half", F.when(F.col("half").isin(list(clashes)), F.col("s2").bitwiseAND(~1)).otherwise(F.col("half")))
-    reps = reps.withColumnRenamed("half", "node")
+        half = F.when(half.isin(list(clashes)), F.col("s2").bitwiseAND(~1)).otherwise(half)
+    reps = reps.drop("half").withColumn("node", half)
+    points = sets.where("n > 0").select(half.alias("node"), "n", "vec")
     with scratch.scope() as keep:
-        keep(found := components(_links(texts, reps, k, pct, clashes)))
+        keep(found := components(_links(texts, points, reps, k, pct, clashes)))
     ends = scratch.written(found.union(found.select("component", "component").distinct()).join(reps.select("node", "rep"), "node"), "ends")
     least = scratch.written(ends.groupBy("component").agg(F.min("rep").alias("its")), "least")
     its = scratch.written(ends.join(least, "component").select("node", F.col("component").alias("root"), "its"), "its")

@@ -11,6 +11,7 @@ from fractions import Fraction
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -458,6 +459,56 @@ def test_cluster_links_connect_what_all_pairs_connect():
     assert {i: root(i) for i in range(len(texts))} == {i: v[1] for i, v in want.items()}
 
 
+def test_sketches_bound_the_overlap():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        n, m = (int(rng.integers(1, 3000)) for _ in range(2))
+        both = rng.integers(0, 2**63, int(rng.integers(0, min(n, m) + 1))).astype(np.uint64)
+        x, y = (np.unique(np.concatenate([both, rng.integers(0, 2**63, k - len(both)).astype(np.uint64)])) for k in (n, m))
+        assert len(np.intersect1d(x, y)) <= jaccard_join.sketch_bound(jaccard_join.sketch(x), jaccard_join.sketch(y)) <= min(len(x), len(y))
+    same_group = np.arange(1, 2000, dtype=np.uint64)
+    heavy = same_group[(bw.mix(same_group) % np.uint64(64)) == 5]
+    assert jaccard_join.sketch_bound(jaccard_join.sketch(heavy), jaccard_join.sketch(heavy)) == len(heavy)
+
+
+def test_meetings_connect_all_that_share():
+    """Ties and pairs connect the nodes of every group, and no group is lost where rows are held in parts."""
+    rng = np.random.default_rng(6)
+    key = np.sort(rng.integers(0, 60, 900)) * 2
+    node = rng.integers(0, 300, 900) * 2
+    order = np.lexsort((node, key))
+    key, node = key[order], node[order]
+    key = np.concatenate([key, [998, 998]])
+    node = np.concatenate([node, [700, 702]])
+    sig = key.copy()
+    us, vs, x, y = jaccard_join.meetings(key, sig, node)
+    up = {}
+
+    def root(i):
+        while up.get(i, i) != i:
+            i = up[i]
+        return i
+
+    for a, b in [*zip(us, vs), *zip(x.tolist(), y.tolist())]:
+        p, q = root(a), root(b)
+        up[max(p, q)] = min(p, q)
+    for k in np.unique(key):
+        assert len({root(i) for i in node[key == k].tolist()}) == 1
+    assert (700, 702) in {(min(a, b), max(a, b)) for a, b in zip(x.tolist(), y.tolist())}
+    rows = [pa.RecordBatch.from_arrays([pa.array(c[i : i + 50]) for c in (key, sig, node)], names=["key", "sig", "node"]) for i in range(0, len(key), 50)]
+    held, jaccard_join.HELD = jaccard_join.HELD, 100
+    try:
+        up.clear()
+        for b in jaccard_join._met(iter(rows)):
+            for a, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                p, q = root(a), root(c)
+                up[max(p, q)] = min(p, q)
+    finally:
+        jaccard_join.HELD = held
+    for k in np.unique(key):
+        assert len({root(i) for i in node[key == k].tolist()}) == 1
+
+
 def thue_morse(n, a, b):
     return "".join((a, b)[bin(i).count("1") % 2] for i in range(n))
 
