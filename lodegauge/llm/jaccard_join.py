@@ -639,7 +639,7 @@ def _cells(pct: int) -> Callable:
     def joined(rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         n, vec, comp, node = rows["n"], rows["vec"], rows["comp"], rows["node"]
         left, right = np.flatnonzero(rows["side"] == 0), np.flatnonzero(rows["side"] == 1)
-        if rows["i"][0] != rows["j"][0] and not len(right):
+        if not len(left) or (rows["i"][0] != rows["j"][0] and not len(right)):
             return
         for a, b in tree_join(n, vec, pct, Tree(n, vec, left), Tree(n, vec, right) if len(right) else None, comp):
             x, y = node[a], node[b]
