@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from lodegauge.functions.text import normalize_offsets, text_slice
 from lodegauge.sources.schemas import LOGIC
 
+#: Fields of a chunk; the codes below and the lines of the report are those of the formats (fixed values).
 CHUNK_FIELDS = ("original_doc_id", "chunk_id", "start", "end", "text")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("docid").cast("string").alias("docid"), F.coalesce("text", F.lit("")).alias("raw"), normalize_offsets(F.coalesce("text", F.lit(""))).alias("norm"), F.lit(True).alias("there"))
+    """docs: with load_error where the reader kept what could not be read."""
+    error = F.col("load_error") if "load_error" in docs.columns else F.lit(None).cast("string")
+    return docs.select(F.col("docid").cast("string").alias("docid"), error.alias("error"), F.coalesce("text", F.lit("")).alias("raw"), normalize_offsets(F.coalesce("text", F.lit(""))).alias("norm"), F.lit(True).alias("there"))
 
 
 def check_annotations(questions: DataFrame, annotations: DataFrame, docs: DataFrame, annotator: str) -> DataFrame:
@@ -21,7 +24,7 @@ def check_annotations(questions: DataFrame, annotations: DataFrame, docs: DataFr
     q = questions.where("docid is not null").select("qid", "docid").distinct()
     spanless = q.join(annotations.select("qid"), "qid", "left_anti").select("qid", "docid", F.lit(f"{annotator}:NO_SPAN_FOR_QUESTION").alias("code"))
     covered = q.join(annotations.select("qid").distinct(), "qid", "left_semi").join(_texts(docs), "docid", "left")
-    by_doc = covered.select("qid", "docid", F.when(F.col("there").isNull(), "DOC_NOT_FOUND").when(F.col("raw") == "", "DOC_EMPTY_OR_NO_TEXT_FIELD").alias("code")).where("code is not null")
+    by_doc = covered.select("qid", "docid", F.when(F.col("there").isNull(), "DOC_NOT_FOUND").when(F.col("error").isNotNull(), F.concat(F.lit("DOC_LOAD_OR_NORMALIZE_ERROR: "), "error")).when(F.col("raw") == "", "DOC_EMPTY_OR_NO_TEXT_FIELD").alias("code")).where("code is not null")
     sound = covered.where("there and raw <> ''")
     a = annotations.select("qid", "start", "end", F.col("text").alias("told"))
     inside = F.coalesce((F.col("start") >= 0) & (F.col("start") <= F.col("end")) & (F.col("end") <= F.length("norm")), F.lit(False))
@@ -67,7 +70,7 @@ def sample_rows(rows: DataFrame, by: str, order: str, first: int = 2, last: int
     up, down = Window.partitionBy(by).orderBy(order), Window.partitionBy(by).orderBy(F.desc(order))
     out = rows.withColumn("__u", F.row_number().over(up)).withColumn("__d", F.row_number().over(down))
     ends = (F.col("__u") <= first) | (F.col("__d") <= last)
-    dice = Window.partitionBy(by, "__end").orderBy(F.xxhash64(F.lit(seed), order))
+    dice = Window.partitionBy(by, "__end").orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(order).cast("string"))), order)
     out = out.withColumn("__end", ends).withColumn("__r", F.row_number().over(dice))
     return out.where(F.col("__end") | (F.col("__r") <= random)).drop("__u", "__d", "__end", "__r")
 

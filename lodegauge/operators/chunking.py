@@ -1,13 +1,18 @@
 """Chunking strategies: (docid, text) to (docid, chunk_id, start, end, text), without leaving the row.
 
 Texts are normalized to the offset space first; chunk texts are exact slices of it. Empty and null texts give no chunks.
+Windows by characters are built-in expressions; sentences and what a tokenizer decides are one Arrow pass, linear in the
+text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+import re
+from collections.abc import Callable, Iterable, Iterator
 from functools import partial
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,17 +55,122 @@ def char_blocks(docs: DataFrame, size: int = 1000) -> DataFrame:
     return char_windows(docs, size, 0)
 
 
+#: (number, start, end) of a text's chunks.
+Spans = Iterable[tuple[int, int, int]]
+
+
+def spanned(docs: DataFrame, prefix: str, make: Callable[[], Callable[[str], Spans]]) -> DataFrame:
+    """Chunks that a function of the normalized text gives; ``make`` makes the function, once a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spans = make()
+        names, types = ("docid", "chunk_id", "start", "end", "text"), (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string())
+        rows, size = [], 0
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+
+        for b in batches:
+            for k, docid in enumerate(b.column(0).to_pylist()):
+                text = b.column(1)[k].as_py()
+                for i, start, end in spans(text):
+                    rows.append((docid, None if docid is None else f"{prefix}-{docid}-{i:04d}", start, end, text[start:end]))
+                    size += end - start + 64
+                    if size > 1 << 22:
+                        yield out()
+                        rows, size = [], 0
+        if rows:
+            yield out()
+
+    return _normal(docs).where("text <> ''").mapInArrow(run, "docid string, chunk_id string, start long, end long, text string")
+
+
 def _running(lengths: Column) -> Column:
     """0 and the running sums of an array."""
     return F.aggregate(lengths, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
 
 
+def sentence_spans() -> Callable[[str], Spans]:
+    find = re.compile(SENTENCE).finditer
+
+    def spans(text: str) -> Spans:
+        for i, m in enumerate(find(text)):
+            piece = m[0].lstrip(" ")
+            if piece:
+                yield i, m.end() - len(piece), m.end() - len(piece) + len(piece.rstrip(" "))
+
+    return spans
+
+
 def sentences(docs: DataFrame) -> DataFrame:
     """Sentences by end marks; blank pieces are skipped, but numbered."""
-    pieces = F.regexp_extract_all("text", F.lit(SENTENCE), F.lit(0))
-    spans = let(pieces, lambda p: let(_running(F.transform(p, lambda x: F.length(x))), lambda at: F.transform(p, lambda x, i: F.struct((F.get(at, i) + F.length(x) - F.length(F.ltrim(x))).alias("start"), F.trim(x).alias("s")))))
-    rows = _normal(docs).where("text <> ''").select("docid", "text", F.posexplode(spans).alias("i", "x")).where("x.s <> ''")
-    return _named(rows.select("docid", "text", "i", F.col("x.start").alias("start"), (F.col("x.start") + F.length("x.s")).alias("end")), "SENT")
+    return spanned(docs, "SENT", sentence_spans)
+
+
+def tokenizer_windows(docs: DataFrame, make_tokenizer: Callable[[], Callable[[str], list[tuple[int, int]]]], size: int = 512, stride: int = 128) -> DataFrame:
+    """Windows of ``size`` tokens, one every ``stride``, of a tokenizer that gives the characters (start, end) of a whole
+    text's tokens, without special ones. Blank windows are skipped and not numbered; the one that reaches the last token
+    is the last."""
+
+    def make():
+        offsets = make_tokenizer()
+
+        def spans(text: str) -> Spans:
+            at, number = offsets(text), 0
+            for i in range(0, len(at), stride):
+                start, end = at[i][0], at[min(i + size, len(at)) - 1][1]
+                if text[start:end].strip():
+                    yield number, start, end
+                    number += 1
+                if i + size >= len(at):
+                    return
+
+        return spans
+
+    return spanned(docs, f"TOKWIN{size}S{stride}", make)
+
+
+def public_tokenizer(name: str = "byte_bpe_50k.json") -> Callable[[], Callable[[str], list[tuple[int, int]]]]:
+    """A maker for tokenizer_windows() of a public vocabulary file."""
+
+    def make():
+        import public_tokenizers
+        from tokenizers import Tokenizer
+
+        known = Tokenizer.from_file(public_tokenizers.path(name))
+        return lambda text: known.encode(text, add_special_tokens=False).offsets
+
+    return make
+
+
+def packed_sentences(docs: DataFrame, size: int = 512) -> DataFrame:
+    """Recursive splitting: whole sentences are packed into chunks of up to ``size`` tokens; a sentence of more tokens is
+    split between tokens, into parts of ``size``. Chunks don't overlap and leave out nothing but spaces between them."""
+
+    def make():
+        import regex
+
+        tokens, pieces = regex.compile(TOKEN), sentence_spans()
+
+        def spans(text: str) -> Spans:
+            number, held, start, end = 0, 0, 0, 0
+            for _, s, e in pieces(text):
+                at = [m.span() for m in tokens.finditer(text, s, e)]
+                if held and held + len(at) > size:
+                    yield number, start, end
+                    number, held = number + 1, 0
+                while len(at) > size:
+                    yield number, s, at[size - 1][1]
+                    number, at = number + 1, at[size:]
+                    s = at[0][0] + (text[at[0][0]] == " ")
+                if at:
+                    start, end, held = (start if held else s), e, held + len(at)
+            if held:
+                yield number, start, end
+
+        return spans
+
+    return spanned(docs, f"RTS{size}", make)
 
 
 def token_windows(docs: DataFrame, size: int = 512, stride: int = 128) -> DataFrame:
@@ -69,8 +179,6 @@ def token_windows(docs: DataFrame, size: int = 512, stride: int = 128) -> DataFr
     Offsets are needed at window borders only, so lengths are summed over blocks of the greatest common divisor of size
     and stride, and over few blocks from there.
     """
-    import math
-
     block = math.gcd(size, stride)
 
     def spans(t: Column) -> Column:

@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+import unicodedata
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodegauge.functions.text import nfc, strip
+from lodegauge.functions.text import strip
 
-#: Default markers of the main text and of section headings. (?md): only \n ends a line.
+#: Characters of the inventory.
+ODD = r"[^\n\t\x20-\x7e]"
+#: Default markers of the main text and of section headings, as the format has them (fixed values). (?md): only \n ends
+#: a line.
 START, END = r"(?md)^CHAPTER\s+I\.", r"(?md)^THE END"
 HEADING = r"(?md)^CHAPTER\s+(?:I|II|III|IV|V|VI|VII|VIII|IX|X|XI|XII)\.\s*.*$"
 
@@ -31,30 +40,47 @@ def split_sections(raw: DataFrame, prefix: str = "doc:ch", heading: str = HEADIN
 
 
 def unicode_scan(docs: DataFrame, examples: int = 3, names: bool = True, normalize: bool = True) -> DataFrame:
-    """Every character that is neither \\n, \\t nor printable ASCII: codepoint, ch, n, first examples with their
-    contexts (20 characters before, 19 after), how many more there are, and the character's name.
+    """Every character that is neither \\n, \\t nor printable ASCII: codepoint, ch, n, first examples (by docid and
+    place) with their contexts (20 characters before, 19 after), how many more there are, and the character's name.
 
-    Only rows with such characters are spread, and only those characters; contexts are cut per group before the
-    exchange by keeping the least places.
+    Only rows with such characters reach Python, where a task counts its characters and keeps the first places of each;
+    what is exchanged is a few rows a task and character, with the contexts of those places only.
     """
-    text = nfc(F.col("text")) if normalize else F.col("text")
-    odd = docs.select(F.col("docid"), text.alias("text")).where(F.col("text").rlike(r"[^\n\t\x20-\x7e]"))
-    letters = F.filter(F.transform(F.split("text", ""), lambda c, i: F.struct(i.alias("i"), c.alias("ch"))), lambda x: x["ch"].rlike(r"[^\n\t\x20-\x7e]"))
-    context = lambda i: F.replace(F.replace(F.substring("text", F.greatest(i - 20, F.lit(0)) + 1, 20 + F.least(i, F.lit(20))), F.lit("\n"), F.lit("\\n")), F.lit("\t"), F.lit("\\t"))
-    rows = odd.select("docid", F.explode(F.transform(letters, lambda x: F.struct(x["i"].alias("i"), x["ch"].alias("ch"), context(x["i"]).alias("context")))).alias("x"))
-    flat = rows.select("docid", "x.*")
-    # examples: partial top few by place, so that a common character's contexts never gather in one task
-    per_doc = flat.groupBy("ch", "docid").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_list(F.struct("i", "context"))), 1, examples).alias("few"))
-    from pyspark.sql import Window
-
-    ranked = per_doc.withColumn("r", F.row_number().over(Window.partitionBy("ch").orderBy("docid"))).where(F.col("r") <= examples)
-    firsts = ranked.groupBy("ch").agg(F.slice(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("docid", "few"))), lambda d: F.transform(d["few"], lambda x: x["context"]))), 1, examples).alias("examples"))
-    totals = per_doc.groupBy("ch").agg(F.sum("n").cast("long").alias("n"))
-    out = totals.join(firsts, "ch").select(F.expr("hex(encode(ch, 'utf-32'))").alias("hex"), "ch", "n", "examples", F.greatest(F.col("n") - examples, F.lit(0)).cast("long").alias("more"))
+    odd = docs.select(F.col("docid").cast("string").alias("docid"), "text").where(F.col("text").rlike(ODD))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, counts, firsts = re.compile(ODD).finditer, Counter(), {}
+        for b in batches:
+            for k, docid in enumerate(b.column(0).to_pylist()):
+                text = b.column(1)[k].as_py()
+                text = unicodedata.normalize("NFC", text) if normalize else text
+                at: dict[str, list[int]] = {}
+                for m in find(text):
+                    at.setdefault(m[0], []).append(m.start())
+                for ch, places in at.items():
+                    counts[ch] += len(places)
+                    few = firsts.setdefault(ch, [])
+                    if len(few) == examples and few[-1][0] < (docid is not None, docid or ""):
+                        continue
+                    for i in places[:examples]:
+                        context = text[max(i - 20, 0) : i + 20].replace("\n", "\\n").replace("\t", "\\t")
+                        few.append(((docid is not None, docid or ""), i, docid, context))
+                    firsts[ch] = sorted(few, key=lambda x: x[:2])[:examples]
+        rows = [(ch, n, None, None, None) for ch, n in counts.items()] + [(ch, 0, x[2], x[1], x[3]) for ch, few in firsts.items() for x in few]
+        types = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string())
+        columns = list(zip(*rows)) if rows else [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["ch", "n", "docid", "i", "context"])
+
+    found = odd.mapInArrow(scan, "ch string, n long, docid string, i long, context string")
+    # a rank's limit is kept in every partition before the exchange
+    order = Window.partitionBy("ch").orderBy("docid", "i")
+    ranked = found.where("context is not null").withColumn("r", F.row_number().over(order)).where(F.col("r") <= examples)
+    few = F.transform(F.array_sort(F.collect_list(F.struct("r", "context"))), lambda x: x["context"])
+    out = found.groupBy("ch").agg(F.sum("n").alias("n")).join(ranked.groupBy("ch").agg(few.alias("examples")), "ch")
+    out = out.select(F.expr("hex(encode(ch, 'utf-32'))").alias("hex"), "ch", "n", "examples", F.greatest(F.col("n") - examples, F.lit(0)).cast("long").alias("more"))
     out = out.withColumn("codepoint", F.conv("hex", 16, 10).cast("long")).drop("hex")
     if not names:
         return out.orderBy("codepoint")
-    import unicodedata
 
     @F.pandas_udf("string")
     def name(chars):

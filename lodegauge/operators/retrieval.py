@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
-#: Rows of a block on either side.
-BLOCK = 4096
+from lodegauge.sources import scratch
+
+#: Rows and bytes of a block on either side, and blocks of chunks that a task holds while queries pass by.
+BLOCK, BLOCK_BYTES, HOLD = 4096, 4 << 20, 4
 
 
 def hashed_encoder(dim: int = 256) -> Callable[[list[str]], np.ndarray]:
@@ -57,13 +59,16 @@ def _packed(rows: DataFrame, id_column: str, extra: str | None = None) -> DataFr
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, BLOCK):
-                part = b.slice(at, BLOCK)
-                vectors = [np.asarray(v, np.float64) for v in part.column(1).to_pylist()]
-                dim = max(map(len, vectors), default=0)
-                m = np.zeros((len(vectors), dim))
-                for i, v in enumerate(vectors):
-                    m[i, : len(v)] = v
+            lengths = np.array([n or 0 for n in b.column(1).value_lengths().to_pylist()], np.int64)
+            size = max(1, min(BLOCK, BLOCK_BYTES // (8 * max(1, int(lengths.max(initial=1))))))
+            for at in range(0, b.num_rows, size):
+                part = b.slice(at, size)
+                ends = np.concatenate([[0], np.cumsum(lengths[at : at + size])])
+                flat = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                dim = int(lengths[at : at + size].max(initial=0))
+                m = np.zeros((part.num_rows, dim))
+                for i in range(part.num_rows):
+                    m[i, : ends[i + 1] - ends[i]] = flat[ends[i] : ends[i + 1]]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([part.column(0).to_pylist()], pa.list_(pa.string())), pa.array([part.column(2).to_pylist()], pa.list_(pa.string())), pa.array([dim], pa.int32()), pa.array([m.tobytes()], pa.binary())],
                     names=["ids", "docids", "dim", "m"],
@@ -73,37 +78,58 @@ def _packed(rows: DataFrame, id_column: str, extra: str | None = None) -> DataFr
     return some.mapInArrow(pack, "ids array<string>, docids array<string>, dim int, m binary")
 
 
+def _block(b: pa.RecordBatch, i: int) -> tuple[list, list, np.ndarray]:
+    ids = b.column("ids")[i].as_py()
+    return ids, b.column("docids")[i].as_py(), np.frombuffer(b.column("m")[i].as_py(), np.float64).reshape(len(ids), b.column("dim")[i].as_py())
+
+
+def _best(q: tuple, held: list[tuple], k: int, decimals: int) -> pa.RecordBatch:
+    """The k best chunks of the held blocks for each query of a block."""
+    dim = max(x[2].shape[1] for x in (q, *held))
+    grow = lambda m: np.pad(m, ((0, 0), (0, dim - m.shape[1])))
+    ids, docids = [x for h in held for x in h[0]], [x for h in held for x in h[1]]
+    score = np.round(grow(q[2]) @ np.concatenate([grow(h[2]) for h in held]).T, decimals)
+    by_id = np.argsort(np.array([x.encode() for x in ids], dtype=object), kind="stable")[::-1]
+    score = score[:, by_id]
+    top = np.argsort(-score, axis=1, kind="stable")[:, :k]
+    cols = by_id[top.ravel()]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.repeat(np.array(q[0], object), top.shape[1]), pa.string()), pa.array([ids[j] for j in cols], pa.string()), pa.array([docids[j] for j in cols], pa.string()), pa.array(np.take_along_axis(score, top, 1).ravel())],
+        names=["qid", "chunk_id", "docid", "score"],
+    )
+
+
 def retrieve(queries: DataFrame, chunks: DataFrame, k: int = 20, qid: str = "qid", chunk_id: str = "chunk_id", docid: str | None = None, decimals: int = 8) -> DataFrame:
     """The k best chunks of each query: qid, chunk_id, rank (from 1), score, and docid if given. Vectors are of unit
     length, so the dot product is the cosine; scores are rounded to ``decimals`` as in run files, and ties go to the
-    greater chunk_id.
+    greater chunk_id. Without a vector, or of no dimension, nothing is found.
 
-    Vectors of both sides are packed into blocks; each pair of blocks is one matrix product that leaves k rows a query,
-    so what is paired is blocks, and rows that travel are few.
+    Vectors of both sides are packed into blocks of bounded bytes and written. Blocks of chunks are dealt to groups of
+    about HOLD, which travel once; blocks of queries travel to every group, are streamed past the held ones, and leave k
+    rows a query there.
     """
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by group, its chunks first."""
+        group, held = None, []
         for b in batches:
-            for r in b.to_pylist():
-                dim = max(r["q_dim"], r["c_dim"])
-                if not dim:
+            for i in range(b.num_rows):
+                if (now := b.column("group")[i].as_py()) != group:
+                    group, held = now, []
+                block = _block(b, i)
+                if not block[2].shape[1]:
                     continue
-                grow = lambda raw, n, d: np.pad(np.frombuffer(raw, np.float64).reshape(n, d), ((0, 0), (0, dim - d)))
-                q, c = grow(r["q_m"], len(r["q_ids"]), r["q_dim"]), grow(r["c_m"], len(r["c_ids"]), r["c_dim"])
-                score = np.round(q @ c.T, decimals)
-                by_id = np.argsort(np.array([x.encode() for x in r["c_ids"]], dtype=object), kind="stable")[::-1]
-                score = score[:, by_id]
-                top = np.argsort(-score, axis=1, kind="stable")[:, :k]
-                rows = np.repeat(np.arange(len(q)), top.shape[1])
-                cols = by_id[top.ravel()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r["q_ids"][i] for i in rows]), pa.array([r["c_ids"][j] for j in cols]), pa.array([r["c_docids"][j] for j in cols], pa.string()), pa.array(np.take_along_axis(score, top, 1).ravel())],
-                    names=["qid", "chunk_id", "docid", "score"],
-                )
-
-    q = _packed(queries, qid).select(F.col("ids").alias("q_ids"), F.col("dim").alias("q_dim"), F.col("m").alias("q_m"))
-    c = _packed(chunks, chunk_id, docid).select(F.col("ids").alias("c_ids"), F.col("docids").alias("c_docids"), F.col("dim").alias("c_dim"), F.col("m").alias("c_m"))
-    some = c.crossJoin(q).mapInArrow(best, "qid string, chunk_id string, docid string, score double")
+                if not b.column("asks")[i].as_py():
+                    held.append(block)
+                for at in range(0, len(held) if b.column("asks")[i].as_py() else 0, 2 * HOLD):  # more than HOLD by chance
+                    yield _best(block, held[at : at + 2 * HOLD], k, decimals)
+
+    q, c = scratch.written(_packed(queries, qid), "blocks"), scratch.written(_packed(chunks, chunk_id, docid), "blocks")
+    groups = max(1, -(-c.count() // HOLD))
+    dealt = c.withColumn("asks", F.lit(False)).withColumn("group", F.pmod(F.xxhash64("ids"), F.lit(groups)))
+    asked = q.withColumn("asks", F.lit(True)).withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+    both = dealt.unionByName(asked).repartition(min(groups, 1 << 16), "group").sortWithinPartitions("group", "asks")
+    some = both.mapInArrow(best, "qid string, chunk_id string, docid string, score double")
     order = Window.partitionBy("qid").orderBy(F.desc("score"), F.desc("chunk_id"))
     ranked = some.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("qid", *(["docid"] if docid else []), "chunk_id", "rank", "score")

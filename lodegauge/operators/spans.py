@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from lodegauge.functions.text import CURLY, PLAIN, SPACE, normalize_offsets, strip, text_slice
 
@@ -61,29 +65,48 @@ def iou(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
 
 
 def _fold(spans: DataFrame) -> DataFrame:
-    """Per (qid, docid): the merged spans and the conflicts, by one ordered fold. A group is one question's spans in one
-    document, so it is small; groups do not interact."""
-    kind = "struct<start:bigint,end:bigint,logic:string,grp:string,by:string>"
-    valid = spans.where("start < `end`")
-    item = F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("src_ord").alias("o"), F.col("logic"), F.coalesce("group", F.lit("g1")).alias("grp"), F.coalesce("sme_id", F.lit("")).alias("by"))
-    groups = valid.groupBy("qid", "docid").agg(F.array_sort(F.collect_list(item)).alias("s"))
-    plain = F.transform("s", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["logic"].alias("logic"), x["grp"].alias("grp"), x["by"].alias("by")))
-    pair = F.struct(F.lit(None).cast(kind).alias("a"), F.lit(None).cast(kind).alias("b"))
-    start = F.struct(F.slice("p", 1, 1).alias("spans"), F.slice(F.array(pair), 1, 0).alias("conflicts"))
-
-    def step(acc, x):
-        active = F.element_at(acc["spans"], -1)
-        shared = overlap(active["start"], active["end"], x["start"], x["end"])
-        close = (shared > 0) & (2 * shared >= F.greatest(active["end"], x["end"]) - F.least(active["start"], x["start"]))
-        same = active["logic"].eqNullSafe(x["logic"]) & (active["grp"] == x["grp"])
-        grown = F.struct(F.least(active["start"], x["start"]).alias("start"), F.greatest(active["end"], x["end"]).alias("end"), active["logic"].alias("logic"), active["grp"].alias("grp"), F.concat(active["by"], F.lit("+"), x["by"]).alias("by"))
-        before = F.slice(acc["spans"], 1, F.greatest(F.size(acc["spans"]) - 1, F.lit(0)))
-        return F.struct(
-            F.when(close & same, F.concat(before, F.array(grown))).otherwise(F.concat(acc["spans"], F.array(x))).alias("spans"),
-            F.when(close & ~same, F.concat(acc["conflicts"], F.array(F.struct(active.alias("a"), x.alias("b"))))).otherwise(acc["conflicts"]).alias("conflicts"),
-        )
-
-    return groups.withColumn("p", plain).select("qid", "docid", F.aggregate(F.slice("p", 2, F.greatest(F.size("p") - 1, F.lit(1))), start, step).alias("f"))
+    """The merged spans (clash false: start, end, logic, grp, by) and the conflicts (clash true: that span and the next,
+    start_2, end_2, logic_2, grp_2) of each (qid, docid), by one ordered pass that holds one span: rows stream through in
+    order, so a question with very many spans costs time in proportion and no memory."""
+    given = {f.name: f.dataType for f in spans.schema.fields}
+    rows = spans.where("start < `end`").select(
+        "qid", "docid", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("logic").cast("string").alias("logic"),
+        F.coalesce("group", F.lit("g1")).alias("grp"), F.coalesce("sme_id", F.lit("")).alias("by"), "src_ord",
+    )
+    order = ["qid", "docid", "start", "end", "src_ord", "logic", "grp", "by"]
+    rows = rows.repartition("qid", "docid").sortWithinPartitions(*order).drop("src_ord")
+    kinds = [("qid", given["qid"]), ("docid", given["docid"]), ("clash", BooleanType())]
+    kinds += [(n + k, LongType() if n in ("start", "end") else StringType()) for k in ("", "_2") for n in ("start", "end", "logic", "grp")] + [("by", StringType())]
+    schema = StructType([StructField(n, t) for n, t in kinds])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, active, by = None, None, []
+        for b in batches:
+            types = {n: b.schema.field(n).type for n in ("qid", "docid")}
+            types |= {n: pa.bool_() if n == "clash" else pa.int64() if n.startswith(("start", "end")) else pa.string() for n, _ in kinds if n not in types}
+            out = []
+            for qid, docid, start, end, logic, grp, who in zip(*(c.to_pylist() for c in b.columns)):
+                if key != (qid, docid):
+                    if active:
+                        out.append((*key, False, *active, None, None, None, None, "+".join(by)))
+                    key, active, by = (qid, docid), (start, end, logic, grp), [who]
+                    continue
+                shared = min(active[1], end) - max(active[0], start)
+                close = shared > 0 and 2 * shared >= max(active[1], end) - min(active[0], start)
+                if close and active[2:] == (logic, grp):
+                    active = (min(active[0], start), max(active[1], end), logic, grp)
+                    by.append(who)
+                    continue
+                if close:
+                    out.append((*key, True, *active, start, end, logic, grp, None))
+                out.append((*key, False, *active, None, None, None, None, "+".join(by)))
+                active, by = (start, end, logic, grp), [who]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], types[n]) for i, (n, _) in enumerate(kinds)], names=[n for n, _ in kinds])
+        if active:
+            last = (*key, False, *active, None, None, None, None, "+".join(by))
+            yield pa.RecordBatch.from_arrays([pa.array([v], types[n]) for v, (n, _) in zip(last, kinds)], names=[n for n, _ in kinds])
+
+    return rows.mapInArrow(fold, schema)
 
 
 def merge_spans(spans: DataFrame, docs: DataFrame) -> DataFrame:
@@ -95,9 +118,9 @@ def merge_spans(spans: DataFrame, docs: DataFrame) -> DataFrame:
     empty ones go. Spans of documents that are missing or empty pass through unchanged, with their sme_id.
     """
     texts = docs.select(F.col("docid").cast("string").alias("docid"), normalize_offsets(F.col("text")).alias("doc_text")).where("doc_text <> ''")
-    merged = _fold(spans).select("qid", "docid", F.explode("f.spans").alias("x")).join(texts, "docid").select(
-        "qid", "docid", "x.start", "x.end", F.trim(text_slice(F.col("doc_text"), F.col("x.start"), F.col("x.end"))).alias("text"),
-        "x.logic", F.col("x.grp").alias("group"), F.lit(None).cast("string").alias("sme_id"), F.col("x.by").alias("contributors"),
+    merged = _fold(spans).where("not clash").join(texts, "docid").select(
+        "qid", "docid", "start", "end", F.trim(text_slice(F.col("doc_text"), F.col("start"), F.col("end"))).alias("text"),
+        "logic", F.col("grp").alias("group"), F.lit(None).cast("string").alias("sme_id"), F.col("by").alias("contributors"),
     ).where("text <> ''")
     lost = spans.join(texts.select("docid"), "docid", "left_anti").select(
         "qid", "docid", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "text", "logic", "group", "sme_id", F.col("sme_id").alias("contributors")
@@ -108,11 +131,10 @@ def merge_spans(spans: DataFrame, docs: DataFrame) -> DataFrame:
 def merge_conflicts(spans: DataFrame, docs: DataFrame | None = None) -> DataFrame:
     """Neighbours that overlap enough to merge but differ in logic or group: both spans and their overlap ratio, and
     with docs the first 50 characters of each."""
-    rows = _fold(spans).select("qid", "docid", F.explode("f.conflicts").alias("c"))
-    ratio = iou(F.col("c.a.start"), F.col("c.a.end"), F.col("c.b.start"), F.col("c.b.end"))
-    out = rows.select(
-        "qid", "docid", F.col("c.a.start").alias("start_1"), F.col("c.a.end").alias("end_1"), F.col("c.a.logic").alias("logic_1"), F.col("c.a.grp").alias("group_1"),
-        F.col("c.b.start").alias("start_2"), F.col("c.b.end").alias("end_2"), F.col("c.b.logic").alias("logic_2"), F.col("c.b.grp").alias("group_2"), F.round(ratio, 4).alias("iou"),
+    ratio = iou(F.col("start"), F.col("end"), F.col("start_2"), F.col("end_2"))
+    out = _fold(spans).where("clash").select(
+        "qid", "docid", F.col("start").alias("start_1"), F.col("end").alias("end_1"), F.col("logic").alias("logic_1"), F.col("grp").alias("group_1"),
+        "start_2", "end_2", "logic_2", F.col("grp_2").alias("group_2"), F.round(ratio, 4).alias("iou"),
     )
     if docs is None:
         return out

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lodegauge.functions import text as tx
 from lodegauge.operators import alignment, annotate, checks, chunking, documents, metrics, retrieval, spans
+from lodegauge.plans import transport
 from lodegauge.sources import scratch
 
 S = tx.SPACE_SQL
@@ -244,12 +245,18 @@ UNION ALL SELECT doc_id, 'doc:ch02', 'CHAPTER II.' || chr(10) || '  Two', regexp
 register("unicode_scan", lambda s, d: documents.unicode_scan(docs(s, d), names=False).select("codepoint", "ch", "n", "more"), r"""
 SELECT unicode(ch)::BIGINT AS codepoint, ch, count(*)::BIGINT AS n, greatest(count(*) - 3, 0)::BIGINT AS more
 FROM (SELECT unnest(string_split(nfc_normalize(text), '')) AS ch FROM documents) WHERE regexp_matches(ch, '[^\n\t\x20-\x7e]') GROUP BY ch""")
+register("unicode_examples", lambda s, d: documents.unicode_scan(docs(s, d), names=False).select("codepoint", F.array_join("examples", "|").alias("examples")), r"""
+SELECT unicode(ch)::BIGINT AS codepoint, string_agg(replace(replace(substring(text, (greatest(i - 20, 0) + 1)::BIGINT, (20 + least(i, 20))::BIGINT), chr(10), '\n'), chr(9), '\t'), '|' ORDER BY docid, i) AS examples FROM (
+  SELECT docid, text, ch, i FROM (SELECT doc_id::VARCHAR AS docid, nfc_normalize(text) AS text, unnest(string_split(nfc_normalize(text), '')) AS ch, generate_subscripts(string_split(nfc_normalize(text), ''), 1) - 1 AS i FROM documents)
+  WHERE regexp_matches(ch, '[^\n\t\x20-\x7e]') QUALIFY row_number() OVER (PARTITION BY ch ORDER BY docid, i) <= 3) GROUP BY ch""")
 register("chunk_charwin", lambda s, d: chunking.char_windows(docs(s, d), 500, 50), f"WITH {NORMAL_SQL} {windows_sql(500, 50)}")
 register("chunk_charblock", lambda s, d: chunking.char_blocks(docs(s, d), 1000), f"WITH {NORMAL_SQL} {windows_sql(1000, 0)}")
 register("chunk_sentences", lambda s, d: chunking.sentences(docs(s, d)), f"WITH {NORMAL_SQL} {SENT_SQL}")
 register("chunk_tokens", lambda s, d: chunking.token_windows(docs(s, d), 512, 128), f"WITH {NORMAL_SQL} {TOKENS_SQL}")
 register("chunk_stats", lambda s, d: chunking.chunk_stats(_chunks(s, d)),
          f"WITH {NORMAL_SQL}, {CHUNKS_SQL} SELECT strategy, count(*) AS chunks, count(DISTINCT docid) AS docs, round(avg(length(text)), 6) AS mean_length FROM chunks GROUP BY strategy")
+register("chunk_tokenizer", lambda s, d: chunking.tokenizer_windows(docs(s, d), chunking.public_tokenizer(), 512, 128))
+register("chunk_packed", lambda s, d: chunking.packed_sentences(docs(s, d), 512))
 register("locate_span", lambda s, d: _located(s, d, False), _located_sql(False))
 register("locate_span_snap", lambda s, d: _located(s, d, True), _located_sql(True))
 register("iou_pairs", lambda s, d: spans.iou_pairs(derived_spans(s, d)), f"""WITH {NORMAL_SQL}, {SPANS_SQL}, p AS (
@@ -258,13 +265,24 @@ SELECT *, round(greatest(least("end", end_2) - greatest(start, start_2), 0) / (g
 register("merge_spans", lambda s, d: spans.merge_spans(derived_spans(s, d), docs(s, d)).select("qid", "docid", "start", "end", "text", "logic"),
          MERGE_SQL + """ SELECT f.qid, f.docid, f.start, f."end", trim(substring(n.text, f.start + 1, f."end" - f.start), ' ') AS text, f.logic
 FROM fold f JOIN normal n ON f.docid = n.docid QUALIFY row_number() OVER (PARTITION BY f.qid, f.docid, f.gid ORDER BY f.i DESC) = 1""")
+register("merge_contributors", lambda s, d: spans.merge_spans(derived_spans(s, d), docs(s, d)).select("qid", "docid", "start", "end", "contributors"),
+         MERGE_SQL + """ SELECT f.qid, f.docid, arg_max(f.start, f.i) AS start, arg_max(f."end", f.i) AS "end", string_agg(o.sme_id, '+' ORDER BY f.i) AS contributors
+FROM fold f JOIN o ON o.qid = f.qid AND o.docid = f.docid AND o.i = f.i GROUP BY f.qid, f.docid, f.gid""")
+register("merge_without_document", lambda s, d: spans.merge_spans(derived_spans(s, d), docs(s, d).where("doc_id % 13 <> 0")).where("sme_id is not null").select("qid", "docid", "start", "end", "text", "logic", "sme_id"),
+         f"""WITH {NORMAL_SQL}, {SPANS_SQL} SELECT qid, docid, start, "end", text, logic, sme_id FROM spans WHERE docid::BIGINT % 13 = 0""")
 register("merge_conflicts", lambda s, d: spans.merge_conflicts(derived_spans(s, d)).select("qid", "docid", "start_1", "end_1", "logic_1", "start_2", "end_2", "logic_2", "iou"),
          MERGE_SQL + """ SELECT qid, docid, ps AS start_1, pe AS end_1, pl AS logic_1, cs AS start_2, ce AS end_2, cl AS logic_2,
 round((least(pe, ce) - greatest(ps, cs)) / (greatest(pe, ce) - least(ps, cs))::DOUBLE, 4) AS iou FROM fold WHERE clash""")
 T, C = 0.85, 0.05
 register("align_qrels", lambda s, d: alignment.align(derived_spans(s, d), _chunks(s, d), T, C, 4096).select("strategy", "qid", "chunk_id", "rel"),
          f"WITH {NORMAL_SQL}, {SPANS_SQL}, {CHUNKS_SQL}, {PAIRS_SQL} SELECT DISTINCT strategy, qid, chunk_id, 1 AS rel FROM pairs WHERE cov_span >= {T} AND cov_chunk >= {C}")
-register("align_qrels_arithmetic", lambda s, d: alignment.align_char_windows(derived_spans(s, d), normal(s, d).select("docid", "n"), 500, 50, T, C).select("qid", "chunk_id", "rel"),
+
+
+def _windows_judged(spark: SparkSession, sf: str) -> DataFrame:
+    return alignment.align_char_windows(derived_spans(spark, sf), normal(spark, sf).select("docid", "n"), 500, 50, T, C).select("qid", "chunk_id", "rel")
+
+
+register("align_qrels_arithmetic", _windows_judged,
          f"WITH {NORMAL_SQL}, {SPANS_SQL}, {CHUNKS_SQL}, {PAIRS_SQL} SELECT DISTINCT qid, chunk_id, 1 AS rel FROM pairs WHERE strategy = 'CHARWIN500_OV50' AND cov_span >= {T} AND cov_chunk >= {C}")
 register("align_counts", lambda s, d: alignment.align_counts(derived_spans(s, d), _chunks(s, d), T, C),
          f"WITH {NORMAL_SQL}, {SPANS_SQL}, {CHUNKS_SQL}, {PAIRS_SQL} SELECT strategy, count(*) AS alignments, count(DISTINCT (qid, chunk_id)) AS judgments, count(DISTINCT qid) AS queries FROM pairs WHERE cov_span >= {T} AND cov_chunk >= {C} GROUP BY strategy")
@@ -408,6 +426,9 @@ WITH a AS (SELECT conv_id, turn, list_filter(list_transform(CASE turn % 3 WHEN 0
 SELECT conv_id, turn, array_to_string(answers, '|') AS answers, CASE WHEN logic = 'AND' THEN 'AND' WHEN len(answers) = 1 THEN 'COMPLETE_SPAN' ELSE 'OR' END AS logic FROM a WHERE len(answers) > 0""")
 register("head_tail_sample", lambda s, d: checks.sample_rows(chunking.char_windows(docs(s, d)), "docid", "start", 2, 2, 0).select("docid", "chunk_id"), f"""
 WITH {NORMAL_SQL}, c AS ({windows_sql(500, 50)}) SELECT docid, chunk_id FROM c QUALIFY row_number() OVER (PARTITION BY docid ORDER BY start) <= 2 OR row_number() OVER (PARTITION BY docid ORDER BY start DESC) <= 2""")
+register("random_sample", lambda s, d: checks.sample_rows(chunking.char_windows(docs(s, d)), "docid", "start", 1, 1, 2, seed=7).select("docid", "chunk_id"), f"""
+WITH {NORMAL_SQL}, c AS ({windows_sql(500, 50)}), m AS (SELECT docid, chunk_id, start, row_number() OVER (PARTITION BY docid ORDER BY start) = 1 OR row_number() OVER (PARTITION BY docid ORDER BY start DESC) = 1 AS ends FROM c)
+SELECT docid, chunk_id FROM m QUALIFY ends OR row_number() OVER (PARTITION BY docid, ends ORDER BY md5('7:' || start), start) <= 2""")
 
 
 def _metadata(spark, sf):
@@ -453,3 +474,4 @@ def _event_windows(spark, sf):
 
 
 register("event_windows", _event_windows, "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 6) AS value FROM events GROUP BY 1, 2")
+transport.add(register)

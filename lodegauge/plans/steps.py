@@ -6,6 +6,7 @@ qrels/, embeddings/, runs/. Rows go through Spark's writers; small files for peo
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -103,12 +104,14 @@ def retrieve(spark: SparkSession, folder: str, k: int = 20, run_name: str = "den
 
 
 def evaluate(spark: SparkSession, folder: str, run_name: str = "dense") -> DataFrame:
+    for r in readers.ambiguous_runs(spark, f"{folder}/runs", run_name).collect():  # a row a file
+        warnings.warn(f"{r['file']} is left out: another run of {r['strategy']} comes first", stacklevel=2)
     return metrics.summary(readers.runs(spark, f"{folder}/runs", run_name), readers.qrels(spark, f"{folder}/qrels")).orderBy("strategy")
 
 
 def check_annotations(spark: SparkSession, folder: str) -> DataFrame:
     q = readers.json_array(spark, f"{folder}/questions.json", schemas.QUESTION)
-    docs, out = load_documents(spark, folder), None
+    docs, out = readers.json_documents(spark, f"{folder}/documents", checked=True), None
     for k, name in ((1, FIRST), (2, SECOND)):
         path = f"{folder}/annotations_{k}.json"
         try:

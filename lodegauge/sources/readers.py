@@ -5,12 +5,12 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from lodegauge.operators import metrics
-from lodegauge.sources import schemas
+from lodegauge.sources import schemas, scratch
 
 
 def whole_text(spark: SparkSession, path: str) -> DataFrame:
@@ -57,10 +57,24 @@ def qrels(spark: SparkSession, path: str) -> DataFrame:
     return metrics.parse_qrels(_strategy_lines(spark, path, r"^qrels_(.*)\.txt"))
 
 
+def _run_files(spark: SparkSession, path: str, run_name: str) -> DataFrame:
+    """strategy, file, and its place among the strategy's files by name, of those that are named run_{name}_{strategy}.txt."""
+    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_name").alias("file"))
+    named = files.select(F.regexp_extract("file", rf"^run_(?:{run_name})_(.*)\.txt$", 1).alias("strategy"), "file").where("strategy <> ''")
+    return named.withColumn("place", F.row_number().over(Window.partitionBy("strategy").orderBy("file")))
+
+
 def runs(spark: SparkSession, path: str, run_name: str = r"[^_]+") -> DataFrame:
-    """Runs of run_{name}_{strategy}.txt files. Several files of one strategy would count as one run, so their names can
-    be told apart with run_name, a pattern."""
-    return metrics.parse_run(_strategy_lines(spark, path, rf"^run_(?:{run_name})_(.*)\.txt"))
+    """Runs of run_{name}_{strategy}.txt files. Of several files of one strategy the first by name counts; ambiguous_runs()
+    tells the others, and run_name, a pattern, tells them apart."""
+    first = scratch.lookup(scratch.written(_run_files(spark, path, run_name).where("place = 1").select("strategy", "file"), "runs"))
+    lines = numbered_lines(spark, path).join(first, "file").select("strategy", "line_no", "value")
+    return metrics.parse_run(lines)
+
+
+def ambiguous_runs(spark: SparkSession, path: str, run_name: str = r"[^_]+") -> DataFrame:
+    """strategy and file of the runs that runs() leaves out, since another of their strategy comes first."""
+    return _run_files(spark, path, run_name).where("place > 1").select("strategy", "file")
 
 
 def embeddings_npz(spark: SparkSession, path: str) -> DataFrame:
@@ -96,7 +110,7 @@ class JsonDocuments(DataSource):
         return "json_documents"
 
     def schema(self) -> str:
-        return schemas.DOCUMENT
+        return schemas.DOCUMENT + (", load_error string" if self.options.get("checked") else "")
 
     def reader(self, schema):  # noqa: ARG002
         return JsonDocumentsReader(self.options)
@@ -104,7 +118,7 @@ class JsonDocuments(DataSource):
 
 class JsonDocumentsReader(DataSourceReader):
     def __init__(self, options):
-        self.folder = options["path"]
+        self.folder, self.checked = options["path"], bool(options.get("checked"))
 
     def _store(self):
         from pyarrow import fs
@@ -120,14 +134,25 @@ class JsonDocumentsReader(DataSourceReader):
 
     def read(self, partition) -> Iterator[tuple]:
         files, _ = self._store()
-        with files.open_input_stream(partition.path) as f:
-            doc = json.loads(f.read().decode("utf-8"))
-        yield (doc.get("docid"), doc.get("title"), doc.get("text"))
-
-
-def json_documents(spark: SparkSession, folder: str) -> DataFrame:
+        try:
+            with files.open_input_stream(partition.path) as f:
+                doc = json.loads(f.read().decode("utf-8"))
+            row = (doc.get("docid"), doc.get("title"), doc.get("text"))
+        except (ValueError, AttributeError, OSError) as e:
+            if not self.checked:
+                raise
+            name = partition.path.rpartition("/")[2].removesuffix(".json")
+            yield (name, None, None, str(e))
+            return
+        yield (*row, None) if self.checked else row
+
+
+def json_documents(spark: SparkSession, folder: str, checked: bool = False) -> DataFrame:
+    """Documents of a folder. A file that can't be read fails the job; checked: it is a row with its name as docid and the
+    reason in load_error instead."""
     spark.dataSource.register(JsonDocuments)
-    return spark.read.format("json_documents").option("path", folder).load()
+    read = spark.read.format("json_documents").option("path", folder)
+    return (read.option("checked", "true") if checked else read).load()
 
 
 def questions_or_file(spark: SparkSession, view: str, path: str) -> DataFrame:

@@ -27,7 +27,14 @@ def event_counts(events: DataFrame, window: str = "1 hour", late: str = "10 minu
     return timed.groupBy(F.window("at", window), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("value"))
 
 
-def run_once(stream: DataFrame, name: str, checkpoint: str, path: str) -> None:
+def run_once(stream: DataFrame, name: str | None, checkpoint: str, path: str) -> None:
     """Process what is there and stop; the checkpoint makes a later call go on from there."""
-    q = stream.writeStream.queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).format("parquet").option("path", path).start()
+    writer = stream.writeStream.queryName(name) if name else stream.writeStream
+    q = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).format("parquet").option("path", path).start()
+    q.awaitTermination()
+
+
+def run_complete(counts: DataFrame, checkpoint: str, path: str) -> None:
+    """Process what is there and stop; after each micro-batch the table under ``path`` is the whole result so far."""
+    q = counts.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda b, _: b.write.mode("overwrite").parquet(path)).start()
     q.awaitTermination()
