@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; what it returns is written as Parquet and read again as
 the next one's docs. All but the last keep the columns of documents.
+
+Every stage gives an empty table for an empty one. Nulls: a null or wordless text goes in the first stage; a null source
+or language is one of its own; rows with a null doc_id are judged by their text, and of equal ones one stays. Repeated
+rows are judged alike until one of them stays in the third stage; ties are broken by the least doc_id, then by text. Extra
+columns, of whatever name, are kept.
 """
 
 from __future__ import annotations
@@ -50,8 +55,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents, each written and read again; what a stage wrote for itself goes when it is done, and its
+    predecessor's table with it."""
+    docs = scratch.spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for name, stage in STAGES[:-1]:
-        docs = scratch.written(stage(spark, docs, sf_dir), name)
+        before = docs
+        with scratch.scope() as keep:
+            keep(docs := scratch.written(stage(spark, before, sf_dir), name))
+        scratch.drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,4 +1,9 @@
-"""Thin queries over the operators of this subpackage, and their SQL."""
+"""Thin queries over the operators of this subpackage, and their SQL.
+
+Each applies its operator to its whole table with production parameters; nulls, empty texts, ties, repeated rows and empty
+tables have the results that the operators define. Small tables are dealt to all cores first, where results do not depend
+on the order of rows.
+"""
 
 from __future__ import annotations
 
@@ -17,6 +22,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scratch.spread(_table(spark, sf_dir, "documents"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch.new_path(spark, "warc")
     warc.write_archive(_table(spark, sf_dir, "pages"), folder, shard_bytes=16 << 20, file_bytes=64 << 20, min_revisit=0)
@@ -25,11 +34,11 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts(_table(spark, sf_dir, "documents"), "byte_bpe_50k.json", 512)
+    return token_counts(_documents(spark, sf_dir), "byte_bpe_50k.json", 512)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return quality_rules.quality_rules(_documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +50,7 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(_table(spark, sf_dir, "documents"), 3, 90)
+    return jaccard_components(_documents(spark, sf_dir), 3, 90)
 
 
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,15 +58,15 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_id.identify(_table(spark, sf_dir, "documents"))
+    return language_id.identify(_documents(spark, sf_dir))
 
 
 def op7_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piece_sampling.encode(_table(spark, sf_dir, "documents"))
+    return piece_sampling.encode(_documents(spark, sf_dir))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return toxicity(_documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
 
 
 QUERIES = {

@@ -45,9 +45,9 @@ def align(spans: DataFrame, chunks: DataFrame, t_span: float = T_SPAN, t_chunk:
     return pairs.select(*keys).distinct().withColumn("iter", F.lit("0")).withColumn("rel", F.lit(1))
 
 
-def align_counts(spans: DataFrame, chunks: DataFrame, t_span: float = T_SPAN, t_chunk: float = T_CHUNK) -> DataFrame:
+def align_counts(spans: DataFrame, chunks: DataFrame, t_span: float = T_SPAN, t_chunk: float = T_CHUNK, bucket: int | None = None) -> DataFrame:
     """By strategy: alignments, distinct judgments, queries."""
-    pairs = aligned_pairs(spans, chunks, t_span, t_chunk)
+    pairs = aligned_pairs(spans, chunks, t_span, t_chunk, bucket)
     return pairs.groupBy("strategy").agg(F.count("*").alias("alignments"), F.countDistinct("qid", "chunk_id").alias("judgments"), F.countDistinct("qid").alias("queries"))
 
 

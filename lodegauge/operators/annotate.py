@@ -50,21 +50,28 @@ def answer_prompt(question: Column, docid: Column, text: Column) -> Column:
 
 
 def ask(rows: DataFrame, make_generator: Callable[[], Generator], prompt: str = "prompt") -> DataFrame:
-    """rows with a reply column in place of the prompt; a failing batch gives null replies."""
-    schema = rows.drop(prompt).schema.add("reply", "string")
+    """rows with reply and error in place of the prompt; a failing batch gives null replies, and the reason as error.
+    failures() counts these."""
+    schema = rows.drop(prompt).schema.add("reply", "string").add("error", "string")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         generate = make_generator()
         for p in parts:
+            error = None
             try:
                 replies = generate(p[prompt].tolist())
-            except Exception:  # noqa: BLE001  a generator's failure is its rows' null reply
-                replies = [None] * len(p)
-            yield p.drop(columns=[prompt]).assign(reply=replies)
+            except Exception as e:  # noqa: BLE001  a generator's failure is its rows' null reply and error
+                replies, error = [None] * len(p), f"{type(e).__name__}: {e}"
+            yield p.drop(columns=[prompt]).assign(reply=replies, error=pd.Series([error] * len(p), dtype=object).values)
 
     return rows.mapInPandas(run, schema)
 
 
+def failures(replies: DataFrame) -> DataFrame:
+    """error and n, of what ask() could not get replies for."""
+    return replies.where("error is not null").groupBy("error").agg(F.count("*").alias("n"))
+
+
 def unfenced(reply: Column) -> Column:
     """A reply without code fences around it."""
     return F.regexp_replace(F.regexp_replace(strip(reply), r"^```(?:json)?\s*", ""), r"\s*```$", "")
@@ -87,7 +94,7 @@ def parse_answers(replies: DataFrame, fences: bool = True) -> DataFrame:
     answers = F.filter(F.transform("__r.answers", strip), lambda a: a.isNotNull() & (a != ""))
     r = r.withColumn("answers", answers)
     logic = F.when(F.col("__r.logic").isin(*LOGIC), F.col("__r.logic")).when(F.size("answers") == 1, "COMPLETE_SPAN").otherwise("OR")
-    return r.withColumn("logic", logic).where(F.coalesce(F.size("answers"), F.lit(0)) > 0).drop("__r", "reply")
+    return r.withColumn("logic", logic).where(F.coalesce(F.size("answers"), F.lit(0)) > 0).drop("__r", "reply", "error")
 
 
 def generate_questions(docs: DataFrame, make_generator: Callable[[], Generator] = offline_generator) -> DataFrame:

@@ -26,7 +26,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("docid"), "text", "doc_id")
+    return scratch.spread(table(spark, sf, "documents")).select(F.col("doc_id").cast("string").alias("docid"), "text", "doc_id")
 
 
 def normal(spark: SparkSession, sf: str) -> DataFrame:
@@ -173,14 +173,11 @@ def _located(spark: SparkSession, sf: str, snap: bool) -> DataFrame:
     return spans.locate_span(rows, snap=snap).select("docid", "start", "end", "span_text")
 
 
-def _located_sql(snap: bool) -> str:
+def _locating(snap: bool, keep: str) -> str:
+    """From dressed (snippet and the document's text): found, snapped (``keep``, text, s, e)."""
     before = f"length(regexp_extract(substring(text, 1, place - 1), '[^{S}]*$'))" if snap else "0"
     after = f"length(regexp_extract(substring(text, place + m), '^[^{S}]*'))" if snap else "0"
-    return f"""WITH {NORMAL_SQL}, cut AS (
-  SELECT *, substring(text, (doc_id * 13 % greatest(n - 60, 1)) + 1, 40) AS c FROM normal WHERE n > 0
-), dressed AS (
-  SELECT *, CASE doc_id % 4 WHEN 0 THEN '"' || c || '"...' WHEN 1 THEN '  ' || translate(c, '{ascii_lowercase}', '{ascii_uppercase}') WHEN 2 THEN '_' || trim(c, ' ') || '_' ELSE c END AS snippet FROM cut
-), core0 AS (
+    return f"""core0 AS (
   SELECT *, trim(regexp_replace(regexp_replace(trim(snippet, ' '), '[{S}]*(?:\\.\\.\\.|…|\\.\\.)$', ''), '[{S}]+', ' ', 'g'), ' ') AS k FROM dressed
 ), core AS (
   SELECT *, regexp_replace(regexp_replace(k, '^[,."'' ]+', ''), '[,."'' ]+$', '') AS v FROM core0
@@ -190,11 +187,43 @@ def _located_sql(snap: bool) -> str:
      lambda x: x IS NOT NULL AND x <> '') AS vs FROM core
 ), hits AS (
   SELECT *, list_filter(list_transform(vs, lambda x: {{'place': strpos(lower(text), lower(x)), 'm': length(x)}}), lambda h: h['place'] > 0)[1] AS h FROM forms
-), found AS (SELECT docid, text, h['place'] AS place, h['m'] AS m FROM hits
-), snapped AS (SELECT docid, text, (place - 1 - {before})::BIGINT AS s, (place - 1 + m + {after})::BIGINT AS e FROM found)
+), found AS (SELECT {keep}, text, h['place'] AS place, h['m'] AS m FROM hits
+), snapped AS (SELECT {keep}, text, (place - 1 - {before})::BIGINT AS s, (place - 1 + m + {after})::BIGINT AS e FROM found)"""
+
+
+def _located_sql(snap: bool) -> str:
+    return f"""WITH {NORMAL_SQL}, cut AS (
+  SELECT *, substring(text, (doc_id * 13 % greatest(n - 60, 1)) + 1, 40) AS c FROM normal WHERE n > 0
+), dressed AS (
+  SELECT *, CASE doc_id % 4 WHEN 0 THEN '"' || c || '"...' WHEN 1 THEN '  ' || translate(c, '{ascii_lowercase}', '{ascii_uppercase}') WHEN 2 THEN '_' || trim(c, ' ') || '_' ELSE c END AS snippet FROM cut
+), {_locating(snap, "docid")}
 SELECT docid, s AS start, e AS "end", nullif(trim(substring(text, s + 1, e - s), ' '), '') AS span_text FROM snapped"""
 
 
+#: The offline generator's questions and answers, located and merged: up to two distinct spans a question.
+GENERATED_SQL = f"""WITH {NORMAL_SQL}, sent AS (
+  SELECT docid, unnest(p) AS s, generate_subscripts(p, 1) AS i FROM (
+    SELECT doc_id::VARCHAR AS docid, list_filter(list_transform(regexp_extract_all(text, '[^.!?]+[.!?]'), lambda x: regexp_replace(regexp_replace(x, '^[{S}]+', ''), '[{S}]+$', '')), lambda x: x <> '') AS p FROM documents)
+), asked AS (
+  SELECT DISTINCT docid, question, 'q_' || substring(sha256(docid || chr(1) || question), 1, 8) AS qid, split_part(question, chr(10), 1) AS wanted
+  FROM (SELECT docid, 'What is said by: ' || substring(s, 1, 60) || '?' AS question FROM sent WHERE i <= 6)
+), told AS (
+  SELECT a.docid, a.qid, a.question, x.s, x.i FROM asked a JOIN sent x ON x.docid = a.docid AND contains(a.wanted, substring(x.s, 1, 20))
+), replies AS (
+  SELECT docid, qid, s, row_number() OVER w AS r, count(*) OVER (PARTITION BY docid, qid, question) AS n FROM told WINDOW w AS (PARTITION BY docid, qid, question ORDER BY i)
+  UNION ALL SELECT a.docid, a.qid, x.s, 1, 1 FROM asked a JOIN sent x ON x.docid = a.docid AND x.i = 1 WHERE NOT EXISTS (SELECT 1 FROM told t WHERE t.docid = a.docid AND t.question = a.question)
+), dressed AS (
+  SELECT qid, docid, CASE WHEN replies.n = 1 THEN 'COMPLETE_SPAN' ELSE 'OR' END AS logic, s AS snippet, normal.text FROM replies JOIN normal USING (docid) WHERE r <= 2
+), {_locating(True, "qid, docid, logic")}, spans AS (
+  SELECT DISTINCT qid, docid, logic, s AS start, e AS "end" FROM snapped WHERE trim(substring(text, s + 1, e - s), ' ') <> ''
+), placed AS (
+  SELECT *, row_number() OVER w AS i, lead(start) OVER w AS s2, lead("end") OVER w AS e2, lag(start) OVER w AS s0, lag("end") OVER w AS e0 FROM spans WINDOW w AS (PARTITION BY qid, docid ORDER BY start, "end")
+), near AS (
+  SELECT *, coalesce(least("end", e2) > greatest(start, s2) AND 2 * (least("end", e2) - greatest(start, s2)) >= greatest("end", e2) - least(start, s2), false) AS grows,
+         coalesce(least("end", e0) > greatest(start, s0) AND 2 * (least("end", e0) - greatest(start, s0)) >= greatest("end", e0) - least(start, s0), false) AS goes FROM placed)
+SELECT qid, docid, start, CASE WHEN grows THEN greatest("end", e2) ELSE "end" END AS "end", logic FROM near WHERE NOT goes"""
+
+
 MERGE_SQL = f"""WITH RECURSIVE {NORMAL_SQL}, {SPANS_SQL}, o AS (
   SELECT *, row_number() OVER (PARTITION BY qid, docid ORDER BY start, "end", src_ord) AS i FROM spans WHERE start < "end"
 ), fold AS (
@@ -284,7 +313,7 @@ def _windows_judged(spark: SparkSession, sf: str) -> DataFrame:
 
 register("align_qrels_arithmetic", _windows_judged,
          f"WITH {NORMAL_SQL}, {SPANS_SQL}, {CHUNKS_SQL}, {PAIRS_SQL} SELECT DISTINCT qid, chunk_id, 1 AS rel FROM pairs WHERE strategy = 'CHARWIN500_OV50' AND cov_span >= {T} AND cov_chunk >= {C}")
-register("align_counts", lambda s, d: alignment.align_counts(derived_spans(s, d), _chunks(s, d), T, C),
+register("align_counts", lambda s, d: alignment.align_counts(derived_spans(s, d), _chunks(s, d), T, C, 4096),
          f"WITH {NORMAL_SQL}, {SPANS_SQL}, {CHUNKS_SQL}, {PAIRS_SQL} SELECT strategy, count(*) AS alignments, count(DISTINCT (qid, chunk_id)) AS judgments, count(DISTINCT qid) AS queries FROM pairs WHERE cov_span >= {T} AND cov_chunk >= {C} GROUP BY strategy")
 _grid = ", ".join(f"({a}::DOUBLE, {b}::DOUBLE)" for a in alignment.SPAN_GRID for b in alignment.CHUNK_GRID)
 GRID_SQL = f"""WITH {NORMAL_SQL}, {SPANS_SQL}, {CHUNKS_SQL}, {PAIRS_SQL}, g AS (
@@ -305,7 +334,7 @@ def _ags(spark, sf):
     """Spans aligned to char windows; the run ranks each document's windows by a hash."""
     sp = derived_spans(spark, sf)
     ch = chunking.char_windows(docs(spark, sf)).withColumn("strategy", F.lit("w"))
-    hits = alignment.aligned_pairs(sp.withColumn("span_no", F.col("src_ord")), ch, T, C)
+    hits = alignment.aligned_pairs(sp.withColumn("span_no", F.col("src_ord")), ch, T, C, 4096)
     keys = ["qid", "docid", "group", "logic", "span_no"]
     every = sp.where("start < `end`").select("qid", "docid", "group", "logic", F.col("src_ord").alias("span_no")).join(hits.select(*keys, "chunk_id"), keys, "left").withColumn("strategy", F.lit("w"))
     run = ch.select("strategy", F.concat(F.lit("q_"), "docid").alias("qid"), "chunk_id", (F.col("start") * 7919 % 1009).cast("double").alias("score"))
@@ -464,7 +493,7 @@ def _annotated(spark, sf):
     return spans.merge_spans(spans.with_order([a, b], ["sme1", "sme2"]), d).select("qid", "docid", "start", "end", "logic")
 
 
-register("generate_and_annotate", _annotated)
+register("generate_and_annotate", _annotated, GENERATED_SQL)
 
 
 def _event_windows(spark, sf):

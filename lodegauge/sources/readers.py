@@ -37,6 +37,13 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return files.select("file", F.posexplode("lines").alias("i", "value")).where("value <> ''").select("file", (F.col("i") + 1).cast("long").alias("line_no"), "value")
 
 
+def ordered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_no, value) of text files of any size, which are read in splits; line_no is no number, but orders the
+    lines of a file: the split's start, then the line's place."""
+    place = F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("i"))
+    return spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), place.alias("line_no"), "value").where("value <> ''")
+
+
 def json_lines_checked(spark: SparkSession, path: str, schema: str = schemas.CHUNK) -> DataFrame:
     """Lines with their numbers, parsed fields, and _corrupt_record for those that are no JSON."""
     lines = numbered_lines(spark, path)
@@ -49,7 +56,7 @@ def csv_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _strategy_lines(spark: SparkSession, path: str, name: str) -> DataFrame:
-    return numbered_lines(spark, path).select(F.regexp_extract("file", name, 1).alias("strategy"), "line_no", "value")
+    return ordered_lines(spark, path).select(F.regexp_extract("file", name, 1).alias("strategy"), "line_no", "value")
 
 
 def qrels(spark: SparkSession, path: str) -> DataFrame:
@@ -68,7 +75,7 @@ def runs(spark: SparkSession, path: str, run_name: str = r"[^_]+") -> DataFrame:
     """Runs of run_{name}_{strategy}.txt files. Of several files of one strategy the first by name counts; ambiguous_runs()
     tells the others, and run_name, a pattern, tells them apart."""
     first = scratch.lookup(scratch.written(_run_files(spark, path, run_name).where("place = 1").select("strategy", "file"), "runs"))
-    lines = numbered_lines(spark, path).join(first, "file").select("strategy", "line_no", "value")
+    lines = ordered_lines(spark, path).join(first, "file").select("strategy", "line_no", "value")
     return metrics.parse_run(lines)
 
 

@@ -65,6 +65,13 @@ def lookup(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() * row <= LOOKUP_BYTES else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table as it is scanned, or, where the scan has fewer partitions than the cluster has cores (a small table in one
+    file would keep one of them busy), its rows dealt to as many. Large tables are never moved."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 @contextlib.contextmanager
 def scope():
     """Delete the tables that this thread writes inside, at the end, but for those passed to what this yields:

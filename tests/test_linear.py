@@ -8,7 +8,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from lodegauge.operators import checks, chunking, documents, retrieval, spans
+from lodegauge.operators import annotate, checks, chunking, documents, retrieval, spans
 from lodegauge.sources import readers
 
 
@@ -115,3 +115,31 @@ def test_unreadable_documents_and_further_runs_are_told(spark, tmp_path):
         (runs / name).write_text(f"q1 Q0 c1 1 {score} x\n")
     assert sorted(map(tuple, readers.runs(spark, str(runs)).collect())) == [("S_1", "q1", "c1", 1.0), ("T", "q1", "c1", 3.0)]
     assert [tuple(r) for r in readers.ambiguous_runs(spark, str(runs)).collect()] == [("S_1", "run_b_S_1.txt")]
+
+
+def test_lines_of_split_files_keep_their_order(spark, tmp_path):
+    """The last line of a (query, chunk) counts, in whatever splits a file is read."""
+    lines = [f"q{i % 7}\t0\tc{i % 5}\t{i % 4}" for i in range(5000)]
+    (tmp_path / "qrels_S.txt").write_text("\n".join(lines) + "\n")
+    want = {}
+    for line in lines:
+        q, _, c, rel = line.split("\t")
+        want[q, c] = int(rel)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        got = {(r["qid"], r["chunk_id"]): r["rel"] for r in readers.qrels(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == want
+
+
+def test_failures_of_a_generator_are_counted(spark):
+    def broken():
+        def reply(prompts):
+            raise RuntimeError("no answer")
+
+        return reply
+
+    got = annotate.ask(spark.createDataFrame([("a", "p"), ("b", "p")], "docid string, prompt string"), broken)
+    assert [tuple(r) for r in annotate.failures(got).collect()] == [("RuntimeError: no answer", 2)] and annotate.parse_questions(got).count() == 0
