@@ -219,8 +219,8 @@ GENERATED_SQL = f"""WITH {NORMAL_SQL}, sent AS (
 ), placed AS (
   SELECT *, row_number() OVER w AS i, lead(start) OVER w AS s2, lead("end") OVER w AS e2, lag(start) OVER w AS s0, lag("end") OVER w AS e0 FROM spans WINDOW w AS (PARTITION BY qid, docid ORDER BY start, "end")
 ), near AS (
-  SELECT *, coalesce(least("end", e2) > greatest(start, s2) AND 2 * (least("end", e2) - greatest(start, s2)) >= greatest("end", e2) - least(start, s2), false) AS grows,
-         coalesce(least("end", e0) > greatest(start, s0) AND 2 * (least("end", e0) - greatest(start, s0)) >= greatest("end", e0) - least(start, s0), false) AS goes FROM placed)
+  SELECT *, coalesce(s2 IS NOT NULL AND least("end", e2) > greatest(start, s2) AND 2 * (least("end", e2) - greatest(start, s2)) >= greatest("end", e2) - least(start, s2), false) AS grows,
+         coalesce(s0 IS NOT NULL AND least("end", e0) > greatest(start, s0) AND 2 * (least("end", e0) - greatest(start, s0)) >= greatest("end", e0) - least(start, s0), false) AS goes FROM placed)
 SELECT qid, docid, start, CASE WHEN grows THEN greatest("end", e2) ELSE "end" END AS "end", logic FROM near WHERE NOT goes"""
 
 
