@@ -151,8 +151,15 @@ class PrefixCounter:
         return table
 
     def word_total(self, word: str) -> int:
+        """The last entry of the pre-token's table. A table made for that alone isn't kept, its last entry is."""
         n = self.total.get(word)
-        return int(self.word_table(word)[-1]) if n is None else n
+        if n is None:
+            n = self.table(word.encode("utf-8"))[-1]
+            if len(word) <= LONGEST_KEPT:
+                if len(self.total) >= KEPT:
+                    self.total.clear()
+                self.total[word] = n
+        return n
 
     def parts(self, text: str) -> list[str | None]:
         """The text between special strings, with None for each special string."""
