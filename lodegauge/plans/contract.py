@@ -80,7 +80,7 @@ TOKENS_SQL = r"""SELECT docid, 'TOKWIN512S128-' || docid || '-' || printf('%04d'
     SELECT docid, text, t, i, m, sum(length(t)) OVER (PARTITION BY docid ORDER BY i) AS place
     FROM (SELECT docid, text, unnest(ts) AS t, generate_subscripts(ts, 1) - 1 AS i, len(ts) AS m FROM (
       SELECT docid, text, regexp_extract_all(text, ' ?(?:[\p{L}\p{N}\p{M}_]+|[^\p{L}\p{N}\p{M}_ ])') AS ts FROM normal WHERE n > 0)))
-  JOIN (SELECT unnest(range(0, 2000)) AS w) ON i >= w * 128 AND i < w * 128 + 512 AND w <= greatest(ceil((m - 512) / 128.0), 0)
+  , unnest(range(greatest((i - 384) // 128, 0), least(i // 128, greatest(ceil((m - 512) / 128.0), 0)::BIGINT) + 1)) AS u(w)
   GROUP BY docid, w)"""
 
 PAIRS_SQL = """pairs AS (
