@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegauge.llm import language_id, lexical_search, mixing, piece_sampling, quality_rules, topk, warc
+from lodegauge.llm import collocations, language_id, lexical_search, mixing, piece_sampling, quality_rules, topk, warc
 from lodegauge.llm.jaccard_join import jaccard_components
 from lodegauge.llm.sharding import shard_records
 from lodegauge.llm.token_counts import token_counts
@@ -73,6 +73,10 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(_documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"), 20)
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_documents(spark, sf_dir), 4, 30, 2000)
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_warc": op2_warc,
@@ -85,5 +89,6 @@ QUERIES = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_topk": op10_topk,
     "op12_lexical_search": op12_lexical_search,
+    "op13_collocations": op13_collocations,
 }
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": quality_rules.ORACLE, "op4_mixing": mixing.ORACLE, "op10_topk": topk.ORACLE, "op12_lexical_search": lexical_search.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": quality_rules.ORACLE, "op4_mixing": mixing.ORACLE, "op10_topk": topk.ORACLE, "op12_lexical_search": lexical_search.ORACLE, "op13_collocations": collocations.ORACLE}
