@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegauge.llm import collocations, language_id, lexical_search, mixing, piece_sampling, quality_rules, topk, warc
+from lodegauge.llm import collocations, exact_dedup, language_id, lexical_search, mixing, piece_sampling, quality_rules, topk, warc
 from lodegauge.llm.jaccard_join import jaccard_components
 from lodegauge.llm.sharding import shard_records
 from lodegauge.llm.token_counts import token_counts
@@ -69,6 +69,11 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # a pattern, as a stream follows no single file
+    return exact_dedup.dedup(spark, f"{sf_dir}/documents.parque[t]")
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(_documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"), 20)
 
@@ -88,7 +93,8 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_topk": op10_topk,
+    "op11_exact_dedup": op11_exact_dedup,
     "op12_lexical_search": op12_lexical_search,
     "op13_collocations": op13_collocations,
 }
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": quality_rules.ORACLE, "op4_mixing": mixing.ORACLE, "op10_topk": topk.ORACLE, "op12_lexical_search": lexical_search.ORACLE, "op13_collocations": collocations.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": quality_rules.ORACLE, "op4_mixing": mixing.ORACLE, "op10_topk": topk.ORACLE, "op11_exact_dedup": exact_dedup.ORACLE, "op12_lexical_search": lexical_search.ORACLE, "op13_collocations": collocations.ORACLE}
