@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lodegauge.functions import text as tx
 from lodegauge.operators import alignment, annotate, checks, chunking, documents, metrics, retrieval, spans
-from lodegauge.plans import transport
+from lodegauge.plans import corpus, transport
 from lodegauge.sources import scratch
 
 S = tx.SPACE_SQL
@@ -504,3 +504,4 @@ def _event_windows(spark, sf):
 
 register("event_windows", _event_windows, "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 6) AS value FROM events GROUP BY 1, 2")
 transport.add(register)
+corpus.add(register)
