@@ -1,9 +1,9 @@
 """Phrase collocations by Suffix-sigma: counts of all phrases of up to max_n words from one sort of truncated suffixes.
 
-1. One scan counts the words of each language, combined a block of text at a time before they are exchanged. Words seen
-   fewer than ``least`` times are in no candidate nor in a part of one, so suffixes end before them ("document splits"):
-   a bitmap of 2**FREQUENT_BITS bits holds the hashes of the others. A word that shares a bit with a frequent one only makes
-   a suffix longer than it need be.
+1. One scan counts the hashes of words and of pairs of neighbours, combined a block of text at a time before they are
+   exchanged. A word or pair seen fewer than ``least`` times is in no candidate nor in a part of one, so suffixes end there
+   ("document splits"): a bitmap of 2**FREQUENT_BITS bits holds the hashes of the others. A rare one that shares a bit or a
+   hash with a frequent one only makes a suffix longer than it need be.
 2. Every word starts a suffix of its piece, cut after max_n words. Equal ones are counted a block at a time and exchanged by
    ranges of (language, first word, further words): a range holds neighbouring first words, or a part of a frequent one.
    Each range is sorted in reverse, so that all suffixes with a common prefix lie together; one stack of max_n + 1
@@ -33,10 +33,9 @@ from lodegauge.llm import bytewords as bw
 from lodegauge.sources import scratch
 
 #: Bytes of text whose suffixes are counted together.
-BLOCK = 4 << 20
-#: Bits of the bitmap of frequent words: 16 MB.
+BLOCK = 1 << 20
+#: Bits of the bitmap of frequent words and pairs: 16 MB.
 FREQUENT_BITS = 27
-_SCHEMA = "key binary, n long"
 
 #: Bytes that end a piece, and bytes of words.
 PUNCTUATION = np.zeros(256, bool)
@@ -85,43 +84,42 @@ def _counted(values: pa.Array) -> Iterator[tuple[pa.Array, pa.Array]]:
     yield from ((seen.field("values").slice(a, 1 << 16).cast(pa.binary()), seen.field("counts").slice(a, 1 << 16)) for a in range(0, len(seen), 1 << 16))
 
 
-def _hashes(lang: bytes, made: bw.Hashes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Bits of a language's words."""
+def _words(lang: bytes, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
+    """start, end and hash of a language's words, the word after each one's piece, and the hashes of each word with the
+    next one of its piece (that of a last word means nothing)."""
+    start, end, row = bw.spans(buf, off, WORD)
     seed = np.uint64(int.from_bytes(hashlib.blake2b(lang, digest_size=8).digest(), "little"))
-    return (bw.mix(made.of(start, end) ^ seed) >> np.uint64(64 - FREQUENT_BITS)).astype(np.int64)
+    h = bw.mix(bw.Hashes(buf).of(start, end) ^ seed)
+    pair = h.copy()
+    pair[:-1] = bw.mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])
+    ends = np.cumsum(PUNCTUATION[buf])
+    last = np.ones(len(start), bool)
+    last[:-1] = (row[1:] != row[:-1]) | (ends[start[1:]] != ends[end[:-1] - 1])
+    return start, end, h, np.flatnonzero(last)[np.cumsum(last) - last] + 1, pair
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """key (language, NUL, word) and n of all words."""
+def hash_counts(docs: DataFrame) -> DataFrame:
+    """h and n: the hashes of words and of pairs of neighbours, with their occurrences, combined by blocks of text. What
+    shares a hash is counted together, so n is never too small."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lang, buf, off in _by_language(batch):
-                start, end, _ = bw.spans(buf, off, WORD)
-                for words, n in _counted(_binary(buf[WORD[buf]], end - start)):
-                    keys = pc.binary_join_element_wise(pa.scalar(lang, pa.binary()), words, pa.scalar(b"\0", pa.binary()))
-                    yield pa.RecordBatch.from_arrays([keys, n.cast(pa.int64())], names=["key", "n"])
+                start, _, h, stop, pair = _words(lang, buf, off)
+                h, n = np.unique(np.concatenate([h, pair[np.arange(len(start)) + 1 < stop]]), return_counts=True)
+                for a in range(0, len(h), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(h[a : a + (1 << 16)].view(np.int64)), pa.array(n[a : a + (1 << 16)])], names=["h", "n"])
+        bw.release()
 
-    return docs.mapInArrow(run, _SCHEMA).groupBy("key").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
 def frequent_bits(counts: DataFrame, least: int) -> np.ndarray:
-    """The bitmap (bytes, lowest bit first) of words with at least ``least`` occurrences: 2**FREQUENT_BITS bits, whatever the corpus."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words: dict[bytes, list[bytes]] = {}
-            for key in batch.column(0).to_pylist():
-                lang, _, word = key.partition(b"\0")
-                words.setdefault(lang, []).append(word)
-            for lang, some in words.items():
-                end = np.cumsum([len(w) for w in some])
-                bits = _hashes(lang, bw.Hashes(np.frombuffer(b"".join(some), np.uint8)), np.append(0, end[:-1]), end)
-                yield pa.RecordBatch.from_arrays([pa.array(bits)], names=["bit"])
-
-    bits = counts.where(F.col("n") >= least).select("key").mapInArrow(run, "bit long")
-    parts = bits.groupBy(F.floor(F.col("bit") / 32768).alias("part")).agg(F.bitmap_construct_agg(F.col("bit") % 32768).alias("held")).collect()
-    out = np.zeros((1 << FREQUENT_BITS) // 32768 * 4096, np.uint8)
+    """The bitmap (bytes, lowest bit first) of hashes with at least ``least`` occurrences: 2**FREQUENT_BITS bits, whatever the corpus."""
+    bit = F.shiftrightunsigned("h", 64 - FREQUENT_BITS)
+    bits = counts.where(F.col("n") >= least).select(F.shiftrightunsigned(bit, 15).alias("part"), bit.bitwiseAND(32767).alias("at"))
+    parts = bits.groupBy("part").agg(F.bitmap_construct_agg("at").alias("held")).collect()
+    out = np.zeros((1 << FREQUENT_BITS) // 8, np.uint8)
     for r in parts:
         out[r["part"] * 4096 : (r["part"] + 1) * 4096] = np.frombuffer(bytes(r["held"]), np.uint8)
     return out
@@ -131,31 +129,32 @@ def suffixes(docs: DataFrame, frequent: np.ndarray, max_n: int) -> DataFrame:
     """key (language, then up to max_n words, by NUL) and n of the suffixes, combined by blocks of text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def held(h: np.ndarray) -> np.ndarray:
+            bit = (h >> np.uint64(64 - FREQUENT_BITS)).astype(np.int64)
+            return (frequent[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
+
         for batch in batches:
             for lang, buf, off in _by_language(batch):
-                start, end, row = bw.spans(buf, off, WORD)
-                many = len(start)
+                start, end, h, stop, pair = _words(lang, buf, off)
+                many, size = len(start), end - start
                 if not many:
                     continue
-                size, ends = end - start, np.cumsum(PUNCTUATION[buf])
-                bit = _hashes(lang, bw.Hashes(buf), start, end)
-                keep = (frequent[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
-                # the word after the last of each word's piece, then of its suffix
-                cut = np.append((row[1:] != row[:-1]) | (ends[start[1:]] != ends[end[:-1] - 1]), True)
-                stop = np.flatnonzero(cut)[np.cumsum(cut) - cut] + 1
-                rare = np.append(np.flatnonzero(~keep), many)
-                stop = np.minimum(np.minimum(stop, np.arange(many) + max_n), rare[np.searchsorted(rare, np.arange(many))])
+                at = np.arange(many)
+                # each suffix ends before its first rare word, or before the second word of its first rare pair
+                rare = np.append(np.flatnonzero(~held(h)), many)
+                alone = np.append(np.flatnonzero(~held(pair)), many)
+                stop = np.minimum(np.minimum(stop, at + max_n), np.minimum(rare[np.searchsorted(rare, at)], alone[np.searchsorted(alone, at)] + 1))
                 # every word after a NUL, so that a suffix is one slice
                 data = np.zeros(int(size.sum()) + many, np.uint8)
-                at = np.cumsum(size + 1) - size
-                data[np.arange(int(size.sum())) + np.repeat(np.arange(many), size) + 1] = buf[WORD[buf]]
-                long = np.where(stop > np.arange(many), at[stop - 1] + size[stop - 1] - at + 1, 0)
-                for tails, n in _counted(_slices(data, at - 1, long)):
+                before = np.cumsum(size + 1) - size
+                data[np.arange(int(size.sum())) + np.repeat(at, size) + 1] = buf[WORD[buf]]
+                long = np.where(stop > at, before[stop - 1] + size[stop - 1] - before + 1, 0)
+                for tails, n in _counted(_slices(data, before - 1, long)):
                     keys = pc.binary_join_element_wise(pa.scalar(lang, pa.binary()), tails, pa.scalar(b"", pa.binary()))
                     yield pa.RecordBatch.from_arrays([keys, n.cast(pa.int64())], names=["key", "n"])
         bw.release()
 
-    return docs.mapInArrow(run, _SCHEMA)
+    return docs.mapInArrow(run, "key binary, n long")
 
 
 def _shared(made: bw.Hashes, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -239,7 +238,7 @@ def phrase_counts(docs: DataFrame, max_n: int = 4, least: int = 30) -> DataFrame
     """lang, words (array; none: all words of the language), f: every phrase of up to max_n words, found inside pieces,
     that occurs ``least`` times or more. docs: text, lang. The scan of words is written and deleted at the session's end."""
     given = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    frequent = frequent_bits(word_counts(given), least)
+    frequent = frequent_bits(hash_counts(given), least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stack = PrefixStack(max_n, least)
@@ -258,7 +257,8 @@ def phrase_counts(docs: DataFrame, max_n: int = 4, least: int = 30) -> DataFrame
         stack.end()
         yield out()
 
-    rows = suffixes(given, frequent, max_n).repartitionByRange("key").sortWithinPartitions(F.desc("key"))
+    # written, as ranges are laid out by a first look at the rows
+    rows = scratch.written(suffixes(given, frequent, max_n), "suffixes").repartitionByRange("key").sortWithinPartitions(F.desc("key"))
     whole = rows.mapInArrow(run, "lang string, words array<string>, f long").groupBy("lang", "words").agg(F.sum("f").alias("f"))
     return whole.where((F.col("f") >= least) | (F.size("words") == 0))
 
