@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegauge.operators import punkt
+from lodegauge.operators import containment, punkt
 from lodegauge.sources import scratch
 
 
@@ -86,6 +86,12 @@ _DECIDED = rf"""cases AS (
 SELECT docid, 'PUNKT-' || docid || '-' || printf('%04d', s::BIGINT) AS chunk_id, min(e - length(t))::BIGINT AS start, max(e)::BIGINT AS "end", string_agg(t, ' ' ORDER BY i) AS text FROM numbered GROUP BY docid, s"""
 
 
+def _passages(spark: SparkSession, sf: str) -> DataFrame:
+    """Where the passages of benchmark occur in documents."""
+    asked = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("passage_id"), "text")
+    return containment.occurrences(asked, _spoken(spark, sf)).withColumnRenamed("passage_id", "item_id")
+
+
 def add(register: Callable) -> None:
     """Register the queries of this module."""
     from lodegauge.plans import contract as c
@@ -96,3 +102,15 @@ SELECT 'abbreviation' AS what, lang, type, '' AS next_type, w::BIGINT AS n, roun
 UNION ALL SELECT 'starter', lang, type, '', k::BIGINT, round(score, 3) FROM starter WHERE score >= 0.001
 UNION ALL SELECT 'collocation', lang, type, next_type, k::BIGINT, round(score, 3) FROM collocation WHERE score >= 0.001""")
     register("chunk_punkt", lambda s, d: punkt.sentences(_spoken(s, d)), f"WITH {taught}, {_DECIDED}")
+    register("find_passages", _passages, f"""WITH {c.NORMAL_SQL}, asked AS (
+  SELECT item_id, regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(trim(translate(text, '’‘”“—–', '''''""--'), ' '), '[{c.S}]*(?:\\.\\.\\.|…|\\.\\.)$', ''), '[{c.S}]+', ' ', 'g'), ' '), '^[,."'' ]+', ''), '[,."'' ]+$', '') AS v FROM benchmark
+), forms AS (
+  SELECT item_id, unnest(vs) AS v, generate_subscripts(vs, 1) AS variant FROM (
+    SELECT item_id, list_filter([v, CASE WHEN contains(v, '_') THEN replace(v, '_', ' ') END, CASE WHEN contains(v, '_') THEN replace(v, '_', '') END], lambda x: x <> '') AS vs FROM asked)
+), held AS (
+  SELECT item_id, docid, text, variant, lower(v) AS v FROM forms JOIN normal ON contains(lower(text), lower(v)) QUALIFY variant = min(variant) OVER (PARTITION BY item_id, docid)
+), found AS (
+  SELECT *, unnest(list_filter(range(1, length(text) - length(v) + 2), lambda i: substring(lower(text), i, length(v)) = v)) AS place FROM held
+), snapped AS (
+  SELECT *, place - 1 - length(regexp_extract(substring(text, 1, place - 1), '[^ ]*$')) AS s, place - 1 + length(v) + length(regexp_extract(substring(text, place + length(v)), '^[^ ]*')) AS e FROM found)
+SELECT item_id, docid, variant::INT AS variant, row_number() OVER (PARTITION BY item_id, docid ORDER BY place) AS occurrence, s::BIGINT AS start, e::BIGINT AS "end", substring(text, s + 1, e - s) AS span_text FROM snapped""")
