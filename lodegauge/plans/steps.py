@@ -1,7 +1,7 @@
 """The steps of building and scoring a benchmark, over folders: each reads what the one before wrote.
 
 Layout under a folder: documents/, questions.json, annotations_1.json, annotations_2.json, merged.json, chunks/,
-qrels/, embeddings/, runs/. Rows go through Spark's writers; small files for people through the driver.
+qrels/, embeddings/, runs/. All rows are written by tasks; the report and the sheet, one text each, by the driver.
 """
 
 from __future__ import annotations
@@ -77,8 +77,8 @@ def load_chunks(spark: SparkSession, folder: str) -> DataFrame:
 def align(spark: SparkSession, folder: str, t_span: float = alignment.T_SPAN, t_chunk: float = alignment.T_CHUNK) -> list[str]:
     """All strategies at once; one file a strategy with rows."""
     q = alignment.align(load_annotations(spark, f"{folder}/merged.json"), load_chunks(spark, folder), t_span, t_chunk, bucket=4096)
-    lines = q.orderBy("strategy", "qid", "chunk_id").select("strategy", F.concat_ws("\t", "qid", F.lit("0"), "chunk_id", F.col("rel").cast("string")).alias("value"))
-    return sinks.export_strategy_files(lines, f"{folder}/qrels", "qrels")
+    lines = q.withColumn("value", F.concat_ws("\t", "qid", F.lit("0"), "chunk_id", F.col("rel").cast("string")))
+    return sinks.export_strategy_files(lines, f"{folder}/qrels", "qrels", ["qid", "chunk_id"])
 
 
 def tune(spark: SparkSession, folder: str, strategy: str) -> DataFrame:
@@ -100,7 +100,7 @@ def retrieve(spark: SparkSession, folder: str, k: int = 20, run_name: str = "den
     if out is None:
         return []
     line = F.concat_ws("\t", "qid", "q0", "chunk_id", F.col("rank").cast("string"), F.format_string("%.8f", "score"), "run_name")
-    return sinks.export_strategy_files(out.orderBy("strategy", "qid", "rank").select("strategy", line.alias("value")), f"{folder}/runs", f"run_{run_name}")
+    return sinks.export_strategy_files(out.withColumn("value", line), f"{folder}/runs", f"run_{run_name}", ["qid", "rank"])
 
 
 def evaluate(spark: SparkSession, folder: str, run_name: str = "dense") -> DataFrame:

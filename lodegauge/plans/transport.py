@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodegauge.operators import chunking, metadata, metrics, retrieval, spans
-from lodegauge.sources import readers, schemas, scratch, sinks
+from lodegauge.sources import exact, readers, schemas, scratch, sinks
 from lodegauge.streaming import pipelines
 
 
@@ -28,7 +28,7 @@ def _qrels_back(spark: SparkSession, judged: DataFrame) -> DataFrame:
     """Judgments as a text file a strategy, read by their names."""
     path = scratch.new_path(spark, "qrels")
     line = F.concat_ws("\t", "qid", F.lit("0"), "chunk_id", F.col("rel").cast("string"))
-    sinks.export_strategy_files(judged.orderBy("strategy", "qid", "chunk_id").select("strategy", line.alias("value")), path, "qrels")
+    sinks.export_strategy_files(judged.withColumn("value", line), path, "qrels", ["qid", "chunk_id"])
     return readers.qrels(spark, path).select("strategy", "qid", "chunk_id", "rel")
 
 
@@ -38,11 +38,27 @@ def _runs_back(spark: SparkSession, run: DataFrame) -> DataFrame:
     for name, scale in (("a", 1.0), ("b", 2.0)):
         rows = retrieval.as_run(run.withColumn("score", F.col("score") * scale), name)
         line = F.concat_ws("\t", "qid", "q0", "chunk_id", F.col("rank").cast("string"), F.format_string("%.8f", "score"), "run_name")
-        sinks.export_strategy_files(rows.orderBy("qid", "rank").select(F.lit("dense").alias("strategy"), line.alias("value")), path, f"run_{name}")
+        sinks.export_strategy_files(rows.withColumn("strategy", F.lit("dense")).withColumn("value", line), path, f"run_{name}", ["qid", "rank"])
     left_out = ",".join(sorted(r["file"] for r in readers.ambiguous_runs(spark, path).collect()))  # a row a file
     return readers.runs(spark, path).select("strategy", "qid", "chunk_id", F.round("score", 6).alias("score"), F.lit(left_out).alias("left_out"))
 
 
+def _documents_back(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """A JSON file a document, with a colon in its name, read as documents."""
+    path = scratch.new_path(spark, "documents")
+    sinks.export_documents(docs.select(F.concat(F.lit("doc:"), "docid").alias("docid"), F.lit(None).cast("string").alias("title"), "text"), path)
+    return readers.json_documents(spark, path)
+
+
+def _annotations_back(spark: SparkSession, found: DataFrame) -> DataFrame:
+    """Annotations as a JSON array an annotator, read as JSON."""
+    path = scratch.new_path(spark, "annotations")
+    value = F.to_json(F.struct("qid", "docid", "start", "end", "text", "logic"))
+    exact.write(found, path, F.concat("sme_id", F.lit(".json")), value, "array", F.struct("qid", "src_ord"))
+    rows = readers.json_array(spark, path, "qid string, docid string, start long, `end` long, text string, logic string")
+    return rows.select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1).alias("sme_id"), "qid", "docid", "start", "end", "text", "logic")
+
+
 def _written_lines_back(spark: SparkSession, run: DataFrame) -> DataFrame:
     """The run as Spark writes it, in sorted lines by strategy, parsed again."""
     path = scratch.new_path(spark, "lines")
@@ -107,6 +123,9 @@ SELECT strategy, docid, chunk_id, start, "end", text, false AS corrupt FROM chun
     register("roundtrip_qrels", lambda s, d: _qrels_back(s, c._windows_judged(s, d).withColumn("strategy", F.lit("CHARWIN500_OV50"))),
              f"WITH {c.NORMAL_SQL}, {c.SPANS_SQL}, {c.CHUNKS_SQL}, {c.PAIRS_SQL} SELECT DISTINCT strategy, qid, chunk_id, 1 AS rel FROM pairs WHERE strategy = 'CHARWIN500_OV50' AND cov_span >= {c.T} AND cov_chunk >= {c.C}")
     register("roundtrip_runs", lambda s, d: _runs_back(s, c.topk(s, d)), f"{run_sql}, 'run_b_dense.txt' AS left_out FROM run")
+    register("roundtrip_documents", lambda s, d: _documents_back(s, c.docs(s, d)), "SELECT 'doc:' || doc_id AS docid, NULL::VARCHAR AS title, text FROM documents")
+    register("roundtrip_annotations", lambda s, d: _annotations_back(s, c.derived_spans(s, d)), f"""WITH {c.NORMAL_SQL}, {c.SPANS_SQL}
+SELECT sme_id, qid, docid, start, "end", text, logic FROM spans""")
     register("roundtrip_lines", lambda s, d: _written_lines_back(s, c.topk(s, d)), f"{run_sql} FROM run")
     register("roundtrip_csv", lambda s, d: _csv_back(s, c.table(s, d, "labels")).select(*[F.col(x).cast("long").alias(x) for x in ("doc_id", "quality", "toxic")]),
              "SELECT doc_id, quality::BIGINT AS quality, toxic::BIGINT AS toxic FROM labels")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from lodegauge.operators import metrics
-from lodegauge.sources import schemas, scratch
+from lodegauge.sources import exact, schemas, scratch
 
 
 def whole_text(spark: SparkSession, path: str) -> DataFrame:
@@ -103,14 +103,29 @@ def embeddings_npz(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(load, schemas.EMBEDDING)
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+class _Files(InputPartition):
+    def __init__(self, paths: list[str]):
+        self.paths = paths
+
+
+def packed(sizes: list[tuple[str, int]], limit: int, open_cost: int) -> list[list[str]]:
+    """Paths in runs of up to ``limit`` bytes (one file at least), a file counting for ``open_cost`` more."""
+    out: list[list[str]] = []
+    held = 0
+    for path, size in sizes:
+        cost = size + open_cost
+        if not out or held + cost > limit:
+            out.append([])
+            held = 0
+        out[-1].append(path)
+        held += cost
+    return out
 
 
 class JsonDocuments(DataSource):
-    """One JSON object a file, sorted by name. File names may contain colons, which Hadoop's paths do not allow, so files
-    are listed and opened through pyarrow.fs. Option path: the folder."""
+    """One JSON object a file, sorted by name; a task reads many small files. File names may contain colons, which Hadoop's
+    paths do not allow, so files are listed and opened through pyarrow.fs. Options: path (the folder), packed_bytes and
+    open_cost (what a task reads at most, and what opening a file counts for)."""
 
     @classmethod
     def name(cls) -> str:
@@ -126,32 +141,29 @@ class JsonDocuments(DataSource):
 class JsonDocumentsReader(DataSourceReader):
     def __init__(self, options):
         self.folder, self.checked = options["path"], bool(options.get("checked"))
-
-    def _store(self):
-        from pyarrow import fs
-
-        return fs.FileSystem.from_uri(self.folder) if "://" in self.folder else (fs.LocalFileSystem(), self.folder)
+        self.limit, self.open_cost = int(options.get("packed_bytes", 32 << 20)), int(options.get("open_cost", 64 << 10))
 
     def partitions(self):
         from pyarrow import fs
 
-        files, root = self._store()
+        files, root = exact.store(self.folder)
         found = files.get_file_info(fs.FileSelector(root, allow_not_found=True))
-        return [_File(f.path) for f in sorted(found, key=lambda f: f.path) if f.is_file and f.base_name.endswith(".json")]
+        mine = sorted((f.path, f.size) for f in found if f.is_file and f.base_name.endswith(".json"))
+        return [_Files(paths) for paths in packed(mine, self.limit, self.open_cost)]
 
     def read(self, partition) -> Iterator[tuple]:
-        files, _ = self._store()
-        try:
-            with files.open_input_stream(partition.path) as f:
-                doc = json.loads(f.read().decode("utf-8"))
-            row = (doc.get("docid"), doc.get("title"), doc.get("text"))
-        except (ValueError, AttributeError, OSError) as e:
-            if not self.checked:
-                raise
-            name = partition.path.rpartition("/")[2].removesuffix(".json")
-            yield (name, None, None, str(e))
-            return
-        yield (*row, None) if self.checked else row
+        files, _ = exact.store(self.folder)
+        for path in partition.paths:
+            try:
+                with files.open_input_stream(path) as f:
+                    doc = json.loads(f.read().decode("utf-8"))
+                row = (doc.get("docid"), doc.get("title"), doc.get("text"))
+            except (ValueError, AttributeError, OSError) as e:
+                if not self.checked:
+                    raise
+                yield (path.rpartition("/")[2].removesuffix(".json"), None, None, str(e))
+                continue
+            yield (*row, None) if self.checked else row
 
 
 def json_documents(spark: SparkSession, folder: str, checked: bool = False) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Writers. What grows with the data is written by Spark; small exports for people are written by the driver."""
+"""Writers. Rows are written by tasks, also into files of an exact form (sources.exact); reports, which are one text, by the driver."""
 
 from __future__ import annotations
 
@@ -7,11 +7,11 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodegauge.sources import exact
 
-def _driver_file(path: str, text: str) -> None:
-    from pyarrow import fs
 
-    files, at = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+def _driver_file(path: str, text: str) -> None:
+    files, at = exact.store(path)
     files.create_dir(at.rpartition("/")[0] or "/", recursive=True)
     with files.open_output_stream(at) as f:
         f.write(text.encode("utf-8"))
@@ -23,12 +23,9 @@ def documents(docs: DataFrame, path: str) -> None:
 
 
 def export_documents(docs: DataFrame, folder: str) -> int:
-    """One indented JSON file a document, streamed through the driver; for small corpora."""
-    n = 0
-    for r in docs.select("docid", "title", "text").toLocalIterator():
-        _driver_file(f"{folder}/{r['docid']}.json", json.dumps(r.asDict(), indent=2, ensure_ascii=False))
-        n += 1
-    return n
+    """One indented JSON file a document, named by its docid; their number."""
+    value = F.to_json(F.struct("docid", "title", "text"), {"ignoreNullFields": "false"})
+    return exact.write(docs, folder, F.concat("docid", F.lit(".json")), value, "object")
 
 
 def json_rows(rows: DataFrame, path: str) -> None:
@@ -36,10 +33,9 @@ def json_rows(rows: DataFrame, path: str) -> None:
 
 
 def export_json_array(rows: DataFrame, path: str) -> int:
-    """One indented JSON array through the driver; null fields are left out."""
-    out = [{k: v for k, v in r.asDict(recursive=True).items() if v is not None} for r in rows.toLocalIterator()]
-    _driver_file(path, json.dumps(out, indent=2, ensure_ascii=False))
-    return len(out)
+    """One indented JSON array, in the order of rows; null fields are left out. The number of rows."""
+    folder, _, name = path.rpartition("/")
+    return exact.write(rows, folder or ".", F.lit(name), F.to_json(F.struct("*")), "array", needed=[name])
 
 
 def chunk_manifests(chunks: DataFrame, path: str) -> None:
@@ -64,13 +60,11 @@ def runs(run: DataFrame, path: str) -> None:
     _lines(run, F.concat_ws("\t", "qid", F.lit("Q0"), "chunk_id", F.col("rank").cast("string"), score, "run_name"), ["qid", "rank"], path)
 
 
-def export_strategy_files(rows: DataFrame, folder: str, prefix: str) -> list[str]:
-    """One text file a strategy ({prefix}_{strategy}.txt) from rows (strategy, value) in order, through the driver."""
-    names = []
-    for s in [r[0] for r in rows.select("strategy").distinct().orderBy("strategy").collect()]:
-        names.append(f"{folder}/{prefix}_{s}.txt")
-        _driver_file(names[-1], "".join(r["value"] + "\n" for r in rows.where(F.col("strategy") == s).toLocalIterator()))
-    return names
+def export_strategy_files(rows: DataFrame, folder: str, prefix: str, order: list | None = None) -> list[str]:
+    """One text file a strategy ({prefix}_{strategy}.txt) from rows (strategy, value and the columns of order, which is
+    that of the rows by default); the paths of such files."""
+    exact.write(rows, folder, F.concat(F.lit(f"{prefix}_"), "strategy", F.lit(".txt")), F.col("value"), "lines", F.struct(*order) if order else None)
+    return [f"{folder}/{name}" for name in exact.names(folder) if name.startswith(f"{prefix}_") and name.endswith(".txt")]
 
 
 def conflicts(rows: DataFrame, path: str) -> None:
