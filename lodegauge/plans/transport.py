@@ -59,6 +59,16 @@ def _annotations_back(spark: SparkSession, found: DataFrame) -> DataFrame:
     return rows.select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1).alias("sme_id"), "qid", "docid", "start", "end", "text", "logic")
 
 
+def _errors_by_line(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Documents as JSON Lines, a file a source, some lines cut off and some left empty; what is no JSON, by its line."""
+    path = scratch.new_path(spark, "lines")
+    whole = F.to_json(F.struct(F.col("docid").alias("chunk_id"), "text"))
+    value = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit('{"chunk_id": "'), "docid")).when(F.col("doc_id") % 11 == 0, "").otherwise(whole)
+    exact.write(docs, path, F.concat(F.coalesce("source", F.lit("none")), F.lit(".jsonl")), value, "lines", F.col("doc_id"))
+    rows = readers.json_lines_checked(spark, path, "chunk_id string, text string")
+    return rows.select("file", "line_no", "chunk_id", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("length"), F.col("_corrupt_record").alias("broken"))
+
+
 def _written_lines_back(spark: SparkSession, run: DataFrame) -> DataFrame:
     """The run as Spark writes it, in sorted lines by strategy, parsed again."""
     path = scratch.new_path(spark, "lines")
@@ -126,6 +136,10 @@ SELECT strategy, docid, chunk_id, start, "end", text, false AS corrupt FROM chun
     register("roundtrip_documents", lambda s, d: _documents_back(s, c.docs(s, d)), "SELECT 'doc:' || doc_id AS docid, NULL::VARCHAR AS title, text FROM documents")
     register("roundtrip_annotations", lambda s, d: _annotations_back(s, c.derived_spans(s, d)), f"""WITH {c.NORMAL_SQL}, {c.SPANS_SQL}
 SELECT sme_id, qid, docid, start, "end", text, logic FROM spans""")
+    register("jsonl_errors", lambda s, d: _errors_by_line(s, scratch.spread(c.table(s, d, "documents")).withColumn("docid", F.col("doc_id").cast("string"))), """
+WITH l AS (SELECT *, coalesce(source, 'none') || '.jsonl' AS file, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS line_no FROM documents)
+SELECT file, line_no, CASE WHEN doc_id % 7 <> 0 THEN doc_id::VARCHAR END AS chunk_id, CASE WHEN doc_id % 7 <> 0 THEN coalesce(length(text), 0) ELSE 0 END::BIGINT AS length, CASE WHEN doc_id % 7 = 0 THEN '{"chunk_id": "' || doc_id END AS broken
+FROM l WHERE doc_id % 7 = 0 OR doc_id % 11 <> 0""")
     register("roundtrip_lines", lambda s, d: _written_lines_back(s, c.topk(s, d)), f"{run_sql} FROM run")
     register("roundtrip_csv", lambda s, d: _csv_back(s, c.table(s, d, "labels")).select(*[F.col(x).cast("long").alias(x) for x in ("doc_id", "quality", "toxic")]),
              "SELECT doc_id, quality::BIGINT AS quality, toxic::BIGINT AS toxic FROM labels")

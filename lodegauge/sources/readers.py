@@ -32,9 +32,20 @@ def json_lines(spark: SparkSession, path: str, schema: str = schemas.CHUNK) -> D
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, value) of text files; line numbers grow within a file, as each file is read as a whole."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.split("value", r"\r?\n", -1).alias("lines"))
-    return files.select("file", F.posexplode("lines").alias("i", "value")).where("value <> ''").select("file", (F.col("i") + 1).cast("long").alias("line_no"), "value")
+    """(file, line_no, value) of the lines of text files that are not empty; line_no counts all lines of a file from 1.
+
+    Files are read in splits, twice: first lines are counted a split, then a split's lines are numbered from the sum of those
+    before it. Both scans must cut files alike. If they do not (another number of cores changes that), some line falls
+    outside its split's count, and the job fails."""
+    m = F.col("_metadata")
+    lines = spark.read.text(path).select(m["file_path"].alias("path"), m["file_name"].alias("file"), m["file_block_start"].alias("split"), F.monotonically_increasing_id().alias("at"), "value")
+    counted = lines.groupBy("path", "split").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = scratch.lookup(scratch.written(counted.select("path", "split", "n", "first", before.alias("before")), "splits"))
+    place = F.col("at") - F.col("first")
+    number = F.when((place >= 0) & (place < F.col("n")), F.col("before") + place + 1).otherwise(F.raise_error(F.lit("files were cut otherwise than when their lines were counted")).cast("long"))
+    found = lines.join(splits, ["path", "split"], "left").withColumn("line_no", number)
+    return found.where("value <> '' and line_no > 0").select("file", "line_no", "value")
 
 
 def ordered_lines(spark: SparkSession, path: str) -> DataFrame:
