@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from lodegauge.functions.text import CURLY, PLAIN, SPACE, normalize_offsets, strip, text_slice
@@ -64,61 +65,105 @@ def iou(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
     return F.when(shared > 0, shared / (F.greatest(e1, e2) - F.least(s1, s2))).otherwise(F.lit(0.0))
 
 
-def _fold(spans: DataFrame) -> DataFrame:
+#: A span while it grows: start, end, logic, group.
+Grown = tuple[int, int, str, str]
+
+
+class Fold:
+    """The fold of one (qid, docid): spans come in order, and one grown span is held."""
+
+    def __init__(self):
+        self.active: Grown | None = None
+        self.by: list[str] = []
+
+    def take(self, start: int, end: int, logic: str, grp: str, who: str) -> Iterator[tuple]:
+        """The next span: (clash, span, next span or None, contributors or None) of what is known from it."""
+        new = (start, end, logic, grp)
+        if self.active is None:
+            self.active, self.by = new, [who]
+            return
+        first, last = self.active[:2]
+        shared = min(last, end) - max(first, start)
+        close = shared > 0 and 2 * shared >= max(last, end) - min(first, start)
+        if close and self.active[2:] == (logic, grp):
+            self.active = (min(first, start), max(last, end), logic, grp)
+            self.by.append(who)
+            return
+        if close:
+            yield True, self.active, new, None
+        yield from self.end()
+        self.active, self.by = new, [who]
+
+    def end(self) -> Iterator[tuple]:
+        if self.active is not None:
+            yield False, self.active, None, "+".join(self.by)
+        self.active = None
+
+
+def reach_parts(spans: DataFrame, split: int) -> DataFrame:
+    """spans with __part: the number of places before them, at multiples of ``split`` characters, that no earlier span of
+    their (qid, docid) reaches over. Spans of different parts never touch. A group's spans are first summed to a row for
+    each ``split`` characters, so a group of many spans is dealt out, and only those rows are put in order."""
+    bucket = F.floor(F.col("start") / split).cast("long")
+    rows = spans.withColumn("__bucket", bucket)
+    ends = rows.groupBy("qid", "docid", "__bucket").agg(F.max("end").alias("__end"))
+    order = Window.partitionBy("qid", "docid").orderBy("__bucket")
+    reach = F.max("__end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    clean = F.when(reach <= F.col("__bucket") * split, 1).otherwise(0)
+    numbered = ends.withColumn("__clean", clean).withColumn("__part", F.sum("__clean").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = numbered.select(F.col("qid").alias("__qid"), F.col("docid").alias("__docid"), F.col("__bucket").alias("__at"), "__part")
+    same = [F.col(a).eqNullSafe(F.col(b)) for a, b in (("qid", "__qid"), ("docid", "__docid"), ("__bucket", "__at"))]
+    return rows.join(parts, same).select(*spans.columns, "__part")
+
+
+def _fold(spans: DataFrame, split: int | None = None) -> DataFrame:
     """The merged spans (clash false: start, end, logic, grp, by) and the conflicts (clash true: that span and the next,
-    start_2, end_2, logic_2, grp_2) of each (qid, docid), by one ordered pass that holds one span: rows stream through in
-    order, so a question with very many spans costs time in proportion and no memory."""
+    start_2, end_2, logic_2, grp_2) of each (qid, docid), by one ordered pass that holds one grown span and the names of those
+    who contributed to it: rows stream through in order, so a question with very many spans costs time in proportion. With
+    ``split``, such a question is cut into reach_parts() that are folded side by side."""
     given = {f.name: f.dataType for f in spans.schema.fields}
     rows = spans.where("start < `end`").select(
         "qid", "docid", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("logic").cast("string").alias("logic"),
         F.coalesce("group", F.lit("g1")).alias("grp"), F.coalesce("sme_id", F.lit("")).alias("by"), "src_ord",
     )
-    order = ["qid", "docid", "start", "end", "src_ord", "logic", "grp", "by"]
-    rows = rows.repartition("qid", "docid").sortWithinPartitions(*order).drop("src_ord")
+    rows = reach_parts(rows, split) if split else rows.withColumn("__part", F.lit(0).cast("long"))
+    rows = rows.repartition("qid", "docid", "__part").sortWithinPartitions("qid", "docid", "__part", "start", "end", "src_ord", "logic", "grp", "by").drop("src_ord")
     kinds = [("qid", given["qid"]), ("docid", given["docid"]), ("clash", BooleanType())]
     kinds += [(n + k, LongType() if n in ("start", "end") else StringType()) for k in ("", "_2") for n in ("start", "end", "logic", "grp")] + [("by", StringType())]
     schema = StructType([StructField(n, t) for n, t in kinds])
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, active, by = None, None, []
+        key, held, types, out = None, Fold(), [to_arrow_type(t) for _, t in kinds], []
+
+        def batch() -> pa.RecordBatch:
+            rows = [(*k[:2], clash, *a, *(b or (None,) * 4), by) for k, (clash, a, b, by) in out]
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=[n for n, _ in kinds])
+
         for b in batches:
-            types = {n: b.schema.field(n).type for n in ("qid", "docid")}
-            types |= {n: pa.bool_() if n == "clash" else pa.int64() if n.startswith(("start", "end")) else pa.string() for n, _ in kinds if n not in types}
-            out = []
-            for qid, docid, start, end, logic, grp, who in zip(*(c.to_pylist() for c in b.columns)):
-                if key != (qid, docid):
-                    if active:
-                        out.append((*key, False, *active, None, None, None, None, "+".join(by)))
-                    key, active, by = (qid, docid), (start, end, logic, grp), [who]
-                    continue
-                shared = min(active[1], end) - max(active[0], start)
-                close = shared > 0 and 2 * shared >= max(active[1], end) - min(active[0], start)
-                if close and active[2:] == (logic, grp):
-                    active = (min(active[0], start), max(active[1], end), logic, grp)
-                    by.append(who)
-                    continue
-                if close:
-                    out.append((*key, True, *active, start, end, logic, grp, None))
-                out.append((*key, False, *active, None, None, None, None, "+".join(by)))
-                active, by = (start, end, logic, grp), [who]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], types[n]) for i, (n, _) in enumerate(kinds)], names=[n for n, _ in kinds])
-        if active:
-            last = (*key, False, *active, None, None, None, None, "+".join(by))
-            yield pa.RecordBatch.from_arrays([pa.array([v], types[n]) for v, (n, _) in zip(last, kinds)], names=[n for n, _ in kinds])
+            for qid, docid, start, end, logic, grp, who, part in zip(*(c.to_pylist() for c in b.columns)):
+                if key != (qid, docid, part):
+                    out += [(key, x) for x in held.end()]
+                    key = (qid, docid, part)
+                out += [(key, x) for x in held.take(start, end, logic, grp, who)]
+            yield batch()
+        out += [(key, x) for x in held.end()]
+        yield batch()
 
     return rows.mapInArrow(fold, schema)
 
 
-def merge_spans(spans: DataFrame, docs: DataFrame) -> DataFrame:
+def merge_spans(spans: DataFrame, docs: DataFrame, split: int | None = None) -> DataFrame:
     """Merge annotators' spans: qid, docid, start, end, text, logic, group, sme_id, contributors.
 
     spans: qid, docid, start, end, text, logic, group, sme_id, src_ord (place in the union of annotators, which makes
     the order total). Neighbours in order of (start, end, src_ord) merge when their overlap is at least half their hull
     and logic and group agree; the comparison is with the grown span. Texts are cut anew from the normalized document;
-    empty ones go. Spans of documents that are missing or empty pass through unchanged, with their sme_id.
+    empty ones go. Spans of documents that are missing or empty pass through unchanged, with their sme_id. A question of
+    very many spans is dealt to many tasks with ``split``, a number of characters, to equal results.
     """
     texts = docs.select(F.col("docid").cast("string").alias("docid"), normalize_offsets(F.col("text")).alias("doc_text")).where("doc_text <> ''")
-    merged = _fold(spans).where("not clash").join(texts, "docid").select(
+    merged = _fold(spans, split).where("not clash").join(texts, "docid").select(
         "qid", "docid", "start", "end", F.trim(text_slice(F.col("doc_text"), F.col("start"), F.col("end"))).alias("text"),
         "logic", F.col("grp").alias("group"), F.lit(None).cast("string").alias("sme_id"), F.col("by").alias("contributors"),
     ).where("text <> ''")
@@ -128,11 +173,11 @@ def merge_spans(spans: DataFrame, docs: DataFrame) -> DataFrame:
     return merged.unionByName(lost)
 
 
-def merge_conflicts(spans: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+def merge_conflicts(spans: DataFrame, docs: DataFrame | None = None, split: int | None = None) -> DataFrame:
     """Neighbours that overlap enough to merge but differ in logic or group: both spans and their overlap ratio, and
     with docs the first 50 characters of each."""
     ratio = iou(F.col("start"), F.col("end"), F.col("start_2"), F.col("end_2"))
-    out = _fold(spans).where("clash").select(
+    out = _fold(spans, split).where("clash").select(
         "qid", "docid", F.col("start").alias("start_1"), F.col("end").alias("end_1"), F.col("logic").alias("logic_1"), F.col("grp").alias("group_1"),
         "start_2", "end_2", "logic_2", F.col("grp_2").alias("group_2"), F.round(ratio, 4).alias("iou"),
     )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegauge.operators import containment, punkt
+from lodegauge.operators import containment, punkt, spans
 from lodegauge.sources import scratch
 
 
@@ -92,6 +92,24 @@ def _passages(spark: SparkSession, sf: str) -> DataFrame:
     return containment.occurrences(asked, _spoken(spark, sf)).withColumnRenamed("passage_id", "item_id")
 
 
+#: Characters between documents that are laid end to end.
+_APART = 1 << 24
+
+
+def _laid_out(spark: SparkSession, sf: str) -> DataFrame:
+    """All spans of a language's documents as those of one question, the documents end to end."""
+    from lodegauge.plans import contract as c
+
+    lang = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").cast("string").alias("docid"), F.coalesce("lang", F.lit("")).alias("lang"))
+    found = c.derived_spans(spark, sf).join(lang, "docid")
+    far = F.col("docid").cast("long") * _APART
+    return found.withColumn("start", F.col("start") + far).withColumn("end", F.col("end") + far).withColumn("qid", F.lit("q")).withColumn("docid", F.col("lang")).drop("lang")
+
+
+def _hot_merge(spark: SparkSession, sf: str) -> DataFrame:
+    return spans._fold(_laid_out(spark, sf), split=_APART).where("not clash").select("docid", "start", "end", "logic", F.col("by").alias("contributors"))
+
+
 def add(register: Callable) -> None:
     """Register the queries of this module."""
     from lodegauge.plans import contract as c
@@ -114,3 +132,5 @@ UNION ALL SELECT 'collocation', lang, type, next_type, k::BIGINT, round(score, 3
 ), snapped AS (
   SELECT *, place - 1 - length(regexp_extract(substring(text, 1, place - 1), '[^ ]*$')) AS s, place - 1 + length(v) + length(regexp_extract(substring(text, place + length(v)), '^[^ ]*')) AS e FROM found)
 SELECT item_id, docid, variant::INT AS variant, row_number() OVER (PARTITION BY item_id, docid ORDER BY place) AS occurrence, s::BIGINT AS start, e::BIGINT AS "end", substring(text, s + 1, e - s) AS span_text FROM snapped""")
+    register("merge_hot_question", _hot_merge, c.MERGE_SQL + f""" SELECT coalesce(any_value(d.lang), '') AS docid, arg_max(f.start, f.i) + f.docid::BIGINT * {_APART} AS start, arg_max(f."end", f.i) + f.docid::BIGINT * {_APART} AS "end", any_value(f.logic) AS logic, string_agg(o.sme_id, '+' ORDER BY f.i) AS contributors
+FROM fold f JOIN o ON o.qid = f.qid AND o.docid = f.docid AND o.i = f.i JOIN documents d ON d.doc_id = f.docid::BIGINT GROUP BY f.qid, f.docid, f.gid""")
