@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lodegauge.operators import chunking, metadata, metrics, retrieval, spans
 from lodegauge.sources import exact, readers, schemas, scratch, sinks
-from lodegauge.streaming import pipelines
+from lodegauge.streaming import merging, pipelines
 
 
 def _chunks_back(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -114,12 +114,35 @@ def _streamed_alignment(spark: SparkSession, docs: DataFrame, found: DataFrame)
 
 
 def _streamed_events(spark: SparkSession, events: DataFrame) -> DataFrame:
-    """Events that arrive in a folder, counted by window; each micro-batch replaces the table of counts."""
+    """Events that arrive in a folder hour by hour, counted by window; windows close two hours behind the newest event."""
     source, out = scratch.new_path(spark, "arriving"), scratch.new_path(spark, "counts")
-    events.repartition(4).write.parquet(source)
+    ordered = scratch.written(events.repartitionByRange(4, "ts").withColumn("part", F.spark_partition_id()), "events")
+    for i in range(4):
+        ordered.where(F.col("part") == i).drop("part").coalesce(1).write.mode("append").parquet(source)
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    pipelines.run_complete(pipelines.event_counts(stream, late="1000 days"), scratch.new_path(spark, "progress"), out)
-    return spark.read.parquet(out).select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", "value")
+    counts = pipelines.event_counts(stream, late="2 hours").select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", "value")
+    pipelines.run_updates(counts, scratch.new_path(spark, "progress"), out)
+    return pipelines.latest(spark, out, "start string, event_type string, n long, value double", ["start", "event_type"])
+
+
+#: Seconds that questions stay open, that rows may come late (ten years, as files come in no order), and within which
+#: later ones are told.
+_HOLD, _LATE, _GRACE = 600, 10 * 365 * 86400, 5 * 365 * 86400
+
+
+def _streamed_merge(spark: SparkSession, found: DataFrame) -> DataFrame:
+    """Annotators' spans that arrive in files; a mark of time that closes all questions; some spans once more, too late.
+    The stream is stopped and started again in between."""
+    source, progress, out = (scratch.new_path(spark, n) for n in ("arriving", "progress", "merged"))
+    at = F.timestamp_seconds(F.lit(1704067200) + F.col("docid").cast("long") * 60 + F.col("src_ord"))
+    spans_ = scratch.written(found.select("qid", "docid", "start", "end", "logic", "group", "sme_id", "src_ord", at.alias("at")), "spans")
+    mark = spark.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in spans_.schema.fields if f.name != "at"], F.lit("2036-01-01").cast("timestamp").alias("at"))
+    late = spans_.where("CAST(docid AS LONG) % 13 = 0 AND src_ord = 7")
+    for rows in (spans_.repartition(4), mark.coalesce(1), late.coalesce(1)):
+        rows.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(spans_.schema).option("maxFilesPerTrigger", 2).parquet(source)
+        merging.run(merging.merged(stream, _LATE, _HOLD, _GRACE), progress, out)
+    return spark.read.schema(merging.OUTPUT).parquet(out)
 
 
 def add(register: Callable) -> None:
@@ -151,6 +174,9 @@ FROM information_schema.columns WHERE table_name = '{t}'""" for t in ("labels",
              f"WITH {c.NORMAL_SQL}, {c.SPANS_SQL}, {c.CHUNKS_SQL}, {c.PAIRS_SQL} SELECT DISTINCT qid, chunk_id FROM pairs WHERE strategy = 'CHARWIN500_OV50' AND cov_span >= {c.T} AND cov_chunk >= {c.C}")
     register("stream_events", lambda s, d: _streamed_events(s, c.table(s, d, "events")),
              "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 6) AS value FROM events GROUP BY 1, 2")
+    register("stream_merge", lambda s, d: _streamed_merge(s, c.derived_spans(s, d)), c.MERGE_SQL + """ SELECT f.qid, f.docid, arg_max(f.start, f.i) AS start, arg_max(f."end", f.i) AS "end", any_value(f.logic) AS logic, 'g1' AS "group", string_agg(o.sme_id, '+' ORDER BY f.i) AS contributors, false AS late
+FROM fold f JOIN o ON o.qid = f.qid AND o.docid = f.docid AND o.i = f.i GROUP BY f.qid, f.docid, f.gid
+UNION ALL SELECT qid, docid, start, "end", logic, 'g1', sme_id, true FROM spans WHERE start < "end" AND docid::BIGINT % 13 = 0 AND src_ord = 7""")
     register("union_annotators", lambda s, d: _united(c.derived_spans(s, d)), f"""WITH {c.NORMAL_SQL}, {c.SPANS_SQL}
 SELECT qid, src_ord AS k, CASE WHEN sme_id = 'sme1' THEN 0 ELSE 1 END AS file, CASE WHEN sme_id = 'sme1' THEN 'first' ELSE 'sme2' END AS sme_id FROM spans""")
     register("topk_docid", lambda s, d: _with_docid(c._vectors(s, d)), """WITH unit AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings)

@@ -1,5 +1,5 @@
 """The per-document operators as streams: chunking and alignment keep no state, so they run unchanged on a stream of
-documents, joined to static spans; counts by window are the one stateful form."""
+documents, joined to static spans. Counts by window keep the windows that are open; spans are merged in streaming.merging."""
 
 from __future__ import annotations
 
@@ -34,7 +34,16 @@ def run_once(stream: DataFrame, name: str | None, checkpoint: str, path: str) ->
     q.awaitTermination()
 
 
-def run_complete(counts: DataFrame, checkpoint: str, path: str) -> None:
-    """Process what is there and stop; after each micro-batch the table under ``path`` is the whole result so far."""
-    q = counts.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda b, _: b.write.mode("overwrite").parquet(path)).start()
+def run_updates(counts: DataFrame, checkpoint: str, path: str) -> None:
+    """Process what is there and stop. Each micro-batch writes the rows that it changed into a folder of its own under
+    ``path``, and again into the same one if it is repeated; latest() gives what holds of them. Rows whose event time has passed
+    leave the state."""
+    q = counts.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{path}/batch={i}")).start()
     q.awaitTermination()
+
+
+def latest(spark: SparkSession, path: str, schema: str, keys: list[str]) -> DataFrame:
+    """The last row of each key that run_updates() wrote."""
+    rows = spark.read.schema(f"{schema}, batch long").parquet(path)
+    values = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("x")).select(*keys, "x.*")
