@@ -806,7 +806,9 @@ def one_of_each(docs: DataFrame, k: int = 5, pct: int = 80) -> DataFrame:
     key = F.col("doc_id").cast("long")
     gone = scratch.written(dropped.union(unsure).distinct().select(F.col("doc_id").alias("__gone")), "gone")
     if not unsure.limit(1).count():
-        return docs.join(scratch.lookup(gone), key == F.col("__gone"), "left_anti")
+        taken = {c.lower() for c in docs.columns}
+        free = next(f"__gone{i}" for i in range(len(taken) + 1) if f"__gone{i}" not in taken)
+        return docs.join(scratch.lookup(gone.withColumnRenamed("__gone", free)), key == F.col(free), "left_anti")
     known, names = docs.columns, [f"__c{i}" for i in range(len(docs.columns))]
     plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(known, names)], key.alias("__id"), F.col("text").cast("string").alias("__text"))
     clear = plain.join(scratch.lookup(gone), F.col("__id").eqNullSafe(F.col("__gone")), "left_anti").select(*names)

@@ -6,9 +6,9 @@ target = min(cap, L * weight), found exactly from running sums over sources orde
 of a source is target / size; each document is taken floor(rate) times, plus once more when a hash of its key falls
 below the fraction (a seeded Bernoulli draw). Runs over the same rows agree.
 
-Nulls: a null text has size 0; a null source is a source of its own, placed last; null keys draw alike. Sources of size
-0 have target 0. Rows that repeat a key draw alike. Extra columns are kept by ``mix_documents`` and ignored by
-``mixing_report``. An empty table gives an empty result.
+Nulls: a null text has size 0; a null source is a source of its own, placed last; a null key is a key. Sources of size 0
+have target 0. Rows that repeat a key draw by their text and source and by their number among equal rows besides. Extra columns, of
+whatever name, are kept by ``mix_documents`` and ignored by ``mixing_report``. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ def n_words(text: Column) -> Column:
 
 def content() -> Column:
     """What tells rows that share a key apart."""
-    return F.struct(F.crc32(F.coalesce("text", F.lit(""))).alias("crc"), F.col("source").alias("source"))
+    return F.md5(F.concat(F.coalesce(F.col("text").cast("string"), F.lit("")), F.coalesce(F.concat(F.lit("|"), F.col("source").cast("string")), F.lit(""))))
 
 
 def draw(key: Column, seed: str, place: Column | None = None) -> Column:
@@ -92,7 +92,7 @@ def _placed(rows: DataFrame, key: Column, content: Column, repeated: DataFrame |
     before = Window.partitionBy("__kind").orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = many.groupBy(*kind).agg(F.count("*").alias("__n")).select(*kind, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__more"))
     numbered = many.join(scratch.lookup(scratch.written(offsets, "offsets")), kind)
-    place = F.concat_ws(":", F.col("__kind").cast("string"), (F.col("__nth") + F.col("__more")).cast("string"))
+    place = F.concat_ws(":", content, (F.col("__nth") + F.col("__more")).cast("string"))
     both = known.where("__again is null").select(*[F.col(f"`{c}`") for c in rows.columns], none.alias("__place"))
     return both.union(numbered.select(*[F.col(f"`{c}`") for c in rows.columns], place.alias("__place"))), F.col("__place")
 
@@ -114,21 +114,26 @@ def mixing_report(
 def mix_documents(
     docs: DataFrame, budget: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: str = "mix"
 ) -> DataFrame:
-    """The documents of the mix: each row repeated as often as it is taken, in the columns it came with."""
-    key = F.col("doc_id").cast("long")
-    sizes = scratch.written(docs.select(key.alias("doc_id"), "source", n_words(F.col("text")).alias("size")), "sizes")
+    """The documents of the mix: each row repeated as often as it is taken, in the columns it came with. Columns go under names
+    of this function's own meanwhile, so that theirs do not matter."""
+    known, names = docs.columns, [f"__c{i}" for i in range(len(docs.columns))]
+    sizes = scratch.written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", n_words(F.col("text")).alias("size")), "sizes")
     targets = scratch.written(source_targets(sizes, budget, cap, weights), "targets").select(F.col("source").alias("__mix_source"), F.col("rate").alias("__mix_rate"))
-    rows, place = _placed(docs, key, content(), _repeated(sizes))
-    joined = rows.join(targets, F.col("source").eqNullSafe(F.col("__mix_source")), "left")
+    own = [F.col("doc_id").cast("long").alias("__id"), F.col("source").alias("__source"), content().alias("__content")]
+    plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(known, names)], *own)
+    rows, place = _placed(plain, F.col("__id"), F.col("__content"), _repeated(sizes))
+    joined = rows.join(targets, F.col("__source").eqNullSafe(F.col("__mix_source")), "left")
     whole = F.floor("__mix_rate")
-    copies = (whole + (draw(key, seed, place) < F.col("__mix_rate") - whole).cast("long")).cast("int")
+    copies = (whole + (draw(F.col("__id"), seed, place) < F.col("__mix_rate") - whole).cast("long")).cast("int")
     copy = F.explode(F.array_repeat(F.lit(0), F.coalesce(copies, F.lit(0))))
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], copy.alias("__mix_copy")).drop("__mix_copy")
+    return joined.select(*names, copy.alias("__mix_copy")).select(*[F.col(n).alias(c) for c, n in zip(known, names)])
 
 
 ORACLE = r"""
 WITH sizes AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         CASE WHEN count(*) OVER (PARTITION BY doc_id) > 1 THEN ':' || md5(coalesce(text, '') || coalesce('|' || source, '')) || ':' || row_number() OVER (PARTITION BY doc_id, coalesce(text, ''), source) ELSE '' END AS place
+  FROM documents
 ), by_source AS (
   SELECT source, sum(size)::BIGINT AS source_size, 2.0::DOUBLE * sum(size)::DOUBLE AS cap,
          [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1)::BIGINT]::DOUBLE AS weight
@@ -148,7 +153,7 @@ WITH sizes AS (
 )
 SELECT s.doc_id, s.size, r.source_size, r.target,
        (s.size * (floor(r.rate)
-         + CASE WHEN ('0x' || substr(md5('mix:' || coalesce(s.doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0
+         + CASE WHEN ('0x' || substr(md5('mix:' || coalesce(s.doc_id::VARCHAR, 'null') || s.place), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0
                      < r.rate - floor(r.rate) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM sizes s JOIN rates r ON s.source IS NOT DISTINCT FROM r.source
 """

@@ -7,21 +7,24 @@ those that reject no more bad documents than the one before are left out. The la
 in that, then test it: at each step, those rejected by any step so far are counted, and the exact binomial tail
 P(X <= false rejections | n, risk) says how unlikely so few would be if the true false-rejection rate of all these rules
 together were above the risk. Steps are certified while the tail is at most delta divided by the number of strata; the
-first one that fails ends its stratum's sequence, so there is nothing to divide by within it. With probability
-1 - delta, every stratum's rules together stay below the risk. Without a false rejection that takes
+first one that fails ends its stratum's sequence, so there is nothing to divide by within it. Strata whose good documents are
+too few to pass even alone take no share of delta, as their numbers say nothing of outcomes. With probability 1 - delta, every stratum's rules together stay below the risk. Without a false rejection that takes
 log(strata / delta) / -log(1 - risk) labelled good documents: 149 for one stratum, 217 for four. A stratum with fewer, or
 without bad documents that a rule rejects, has no rule. What follows a step that fails is not tried.
 
 Base rules (before the verdict): fewer than ``min_words`` words, or more than 20 % of words in repeated 5-word windows.
 
 Nulls: a null text has no words and fails the base rules. A null language is a stratum of its own. Documents without
-words are never judged by ratios. Rows without labels, and labels without documents, do not calibrate. Repeated rows
-and repeated labels count as often as they occur. Extra columns are ignored. Empty tables give empty results; without
-labels only the base rules decide.
+words are never judged by ratios. Rows without labels, and labels without documents, do not calibrate. The bound needs
+labels that are drawn apart, so equal texts of a stratum, however often they or their labels are repeated, count once, as
+good if any of their labels says so. Extra columns are ignored. Empty tables give empty results; without labels only the
+base rules decide.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,11 +101,12 @@ def counts(docs: DataFrame, row: str | None = None, min_words: int = 10) -> Data
         long(repeats).alias("n_repeat_words"),
         long(F.regexp_count("text", F.lit(r"\p{Lu}"))).alias("n_capitals"),
         long(F.regexp_count("text", F.lit("!"))).alias("n_exclaims"),
+        F.md5("text").alias("text_key"),
     )
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return got.select(
         "doc_id", "lang", *keep, "n_words", "word_chars", "n_symbols", (F.col("l.lines") - F.col("l.kinds")).alias("n_dup_lines"),
-        "n_repeat_words", failed.alias("base_failed"), F.col("l.lines").alias("n_lines"), "n_capitals", "n_exclaims",
+        "n_repeat_words", failed.alias("base_failed"), F.col("l.lines").alias("n_lines"), "n_capitals", "n_exclaims", "text_key",
     )
 
 
@@ -137,16 +141,19 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
 
 
 def calibrate(features: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """lang, rule, cutoff for the rules that reject anything. Labelled rows are reduced to one row per stratum for the
-    sequences, and to one per stratum and step for their tests, with partial sums before the exchange."""
-    value = ratios()
-    judged = features.where(~F.col("base_failed")).select("doc_id", "lang", *[v.alias(k) for k, v in value.items()])
-    marked = scratch.written(judged.join(labels.select(F.col("doc_id").cast("long"), F.col("quality")).where("quality in (0, 1)"), "doc_id"), "labelled")
+    """lang, rule, cutoff for the rules that reject anything. Labelled rows are first reduced to one per stratum and text
+    (text_key; counts without it are told apart by doc_id), then to one per stratum for the sequences, and to one per stratum and
+    step for their tests, with partial sums before each exchange."""
+    value, key = ratios(), "text_key" if "text_key" in features.columns else "doc_id"
+    judged = features.where(~F.col("base_failed")).select("doc_id", "lang", F.col(key).alias("text"), *[v.alias(k) for k, v in value.items()])
+    told = judged.join(labels.select(F.col("doc_id").cast("long"), F.col("quality")).where("quality in (0, 1)"), "doc_id")
+    marked = scratch.written(told.groupBy("lang", "text").agg(F.max("quality").alias("quality"), *[F.max(k).alias(k) for k in value]), "labelled")
     cells = [(rule, r, i, c) for r, (rule, grid) in enumerate(GRID.items()) for i, c in enumerate(grid)]
     sums = [F.count_if(F.coalesce(F.col(rule) > c, F.lit(False)) & (F.col("quality") == 0)).alias(f"{rule}_{i}") for rule, _, i, c in cells]
     totals = marked.groupBy("lang").agg(F.count_if(F.col("quality") == 1).alias("good"), *sums)
     each = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(r).alias("r"), F.lit(i).alias("i"), F.lit(float(c)).alias("cutoff"), F.col(f"{rule}_{i}").alias("right")) for rule, r, i, c in cells])
-    strata = totals.withColumn("strata", F.count(F.lit(1)).over(Window.partitionBy()))
+    able = F.col("good") * F.lit(math.log1p(-risk)) <= math.log(delta)
+    strata = totals.withColumn("strata", F.greatest(F.count_if(able).over(Window.partitionBy()), F.lit(1)))
     flat = strata.select("lang", "good", "strata", F.explode(each).alias("c")).select("lang", "good", "strata", "c.*")
     of_rule = Window.partitionBy("lang", "r")
     more = flat.withColumn("most", F.max("right").over(of_rule)).withColumn("before", F.lag("right", 1, 0).over(of_rule.orderBy("i"))).where("right > before")
@@ -203,7 +210,7 @@ def _oracle() -> str:
     value = {"symbols": "n_symbols / nullif(n_words, 0)", "capitals": "n_capitals / nullif(word_chars, 0)", "exclaims": "n_exclaims / nullif(n_words, 0)",
              "dup_lines": "n_dup_lines / nullif(n_lines, 0)", "repeats": "n_repeat_words / nullif(n_words, 0)"}
     grid = ", ".join(f"('{rule}', {r}, {i}, {c}::DOUBLE)" for r, (rule, g) in enumerate(GRID.items()) for i, c in enumerate(g))
-    rules = " UNION ALL ".join(f"SELECT k, doc_id, lang, base_failed, '{r}' AS rule, {v} AS v FROM c" for r, v in value.items())
+    rules = " UNION ALL ".join(f"SELECT k, doc_id, lang, base_failed, text_key, '{r}' AS rule, {v} AS v FROM c" for r, v in value.items())
     return rf"""
 WITH w AS (
   SELECT row_number() OVER () AS k, doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
@@ -220,16 +227,16 @@ WITH w AS (
   SELECT w.k, doc_id, lang, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
          len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(lines.n - lines.kinds, 0)::BIGINT AS n_dup_lines,
          coalesce(covered.n, 0)::BIGINT AS n_repeat_words, coalesce(lines.n, 0) AS n_lines,
-         len(regexp_extract_all(text, '\p{{Lu}}')) AS n_capitals, len(regexp_extract_all(text, '!')) AS n_exclaims
+         md5(text) AS text_key, len(regexp_extract_all(text, '\p{{Lu}}')) AS n_capitals, len(regexp_extract_all(text, '!')) AS n_exclaims
   FROM w LEFT JOIN lines USING (k) LEFT JOIN covered USING (k)
 ), c AS (
   SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c0
 ), v AS ({rules}),
 grid AS (SELECT * FROM (VALUES {grid}) AS g(rule, r, i, cutoff)),
 marked AS (
-  SELECT v.*, x.quality, x.l FROM v JOIN (SELECT *, row_number() OVER () AS l FROM labels) x USING (doc_id) WHERE NOT base_failed AND quality IN (0, 1)
+  SELECT lang, rule, text_key, max(v) AS v, max(quality) AS quality FROM v JOIN labels USING (doc_id) WHERE NOT base_failed AND quality IN (0, 1) GROUP BY ALL
 ), strata AS (
-  SELECT lang, count(*) FILTER (quality = 1 AND rule = 'symbols') AS good, count(*) OVER () AS strata FROM marked GROUP BY lang
+  SELECT *, greatest(count(*) FILTER (good * ln(1 - {RISK}) <= ln({DELTA})) OVER (), 1) AS strata FROM (SELECT lang, count(*) FILTER (quality = 1 AND rule = 'symbols') AS good FROM marked GROUP BY lang)
 ), cells AS (
   SELECT lang, g.rule, r, i, cutoff, count(*) FILTER (quality = 0 AND v > cutoff) AS bad FROM marked JOIN grid g USING (rule) GROUP BY ALL
 ), gains AS (
@@ -239,8 +246,8 @@ marked AS (
   SELECT *, row_number() OVER (PARTITION BY lang ORDER BY most DESC, r, i) AS place FROM gains
 ), losses AS (
   SELECT lang, place, count(*) AS lost FROM (
-    SELECT m.lang, m.k, m.l, min(s.place) AS place FROM marked m JOIN steps s ON s.rule = m.rule AND s.lang IS NOT DISTINCT FROM m.lang AND m.v > s.cutoff
-    WHERE m.quality = 1 GROUP BY m.lang, m.k, m.l) GROUP BY ALL
+    SELECT m.lang, m.text_key, min(s.place) AS place FROM marked m JOIN steps s ON s.rule = m.rule AND s.lang IS NOT DISTINCT FROM m.lang AND m.v > s.cutoff
+    WHERE m.quality = 1 GROUP BY m.lang, m.text_key) GROUP BY ALL
 ), tests AS (
   SELECT s.lang, s.rule, s.cutoff, s.place, t.good, t.strata,
          (SELECT coalesce(sum(lost), 0) FROM losses l WHERE l.lang IS NOT DISTINCT FROM s.lang AND l.place <= s.place)::BIGINT AS wrong
