@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegauge.operators import containment, punkt, spans
+from lodegauge.operators import containment, encoder, punkt, retrieval, spans
 from lodegauge.sources import scratch
 
 
@@ -92,6 +92,12 @@ def _passages(spark: SparkSession, sf: str) -> DataFrame:
     return containment.occurrences(asked, _spoken(spark, sf)).withColumnRenamed("passage_id", "item_id")
 
 
+def _fitted(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents' vectors by an encoder that is fitted on them."""
+    docs = _spoken(spark, sf).select("docid", "text")
+    return retrieval.embed(docs, encoder.fit(docs), batch=256).drop("text")
+
+
 #: Characters between documents that are laid end to end.
 _APART = 1 << 24
 
@@ -120,6 +126,7 @@ SELECT 'abbreviation' AS what, lang, type, '' AS next_type, w::BIGINT AS n, roun
 UNION ALL SELECT 'starter', lang, type, '', k::BIGINT, round(score, 3) FROM starter WHERE score >= 0.001
 UNION ALL SELECT 'collocation', lang, type, next_type, k::BIGINT, round(score, 3) FROM collocation WHERE score >= 0.001""")
     register("chunk_punkt", lambda s, d: punkt.sentences(_spoken(s, d)), f"WITH {taught}, {_DECIDED}")
+    register("embed_fitted", _fitted)
     register("find_passages", _passages, f"""WITH {c.NORMAL_SQL}, asked AS (
   SELECT item_id, regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(trim(translate(text, '’‘”“—–', '''''""--'), ' '), '[{c.S}]*(?:\\.\\.\\.|…|\\.\\.)$', ''), '[{c.S}]+', ' ', 'g'), ' '), '^[,."'' ]+', ''), '[,."'' ]+$', '') AS v FROM benchmark
 ), forms AS (
