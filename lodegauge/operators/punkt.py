@@ -21,7 +21,9 @@ import unicodedata
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,26 +37,22 @@ OPENERS, CLOSERS = r"""["'(\[{«“‘]""", r"""["')\]}»”’]"""
 #: Bytes of undoing pairs that a task may hold, at 64 and its characters each.
 HELD_BYTES = 16 << 20
 
+#: Bytes of text whose tokens are counted together.
+BLOCK = 8 << 20
+
 NUMBER = r"^-?[.,]?[0-9][0-9,.\-]*$"
 _KEY = ["lang", "kind", "type", "next_type", "next_case"]
 
 
-def _core(t: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(t, f"^{OPENERS}+", ""), f"{CLOSERS}+$", "")
-
-
-def _kind(core: Column) -> Column:
-    return F.when(core.rlike("[!?]$"), "mark").when(core.rlike(r"(?:\.\.|…)$"), "ellipsis").when(core.endswith("."), "period").otherwise("none")
-
-
-def _type(core: Column) -> Column:
-    """Lower case, without marks at the end; # for numbers."""
-    word = F.lower(F.regexp_replace(core, "[.!?…,;:]+$", ""))
-    return F.when(word.rlike(NUMBER), "#").otherwise(word)
-
-
-def _case(core: Column) -> Column:
-    return F.when(core.rlike(r"^\p{Lu}"), "u").when(core.rlike(r"^\p{Ll}"), "l").when(core.rlike("^[;:,.!?]"), "p").otherwise("-")
+def _features(t: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """kind (none, period, ellipsis, mark), type (lower case, without marks at the end; # for numbers) and case of the first letter
+    (u, l, p for a mark, - for what is none of these) of tokens."""
+    core = pc.replace_substring_regex(pc.replace_substring_regex(t, f"^{OPENERS}+", ""), f"{CLOSERS}+$", "")
+    has = lambda x, pattern: pc.match_substring_regex(x, pattern)
+    kind = pc.if_else(has(core, "[!?]$"), "mark", pc.if_else(has(core, r"(?:\.\.|…)$"), "ellipsis", pc.if_else(pc.ends_with(core, "."), "period", "none")))
+    word = pc.utf8_lower(pc.replace_substring_regex(core, "[.!?…,;:]+$", ""))
+    case = pc.if_else(has(core, r"^\p{Lu}"), "u", pc.if_else(has(core, r"^\p{Ll}"), "l", pc.if_else(has(core, "^[;:,.!?]"), "p", "-")))
+    return kind, pc.if_else(has(word, NUMBER), "#", word), case
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -62,16 +60,38 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("docid").cast("string").alias("docid"), lang.alias("lang"), normalize_offsets(F.col("text")).alias("text")).where("text <> ''")
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, text) to the rows of pairs(), a block of text at a time: equal tokens after equal ends are counted before they
+    are looked at."""
+    names = [*_KEY, "next_kind"]
+    for batch in batches:
+        sizes = np.cumsum(pc.binary_length(batch.column(1)).to_numpy())
+        at = 0
+        while at < batch.num_rows:
+            upto = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + BLOCK, side="right")))
+            lists = pc.split_pattern(batch.column(1).slice(at, upto - at), " ")
+            b, row = lists.flatten(), pc.list_parent_indices(lists).to_numpy()
+            first = np.append(True, row[1:] != row[:-1])
+            a = pc.if_else(pa.array(first), pa.scalar(None, pa.string()), pa.concat_arrays([b.slice(0, 1), b.slice(0, len(b) - 1)]))
+            a = pc.if_else(pc.match_substring_regex(a, rf"[.!?…]{CLOSERS}*$"), a, "")
+            raw = pa.table({"lang": batch.column(0).slice(at, upto - at).take(pa.array(row)), "a": a, "b": b})
+            raw = raw.group_by(["lang", "a", "b"], use_threads=False).aggregate([([], "count_all")]).combine_chunks()
+            kind, word, _ = _features(raw["a"])
+            ended = pc.is_in(kind, pa.array(["period", "ellipsis"]))
+            next_kind, next_type, next_case = _features(raw["b"])
+            rows = [raw["lang"], pc.fill_null(kind, "start"), pc.if_else(pc.fill_null(ended, False), word, ""), next_type, next_case, next_kind]
+            told = pa.table([*rows, raw["count_all"]], names=[*names, "n"]).group_by(names, use_threads=False).aggregate([("n", "sum")])
+            for some in told.select([*names, "n_sum"]).rename_columns([*names, "n"]).combine_chunks().to_batches(1 << 16):
+                yield some
+            at = upto
+
+
 def pairs(docs: DataFrame) -> DataFrame:
     """lang, kind and type of a token (kind start, type '' before the first one; type only where a full stop or ellipsis
     ends it), next_type, next_case, next_kind of the token after it, n. Every token is once the next one."""
-    tokens = _texts(docs).select("lang", F.split("text", " ").alias("t"))
-    both = tokens.select("lang", F.explode(F.arrays_zip(F.concat(F.array(F.lit(None).cast("string")), F.slice("t", F.lit(1), F.size("t") - 1)).alias("a"), F.col("t").alias("b"))).alias("x"))
-    cores = both.select("lang", _core(F.col("x.a")).alias("a"), _core(F.col("x.b")).alias("b"))
-    kind = F.when(F.col("a").isNull(), "start").otherwise(_kind(F.col("a")))
-    told = F.when(kind.isin("period", "ellipsis"), _type(F.col("a"))).otherwise("")
-    keys = [kind.alias("kind"), told.alias("type"), _type(F.col("b")).alias("next_type"), _case(F.col("b")).alias("next_case"), _kind(F.col("b")).alias("next_kind")]
-    return cores.select("lang", *keys).groupBy(*_KEY, "next_kind").agg(F.count("*").alias("n"))
+    names = [*_KEY, "next_kind"]
+    raw = _texts(docs).select("lang", "text").mapInArrow(_counted, ", ".join(f"{n} string" for n in names) + ", n long")
+    return raw.groupBy(*names).agg(F.sum("n").alias("n"))
 
 
 def likelihood_ratio(a: Column, b: Column, both: Column, total: Column) -> Column:
@@ -144,7 +164,11 @@ def collocation_scores(counted: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame) -> Model:
     """docs: docid, text and perhaps lang. The tables are kept in the shared folder."""
-    counted = scratch.written(pairs(docs), "pairs")
+    return taught(scratch.written(pairs(docs), "pairs"))
+
+
+def taught(counted: DataFrame) -> Model:
+    """The model of pairs() as written."""
     abbreviations = scratch.written(abbreviation_scores(counted).where(F.col("score") >= ABBREVIATION).select("lang", "type"), "abbreviations")
     settled = scratch.written(_settled(counted, abbreviations), "settled")
     inside = (~F.col("breaks")) & (F.col("kind") == "none")
@@ -159,20 +183,20 @@ def fit(docs: DataFrame) -> Model:
 
 
 def decide(counted: DataFrame, model: Model) -> DataFrame:
-    """The pairs of full stops and ellipses of ``counted`` with ``breaks``: whether a sentence ends between the two tokens."""
-    asked = counted.where("kind IN ('period', 'ellipsis')").select(*_KEY).distinct()
-    rows = _settled(asked, model.abbreviations).drop("breaks")
+    """The doubtful pairs of ``counted`` with ``breaks``: whether a sentence ends between the two tokens. Doubtful are ellipses,
+    and full stops after abbreviations, initials and numbers; all others end one."""
+    initial, number, stop = F.col("type").rlike(r"^\p{L}$"), F.col("type") == "#", F.col("kind") == "period"
+    asked = _settled(counted.where("kind IN ('period', 'ellipsis')"), model.abbreviations).where(F.col("abbr") | initial | number | ~stop)
+    rows = asked.select(*_KEY, "abbr").distinct()
     rows = rows.join(model.starters.select("lang", F.col("type").alias("next_type"), F.lit(True).alias("starter")), ["lang", "next_type"], "left")
     rows = rows.join(model.collocations.withColumn("together", F.lit(True)), ["lang", "type", "next_type"], "left")
     rows = rows.join(model.cases.withColumnRenamed("type", "next_type"), ["lang", "next_type"], "left")
     flag = lambda name: F.coalesce(F.col(name), F.lit(False))
     upper, lower = F.col("next_case") == "u", F.col("next_case") == "l"
-    initial, number, stop = F.col("type").rlike(r"^\p{L}$"), F.col("type") == "#", F.col("kind") == "period"
     begins = upper & flag("lower") & ~flag("upper_inside")
     goes_on = (F.col("next_case") == "p") | (lower & (flag("upper") | ~flag("lower_begins")))
     breaks = (
-        F.when(stop & ~F.col("abbr") & ~initial & ~number, True)
-        .when(stop & (initial | number) & flag("together"), False)
+        F.when(stop & (initial | number) & flag("together"), False)
         .when((F.col("abbr") | ~stop) & ~initial, begins | (upper & flag("starter")))
         .when(goes_on | (initial & upper & ~flag("lower")), False)
         .otherwise(~F.col("abbr"))
@@ -180,52 +204,52 @@ def decide(counted: DataFrame, model: Model) -> DataFrame:
     return rows.select(*_KEY, breaks.alias("breaks"))
 
 
-_END = re.compile(rf"[^ ]*[.!?…]{CLOSERS}*(?= )")
+_END = re.compile(rf"[.!?…]{CLOSERS}*(?= )")
 _FIRST, _LAST, _MARKS, _NUMBER = re.compile(f"^{OPENERS}+"), re.compile(f"{CLOSERS}+$"), re.compile("[.!?…,;:]+$"), re.compile(NUMBER)
 
 
 def _typed(token: str) -> tuple[str, str]:
-    """A token's core and type, as _core() and _type() give them."""
+    """A token's core and type, as _features() tells them."""
     core = _LAST.sub("", _FIRST.sub("", token))
     word = _MARKS.sub("", core).lower()
     return core, "#" if _NUMBER.match(word) else word
 
 
-def doubtful(text: str) -> Iterator[tuple[int, tuple[str, ...] | None]]:
+def ends(text: str, doubted: Callable[[str, str], bool]) -> Iterator[tuple[int, tuple[str, ...] | None]]:
     """The places after tokens that may end a sentence and are not the last, with kind, type, next_type, next_case of
-    their pair; None where the sentence ends in any case."""
+    their pair if doubted(kind, type); None where the sentence ends in any case."""
     for m in _END.finditer(text):
-        core, word = _typed(m[0])
+        core, word = _typed(text[text.rfind(" ", 0, m.start()) + 1 : m.end()])
         if core.endswith(("!", "?")):
             yield m.end(), None
         elif core.endswith((".", "…")):
+            kind = "ellipsis" if core.endswith(("..", "…")) else "period"
+            if not doubted(kind, word):
+                yield m.end(), None
+                continue
             after = text.find(" ", m.end() + 1)
             core_, word_ = _typed(text[m.end() + 1 : after if after >= 0 else len(text)])
             category = unicodedata.category(core_[0]) if core_ else ""
             case = {"Lu": "u", "Ll": "l"}.get(category) or ("p" if core_ and core_[0] in ";:,.!?" else "-")
-            yield m.end(), ("ellipsis" if core.endswith(("..", "…")) else "period", word, word_, case)
+            yield m.end(), (kind, word, word_, case)
 
 
-def _cut(make: Callable[[], Callable[..., bool]], column: bool):
-    """Rows (docid, lang, text[, held]) to sentences; make() gives held(lang, pair, place, of the row)."""
+def _cut(cuts: Callable[[str, str, list | None], Iterator[int]]):
+    """Rows (docid, lang, text[, held]) to sentences, which end at cuts(lang, text, held) and the end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = make()
+        types = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string())
         for b in batches:
             rows: list[tuple] = []
             size = 0
             for k in range(b.num_rows):
                 docid, lang, text = (b.column(i)[k].as_py() for i in range(3))
-                of = set(b.column(3)[k].as_py() or ()) if column else None
-                start, number = 0, 0
-                for place, pair in [*doubtful(text), (len(text), None)]:
-                    if pair and held(lang, pair, place, of):
-                        continue
+                start = 0
+                for number, place in enumerate([*cuts(lang, text, b.column(3)[k].as_py() if b.num_columns > 3 else None), len(text)]):
                     rows.append((docid, None if docid is None else f"PUNKT-{docid}-{number:04d}", start, place, text[start:place]))
                     size += place - start + 64
-                    start, number = place + 1, number + 1
+                    start = place + 1
                 if size > 1 << 22 or k == b.num_rows - 1:
-                    types = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string())
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["docid", "chunk_id", "start", "end", "text"])
                     rows, size = [], 0
 
@@ -239,23 +263,33 @@ def sentences(docs: DataFrame, model: Model | None = None, held_bytes: int = HEL
     """docid, chunk_id, start, end, text: sentences without the spaces between them; they leave out nothing else. The
     model is learnt from docs if none is given."""
     texts, counted = _texts(docs), scratch.written(pairs(docs), "pairs")
-    undone = scratch.written(decide(counted, model or fit(docs)).where("not breaks").drop("breaks"), "undone")
+    undone = scratch.written(decide(counted, model or taught(counted)).where("not breaks").drop("breaks"), "undone")
     size = undone.agg(F.sum(64 + F.octet_length("lang") + F.octet_length("type") + F.octet_length("next_type"))).first()[0] or 0
     if size <= held_bytes:
         known = frozenset(tuple(r) for r in undone.collect())
-        return texts.mapInArrow(_cut(lambda: lambda lang, pair, place, of: (lang, *pair) in known, False), _SCHEMA)
+        firsts = frozenset(k[:3] for k in known)
+
+        def cuts(lang: str, text: str, held: list | None) -> Iterator[int]:  # noqa: ARG001
+            return (place for place, pair in ends(text, lambda kind, word: (lang, kind, word) in firsts) if not pair or (lang, *pair) not in known)
+
+        return texts.mapInArrow(_cut(cuts), _SCHEMA)
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["docid", "lang", "h", "place", "kind", "type", "next_type", "next_case"]
+        names = ["lang", "h", "place", "kind", "type", "next_type", "next_case"]
+        kinds = [pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 4]
         for b in batches:
             for k in range(b.num_rows):
-                docid, lang, text, h = (c[k].as_py() for c in b.columns)
-                rows = [(docid, lang, h, place, *pair) for place, pair in doubtful(text) if pair]
-                kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 4]
+                lang, text, h = (b.column(i)[k].as_py() for i in (1, 2, 3))
+                rows = [(lang, h, place, *pair) for place, pair in ends(text, lambda *_: True) if pair]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
     keyed = texts.withColumn("h", F.xxhash64("docid", "lang", "text"))
-    found = keyed.mapInArrow(places, "docid string, lang string, h long, place long, kind string, type string, next_type string, next_case string").join(undone, _KEY, "left_semi")
+    found = keyed.mapInArrow(places, "lang string, h long, place long, kind string, type string, next_type string, next_case string").join(undone, _KEY, "left_semi")
     found = found.groupBy("h").agg(F.collect_set("place").alias("held"))
-    return keyed.join(found, "h", "left").select("docid", "lang", "text", "held").mapInArrow(_cut(lambda: lambda lang, pair, place, of: place in of, True), _SCHEMA)
+
+    def left(lang: str, text: str, held: list | None) -> Iterator[int]:  # noqa: ARG001
+        inside = set(held or ())
+        return (place for place, _ in ends(text, lambda *_: False) if place not in inside)
+
+    return keyed.join(found, "h", "left").select("docid", "lang", "text", "held").mapInArrow(_cut(left), _SCHEMA)
