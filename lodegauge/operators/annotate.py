@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodegauge.functions.text import normalize_offsets, strip
+from lodegauge.operators import replies
 from lodegauge.operators.spans import locate_span
 from lodegauge.sources.schemas import ANSWERS_REPLY, LOGIC, QUESTIONS_REPLY
 
@@ -67,9 +68,9 @@ def ask(rows: DataFrame, make_generator: Callable[[], Generator], prompt: str =
     return rows.mapInPandas(run, schema)
 
 
-def failures(replies: DataFrame) -> DataFrame:
+def failures(told: DataFrame) -> DataFrame:
     """error and n, of what ask() could not get replies for."""
-    return replies.where("error is not null").groupBy("error").agg(F.count("*").alias("n"))
+    return told.where("error is not null").groupBy("error").agg(F.count("*").alias("n"))
 
 
 def unfenced(reply: Column) -> Column:
@@ -77,37 +78,42 @@ def unfenced(reply: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(strip(reply), r"^```(?:json)?\s*", ""), r"\s*```$", "")
 
 
-def parse_questions(replies: DataFrame) -> DataFrame:
+def parse_questions(told: DataFrame) -> DataFrame:
     """docid, reply to qid, question, docid, group: non-blank strings of a JSON object's list ``questions``. qid is a
     hash of document and question, so runs agree."""
     q = F.from_json("reply", QUESTIONS_REPLY)["questions"]
-    rows = replies.select("docid", F.explode(q).alias("question")).where(F.col("question").isNotNull() & (strip(F.col("question")) != ""))
+    rows = told.select("docid", F.explode(q).alias("question")).where(F.col("question").isNotNull() & (strip(F.col("question")) != ""))
     qid = F.concat(F.lit("q_"), F.substring(F.sha2(F.concat_ws("\u0001", "docid", "question"), 256), 1, 8))
     return rows.select(qid.alias("qid"), "question", "docid", F.lit("g1").alias("group"))
 
 
-def parse_answers(replies: DataFrame, fences: bool = True) -> DataFrame:
+def parse_answers(told: DataFrame, fences: bool = True) -> DataFrame:
     """reply to answers and logic: blank answers go, an unknown logic becomes COMPLETE_SPAN for one answer and OR for
     others; rows without answers go."""
     text = unfenced(F.col("reply")) if fences else F.col("reply")
-    r = replies.withColumn("__r", F.from_json(text, ANSWERS_REPLY))
+    r = told.withColumn("__r", F.from_json(text, ANSWERS_REPLY))
     answers = F.filter(F.transform("__r.answers", strip), lambda a: a.isNotNull() & (a != ""))
     r = r.withColumn("answers", answers)
     logic = F.when(F.col("__r.logic").isin(*LOGIC), F.col("__r.logic")).when(F.size("answers") == 1, "COMPLETE_SPAN").otherwise("OR")
     return r.withColumn("logic", logic).where(F.coalesce(F.size("answers"), F.lit(0)) > 0).drop("__r", "reply", "error")
 
 
-def generate_questions(docs: DataFrame, make_generator: Callable[[], Generator] = offline_generator) -> DataFrame:
+def _asked(prompts: DataFrame, make_generator: Callable[[], Generator], store: str | None) -> DataFrame:
+    return ask(prompts, make_generator) if store is None else replies.ask(prompts, make_generator, store)
+
+
+def generate_questions(docs: DataFrame, make_generator: Callable[[], Generator] = offline_generator, store: str | None = None) -> DataFrame:
+    """With a store (a folder), prompts that it holds replies to are not asked again."""
     prompts = docs.select("docid", question_prompt(F.col("title") if "title" in docs.columns else F.lit(""), F.col("docid"), F.col("text")).alias("prompt"))
-    return parse_questions(ask(prompts, make_generator))
+    return parse_questions(_asked(prompts, make_generator, store))
 
 
-def annotate(questions: DataFrame, docs: DataFrame, sme_id: str, make_generator: Callable[[], Generator] = offline_generator, fences: bool = True) -> DataFrame:
+def annotate(questions: DataFrame, docs: DataFrame, sme_id: str, make_generator: Callable[[], Generator] = offline_generator, fences: bool = True, store: str | None = None) -> DataFrame:
     """One annotator's spans: qid, docid, start, end, text, logic, group, sme_id. Questions whose document is missing
-    and answers that can't be located go."""
+    and answers that can't be located go. With a store (a folder), prompts that it holds replies to are not asked again."""
     rows = questions.join(docs.select("docid", "text"), "docid")
     prompts = rows.select("qid", "docid", F.coalesce("group", F.lit("g1")).alias("group"), answer_prompt(F.col("question"), F.col("docid"), F.col("text")).alias("prompt"))
-    answers = parse_answers(ask(prompts, make_generator), fences).select("qid", "docid", "group", "logic", F.explode("answers").alias("snippet"))
+    answers = parse_answers(_asked(prompts, make_generator, store), fences).select("qid", "docid", "group", "logic", F.explode("answers").alias("snippet"))
     texts = docs.select("docid", normalize_offsets(F.col("text")).alias("doc_text"))
     hits = locate_span(answers.join(texts, "docid")).where("span_text is not null")
     return hits.select("qid", "docid", "start", "end", F.col("span_text").alias("text"), "logic", "group", F.lit(sme_id).alias("sme_id"))

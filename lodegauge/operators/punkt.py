@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodegauge.functions.text import normalize_offsets
+from lodegauge.functions.text import CURLY, PLAIN, SPACE_SQL
 from lodegauge.sources import scratch
 
 #: Fixed values of the method: the scores from which a type is an abbreviation, a sentence starter, a collocation.
@@ -57,14 +57,23 @@ def _features(t: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
 
 def _texts(docs: DataFrame) -> DataFrame:
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
-    return docs.select(F.col("docid").cast("string").alias("docid"), lang.alias("lang"), normalize_offsets(F.col("text")).alias("text")).where("text <> ''")
+    return docs.where("text is not null").select(F.col("docid").cast("string").alias("docid"), lang.alias("lang"), F.col("text").cast("string").alias("text"))
+
+
+def _normal(batch: pa.RecordBatch, column: int) -> pa.RecordBatch:
+    """The batch with its texts as normalize_offsets() gives them; rows without any go."""
+    text = batch.column(column)
+    for a, b in zip(CURLY, PLAIN):
+        text = pc.replace_substring(text, a, b)
+    text = pc.utf8_trim(pc.replace_substring_regex(text, f"[{SPACE_SQL}]+", " "), " ")
+    return batch.set_column(column, batch.schema.names[column], text).filter(pc.greater(pc.binary_length(text), 0))
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, text) to the rows of pairs(), a block of text at a time: equal tokens after equal ends are counted before they
     are looked at."""
     names = [*_KEY, "next_kind"]
-    for batch in batches:
+    for batch in (_normal(b, 1) for b in batches):
         sizes = np.cumsum(pc.binary_length(batch.column(1)).to_numpy())
         at = 0
         while at < batch.num_rows:
@@ -239,7 +248,7 @@ def _cut(cuts: Callable[[str, str, list | None], Iterator[int]]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string())
-        for b in batches:
+        for b in (_normal(x, 2) for x in batches):
             rows: list[tuple] = []
             size = 0
             for k in range(b.num_rows):
@@ -277,7 +286,7 @@ def sentences(docs: DataFrame, model: Model | None = None, held_bytes: int = HEL
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["lang", "h", "place", "kind", "type", "next_type", "next_case"]
         kinds = [pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 4]
-        for b in batches:
+        for b in (_normal(x, 2) for x in batches):
             for k in range(b.num_rows):
                 lang, text, h = (b.column(i)[k].as_py() for i in (1, 2, 3))
                 rows = [(lang, h, place, *pair) for place, pair in ends(text, lambda *_: True) if pair]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegauge.operators import containment, encoder, punkt, retrieval, spans
+from lodegauge.operators import annotate, containment, encoder, punkt, retrieval, spans
 from lodegauge.sources import scratch
 
 
@@ -98,6 +98,14 @@ def _fitted(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.embed(docs, encoder.fit(docs), batch=256).drop("text")
 
 
+def _kept_replies(spark: SparkSession, sf: str) -> DataFrame:
+    """Questions and the answers of two annotators, all replies by way of a store: the second one's prompts are the first one's."""
+    docs, store = scratch.written(_spoken(spark, sf).select("docid", "text"), "texts"), scratch.new_path(spark, "replies")
+    q = scratch.written(annotate.generate_questions(docs, store=store), "questions")
+    both = [scratch.written(annotate.annotate(q, docs, name, store=store), "annotations") for name in ("sme1", "sme2")]
+    return spans.merge_spans(spans.with_order(both, ["sme1", "sme2"]), docs).select("qid", "docid", "start", "end", "logic")
+
+
 #: Characters between documents that are laid end to end.
 _APART = 1 << 24
 
@@ -126,6 +134,7 @@ SELECT 'abbreviation' AS what, lang, type, '' AS next_type, w::BIGINT AS n, roun
 UNION ALL SELECT 'starter', lang, type, '', k::BIGINT, round(score, 3) FROM starter WHERE score >= 0.001
 UNION ALL SELECT 'collocation', lang, type, next_type, k::BIGINT, round(score, 3) FROM collocation WHERE score >= 0.001""")
     register("chunk_punkt", lambda s, d: punkt.sentences(_spoken(s, d)), f"WITH {taught}, {_DECIDED}")
+    register("annotate_from_store", _kept_replies, c.GENERATED_SQL)
     register("embed_fitted", _fitted)
     register("find_passages", _passages, f"""WITH {c.NORMAL_SQL}, asked AS (
   SELECT item_id, regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(trim(translate(text, '’‘”“—–', '''''""--'), ' '), '[{c.S}]*(?:\\.\\.\\.|…|\\.\\.)$', ''), '[{c.S}]+', ' ', 'g'), ' '), '^[,."'' ]+', ''), '[,."'' ]+$', '') AS v FROM benchmark

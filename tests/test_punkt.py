@@ -6,8 +6,11 @@ import re
 import unicodedata
 from collections import Counter
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from lodegauge.functions.text import normalize_offsets
 from lodegauge.operators import punkt
 
 
@@ -136,6 +139,14 @@ def test_a_model_of_one_corpus_serves_another(spark, frame):
     assert got == {"a": ["We asked Dr. Nobody about it.", "He was out.", "It cost 5.", "The end."], "b": ["Un mot.", "Deux mots."]}
 
 
+def test_texts_are_in_the_offset_space(spark):
+    odd = "".join(chr(c) for c in [*range(1, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF, 0x200B]) + "“a” ‘b’ – — x"
+    rows = [(odd,), (" " + odd + odd,), ("\u3000 ",), ("",), (None,)]
+    df = spark.createDataFrame(rows, "text string")
+    want = [r[0] for r in df.select(normalize_offsets(F.col("text"))).collect() if r[0]]
+    assert punkt._normal(pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows if r[0] is not None])], names=["text"]), 0).column(0).to_pylist() == want
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "docid string, text string")
     assert punkt.sentences(none).collect() == [] and punkt.fit(none).abbreviations.collect() == []
