@@ -87,10 +87,10 @@ def test_query(spark, name):
     assert len(got)
     if name in queries.ORACLE_SQL:
         con = duckdb.connect()
-        for t in ("documents", "labels", "embeddings", "pages"):
+        for t in ("documents", "labels", "embeddings", "pages", "benchmark"):
             con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
         want = con.sql(queries.ORACLE_SQL[name]).df()
         columns = sorted(got.columns)
         assert columns == sorted(want.columns)
-        rows = lambda d: sorted(tuple(round(float(x), 6) for x in r) for r in d[columns].itertuples(index=False))
+        rows = lambda d: sorted(tuple(x if isinstance(x, str) else round(float(x), 6) for x in r) for r in d[columns].itertuples(index=False))
         assert rows(got) == rows(want)
