@@ -55,3 +55,28 @@ def test_vectors_retrieve_their_topic(docs):
 def test_empty_corpus(docs):
     fitted = encoder.fit(docs[1].where("false"), dim=4, buckets=64)
     assert fitted.directions.shape == (64, 4) and not fitted()(["river"]).any()
+
+
+def test_rows_counted_once_give_the_texts_vectors(spark, docs):
+    rows, df = docs
+    counted = encoder.counted(df, buckets=512)
+    assert counted.columns == ["docid", "topic", encoder.BUCKET, encoder.N]
+    fitted = encoder.fit_counted(counted, dim=4, buckets=512)
+    got = sorted((r["docid"], r["topic"], list(r["embedding"])) for r in encoder.vectors(counted, fitted).collect())
+    want = sorted((d, k, v.tolist()) for (d, _, k), v in zip(rows, fitted()([t or "" for _, t, _ in rows])))
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert np.abs(np.array([g[2] for g in got]) - np.array([w[2] for w in want])).max() < 1e-6
+
+
+def test_what_is_exchanged_does_not_grow_with_splits(spark):
+    """As many partial sums as cores, however many splits the rows have."""
+    df = spark.createDataFrame([(f"w{i} v{i % 7} v{i % 5}",) for i in range(400)], "text string").repartition(40)
+    tasks = spark.sparkContext.accumulator(0)
+
+    def partial(batches):
+        tasks.add(1)
+        return np.full((8, 1), float(sum(b.num_rows for b in batches)))
+
+    counted = encoder.counted(df, buckets=64)
+    assert encoder._summed(counted, partial, (8, 1)).ravel().tolist() == [400.0] * 8
+    assert tasks.value <= spark.sparkContext.defaultParallelism
