@@ -77,3 +77,49 @@ def test_windows_are_counted_in_updates_and_close(spark, tmp_path):
     want = pipelines.event_counts(spark.createDataFrame(rows, schema)).select("window.start", "event_type", "n", "value")
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     assert spark.read.format("statestore").load(str(tmp_path / "state")).count() < want.count() / 3
+
+
+def test_questions_share_their_state_and_close_one_by_one(folder, monkeypatch):
+    """Questions of one slot: those that are due go, the others stay, grow and go later; messages grow with slots, not questions."""
+    monkeypatch.setattr(merging, "SLOTS", 2)
+    monkeypatch.setattr(merging, "SENT", 3)
+    put, go, state = folder
+    span = lambda k, minute, who: (f"q{k}", "d", 0, 10, "AND", None, who, 0, at(minute))
+    put([span(k, k / 10, "a") for k in range(40)])
+    assert go() == [] and state() == 40
+    put([span(k, 8, "b") for k in range(35, 38)])  # these stay open for longer
+    put(mark(17.95))  # five minutes late, ten open: questions up to the 29th
+    closed = [(f"q{k}", "d", 0, 10, "AND", "g1", "a", False) for k in range(30)]
+    assert go() == sorted(closed, key=str) and state() == 13
+    put(mark(80))
+    more = [(f"q{k}", "d", 0, 10, "AND", "g1", "a+b" if 35 <= k < 38 else "a", False) for k in range(30, 40)]
+    assert go() == sorted(closed + more, key=str) and state() == 0
+
+
+def test_state_is_asked_by_slot():
+    """A hundred questions of a slot take as many messages as one."""
+
+    class Counted:
+        def __init__(self):
+            self.calls, self.held = 0, []
+
+        def __getattr__(self, name):
+            def call(*args):
+                self.calls += 1
+                if name == "appendList":
+                    self.held += args[0]
+                return iter(self.held) if name == "get" else False
+
+            return call
+
+    class Times:
+        getCurrentWatermarkInMs = staticmethod(lambda: 0)
+
+    def calls(questions):
+        one = merging.MergeSpans(600_000, 0)
+        one.handle, one.spans, one.times = Counted(), Counted(), Counted()
+        rows = [dict(qid=f"q{k}", docid="d", start=0, end=9, src_ord=0, logic="AND", grp="g1", who="a", at_ms=k) for k in range(questions)]
+        list(one.handleInputRows((0,), iter(rows), Times))
+        return one.handle.calls + one.spans.calls + one.times.calls
+
+    assert calls(100) == calls(1)
