@@ -22,3 +22,11 @@ def test_spans_meet_their_texts_once(spark):
     assert got == want and {r[1] for r in got} == {*(f"d{i}" for i in range(9)), "blank", "null", "lost", None}
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
     assert plan(once).count("Join") == 1  # of the names of missing documents; texts are not joined
+
+
+def test_spans_are_derived_once(spark):
+    from lodegauge.plans import contract
+
+    df = contract.QUERIES["merge_contributors"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Generate" not in plan  # the cutting pass; spans are read
